@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scarpline.llm import decontam, langid, line_dedup, media, packing, simhash
+from scarpline.llm import decontam, langid, line_dedup, media, packing, simhash, substring, url_filter
 from scarpline.llm.common import table
 
 DOCS = ("doc_id", "text")
@@ -19,10 +19,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash_dedup": lambda s, d: simhash.op3_rows(docs(s, d)),
         "op4_line_dedup": lambda s, d: line_dedup.op4_rows(docs(s, d)),
         "op5_media_columns": lambda s, d: media.op5_rows(docs(s, d)),
+        "op6_url_filter": lambda s, d: url_filter.op6_rows(table(s, d, "pages", "page_id", "url", "html")),
+        "op8_substring_dedup": lambda s, d: substring.op8_rows(docs(s, d)),
         "op9_language_id": lambda s, d: langid.op9_rows(docs(s, d, "lang")),
         "op10_decontamination": lambda s, d: decontam.op10_rows(docs(s, d), table(s, d, "benchmark", "item_id", "text")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": line_dedup.OP4_SQL, "op10_decontamination": decontam.OP10_SQL}
+    return {"op4_line_dedup": line_dedup.OP4_SQL, "op8_substring_dedup": substring.OP8_SQL, "op10_decontamination": decontam.OP10_SQL}

@@ -3,7 +3,7 @@
 Fingerprints are made in Arrow batches (one pass over the text). The distinct ones are cut into five bit
 blocks: two that differ in at most four bits agree on one block at least, so a shuffle by (block, value)
 brings every linked pair together. Groups too large for one task are cut again over their other bits, by
-the same rule, until a group is small; as more bits are fixed a group is bounded by the bits left. In a group
+the same rule, and what stays large is dealt into tiles of which each two meet. In a group
 the fingerprints are sorted by Gray rank, runs of them become leaves that factor out the bits they share,
 runs of leaves become upper nodes, and a search adds up differences on shared bits from the top and drops a
 whole node once they exceed the bound.
@@ -100,32 +100,30 @@ class GrayIndex:
         return q[live], node[live]
 
 
+def _merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Joins the trees of each pair; every node then points at the least member of its tree."""
+    while True:
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        if not apart.any():
+            return root
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(ra, rb)[apart], np.minimum(ra, rb)[apart])
+        while not np.array_equal(up := root[root], root):
+            root = up
+
+
 def _stars(fps: np.ndarray, bound: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Links from each fingerprint of a group to the first one of its component in the group."""
     n, root = len(fps), np.arange(len(fps))
-    index = GrayIndex(fps) if n > 2 * LEAF else None
-    pairs = []
-    for at in range(0, n, block):
-        if index is None:
-            a, b = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= bound)
-        else:
+    if n <= 2 * LEAF:
+        root = _merge(root, *np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= bound))
+    else:
+        index = GrayIndex(fps)
+        for at in range(0, n, block):
             a, b = index.search(fps[at : at + block], bound)
-            a = a + at
-        pairs.append((a[a < b], b[a < b]))
-        if index is None:
-            break
-    a, b = (np.concatenate(x) for x in zip(*pairs))
-    while len(a):
-        low = np.minimum(root[a], root[b])
-        was = root.copy()
-        np.minimum.at(root, a, low)
-        np.minimum.at(root, b, low)
-        np.minimum.at(root, was[a], low)
-        np.minimum.at(root, was[b], low)
-        root = root[root]
-        if np.array_equal(root, was):
-            break
-    linked = np.nonzero(root != np.arange(n))[0]
+            root = _merge(root, a + at, b)
+    linked = np.flatnonzero(root != np.arange(n))
     return fps[linked], fps[root[linked]]
 
 
@@ -171,29 +169,41 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def hamming_links(fps: DataFrame, bound: int = MAX_BITS, group_rows: int = 2048) -> DataFrame:
+def _cut(rows: DataFrame, free: int, bound: int) -> DataFrame:
+    """Each row once for every block of the free bits, in the group of its bits there."""
+    blocks = [F.struct(F.lit(_signed(free & ~m)).alias("free"), F.xxhash64(F.col("group"), F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))).alias("group")) for i, m in enumerate(_pieces(free, bound + 1))]
+    return rows.select(F.explode(F.array(*blocks)).alias("block"), "fp").select("block.group", "block.free", "fp")
+
+
+def hamming_links(fps: DataFrame, bound: int = MAX_BITS, group_rows: int = 2048, cuts: int = 2) -> DataFrame:
     """Links (u, v) between distinct fingerprints fp (long) that keep all connections of pairs within bound bits.
 
-    Each task sees groups of group_rows fingerprints at most, or groups whose free bits cannot give more.
+    Groups of more than group_rows are cut again, `cuts` times in all. What is still larger is a dense cloud, which
+    shorter blocks don't part: it is dealt into tiles by hash, and each two tiles meet in a task of their own.
+    So no task holds more than about twice group_rows fingerprints at a time.
     """
-    split = lambda df, free: df.withColumn("piece", F.explode(F.array(*[F.struct(F.lit(_signed(free & ~m)).alias("free"), F.xxhash64(F.col("group"), F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))).alias("group")) for i, m in enumerate(_pieces(free, bound + 1))]))).select("piece.group", "piece.free", "fp")
-    rows = split(fps.select("fp").distinct().withColumn("group", F.lit(0).cast("long")), (1 << 64) - 1)
-    done = None
-    for _ in range(20):
+    rows = _cut(fps.select("fp").distinct().withColumn("group", F.lit(0).cast("long")), (1 << 64) - 1, bound)
+    done = []
+    for left in range(cuts - 1, -1, -1):
         rows = checkpointed(rows)
-        sizes = rows.groupBy("group").agg(F.count("*").alias("n"), F.min("free").alias("free")).filter(F.col("n") > group_rows).filter(F.bit_count("free") > 11)
+        sizes = checkpointed(rows.groupBy("group").agg(F.count("*").alias("n"), F.min("free").alias("free")).filter(F.col("n") > group_rows))
         kinds = [r[0] for r in sizes.select("free").distinct().collect()]  # one per way of cutting the 64 bits
-        if not kinds:
-            done = rows if done is None else done.union(rows)
+        done.append(rows.join(sizes.select("group"), "group", "left_anti").select("group", "fp"))
+        large = rows.join(sizes.select("group", "n"), "group")
+        if not kinds or not left:
             break
-        small = rows.join(sizes.select("group"), "group", "left_anti")
-        done = small if done is None else done.union(small)
-        large = checkpointed(rows.join(sizes.select("group"), "group", "left_semi"))
-        cut = [split(large.filter(F.col("free") == k), k & ((1 << 64) - 1)) for k in kinds]
-        rows = cut[0]
-        for more in cut[1:]:
+        parts = [_cut(large.filter(F.col("free") == k), k & ((1 << 64) - 1), bound) for k in kinds]
+        rows = parts[0]
+        for more in parts[1:]:
             rows = rows.union(more)
-    ordered = done.select("group", "fp", gray_rank(F.col("fp")).alias("rank")).repartition("group").sortWithinPartitions("group", "rank").select("group", "fp")
+    tiles = F.ceil(F.col("n") / group_rows).cast("int")
+    tiled = large.select("group", "fp", tiles.alias("tiles"), F.pmod(F.xxhash64("fp"), tiles).cast("int").alias("own"))
+    tiled = tiled.select("group", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    done.append(tiled.select(F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "fp"))
+    everything = done[0]
+    for more in done[1:]:
+        everything = everything.union(more)
+    ordered = everything.select("group", "fp", gray_rank(F.col("fp")).alias("rank")).repartition("group").sortWithinPartitions("group", "rank").select("group", "fp")
     return ordered.mapInArrow(lambda it: _group_links(it, bound), "u long, v long")
 
 
