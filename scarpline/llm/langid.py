@@ -100,6 +100,19 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
     return rows.withColumn("rejected", (F.col("lang_pred") == "und") | (F.col("margin") < min_margin))
 
 
+def _accepted(batches: Iterable[pa.RecordBatch], dictionaries, min_margin: float) -> Iterator[pa.RecordBatch]:
+    own = Classifier(dictionaries.value)
+    for batch in batches:
+        judged = [own.judge(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+        yield batch.filter(pa.array([lang != "und" and margin >= min_margin for lang, _, margin in judged], pa.bool_()))
+
+
+def accepted(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN) -> DataFrame:
+    """The rows of docs, with all columns, whose language is not rejected (see identify)."""
+    sent = docs.sparkSession.sparkContext.broadcast(dictionaries)
+    return docs.mapInArrow(lambda it: _accepted(it, sent, min_margin), docs.schema)
+
+
 def held_out(doc_id="doc_id"):
     return (F.crc32(F.col(doc_id).cast("string")) % 3 == 1) & F.col(doc_id).isNotNull()
 

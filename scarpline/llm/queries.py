@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scarpline.llm import decontam, langid, line_dedup, media, packing, simhash, substring, url_filter
+from scarpline.llm import decontam, html_extract, langid, line_dedup, media, packing, quality, simhash, substring, url_filter
 from scarpline.llm.common import table
 
 DOCS = ("doc_id", "text")
@@ -15,11 +15,13 @@ DOCS = ("doc_id", "text")
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     docs = lambda s, d, *more: table(s, d, "documents", *DOCS, *more)
     return {
+        "op1_html_extraction": lambda s, d: html_extract.extract(table(s, d, "pages", "page_id", "url", "html")),
         "op2_best_fit_packing": lambda s, d: packing.pack_documents(docs(s, d)),
         "op3_simhash_dedup": lambda s, d: simhash.op3_rows(docs(s, d)),
         "op4_line_dedup": lambda s, d: line_dedup.op4_rows(docs(s, d)),
         "op5_media_columns": lambda s, d: media.op5_rows(docs(s, d)),
         "op6_url_filter": lambda s, d: url_filter.op6_rows(table(s, d, "pages", "page_id", "url", "html")),
+        "op7_quality_classifier": lambda s, d: quality.score_documents(docs(s, d, "lang", "source"), table(s, d, "labels", "doc_id", "quality", "toxic")),
         "op8_substring_dedup": lambda s, d: substring.op8_rows(docs(s, d)),
         "op9_language_id": lambda s, d: langid.op9_rows(docs(s, d, "lang")),
         "op10_decontamination": lambda s, d: decontam.op10_rows(docs(s, d), table(s, d, "benchmark", "item_id", "text")),

@@ -223,6 +223,15 @@ def near_duplicates(docs: DataFrame, width: int = 4, bound: int = MAX_BITS) -> D
     return fps.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all columns, that stand for their component: one row, that of its smallest doc_id.
+
+    Of repeated rows of a doc_id one stays. Rows without a doc_id cannot stand for a component and go.
+    """
+    least = near_duplicates(docs).select(F.col("component_id").alias("_least")).distinct()
+    return docs.join(least, F.col("doc_id") == F.col("_least"), "left_semi").dropDuplicates(["doc_id"])
+
+
 def op3_rows(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs)
     return found.select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
