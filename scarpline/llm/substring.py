@@ -23,6 +23,7 @@ from scarpline.llm.common import rows_of, stored
 
 WINDOW, GRAM = 20, 6
 SHARD_PLACES = 4096
+RUN_BITS = 12  #: a run of windows is one number: the first one's place, then in so many bits how many they are
 BATCH_WORDS = 1 << 19
 OUT = "doc_id long, start int, n int, words binary"
 
@@ -66,7 +67,7 @@ def _places(batches: Iterable[pa.RecordBatch], window: int, gram: int) -> Iterat
         least, value = _minimizers(hashes, (ends - sizes)[owner] + within, window, gram)
         first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
         n = np.diff(np.r_[first, len(least)])
-        return pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[owner[first]]), pa.array(within[first].astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(value[first].view(np.int64))], ["doc_id", "start", "n", "minimizer"])
+        return pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[owner[first]]), pa.array(within[first] << RUN_BITS | n), pa.array(value[first].view(np.int64))], ["doc_id", "run", "minimizer"])
 
     for rows in rows_of(batches):
         ids, words, held = [], [], 0
@@ -85,16 +86,18 @@ def _places(batches: Iterable[pa.RecordBatch], window: int, gram: int) -> Iterat
 
 def _segments(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = [[], [], [], [], [], [], []]
+        out = [[], [], [], [], []]
         for doc_id, text, places in zip(*(batch.column(i) for i in range(3))):
-            words = split_words(text.as_py())
-            flat = places.values
-            for start, n, minimizer, part, parts in zip(*(flat.field(k).to_pylist() for k in range(5))):
+            words, doc_id = split_words(text.as_py()), doc_id.as_py()
+            salt = xxhash.xxh64_intdigest(str(doc_id), 11)
+            for run, minimizer, parts in zip(*(places.values.field(k).to_pylist() for k in range(3))):
+                start, n = run >> RUN_BITS, run & ((1 << RUN_BITS) - 1)
                 if start + n + window - 1 <= len(words):  # else another row of the same doc_id has other text
-                    for column, value in zip(out, (minimizer, part, parts > 1, doc_id.as_py(), start, n, b" ".join(words[start : start + n + window - 1]))):
+                    part = 1 + salt % parts if parts > 1 else 0
+                    for column, value in zip(out, (minimizer, part, doc_id, run, b" ".join(words[start : start + n + window - 1]))):
                         column.append(value)
-        types = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["shard", "part", "cut", "doc_id", "start", "n", "words"])
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["shard", "part", "doc_id", "run", "words"])
 
 
 class SuffixAutomaton:
@@ -176,12 +179,13 @@ class _Shard:
 
 
 def _judge(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Repeated windows as (doc_id, first word, words covered), and from shards that are cut the others with their words."""
+    """Repeated windows as (doc_id, first word, words covered), and from shards that are cut (part over 0) the others with their words."""
     key, shard = None, None
     for batch in batches:
         out = [[], [], [], []]
         columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-        for own_shard, part, cut, doc_id, start, n, words in zip(*columns):
+        for own_shard, part, doc_id, run, words in zip(*columns):
+            start, n = run >> RUN_BITS, run & ((1 << RUN_BITS) - 1)
             if (own_shard, part) != key:
                 key, shard = (own_shard, part), _Shard(window)
             flags, at = shard.repeated(words, n), 0
@@ -192,7 +196,7 @@ def _judge(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.Record
                 if flags[at]:
                     for column, value in zip(out, (doc_id, start + at, to - at + window - 1, None)):
                         column.append(value)
-                elif cut:
+                elif part:
                     own = words.split(b" ")
                     for k in range(at, to):
                         for column, value in zip(out, (doc_id, start + k, 1, b" ".join(own[k : k + window]))):
@@ -202,21 +206,22 @@ def _judge(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.Record
 
 
 def _judged(segments: DataFrame, window: int) -> DataFrame:
-    ordered = segments.select("shard", "part", "cut", "doc_id", "start", "n", "words").repartition("shard", "part").sortWithinPartitions("shard", "part", "doc_id", "start")
+    ordered = segments.select("shard", "part", "doc_id", "run", "words").repartition("shard", "part").sortWithinPartitions("shard", "part", "doc_id", "run")
     return ordered.mapInArrow(lambda it: _judge(it, window), OUT)
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_places: int = SHARD_PLACES) -> DataFrame:
     """Spans (doc_id, start, n) of words in windows whose words also start earlier: in a smaller doc_id, or in the same one before."""
     docs = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    places = stored(docs.mapInArrow(lambda it: _places(it, window, gram), "doc_id long, start int, n int, minimizer long"))
-    shards = places.groupBy("minimizer").agg(F.count("*").alias("places")).filter("places > 1").withColumn("parts", F.ceil(F.col("places") / shard_places).cast("int")).drop("places")
-    shared = places.join(shards, "minimizer")
-    part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
-    by_doc = shared.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n", "minimizer", part.alias("part"), "parts")).alias("places"))
-    segments = docs.join(by_doc, "doc_id").mapInArrow(lambda it: _segments(it, window), "shard long, part int, cut boolean, doc_id long, start int, n int, words binary")
+    if not gram <= window < 1 << RUN_BITS:
+        raise ValueError(f"gram must not exceed window, and window must be under {1 << RUN_BITS}")
+    places = stored(docs.mapInArrow(lambda it: _places(it, window, gram), "doc_id long, run long, minimizer long"))
+    # stored, so that the join reads two plain shuffles, of which AQE can split the hot parts
+    shards = stored(places.groupBy("minimizer").agg(F.count("*").alias("places")).filter("places > 1").select("minimizer", F.ceil(F.col("places") / shard_places).cast("int").alias("parts")))
+    by_doc = places.join(shards, "minimizer").groupBy("doc_id").agg(F.collect_set(F.struct("run", "minimizer", "parts")).alias("places"))
+    segments = docs.join(by_doc, "doc_id").mapInArrow(lambda it: _segments(it, window), "shard long, part int, doc_id long, run long, words binary")
     found = stored(_judged(segments, window))
-    new = found.filter("words IS NOT NULL").select(F.xxhash64("words").alias("shard"), F.lit(0).alias("part"), F.lit(False).alias("cut"), "doc_id", "start", "n", "words")
+    new = found.filter("words IS NOT NULL").select(F.xxhash64("words").alias("shard"), F.lit(0).alias("part"), "doc_id", (F.shiftleft(F.col("start").cast("long"), RUN_BITS) + F.col("n")).alias("run"), "words")
     return found.filter("words IS NULL").union(_judged(new, window)).select("doc_id", "start", "n")
 
 
