@@ -46,7 +46,7 @@ def stored(df: DataFrame) -> DataFrame:
     Columnar files take a fraction of what a checkpoint of rows takes, and lost executors recompute nothing.
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/scarpline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

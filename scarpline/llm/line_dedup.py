@@ -9,12 +9,14 @@ of each, so no pairs within a group are made, and edit distance is verified on t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scarpline.llm.common import stored
 
 MIN_CHARS = 16
+#: Lists of at most so many documents are broadcast; longer ones are shuffled.
+BROADCAST_ROWS = 50_000
 
 
 def _hash2(prefix: str, text: Column) -> list[Column]:
@@ -23,13 +25,28 @@ def _hash2(prefix: str, text: Column) -> list[Column]:
 
 
 def _half_keys(text: Column) -> Column:
-    """Hashes of the first and last h characters, h half of this line's length or of a line's that is one shorter."""
+    """(side, hash) of the first and last h characters, h half of this line's length or of a line's that is one shorter."""
     n = F.char_length(text)
     halves = [(n / 2).cast("int"), ((n - 1) / 2).cast("int")]
-    keys = [F.xxhash64(F.lit(side), h, part) for h in halves for side, part in (("first", F.substr(text, F.lit(1), h)), ("last", F.right(text, h)))]
+    keys = [F.struct(F.lit(side).alias("side"), F.xxhash64(F.lit(side), h, part).alias("key")) for h in halves for side, part in ((0, F.substr(text, F.lit(1), h)), (1, F.right(text, h)))]
     return F.array_distinct(F.array(*keys))
 
 
+def _marks(numbers: Column) -> Column:
+    """Sorted line numbers as an array that is true at them and false at the lines before."""
+    before = F.concat(F.array(F.lit(-1)), numbers)
+    part = lambda a, b: F.when(b.isNull(), F.array().cast("array<boolean>")).otherwise(F.concat(F.array_repeat(F.lit(False), b - a - 1), F.array(F.lit(True))))
+    return F.flatten(F.zip_with(before, numbers, part))
+
+
+def _deletions(side: Column, line: Column) -> Column:
+    """(place, hash) of the variants with one character deleted outside of the half that the line shares."""
+    n = F.char_length(line)
+    half = ((n - 1) / 2).cast("int")
+    places = F.sequence(F.when(side == 0, half + 1).otherwise(F.lit(1)), F.when(side == 0, n).otherwise(n - half))
+    return F.transform(places, lambda i: F.struct(i.alias("place"), F.xxhash64(F.concat(F.substr(line, F.lit(1), i - 1), F.substr(line, i + 1))).alias("key")))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line", F.btrim("line", F.lit(" \t\r")))
 
@@ -53,27 +70,25 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int =
     exact = hashed.select("doc_id", "line_no", "h1", "h2").join(first.select("h1", "h2", F.col("doc_id").alias("d"), F.col("line_no").alias("l")), ["h1", "h2"]).filter("doc_id <> d OR line_no <> l").select("doc_id", "line_no")
     if not max_edits:
         return exact.distinct()
-    keyed = first.select("doc_id", "line_no", F.explode("keys").alias("key"))
+    keyed = first.select("doc_id", "line_no", F.explode("keys").alias("k")).select("doc_id", "line_no", "k.side", "k.key")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    near = keyed.join(shared, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("line_no").alias("nos"))
-    # the texts of these lines; the split stands below the join, so that it runs once a document
-    parts = docs.select("doc_id", F.split("text", "\n").alias("parts"))
-    wanted = parts.join(near, "doc_id").select("doc_id", F.explode(F.transform("nos", lambda i: F.struct(i.alias("line_no"), F.get("parts", i).alias("line")))).alias("x")).select("doc_id", "x.*")
+    sides = keyed.join(shared, "key", "left_semi").groupBy("doc_id", "line_no").agg(F.sort_array(F.collect_set("side")).alias("sides"))
+    near = stored(sides.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "sides"))).alias("near")))
+    few = near.count() <= BROADCAST_ROWS
+    # the texts of these lines; each split is an argument of a function, so that it is made once a document
+    picked = F.zip_with(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line_no"), x.alias("line"))), _marks(F.col("near.line_no")), lambda s, m: F.when(m, s))
+    wanted = docs.join(F.broadcast(near) if few else near, "doc_id").select("doc_id", F.explode(F.zip_with(F.filter(picked, lambda s: s.isNotNull()), F.col("near.sides"), lambda s, k: F.struct(s.line_no.alias("line_no"), s.line.alias("line"), k.alias("sides")))).alias("x")).select("doc_id", "x.*")
     wanted = stored(wanted.filter("line IS NOT NULL").withColumn("line", F.btrim("line", F.lit(" \t\r"))).distinct())
-    n = F.char_length("line")
-    deleted = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("place"), F.xxhash64(F.concat(F.substr("line", F.lit(1), i - 1), F.substr("line", i + 1))).alias("key")))
-    variants = wanted.select(at.alias("at"), "line", F.explode(deleted).alias("v")).select("at", "line", "v.place", "v.key")
-    whole = wanted.select(at.alias("at"), "line", F.xxhash64("line").alias("key"))
+    by_side = wanted.select(at.alias("at"), "line", F.explode("sides").alias("side"))
+    variants = by_side.select("at", F.explode(_deletions(F.col("side"), F.col("line"))).alias("v")).select("at", "v.place", "v.key")
+    keys = variants.union(wanted.select(at.alias("at"), F.lit(0).alias("place"), F.xxhash64("line").alias("key")))
+    # a key's lines are bounded by the characters that one place can hold, so windows serve; both need one shuffle
+    alike = keys.withColumn("whole", F.min(F.when(F.col("place") == 0, F.col("at"))).over(Window.partitionBy("key"))).withColumn("first", F.min("at").over(Window.partitionBy("key", "place"))).filter("place > 0")
+    # the earliest of those that delete the same place to the same variant; a line that is the variant itself
+    pairs = alike.select("at", F.explode(F.array("first", "whole")).alias("other")).filter("other IS NOT NULL AND other <> at")
+    found = pairs.select(F.greatest("at", "other").alias("at"), F.least("at", "other").alias("other_at")).distinct()
     close = F.levenshtein(F.col("line"), F.col("other"), max_edits).between(0, max_edits)
-    slim = variants.select("key", "place", "at")
-    # the earliest of those that delete the same place to the same variant
-    earliest = slim.groupBy("key", "place").agg(F.min("at").alias("other_at"), F.count("*").alias("n")).filter("n > 1").select("key", "place", "other_at")
-    substituted = slim.join(earliest, ["key", "place"]).filter("other_at < at").select("at", "other_at")
-    # a line against the lines that it is a variant of, and the other way about
-    inserted = slim.join(whole.select("key", F.col("at").alias("whole_at")), "key")
-    inserted = inserted.select(F.greatest("at", "whole_at").alias("at"), F.least("at", "whole_at").alias("other_at")).filter("other_at < at")
     texts = wanted.select(at.alias("at"), "line")
-    found = substituted.union(inserted).distinct()
     verified = found.join(texts, "at").join(texts.select(F.col("at").alias("other_at"), F.col("line").alias("other")), "other_at").filter(close)
     return exact.union(verified.select("at.doc_id", "at.line_no")).distinct()
 
@@ -85,15 +100,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = 1)
     doc_id; an empty text is one empty line, which stays. Repeated rows of a doc_id count as one document. An empty
     table gives an empty one.
     """
-    gone = repeated_lines(docs, min_chars, max_edits).groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("line_no").alias("_gone"))
-    # the split stands below the join: a column there, it is not made again for each line
-    joined = docs.withColumn("_parts", F.split("text", "\n")).drop("text").join(gone, F.col("doc_id").cast("long") == F.col("_gone_id"), "left")
-    left = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("_gone"))
-    kept = F.array_join(F.when(F.col("_gone").isNull(), F.col("_parts")).otherwise(F.transform(left, lambda i: F.get("_parts", i))), "\n")
-    n_lines = F.when(F.col("_parts").isNull(), 0).otherwise(F.size("_parts")).cast("long")
-    n_removed = F.when(F.col("_parts").isNull() | F.col("_gone").isNull(), 0).otherwise(F.size("_parts") - F.size(left)).cast("long")
+    gone = repeated_lines(docs, min_chars, max_edits).groupBy(F.col("doc_id").alias("_gone_id")).agg(F.sort_array(F.collect_set("line_no")).alias("_gone"))
+    joined = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone_id"), "left").withColumn("_n", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))))
+    left = F.zip_with(F.split("text", "\n"), _marks(F.col("_gone")), lambda x, m: F.when(F.coalesce(m, F.lit(False)), None).otherwise(x))
+    kept = F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    n_removed = F.when(F.col("_gone").isNull() | F.col("text").isNull(), 0).otherwise(F.size(F.filter("_gone", lambda i: i < F.col("_n")))).cast("long")
     others = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    return joined.select(*others, kept.alias("text"), n_lines.alias("n_lines"), n_removed.alias("n_removed"))
+    return joined.select(*others, kept.alias("text"), F.col("_n").cast("long").alias("n_lines"), n_removed.alias("n_removed"))
 
 
 def op4_rows(docs: DataFrame) -> DataFrame:
