@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from scarpline.llm.common import stored
 
 WINDOW, SHINGLE = 10, 3
-WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+WORD = "[0-9a-z\\x80-\\x{10FFFF}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Tables of at most so many rows are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 200_000
@@ -25,10 +25,9 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))
 
 
-def _shingled(column: str, sizes: list[int]) -> Column:
-    """An array of (place, size, text) of the runs of words; an element per place and size that fits."""
-    shifted = [F.slice(column, k + 1, F.greatest(F.size(column) - k, F.lit(0))) for k in range(max(sizes))]
-    return F.arrays_zip(*[s.alias(f"w{k}") for k, s in enumerate(shifted)])
+def _neighbours(column: str, size: int) -> Column:
+    """Each word with the next ones, as an array of structs w0, w1 and so on; null beyond the end."""
+    return F.arrays_zip(*[F.slice(column, k + 1, F.greatest(F.size(column) - k, F.lit(0))).alias(f"w{k}") for k in range(size)])
 
 
 def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
@@ -43,37 +42,44 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return runs.select("item_id", "run", F.size("run").alias("n"), F.xxhash64("run").alias("wid"))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Rows (doc_id, start, n, item_id): each window of an item and each place of a document where it occurs, words counted from 0."""
+def _parts(run: Column, n: Column) -> Column:
+    """The shingles of a window, in order; their places count from 0."""
+    size = F.least(F.lit(SHINGLE), n)
+    return F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.array_join(F.slice(run, i, size), " "))
+
+
+def _search(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_words) of every row of docs, and the matches (doc_id, start, n, item_id); docs are read once."""
     runs = stored(benchmark_windows(benchmark, window))
-    distinct_runs = runs.select("run", "n").distinct()
-    size = F.least(F.lit(SHINGLE), F.col("n"))
-    parts = distinct_runs.select("run", "n", size.alias("k")).select("run", "n", "k", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("n") - F.col("k") + 1), lambda i: F.array_join(F.slice("run", i, F.col("k")), " "))).alias("off", "shingle"))
-    parts = stored(parts)
-    sizes = [r[0] for r in parts.select("k").distinct().collect()]
-    own = docs.select(F.col("doc_id").cast("long"), words(F.col("text")).alias("w"))
-    if not sizes:
-        return own.filter("false").select("doc_id", F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("item_id"))
+    parts = stored(runs.select("run", "n").distinct().select("run", "n", F.posexplode(_parts(F.col("run"), F.col("n"))).alias("off", "shingle")))
+    sizes = [r[0] for r in parts.select(F.least(F.lit(SHINGLE), F.col("n"))).distinct().collect()] or [SHINGLE]
     known = parts.select("shingle").distinct()
-    n_known = known.count()
-    places = own.select("doc_id", F.size("w").alias("n_words"), F.posexplode(_shingled("w", sizes)).alias("place", "s"))
+    n_known, n_parts = known.count(), parts.count()
+    own = docs.select(F.col("doc_id").cast("long"), words(F.col("text")).alias("w"))
+    places = own.select("doc_id", F.greatest(F.size("w"), F.lit(0)).alias("n_words"), F.posexplode_outer(_neighbours("w", max(sizes))).alias("place", "s"))
     names = [f"s.w{k}" for k in range(max(sizes))]
     texts = [F.when(F.col(names[k - 1]).isNotNull(), F.concat_ws(" ", *names[:k])) for k in sizes]
-    texts = texts[0] if len(texts) == 1 else F.explode(F.array(*texts))
-    occurring = places.select("doc_id", "n_words", "place", texts.alias("shingle")).join(_maybe_broadcast(known, n_known), "shingle")
-    occurring = stored(occurring)
+    rows = places.select("doc_id", "n_words", "place", F.posexplode(F.array(*texts)).alias("which", "text"))
+    own_row = (F.col("which") == 0) & F.coalesce(F.col("place") == 0, F.lit(True))  # one of each document's rows carries its size
+    joined = rows.join(_maybe_broadcast(known, n_known), F.col("text") == F.col("shingle"), "left").withColumn("own", own_row).filter("own OR shingle IS NOT NULL")
+    found = stored(joined.select("doc_id", "n_words", "place", "shingle", "own"))
+    sizes_of = found.filter("own").select("doc_id", "n_words")
+    occurring = found.filter("shingle IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "n_words", "place", "shingle")
     counts = occurring.groupBy("shingle").agg(F.count("*").alias("count"))
     rare = Window.partitionBy("run").orderBy("count", "off")  # a run has `window` rows at most
     prefix = parts.join(counts, "shingle", "left").withColumn("count", F.coalesce("count", F.lit(0))).withColumn("r", F.row_number().over(rare)).filter("r = 1 AND count > 0").select("run", "n", "off", "shingle")
-    n_parts = parts.count()
-    start = F.col("place") - F.col("off")
-    candidates = occurring.join(_maybe_broadcast(prefix, n_parts), "shingle").select("doc_id", start.alias("start"), "n_words", "run", "n").filter("start >= 0 AND start + n <= n_words").select("doc_id", "start", "n", "run")
-    # the other shingles of the window at their places, the same for all windows of a document
-    need = candidates.select("doc_id", "start", "n", "run").withColumn("k", size)
-    checks = need.select("doc_id", "start", "n", "run", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("n") - F.col("k") + 1), lambda i: F.array_join(F.slice("run", i, F.col("k")), " "))).alias("off", "shingle")).withColumn("place", F.col("start") + F.col("off"))
+    candidates = occurring.join(_maybe_broadcast(prefix, n_parts), "shingle").select("doc_id", (F.col("place") - F.col("off")).alias("start"), "n_words", "run", "n").filter("start >= 0 AND start + n <= n_words").distinct()
+    # the window's shingles, each of which has to be at its place
+    checks = candidates.select("doc_id", "start", "n", "run", F.posexplode(_parts(F.col("run"), F.col("n"))).alias("off", "shingle")).withColumn("place", F.col("start") + F.col("off"))
     there = checks.join(occurring.select("doc_id", "place", "shingle").distinct(), ["doc_id", "place", "shingle"])
-    exact = there.groupBy("doc_id", "start", "n", "run").agg(F.count("*").alias("found")).filter(F.col("found") == F.col("n") - size + 1)
-    return exact.join(_maybe_broadcast(runs.select("run", "item_id"), n_parts), "run").select("doc_id", "start", "n", "item_id")
+    need = F.col("n") - F.least(F.lit(SHINGLE), F.col("n")) + 1
+    exact = there.groupBy("doc_id", "start", "n", "run").agg(F.count("*").alias("found")).filter(F.col("found") == need)
+    return sizes_of, exact.join(_maybe_broadcast(runs.select("run", "item_id"), n_parts), "run").select("doc_id", "start", "n", "item_id")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Rows (doc_id, start, n, item_id): each window of an item and each place of a document where it occurs, words counted from 0."""
+    return _search(docs, benchmark, window)[1]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -82,16 +88,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     A null text has no words. An empty benchmark hits nothing, an empty table of documents gives an empty one. Repeated
     rows of a doc_id are one document. A null doc_id is never matched. Other columns are ignored.
     """
-    found = stored(matches(docs.filter("doc_id IS NOT NULL"), benchmark, window))
+    own, found = _search(docs, benchmark, window)
+    found = stored(found)
     items = found.select("doc_id", F.col("item_id").cast("string").alias("item")).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("item")).alias("items"))
     spans = found.select("doc_id", "start", (F.col("start") + F.col("n")).alias("stop")).groupBy("doc_id", "start").agg(F.max("stop").alias("stop"))
     order = Window.partitionBy("doc_id").orderBy("start")
     reached = F.coalesce(F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     hits = spans.withColumn("new", F.greatest(F.lit(0), F.col("stop") - F.greatest("start", reached))).groupBy("doc_id").agg(F.sum("new").alias("n_hit"))
-    n_words = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"))).cast("long")
-    own = docs.select("doc_id", n_words.alias("n_words"))
     out = own.join(hits.join(items, "doc_id").withColumnRenamed("doc_id", "hit_id"), F.col("doc_id") == F.col("hit_id"), "left")
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"))
+    return out.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"))
 
 
 def op10_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
