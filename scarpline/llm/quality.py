@@ -23,7 +23,7 @@ from scarpline.llm.common import rows_of, stored
 BITS, ROUNDS, SURE, SMOOTH, BINS, CHI2 = 18, 2, 4.0, 0.5, 40, 20.0
 PSEUDO_WEIGHT = 0.25
 WORD, SHAPE = re.compile(r"[^\W\d_]+"), re.compile(r"[^\w\s]")
-TARGETS = ("quality", "toxic")
+TARGETS, VIEWS = ("quality", "toxic"), ("text", "page")
 
 
 def _slot(feature: str) -> int:
@@ -72,12 +72,8 @@ def featured(docs: DataFrame) -> DataFrame:
     return own.mapInArrow(_featured, "doc_id long, text_view array<int>, page_view array<int>")
 
 
-def _fit(rows: DataFrame, view: str) -> np.ndarray:
-    """Log odds by slot (the last one: the prior), from rows (view, label 0/1, weight). Counts are summed by slot in Spark."""
-    counts = rows.select("label", "weight", F.explode(F.concat(F.array(F.lit(1 << BITS)), view)).alias("slot")).groupBy("slot").agg(F.sum(F.when(F.col("label") == 1, F.col("weight")).otherwise(0.0)).alias("yes"), F.sum(F.when(F.col("label") == 0, F.col("weight")).otherwise(0.0)).alias("no"))
-    yes, no = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
-    for slot, y, n in counts.collect():  # 2^BITS + 1 rows at most
-        yes[slot], no[slot] = y, n
+def _weights(yes: np.ndarray, no: np.ndarray) -> np.ndarray:
+    """Log odds by slot from weighted counts, the last slot being the prior."""
     n_yes, n_no = yes[-1] + 2 * SMOOTH, no[-1] + 2 * SMOOTH
     weights = np.log((yes + SMOOTH) / n_yes) - np.log((no + SMOOTH) / n_no)
     expected = (yes + no) * n_yes / (n_yes + n_no)
@@ -87,6 +83,29 @@ def _fit(rows: DataFrame, view: str) -> np.ndarray:
     return weights
 
 
+def _fit(rows: DataFrame) -> dict[tuple[str, str], np.ndarray]:
+    """The models of both targets and views from one pass over rows with the columns <target>_<view>_y (0, 1, null) and _w.
+
+    Counts are summed by view and slot in Spark, map-side first; 2 * (2^BITS + 1) sums come to the driver at most.
+    """
+    size = (1 << BITS) + 1
+    with_prior = lambda view: F.concat(F.array(F.lit(size - 1)), f"{view}_view")
+    names = [(t, v) for t in TARGETS for v in VIEWS]
+    labels = [F.col(f"{t}_{v}_{k}") for t, v in names for k in "yw"]
+    each = rows.select(*labels, F.explode(F.array(*[F.struct(F.lit(v).alias("view"), with_prior(v).alias("slots")) for v in VIEWS])).alias("x"))
+    of_view = lambda t, k: F.when(F.col("x.view") == VIEWS[0], F.col(f"{t}_{VIEWS[0]}_{k}")).otherwise(F.col(f"{t}_{VIEWS[1]}_{k}")).alias(f"{t}_{k}")
+    flat = each.select("x.view", *[of_view(t, k) for t in TARGETS for k in "yw"], "x.slots").filter(" OR ".join(f"{t}_y IS NOT NULL" for t in TARGETS))
+    sums = [F.sum(F.when(F.col(f"{t}_y") == y, F.col(f"{t}_w")).otherwise(0.0)).alias(f"{t}_{y}") for t in TARGETS for y in (1, 0)]
+    counts = flat.select("view", *[f"{t}_{k}" for t in TARGETS for k in "yw"], F.explode("slots").alias("slot")).groupBy("view", "slot").agg(*sums).toPandas()
+    out = {}
+    for t, v in names:
+        own = counts[counts["view"] == v]
+        yes, no = np.zeros(size), np.zeros(size)
+        yes[own["slot"]], no[own["slot"]] = own[f"{t}_1"], own[f"{t}_0"]
+        out[t, v] = _weights(yes, no)
+    return out
+
+
 def _scored(batches: Iterable[pa.RecordBatch], models) -> Iterator[pa.RecordBatch]:
     """Adds the sum of weights over each view's features, for each model (name, view, weights)."""
     for batch in batches:
@@ -146,29 +165,29 @@ def score_documents(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, su
     rows = featured(docs)
     rows = rows.join(known, F.col("doc_id") == F.col("label_id"), "left").drop("label_id").withColumn("own_fold", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0, F.lit(False)))
     rows = stored(rows)
-    models = {}
-    views = (("text", "text_view"), ("page", "page_view"))
+    held_rows = rows.filter(F.col("own_fold") & (F.col("y_quality").isNotNull() | F.col("y_toxic").isNotNull()))
     fitted: list[tuple[str, str, np.ndarray]] = []
+    scale: dict[tuple[str, str], tuple[float, float]] = {}
     for r in range(rounds + 1):
-        scored, before = _with_scores(rows, fitted) if r else rows, dict(models)
-        for target in TARGETS:
-            y = F.col(f"y_{target}")
-            for name, view in views:
-                own = scored.filter(y.isNotNull() & ~F.col("own_fold")).select(y.alias("label"), F.lit(1.0).alias("weight"), view)
+        scored = _with_scores(rows, fitted) if r else rows
+        taught = {}
+        for t in TARGETS:
+            y = F.when(~F.col("own_fold"), F.col(f"y_{t}"))
+            for v, other in (VIEWS, VIEWS[::-1]):
+                label, weight = y, F.lit(1.0)
                 if r:  # what the other view is sure of, after its own calibration
-                    a, b = before[target, "page" if name == "text" else "text"][1]
-                    odds = F.col(f"{target}_{'page' if name == 'text' else 'text'}") * a + b
-                    pseudo = scored.filter(y.isNull() & (F.abs(odds) >= sure)).select((odds > 0).cast("int").alias("label"), F.lit(PSEUDO_WEIGHT).alias("weight"), view)
-                    own = own.union(pseudo)
-                models[target, name] = (_fit(own, view), None)
-        fitted = [(f"{target}_{name}", view, models[target, name][0]) for target in TARGETS for name, view in views]
-        held = stored(_with_scores(rows.filter(F.col("own_fold") & (F.col("y_quality").isNotNull() | F.col("y_toxic").isNotNull())), fitted))
-        for target in TARGETS:
-            for name, _ in views:
-                models[target, name] = (models[target, name][0], _calibrated(held, f"{target}_{name}", f"y_{target}"))
+                    a, b = scale[t, other]
+                    odds = F.col(f"{t}_{other}") * float(a) + float(b)
+                    label = F.coalesce(y, F.when(F.col(f"y_{t}").isNull() & (F.abs(odds) >= sure), (odds > 0).cast("int")))
+                    weight = F.when(F.col(f"y_{t}").isNotNull(), 1.0).otherwise(PSEUDO_WEIGHT)
+                taught |= {f"{t}_{v}_y": label, f"{t}_{v}_w": weight}
+        models = _fit(scored.withColumns(taught))
+        fitted = [(f"{t}_{v}", f"{v}_view", w) for (t, v), w in models.items()]
+        held = stored(_with_scores(held_rows, fitted).drop("text_view", "page_view"))
+        scale = {(t, v): _calibrated(held, f"{t}_{v}", f"y_{t}") for t, v in models}
     final = _with_scores(rows, fitted)
     # both views' calibrated log odds, weighed by a last calibration of their sum
-    both = {t: sum(F.col(f"{t}_{n}") * float(models[t, n][1][0]) + float(models[t, n][1][1]) for n, _ in views) for t in TARGETS}
+    both = {t: sum(F.col(f"{t}_{v}") * float(scale[t, v][0]) + float(scale[t, v][1]) for v in VIEWS) for t in TARGETS}
     check = held.withColumns({f"{t}_both": both[t] for t in TARGETS})
     odds = {}
     for t in TARGETS:
