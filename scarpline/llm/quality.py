@@ -22,6 +22,8 @@ from scarpline.llm.common import rows_of, stored
 
 BITS, ROUNDS, SURE, SMOOTH, BINS, CHI2 = 18, 2, 4.0, 0.5, 40, 20.0
 PSEUDO_WEIGHT = 0.25
+#: Tables of at most so many labels are broadcast; larger ones are shuffled with the features.
+BROADCAST_ROWS = 500_000
 WORD, SHAPE = re.compile(r"[^\W\d_]+"), re.compile(r"[^\w\s]")
 TARGETS, VIEWS = ("quality", "toxic"), ("text", "page")
 
@@ -162,8 +164,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, su
     """
     label = lambda c: F.when(F.col(c).isin(0, 1), F.col(c).cast("int"))
     known = labels.select(F.col("doc_id").cast("long").alias("label_id"), label("quality").alias("quality"), label("toxic").alias("toxic")).groupBy("label_id").agg(F.max("quality").alias("y_quality"), F.max("toxic").alias("y_toxic"))
-    rows = featured(docs)
-    rows = rows.join(known, F.col("doc_id") == F.col("label_id"), "left").drop("label_id").withColumn("own_fold", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0, F.lit(False)))
+    rows, known = featured(docs), stored(known)
+    rows = rows.join(F.broadcast(known) if known.count() <= BROADCAST_ROWS else known, F.col("doc_id") == F.col("label_id"), "left").drop("label_id").withColumn("own_fold", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0, F.lit(False)))
     rows = stored(rows)
     held_rows = rows.filter(F.col("own_fold") & (F.col("y_quality").isNotNull() | F.col("y_toxic").isNotNull()))
     fitted: list[tuple[str, str, np.ndarray]] = []
