@@ -11,6 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Spark's setting by which a query's shuffle files go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of one parquet table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
@@ -46,15 +51,25 @@ def stored(df: DataFrame) -> DataFrame:
     Columnar files take a fraction of what a checkpoint of rows takes, and lost executors recompute nothing.
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/scarpline-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")  # the files hold all that the shuffles led to
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            conf.unset(CLEANUP)
+        else:
+            conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[dict[str, list]]:
-    """Each Arrow batch as lists by column; empty batches are left out."""
+    """Arrow batches as lists by column, of BATCH_ROWS rows at most, which bounds a worker's memory; empty ones are left out."""
     for batch in batches:
-        if batch.num_rows:
-            yield {name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)}
+        for at in range(0, batch.num_rows, BATCH_ROWS):
+            part = batch.slice(at, BATCH_ROWS)
+            yield {name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)}
 
 
 def hex64(column) -> F.col:

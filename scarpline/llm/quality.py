@@ -34,7 +34,7 @@ def _slot(feature: str) -> int:
 
 class _Slots(dict):
     def __missing__(self, feature: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[feature] = _slot(feature)
         return value

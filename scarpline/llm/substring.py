@@ -218,7 +218,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
     places = stored(docs.mapInArrow(lambda it: _places(it, window, gram), "doc_id long, run long, minimizer long"))
     # stored, so that the join reads two plain shuffles, of which AQE can split the hot parts
     shards = stored(places.groupBy("minimizer").agg(F.count("*").alias("places")).filter("places > 1").select("minimizer", F.ceil(F.col("places") / shard_places).cast("int").alias("parts")))
-    by_doc = places.join(shards, "minimizer").groupBy("doc_id").agg(F.collect_set(F.struct("run", "minimizer", "parts")).alias("places"))
+    # stored as well: its shuffles are gone before those of the texts begin
+    by_doc = stored(places.join(shards, "minimizer").groupBy("doc_id").agg(F.collect_set(F.struct("run", "minimizer", "parts")).alias("places")))
     segments = docs.join(by_doc, "doc_id").mapInArrow(lambda it: _segments(it, window), "shard long, part int, doc_id long, run long, words binary")
     found = stored(_judged(segments, window))
     new = found.filter("words IS NOT NULL").select(F.xxhash64("words").alias("shard"), F.lit(0).alias("part"), "doc_id", (F.shiftleft(F.col("start").cast("long"), RUN_BITS) + F.col("n")).alias("run"), "words")
