@@ -110,3 +110,13 @@ def to_utm(lon: Column, lat: Column, epsg: Column) -> tuple[Column, Column]:
         east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
         north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
     return FALSE_EAST + SCALE * radius * east, F.when(epsg >= 32700, FALSE_NORTH).otherwise(0.0) + SCALE * radius * north
+
+
+def are_geographic(lon: Column, lat: Column) -> Column:
+    """PF-8, an aggregate: whether all coordinates can be degrees of longitude and latitude."""
+    return F.coalesce(F.every(lon.between(-180, 180) & lat.between(-90, 90)), F.lit(False))
+
+
+def is_ordered(step: Column) -> Column:
+    """PF-9, an aggregate over steps between neighbours: whether they all go one way."""
+    return F.coalesce(F.every(F.coalesce(step >= 0, F.lit(True))) | F.every(F.coalesce(step <= 0, F.lit(True))), F.lit(True))

@@ -74,14 +74,38 @@ def mask(cells: DataFrame, kept: DataFrame, no_data: float = 0.0) -> DataFrame:
     return cells.join(hit, ["tile", "row", "col"], "left").withColumn("z", F.when(F.col("_in"), F.col("z")).otherwise(no_data)).drop("_in")
 
 
-def cells_in_polygons(cells: DataFrame, edges: DataFrame) -> DataFrame:
+def cells_in_polygons(cells: DataFrame, edges: DataFrame, band: float = 1.0) -> DataFrame:
     """JN-4: (tile, row, col, poly_id) of cells (x, y) inside of polygons, by crossings of a ray to the right.
 
-    edges: poly_id, x1, y1, x2, y2 of closed rings. Cells meet only edges of polygons whose bounding box holds them;
-    polygons are the small side here and are broadcast by Spark's own size limit.
+    edges: poly_id, x1, y1, x2, y2 of closed rings. Cells and edges meet by equal bands of y, of the given height, so the
+    join is one on equal keys; of these only edges that the ray crosses are counted.
     """
-    box = edges.groupBy("poly_id").agg(F.least(F.min("x1"), F.min("x2")).alias("xa"), F.greatest(F.max("x1"), F.max("x2")).alias("xb"), F.least(F.min("y1"), F.min("y2")).alias("ya"), F.greatest(F.max("y1"), F.max("y2")).alias("yb"))
-    near = cells.join(box, F.col("x").between(F.col("xa"), F.col("xb")) & F.col("y").between(F.col("ya"), F.col("yb")))
-    crossing = ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)) + F.col("x1"))
-    counted = near.join(edges, "poly_id").groupBy("tile", "row", "col", "poly_id").agg(F.count_if(crossing).alias("n"))
-    return counted.filter("n % 2 = 1").drop("n")
+    box = edges.groupBy("poly_id").agg(F.least(F.min("x1"), F.min("x2")).alias("xa"), F.greatest(F.max("x1"), F.max("x2")).alias("xb"))
+    at = lambda v: F.floor(v / band)
+    spread = edges.filter("y1 <> y2").join(box, "poly_id").withColumn("_band", F.explode(F.sequence(at(F.least("y1", "y2")), at(F.greatest("y1", "y2")))))
+    crossing = ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
+    met = cells.select("tile", "row", "col", "x", "y", at(F.col("y")).alias("_band")).join(spread, "_band").filter(F.col("x").between(F.col("xa"), F.col("xb")) & crossing)
+    return met.groupBy("tile", "row", "col", "poly_id").agg(F.count("*").alias("n")).filter("n % 2 = 1").drop("n")
+
+
+def cells_touched(cells: DataFrame, edges: DataFrame, width: float = 1.0, height: float = 1.0) -> DataFrame:
+    """RA-12: (tile, row, col, poly_id) of cells of which any part, not only the centre, lies in a polygon.
+
+    A side touches a cell if their boxes meet and not all corners of the cell lie on one side of its line.
+    """
+    at = lambda v: F.floor(v / height)
+    spread = edges.withColumn("_band", F.explode(F.sequence(at(F.least("y1", "y2")) - 1, at(F.greatest("y1", "y2")) + 1)))
+    met = cells.select("tile", "row", "col", "x", "y", at(F.col("y")).alias("_band")).join(spread, "_band")
+    hx, hy = width / 2, height / 2
+    boxes = (F.col("x") + hx >= F.least("x1", "x2")) & (F.col("x") - hx <= F.greatest("x1", "x2")) & (F.col("y") + hy >= F.least("y1", "y2")) & (F.col("y") - hy <= F.greatest("y1", "y2"))
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    side = dx * (F.col("y") - F.col("y1")) - dy * (F.col("x") - F.col("x1"))
+    touched = met.filter(boxes & (F.abs(side) <= F.abs(dx) * hy + F.abs(dy) * hx)).select("tile", "row", "col", "poly_id")
+    return touched.union(cells_in_polygons(cells, edges, height)).distinct()
+
+
+def class_parameters(cells: DataFrame, covered: DataFrame, classes: DataFrame, parameters: list[str], no_data=None) -> DataFrame:
+    """RA-11, JN-9: the parameters of each cell's class: covered (tile, row, col, priority, class_id), the least priority number first."""
+    first = covered.groupBy("tile", "row", "col").agg(F.min_by("class_id", "priority").alias("class_id"))
+    met = cells.join(first, ["tile", "row", "col"], "left").join(classes.select("class_id", *parameters), "class_id", "left")
+    return met.withColumns({p: F.coalesce(p, F.lit(no_data)) for p in parameters}) if no_data is not None else met

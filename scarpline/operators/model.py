@@ -28,7 +28,8 @@ def residual_rain(rain: DataFrame, window_days: float = 30, tolerance_seconds: f
 
 
 def saturation_ratio(residual: Column, beta: Column, n: Column) -> Column:
-    return F.least(residual * beta / (n * DEPTH * (1 - SATURATION)), F.lit(1.0))
+    """MO-1: the saturated share of the depth, at most 1; null while the window is not full."""
+    return F.when(residual.isNotNull(), F.least(residual * beta / (n * DEPTH * (1 - SATURATION)), F.lit(1.0)))
 
 
 def factor_of_safety(slope: Column, m: Column, gs: Column, c: Column, cr: Column, phi: Column, a: Column, n: Column) -> Column:

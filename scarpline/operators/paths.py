@@ -71,3 +71,91 @@ def separate_paths(paths: DataFrame, k: int = 5, tolerance: float = 0.5) -> Data
     overlap = lambda a, b: F.coalesce(F.size(F.array_intersect(a, b)) / F.nullif(F.least(F.size(F.array_distinct(a)), F.size(F.array_distinct(b))), F.lit(0)), F.lit(0.0))
     taken = F.aggregate("rows", F.slice("rows", 1, 0), lambda acc, r: F.when((F.size(acc) < k) & ~F.exists(acc, lambda t: overlap(t["cells"], r["cells"]) > tolerance), F.concat(acc, F.array(r))).otherwise(acc))
     return listed.select("start", F.posexplode(taken).alias("rank", "t")).select("start", (F.col("rank") + 1).alias("rank"), "t.path_id", (-F.col("t.s")).alias("score"))
+
+
+def gradient_paths(cells: DataFrame, starts: DataFrame, downstream: bool = True, reach: int = 1, max_steps: int = 50, min_slope_degrees: float = 7.0, tolerance: int = 1, spacing: float = 1.0, cut_every: int = 10) -> DataFrame:
+    """IT-2: walks down (or up) the gradient of central differences: path_id, steps, stop_reason, cells, validity, deviation.
+
+    The place moves on by 10 spacings x reach x gradient, not rounded; the path takes the nearest cell. It stops where it
+    leaves the grid or has no gradient, comes back to a cell, or takes more steps in a row below the minimum slope than
+    tolerated. deviation is the angle, in units of 45 degrees, between the gradient and the way from the last cell.
+    """
+    from scarpline.operators.grid import point_gradients
+    from scarpline.operators.scratch import checkpointed
+
+    size = cells.groupBy("tile").agg(F.max("row").alias("last_row"), F.max("col").alias("last_col"))
+    follow = checkpointed(point_gradients(cells, reach, spacing, spacing).select("tile", "row", "col", "gx", "gy").join(size, "tile"))
+    cell = lambda r, c: F.struct(r.cast("int").alias("row"), c.cast("int").alias("col"))
+    none = F.array().cast
+    walk = starts.select("path_id", "tile", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"))
+    walk = walk.withColumns({"px": F.col("col").cast("double"), "py": F.col("row").cast("double"), "cells": F.array(cell(F.col("row"), F.col("col"))), "flat": F.lit(0), "valid": none("array<boolean>"), "deviation": none("array<double>")})
+    keys, done = ["path_id", "cells", "valid", "deviation"], None
+    sign, least = (-1 if downstream else 1), F.tan(F.radians(F.lit(min_slope_degrees)))
+    for step in range(1, max_steps + 1):
+        moved = walk.join(follow, ["tile", "row", "col"], "left")
+        # in cells; rows run down the page as y does in the gradient
+        moved = moved.withColumns({"px": F.col("px") + 10 * reach * sign * F.col("gx"), "py": F.col("py") + 10 * reach * sign * F.col("gy")})
+        out = F.col("gx").isNull() | F.col("gy").isNull() | ~F.col("px").between(0, F.col("last_col")) | ~F.col("py").between(0, F.col("last_row"))
+        off = F.atan2(sign * F.col("gy"), sign * F.col("gx")) - F.atan2(F.col("py") - F.col("row"), F.col("px") - F.col("col"))
+        small = F.hypot("gx", "gy") < least
+        moved = moved.withColumns({"n_row": F.floor(F.col("py") + 0.5).cast("int"), "n_col": F.floor(F.col("px") + 0.5).cast("int"), "now_flat": F.when(small, F.col("flat") + 1).otherwise(0), "out": F.coalesce(out, F.lit(True))})
+        moved = moved.withColumns({"valid": F.when(F.col("out"), F.col("valid")).otherwise(F.concat("valid", F.array(~small))), "deviation": F.when(F.col("out"), F.col("deviation")).otherwise(F.concat("deviation", F.array(F.abs(F.atan2(F.sin(off), F.cos(off))) / F.radians(F.lit(45.0)))))})
+        to = cell(F.col("n_row"), F.col("n_col"))
+        moved = moved.withColumn("stop", F.when(F.col("out"), "edge_reached").when(F.array_contains("cells", to), "loop_detected").when(F.col("now_flat") > tolerance, "invalid_steps_tolerance_reached"))
+        ended = moved.filter("stop IS NOT NULL").select(*keys, "stop")
+        done = ended if done is None else done.union(ended)
+        walk = moved.filter("stop IS NULL").select("path_id", "tile", F.col("n_row").alias("row"), F.col("n_col").alias("col"), "px", "py", F.concat("cells", F.array(to)).alias("cells"), F.col("now_flat").alias("flat"), "valid", "deviation")
+        if step % cut_every == 0:
+            done, walk = checkpointed(done), checkpointed(walk)
+            if walk.isEmpty():
+                break
+    found = done.union(walk.select(*keys, F.lit("max_runout").alias("stop")))
+    return found.select("path_id", (F.size("cells") - 1).alias("steps"), F.col("stop").alias("stop_reason"), "cells", F.col("valid").alias("validity"), "deviation")
+
+
+def compatible_paths(cells: DataFrame, starts: DataFrame, downstream: bool = True, max_steps: int = 6, min_slope_degrees: float = 7.0, tolerance: int = 1, opposite_low: bool = False, maximum_paths: int | None = None) -> DataFrame:
+    """IT-4: all simple paths over neighbours whose slope is compatible with the flow: path_id, steps, stop_reason, cells, validity, deviation.
+
+    A frontier of paths grows by one step a round, by one join; every path ends as max_runout, edge_reached,
+    greater_than_tolerance_opposite_flow (no compatible neighbour) or invalid_steps_tolerance_reached. Where all ways on
+    are visited or beyond the tolerance of flat steps, nothing is returned. The number of paths grows by up to eight a
+    step: once a start has maximum_paths, ended ones and those of the frontier, its frontier ends as max_paths.
+    """
+    from scarpline.operators.scratch import checkpointed
+
+    least = F.tan(F.radians(F.lit(min_slope_degrees)))
+    sign = -1 if downstream else 1
+    slopes = d8_neighbours(cells).withColumn("s", F.col("slope") * sign)
+    low = F.abs("s") < least if opposite_low else (F.col("s") < least) & (F.col("s") >= 0)
+    ways = slopes.withColumns({"good": F.col("s") >= least, "low": low})
+    way = F.struct("dir", "n_row", "n_col", "good", "low")
+    follow = ways.groupBy("tile", "row", "col").agg(F.count("*").alias("n"), F.max_by("dir", F.struct("s", -F.col("dir"))).alias("steepest"), F.bool_or("good").alias("any_good"), F.bool_or("low").alias("any_low"), F.collect_list(F.when(F.col("good") | F.col("low"), way)).alias("ways"))
+    follow = checkpointed(follow)
+    cell = lambda r, c: F.struct(F.col(r).cast("int").alias("row"), F.col(c).cast("int").alias("col"))
+    walk = starts.select("path_id", "tile", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).withColumns({"cells": F.array(cell("row", "col")), "flat": F.lit(0), "validity": F.array().cast("array<boolean>"), "deviation": F.array().cast("array<double>")})
+    keys, done = ["path_id", "cells", "validity", "deviation"], None
+    for _ in range(max_steps):
+        met = walk.join(follow, ["tile", "row", "col"], "left")
+        stop = F.when(F.col("n").isNull() | (F.col("n") < 8), "edge_reached").when(~F.col("any_good") & ~F.col("any_low"), "greater_than_tolerance_opposite_flow").when(~F.col("any_good") & (F.col("flat") == tolerance), "invalid_steps_tolerance_reached")
+        met = met.withColumn("stop", stop)
+        ended = met.filter("stop IS NOT NULL").select(*keys, "stop")
+        done = checkpointed(ended if done is None else done.union(ended))
+        on = met.filter("stop IS NULL").withColumn("w", F.explode("ways")).withColumn("to", F.struct(F.col("w.n_row").alias("row"), F.col("w.n_col").alias("col"))).withColumn("now_flat", F.when(F.col("w.low"), F.col("flat") + 1).otherwise(0))
+        turn = F.abs(F.col("w.dir") - F.col("steepest"))
+        on = on.filter(~F.array_contains("cells", F.col("to")) & (F.col("now_flat") <= tolerance))
+        walk = checkpointed(on.select("path_id", "tile", F.col("to.row").alias("row"), F.col("to.col").alias("col"), F.concat("cells", F.array("to")).alias("cells"), F.col("now_flat").alias("flat"), F.concat("validity", F.array("w.good")).alias("validity"), F.concat("deviation", F.array(F.least(turn, 8 - turn).cast("double"))).alias("deviation")))
+        if maximum_paths is not None:
+            many = done.select("path_id").union(walk.select("path_id")).groupBy("path_id").agg(F.count("*").alias("n")).filter(F.col("n") >= maximum_paths).select("path_id")
+            done = done.union(walk.join(many, "path_id", "left_semi").select(*keys, F.lit("max_paths").alias("stop")))
+            walk = checkpointed(walk.join(many, "path_id", "left_anti"))
+            done = checkpointed(done)
+        if walk.isEmpty():
+            break
+    rest = walk.select(*keys, F.lit("max_runout").alias("stop"))
+    found = rest if done is None else done.union(rest)
+    return found.select("path_id", (F.size("cells") - 1).alias("steps"), F.col("stop").alias("stop_reason"), "cells", "validity", "deviation")
+
+
+def append_paths(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """IT-6: new paths beside the stored ones, best score first; those of equal path_id are replaced by the new ones."""
+    return stored.join(new.select("path_id"), "path_id", "left_anti").unionByName(new, allowMissingColumns=True).orderBy(F.desc("score"), "path_id")

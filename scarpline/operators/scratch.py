@@ -5,6 +5,10 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Tables of at most so many rows are broadcast; larger ones are left to Spark.
+BROADCAST_ROWS = 50_000
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -16,3 +20,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="scarpline-"))
     return df.checkpoint()
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A table to be broadcast in a join if a count shows that it is small."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

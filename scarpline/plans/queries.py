@@ -123,8 +123,10 @@ FRAME = "PARTITION BY station ORDER BY ts ROWS BETWEEN"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from scarpline.plans import areas
+
     obs = observations
-    return {
+    return areas.queries() | {
         "mo4_threshold_events": threshold_events,
         "pf1_range_mask": lambda s, d: read(s, d, "orders").select("o_orderkey", scalars.in_range(F.col("o_totalprice"), 1000, 200000).alias("inside"), F.round(scalars.filter_numeric(F.col("o_totalprice"), 50000, None, False, -1.0), 4).alias("kept")),
         "pf3_no_data": lambda s, d: read(s, d, "lineitem").select("l_orderkey", "l_linenumber", scalars.drop_no_data(F.col("l_quantity"), [1.0, 50.0]).alias("quantity")),
@@ -222,7 +224,7 @@ SELECT station, ts, round(avg(h) OVER ({FRAME} 2 PRECEDING AND CURRENT ROW), 6)
         "jn4_cells_in_polygons": f"WITH {CELLS}, {EDGES}, p AS (SELECT tile, row, col, col + 0.25 AS x, row + 0.25 AS y FROM cells) SELECT tile, row, col, CAST(poly_id AS INT) AS poly_id FROM p CROSS JOIN edges GROUP BY tile, row, col, x, y, poly_id HAVING count(*) FILTER (WHERE (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / nullif(y2 - y1, 0) + x1) % 2 = 1",
         "mo1_slip_model": """WITH r AS (SELECT user_id % 3 AS station, date_trunc('day', ts) AS a, date_trunc('day', ts) + INTERVAL 1 DAY AS b, sum(value) / 1000 AS rain FROM events GROUP BY ALL),
 w AS (SELECT x.station, x.b, CASE WHEN bool_or(abs(epoch(y.a) - (epoch(x.b) - 432000)) <= 1) THEN sum(y.rain / 1000 * exp(-0.01 * (epoch(x.b) - epoch(y.b)) / 3600)) END AS residual FROM r x JOIN r y ON y.station = x.station AND y.b <= x.b AND epoch(y.a) >= epoch(x.b) - 432000 - 1 GROUP BY x.station, x.b),
-m AS (SELECT *, least(residual / (0.3 * 1.2 * (1 - 0.8)), 1.0) AS m, radians(30.0) AS be FROM w),
+m AS (SELECT *, CASE WHEN residual IS NOT NULL THEN least(residual / (0.3 * 1.2 * (1 - 0.8)), 1.0) END AS m, radians(30.0) AS be FROM w),
 f AS (SELECT *, 5.0 + 80.0 * 0.8 * (1 - 0.8) ** 0.4 * (1 - m) ** 3.4 AS c, cos(be) * 12 * (m * (0.3 - 1) + 2.7 * 0.7 + 0.8 * 0.3 * (1 - m)) AS wb, cos(be) * 12 * (m * 0.3 + 2.7 * 0.7 + 0.8 * 0.3 * (1 - m)) AS w FROM m)
 SELECT station, b AS end_ts, round(residual, 9) AS residual, round((wb * cos(be) * tan(radians(20.0)) + c) / (w * sin(be)), 9) AS fs FROM f""",
         "it1_flow_paths": f"""WITH RECURSIVE {NEIGHBOURS}, best AS (SELECT tile, row, col, min((slope, dir, n_row, n_col)) AS m FROM nb GROUP BY tile, row, col HAVING count(*) = 8),
@@ -235,4 +237,6 @@ walk AS (SELECT tile * 100000 + row * 1000 + col AS path_id, tile, row, col, 0 A
 SELECT path_id, steps, coalesce(stop, 'max_runout') AS stop_reason, array_to_string(path, ',') AS cells FROM walk WHERE stop IS NOT NULL OR steps = 12""",
         "it5_top_paths": "SELECT start, path_id, score FROM (SELECT o_custkey AS start, o_orderkey AS path_id, o_totalprice AS score, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 3",
     }
-    return {name: sql.replace("round(", f"round({NUDGE} + ") for name, sql in out.items()}
+    from scarpline.plans import areas
+
+    return {name: sql.replace("round(", f"round({NUDGE} + ") for name, sql in (out | areas.oracle_sql()).items()}

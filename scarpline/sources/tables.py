@@ -86,3 +86,37 @@ def differences(a: DataFrame, b: DataFrame, keys: Sequence[str], tolerance: floa
         x, y = F.col(f"a.{c}"), F.col(f"b.{c}")
         same = same & (x.eqNullSafe(y) | F.coalesce(F.abs(x - y) <= tolerance, F.lit(False)) if c in doubles else x.eqNullSafe(y))
     return both.filter(F.col("a").isNull() | F.col("b").isNull() | ~same)
+
+
+def looked_up(table: DataFrame, keys: DataFrame, key: str, value: str, single: bool = True) -> DataFrame:
+    """PF-5: (key, value) of the wanted keys. Raises if a key is not in the table or, with single, is there more than once."""
+    counted = table.groupBy(key).agg(F.count("*").alias("_n"))
+    wrong = F.col("_n").isNull() | (F.lit(single) & (F.col("_n") > 1))
+    met = keys.select(key).distinct().join(counted, key, "left").withColumn("_ok", F.when(wrong, F.raise_error(F.concat(F.lit("not exactly one row for "), F.col(key).cast("string")))).otherwise(F.lit(True)).cast("boolean"))
+    return met.filter("_ok").join(table.select(key, value), key).select(key, value)
+
+
+def column_containment(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """PF-7: for each row of a, keyed by the first column, whether b has the key, and the same value in each other column."""
+    key, *others = columns
+    there = b.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in others], F.lit(True).alias("_found"))
+    met = a.select(*columns).join(there, a[key].eqNullSafe(F.col("_key")), "left")
+    found = F.coalesce("_found", F.lit(False))
+    return met.select(key, found.alias("found"), *[(found & F.col(c).eqNullSafe(F.col(f"_{c}"))).alias(f"same_{c}") for c in others])
+
+
+def selected(text: str, names: Sequence[str]) -> list[str]:
+    """Names chosen by numbers from 1, ranges and names, as in "1,3:5;name"; each once, in the order given."""
+    out: dict[str, None] = {}
+    for part in text.replace(";", ",").split(","):
+        part = part.strip()
+        first, colon, last = part.partition(":")
+        if part.isdigit():
+            out[names[int(part) - 1]] = None
+        elif colon and first.strip().isdigit() and last.strip().isdigit():
+            out |= dict.fromkeys(names[int(first) - 1 : int(last)])
+        elif part in names:
+            out[part] = None
+        elif part:
+            raise ValueError(f"{part} is not among the names")
+    return list(out)
