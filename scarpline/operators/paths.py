@@ -73,7 +73,7 @@ def separate_paths(paths: DataFrame, k: int = 5, tolerance: float = 0.5) -> Data
     return listed.select("start", F.posexplode(taken).alias("rank", "t")).select("start", (F.col("rank") + 1).alias("rank"), "t.path_id", (-F.col("t.s")).alias("score"))
 
 
-def gradient_paths(cells: DataFrame, starts: DataFrame, downstream: bool = True, reach: int = 1, max_steps: int = 50, min_slope_degrees: float = 7.0, tolerance: int = 1, spacing: float = 1.0, cut_every: int = 10) -> DataFrame:
+def gradient_paths(cells: DataFrame, starts: DataFrame, downstream: bool = True, reach: int = 1, max_steps: int = 50, min_slope_degrees: float = 7.0, tolerance: int = 1, spacing: float = 1.0, cut_every: int = 3) -> DataFrame:
     """IT-2: walks down (or up) the gradient of central differences: path_id, steps, stop_reason, cells, validity, deviation.
 
     The place moves on by 10 spacings x reach x gradient, not rounded; the path takes the nearest cell. It stops where it

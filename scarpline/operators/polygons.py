@@ -35,12 +35,17 @@ def square(x: Column, y: Column, radius: Column) -> Column:
     return rectangle(x - radius, x + radius, y - radius, y + radius)
 
 
+def _let(value: Column, use) -> Column:
+    """use(value) with the value computed once: expressions that name a ring several times would multiply when nested."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def clean_ring(ring: Column) -> Column:
     """VE-6, VE-7: without repeated neighbours and closing point; empty if fewer than three points are left."""
-    kept = F.filter(ring, lambda p, i: (i == 0) | ~p.eqNullSafe(F.get(ring, i - 1)))
-    closed = (F.size(kept) > 1) & F.get(kept, F.lit(0)).eqNullSafe(F.get(kept, F.size(kept) - 1))
-    opened = F.when(closed, F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(kept)
-    return F.when(F.size(opened) >= 3, opened).otherwise(F.array().cast(POINTS))
+    last = lambda r: F.get(r, F.size(r) - 1)
+    distinct = lambda r: F.filter(r, lambda p, i: (i == 0) | ~p.eqNullSafe(F.get(r, i - 1)))
+    opened = lambda r: F.when((F.size(r) > 1) & F.get(r, F.lit(0)).eqNullSafe(last(r)), F.slice(r, 1, F.greatest(F.size(r) - 1, F.lit(0)))).otherwise(r)
+    return _let(_let(_let(ring, distinct), opened), lambda r: F.when(F.size(r) >= 3, r).otherwise(F.array().cast(POINTS)))
 
 
 def round_ring(ring: Column, tolerance: float) -> Column:
@@ -51,15 +56,19 @@ def round_ring(ring: Column, tolerance: float) -> Column:
 
 def _sides(ring: Column) -> Column:
     """Each vertex (a) with the next one (b), round to the first."""
-    after = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
-    return F.zip_with(ring, after, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    after = lambda r: F.concat(F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0))), F.slice(r, 1, 1))
+    return _let(ring, lambda r: F.zip_with(r, after(r), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
 
 
 def ring_area(ring: Column) -> Column:
     """VE-18: signed, positive if counter-clockwise; from the first vertex, so that large coordinates cancel first."""
-    x0, y0 = F.get(ring, F.lit(0))["x"], F.get(ring, F.lit(0))["y"]
-    cross = lambda s: (s["a"]["x"] - x0) * (s["b"]["y"] - y0) - (s["b"]["x"] - x0) * (s["a"]["y"] - y0)
-    return F.aggregate(_sides(ring), F.lit(0.0), lambda acc, s: acc + cross(s)) / 2
+
+    def total(r):
+        o = F.get(r, F.lit(0))
+        cross = lambda s: (s["a"]["x"] - o["x"]) * (s["b"]["y"] - o["y"]) - (s["b"]["x"] - o["x"]) * (s["a"]["y"] - o["y"])
+        return F.aggregate(_sides(r), F.lit(0.0), lambda acc, s: acc + cross(s)) / 2
+
+    return _let(ring, total)
 
 
 def ring_length(ring: Column) -> Column:
@@ -70,7 +79,7 @@ def ring_length(ring: Column) -> Column:
 def measures(rings: DataFrame) -> DataFrame:
     """VE-18, CO-12, AG-11: per polygon its area without holes, boundary length and bounding box."""
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    own = rings.select("poly_id", F.when(F.col("hole"), -F.abs(ring_area(F.col("ring")))).otherwise(F.abs(ring_area(F.col("ring")))).alias("a"), ring_length(F.col("ring")).alias("l"), F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
+    own = rings.select("poly_id", (F.abs(ring_area(F.col("ring"))) * F.when(F.col("hole"), -1).otherwise(1)).alias("a"), ring_length(F.col("ring")).alias("l"), F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
     return own.groupBy("poly_id").agg(F.sum("a").alias("area"), F.sum("l").alias("length"), F.min("x0").alias("x_min"), F.max("x1").alias("x_max"), F.min("y0").alias("y_min"), F.max("y1").alias("y_max"))
 
 
@@ -85,22 +94,25 @@ def clip_to_box(rings: DataFrame, x_min: float, x_max: float, y_min: float, y_ma
 
     Parts of a ring that the box separates stay joined along its border, so areas and covered cells are right.
     """
-    out = rings
-    for axis, other, limit, sign in (("x", "y", x_min, 1), ("x", "y", x_max, -1), ("y", "x", y_min, 1), ("y", "x", y_max, -1)):
-        def depth(p):
-            return (p[axis] - limit) * sign
-
-        def cut(s):
-            a, b = s["a"], s["b"]
-            across = a[other] + (b[other] - a[other]) * depth(a) / F.nullif(depth(a) - depth(b), F.lit(0.0))
-            border = _point(F.lit(limit), across) if axis == "x" else _point(across, F.lit(limit))
-            stays, goes = (depth(a) >= 0), (depth(b) >= 0)
-            none = F.array().cast(POINTS)
-            return F.when(stays & goes, F.array(b)).when(stays, F.array(border)).when(goes, F.array(border, b)).otherwise(none)
-
-        # one column a side, as each refers to its predecessor several times
-        out = out.withColumn("_sides", _sides(F.col("ring"))).withColumn("ring", F.flatten(F.transform("_sides", cut))).drop("_sides")
-    return out.withColumn("ring", clean_ring(F.col("ring"))).filter(F.size("ring") > 0)
+    ring = F.col("ring")
+    for axis, limit, sign in (("x", x_min, 1), ("x", x_max, -1), ("y", y_min, 1), ("y", y_max, -1)):
+        ring = _cut(ring, axis, limit, sign)
+    return rings.withColumn("ring", clean_ring(ring)).filter(F.size("ring") > 0)
+
+
+def _cut(ring: Column, axis: str, limit: float, sign: int) -> Column:
+    """The part of a ring on one side of a line across an axis."""
+    other = "y" if axis == "x" else "x"
+    depth = lambda p: (p[axis] - limit) * sign
+
+    def kept(s):
+        a, b = s["a"], s["b"]
+        across = a[other] + (b[other] - a[other]) * depth(a) / F.nullif(depth(a) - depth(b), F.lit(0.0))
+        border = _point(F.lit(limit), across) if axis == "x" else _point(across, F.lit(limit))
+        stays, goes = (depth(a) >= 0), (depth(b) >= 0)
+        return F.when(stays & goes, F.array(b)).when(stays, F.array(border)).when(goes, F.array(border, b)).otherwise(F.array().cast(POINTS))
+
+    return F.flatten(F.transform(_sides(ring), kept))
 
 
 def snap_vertices(rings: DataFrame, targets: DataFrame, cell: float) -> DataFrame:
