@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from scarpline.llm.common import checkpointed, hex64, rows_of, stored
 from scarpline.llm.components import connected_components
+from scarpline.llm.similar import similar
 
 SEED = 42
 MAX_BITS = 4
@@ -224,11 +225,14 @@ def near_duplicates(docs: DataFrame, width: int = 4, bound: int = MAX_BITS) -> D
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all columns, that stand for their component: one row, that of its smallest doc_id.
+    """The rows of docs, with all columns, that stand for their group of similar texts (see similar): one row, that of its smallest doc_id.
 
-    Of repeated rows of a doc_id one stays. Rows without a doc_id cannot stand for a component and go.
+    Of repeated rows of a doc_id one stays. Rows without a doc_id cannot stand for a group and go.
     """
-    least = near_duplicates(docs).select(F.col("component_id").alias("_least")).distinct()
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("k"), "doc_id", "text")
+    nodes, roots = similar(keyed)
+    grouped = keyed.select("k", "doc_id").join(nodes.distinct(), "k").join(roots, "node", "left")
+    least = grouped.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("doc_id").alias("_least")).select("_least").distinct()
     return docs.join(least, F.col("doc_id") == F.col("_least"), "left_semi").dropDuplicates(["doc_id"])
 
 
