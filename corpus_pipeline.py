@@ -20,8 +20,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that came earlier; a document of which nothing is left goes."""
-    found = line_dedup.dedup_lines(docs.select(*COLUMNS)).filter("n_removed = 0 OR btrim(text, ' \t\r\n') <> ''")
+    """Documents without the lines that came earlier, short ones if they are equal; a document of which nothing is left goes."""
+    found = line_dedup.dedup_lines(docs.select(*COLUMNS), exact_chars=1).filter("n_removed = 0 OR btrim(text, ' \t\r\n') <> ''")
     return found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 

@@ -51,19 +51,20 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line", F.btrim("line", F.lit(" \t\r")))
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = 1) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = 1, exact_chars: int | None = None) -> DataFrame:
     """Places (doc_id, line_no) of the lines that an equal or nearly equal line precedes.
 
     A line is its text between newlines, trimmed of spaces, tabs and carriage returns; lines of fewer than min_chars
-    characters are left alone. A line is repeated if a line at most max_edits (0 or 1) character edits away comes
+    characters are left alone, but for equal ones of at least exact_chars (default min_chars). A line is repeated if a line at most max_edits (0 or 1) character edits away comes
     earlier, by doc_id and then line number. That is judged on the input, whatever is removed.
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits must be 0 or 1")
     docs = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    long = _lines(docs).filter(F.char_length("line") >= min_chars)
+    size = F.char_length("line")
+    long = _lines(docs).filter(size >= (min_chars if exact_chars is None else min(exact_chars, min_chars)))
     at = F.struct("doc_id", "line_no")
-    hashed = long.select("doc_id", "line_no", *_hash2("h", F.col("line")), *([_half_keys(F.col("line")).alias("keys")] if max_edits else []))
+    hashed = long.select("doc_id", "line_no", *_hash2("h", F.col("line")), *([F.when(size >= min_chars, _half_keys(F.col("line"))).alias("keys")] if max_edits else []))
     hashed = stored(hashed)
     first = hashed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no", *hashed.columns[4:])).alias("m")).select("h1", "h2", "m.*")
     mine = F.struct(F.col("doc_id").alias("d"), F.col("line_no").alias("l"))
@@ -93,14 +94,14 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int =
     return exact.union(verified.select("at.doc_id", "at.line_no")).distinct()
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = 1) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = 1, exact_chars: int | None = None) -> DataFrame:
     """The documents without their repeated lines (see repeated_lines), with n_lines and n_removed.
 
     All columns are kept and text is replaced. A null text has no lines and stays null, as does any text of a null
     doc_id; an empty text is one empty line, which stays. Repeated rows of a doc_id count as one document. An empty
     table gives an empty one.
     """
-    gone = repeated_lines(docs, min_chars, max_edits).groupBy(F.col("doc_id").alias("_gone_id")).agg(F.sort_array(F.collect_set("line_no")).alias("_gone"))
+    gone = repeated_lines(docs, min_chars, max_edits, exact_chars).groupBy(F.col("doc_id").alias("_gone_id")).agg(F.sort_array(F.collect_set("line_no")).alias("_gone"))
     joined = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone_id"), "left").withColumn("_n", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))))
     left = F.zip_with(F.split("text", "\n"), _marks(F.col("_gone")), lambda x, m: F.when(F.coalesce(m, F.lit(False)), None).otherwise(x))
     kept = F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
