@@ -225,15 +225,17 @@ def near_duplicates(docs: DataFrame, width: int = 4, bound: int = MAX_BITS) -> D
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all columns, that stand for their group of similar texts (see similar): one row, that of its smallest doc_id.
+    """The rows of docs, with all columns, that stand for their group of similar texts (see similar): one row of each group.
 
-    Of repeated rows of a doc_id one stays. Rows without a doc_id cannot stand for a group and go.
+    It is that of the smallest doc_id, of equals that of the smallest hash of doc_id and text; a row without a doc_id stands
+    for its group if no row has one. Of rows of equal doc_id and text one stays.
     """
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("k"), "doc_id", "text")
-    nodes, roots = similar(keyed)
-    grouped = keyed.select("k", "doc_id").join(nodes.distinct(), "k").join(roots, "node", "left")
-    least = grouped.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("doc_id").alias("_least")).select("_least").distinct()
-    return docs.join(least, F.col("doc_id") == F.col("_least"), "left_semi").dropDuplicates(["doc_id"])
+    key = F.xxhash64("doc_id", "text")
+    nodes, roots = similar(docs.select(key.alias("k"), "text"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k")).alias("m")
+    firsts = docs.select(key.alias("k"), "doc_id").distinct().join(nodes.distinct(), "k").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(first)
+    chosen = firsts.select(F.col("m.k").alias("_k"))
+    return docs.withColumn("_key", key).join(chosen, F.col("_key") == F.col("_k"), "left_semi").dropDuplicates(["_key"]).drop("_key")
 
 
 def op3_rows(docs: DataFrame) -> DataFrame:
