@@ -36,17 +36,17 @@ def settings() -> zstandard.ZstdCompressionParameters:
 def learn_dictionaries(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """A raw-content dictionary per language, from (doc_id, text, lang) rows.
 
-    The sample is bounded: about sample_docs rows of each language, chosen by a hash of doc_id among those of
-    at most sample_chars characters, of which dictionary_bytes are kept. Null texts and languages are left out.
+    The sample is bounded: about sample_docs rows of each language, chosen by a hash of doc_id, and of each text its
+    first sample_chars characters, of which dictionary_bytes are kept. Null texts and languages are left out.
     The languages come most frequent first, which settles ties.
     """
-    rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL").filter(F.char_length("text").between(1, sample_chars))
+    rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL").filter("text <> ''")
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
     key = F.xxhash64("doc_id")
     some = rows.join(F.broadcast(sizes), "lang").filter(F.pmod(key, F.greatest(F.lit(1), F.floor(F.col("n") / sample_docs))) == 0)
     texts: dict[str, list[tuple[int, str]]] = {}
     rank = {}
-    for r in some.select("lang", key.alias("key"), "text", "n").collect():
+    for r in some.select("lang", key.alias("key"), F.substring("text", 1, sample_chars).alias("text"), "n").collect():
         texts.setdefault(r["lang"], []).append((r["key"], r["text"]))
         rank[r["lang"]] = (-r["n"], r["lang"])
     out = {}
