@@ -9,6 +9,7 @@ of copies; the pieces of each length are numbered by salted windows and joined t
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from bisect import bisect_right
 from collections import Counter
@@ -26,23 +27,47 @@ CAPACITY, END_ID = 1024, 2
 VOCABULARY = "byte_bpe_50k"
 
 
-@lru_cache(maxsize=2)
-def encoder(name: str = VOCABULARY):
-    """The byte-level BPE of the named vocabulary.
+#: Pieces of one length are numbered in groups of about this many.
+GROUP_ROWS = 1 << 18
+
+
+class _Encoder:
+    """Ids of the named vocabulary as tokenizers gives them with <name>.json and add_special_tokens=False.
 
-    Its ids are those of tokenizers with <name>.json and add_special_tokens=False (tests compare them); the ranks
-    file of the same vocabulary is read because that encoder takes a quarter of the time.
+    The ranks file of the same vocabulary is read because that encoder takes a quarter of the time; added tokens, whose
+    strings in a text are one id, come from the json file. Runs of white space too long for its pattern go to tokenizers.
     """
-    import public_tokenizers
-    import tiktoken
 
-    with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    def __init__(self, name: str):
+        import public_tokenizers
+        import tiktoken
+
+        self.json = public_tokenizers.path(f"{name}.json")
+        with open(self.json, "rb") as file:
+            added = {x["content"]: x["id"] for x in json.load(file)["added_tokens"]}
+        with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+        self.plain = None
+
+    def ids(self, text: str) -> list[int]:
+        try:
+            return self.fast.encode(text, allowed_special="all")
+        except ValueError:
+            if self.plain is None:
+                from tokenizers import Tokenizer
+
+                self.plain = Tokenizer.from_file(self.json)
+            return self.plain.encode(text, add_special_tokens=False).ids
+
+
+@lru_cache(maxsize=2)
+def encoder(name: str = VOCABULARY) -> _Encoder:
+    return _Encoder(name)
 
 
 def _pieces(batches: Iterable[pa.RecordBatch], capacity: int, name: str) -> Iterator[pa.RecordBatch]:
-    encode = encoder(name).encode_ordinary
+    encode = encoder(name).ids
     for rows in rows_of(batches):
         out = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
         for doc_id, text in zip(rows["doc_id"], rows["text"]):
@@ -184,8 +209,8 @@ def _slots(plan: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int,
     return rows
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = 64) -> DataFrame:
-    """The pieces with sequence_id and offset. Needs a column length; other columns pass through.
+def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """The pieces with sequence_id and offset. Needs the columns of token_pieces; others pass through.
 
     pieces is read more than once and must give the same rows each time, as a stored table does.
     The plan has some thousands of rows at most (bounded by capacity), so it is built on the driver.
@@ -193,11 +218,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = 64) -> DataFr
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = spark.createDataFrame(_slots(plan_packing(counts, capacity)), "length long, first long, ranks long, sequence long, each long, at long")
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    # a length with many pieces is dealt into groups of about group_rows, so no window holds more, however common a length is
+    dealt = {k: -(-n // group_rows) for k, n in counts.items() if n > group_rows}
+    salts = F.coalesce(F.create_map(*[F.lit(x) for pair in dealt.items() for x in pair])[F.col("length")], F.lit(1)) if dealt else F.lit(1)
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), salts))
     own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start")
-    sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))  # capacity x salts rows at most
+    sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).drop("n")
-    ranked = salted.withColumn("rank", F.row_number().over(own) - 1).join(F.broadcast(before), ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
+    # joined on the columns by which the windows have dealt the pieces already
+    ranked = salted.withColumn("rank", F.row_number().over(own) - 1).join(before, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
     # slots of one length are few and cover its ranks without gaps
     table = slots.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("first", "ranks", "sequence", "each", "at"))).alias("slots"))
     hit = F.expr("element_at(filter(slots, s -> rank >= s.first AND rank < s.first + s.ranks), 1)")

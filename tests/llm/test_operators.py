@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -23,9 +25,8 @@ def test_packing_is_whole_gapless_and_has_the_tokenizers_ids(spark):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
     rnd = random.Random(1)
-    rows = [*EDGES, *[(100 + i, " ".join(rnd.choice(["stone", "don't", "río", "42", "\n\n", "  x"]) for _ in range(rnd.randint(0, 1500)))) for i in range(60)]]
+    rows = [*EDGES, (8, " " * 1_000_000 + "x"), (9, "z" * 300_000), *[(100 + i, " ".join(rnd.choice(["stone", "don't", "río", "42", "\n\n", "  x", "<|endoftext|>", "a<|endoftext|>'s", "<|endoftext"]) for _ in range(rnd.randint(0, 1500)))) for i in range(60)]]
     out = packing.pack_documents(frame(spark, rows)).toPandas()
     ids = {}
     for doc_id, text in rows:
@@ -56,6 +57,49 @@ def test_plan_uses_every_piece_and_is_near_the_least(seed):
     assert total <= max(-(-sum(k * n for k, n in counts.items()) // 20), sum(n for k, n in counts.items() if k > 10)) * 1.25 + 1
 
 
+@lru_cache(maxsize=None)
+def fewest(items, capacity):
+    """The least number of sequences for a sorted tuple of lengths, by trying every set with the largest one."""
+    if not items:
+        return 0
+    largest, rest = items[-1], items[:-1]
+    best = len(items)
+
+    def fill(start, room, left):
+        nonlocal best
+        best = min(best, 1 + fewest(left, capacity))
+        for i in range(start, len(left)):
+            if left[i] <= room and (i == start or left[i] != left[i - 1]):
+                fill(i, room - left[i], left[:i] + left[i + 1 :])
+
+    fill(0, capacity - largest, rest)
+    return best
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_fixed_sets_are_dominant_and_plans_are_near_the_optimum(seed):
+    rnd = random.Random(seed)
+    capacity = rnd.choice([10, 13, 20])
+    items = sorted(rnd.randint(1, capacity) for _ in range(rnd.randint(1, 9)))
+    counts = Counter(items)
+    best = fewest(tuple(items), capacity)
+    assert best <= sum(n for _, n in packing.plan_packing(counts, capacity)) <= best + (best > 3)
+    stock = packing._Stock(counts)
+    fixed = packing._dominant(stock, stock.lengths[-1], capacity)
+    if fixed:
+        assert 1 + fewest(tuple(sorted((counts - Counter(fixed)).elements())), capacity) == best
+
+
+def test_numbers_hold_whatever_the_size_of_groups(spark):
+    docs = [(i % 7 if i % 5 else None, "stone " * (i % 9)) for i in range(400)]
+    pieces = packing.stored(packing.token_pieces(spark.createDataFrame(docs, "doc_id long, text string"), 8))
+    for rows in (1 << 18, 16):
+        out = packing.pack(pieces, 8, rows).toPandas()
+        assert len(out) == pieces.count()
+        for _, s in out.sort_values("offset").groupby("sequence_id"):
+            assert list(s.offset) == [0, *s.length.cumsum()][:-1] and s.length.sum() <= 8
+
+
 def plain_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
     shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []

@@ -12,7 +12,7 @@ def test_stages_keep_columns_and_make_their_decisions(spark):
         kept.append(docs.count())
     assert kept == sorted(kept, reverse=True) and kept[-1] > 0.7 * kept[0]
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, base).collect()
-    encode = packing.encoder().encode_ordinary
+    encode = packing.encoder().ids
     want = {r["doc_id"]: len(encode(r["text"])) + 1 for r in docs.collect()}
     got = {}
     for r in packed:
