@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: Spark's setting by which a query's shuffle files go when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH_ROWS = 1000
+#: Tables of at most so many bytes are broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -64,6 +66,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_broadcast(df: DataFrame, size: int) -> DataFrame:
+    """Broadcasts a table whose measured size in bytes is small enough; a larger one is shuffled."""
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[dict[str, list]]:
     """Arrow batches as lists by column, of BATCH_ROWS rows at most, which bounds a worker's memory; empty ones are left out."""
     for batch in batches:

@@ -338,6 +338,7 @@ def test_decontamination_equals_brute_force(spark):
         bench = spark.createDataFrame(part, "item_id long, text string")
         got = {r[0]: tuple(r)[1:] for r in decontam.op10_rows(frame(spark, docs), bench).collect()}
         assert got == want
+    bench = spark.createDataFrame(items, "item_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.op10_rows(frame(spark, EDGES), none).filter("contaminated").count() == 0
     assert decontam.op10_rows(frame(spark, EDGES), bench).count() == len(EDGES)
