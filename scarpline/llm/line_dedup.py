@@ -5,6 +5,9 @@ another distinct line can have a near copy. These lines emit their deletion neig
 character deleted as (place, hash), and themselves as a hash. Lines that delete the same place to the same variant are
 one substitution apart; a line equal to a variant is one insertion apart. Equal keys are joined to the earliest line
 of each, so no pairs within a group are made, and edit distance is verified on the texts.
+
+A variant's hash is made of three: of the text up to the block of the deleted character, of the block without it, and of
+the text behind it. Blocks grow with the root of the line's length, so the work for a line of n characters is n ** 1.5.
 """
 
 from __future__ import annotations
@@ -12,11 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scarpline.llm.common import stored
+from scarpline.llm.common import bounded_broadcast, stored
 
 MIN_CHARS = 16
-#: Lists of at most so many documents are broadcast; longer ones are shuffled.
-BROADCAST_ROWS = 50_000
+MIN_BLOCK = 128
 
 
 def _hash2(prefix: str, text: Column) -> list[Column]:
@@ -39,12 +41,58 @@ def _marks(numbers: Column) -> Column:
     return F.flatten(F.zip_with(before, numbers, part))
 
 
+def _block(n: Column) -> Column:
+    """The block size for lines of n characters: a power of two near its root."""
+    return F.greatest(F.lit(MIN_BLOCK), F.pow(F.lit(2), F.round(F.log2(n.cast("double")) / 2)).cast("int"))
+
+
+def _around(line: Column, size: Column, block: Column, skip: Column) -> tuple[Column, Column]:
+    """Hashes of the text before a block and of the text behind it; the block has `skip` characters fewer than size."""
+    return F.xxhash64(F.substr(line, F.lit(1), block * size)), F.xxhash64(F.substr(line, (block + 1) * size - skip + 1))
+
+
+def _bound(names: dict[str, Column], of) -> Column:
+    """The value of a function of a struct of columns, each of which is worked out once and not anew in every lambda."""
+    return F.transform(F.array(F.struct(*[c.alias(k) for k, c in names.items()])), of)[0]
+
+
 def _deletions(side: Column, line: Column) -> Column:
     """(place, hash) of the variants with one character deleted outside of the half that the line shares."""
     n = F.char_length(line)
     half = ((n - 1) / 2).cast("int")
-    places = F.sequence(F.when(side == 0, half + 1).otherwise(F.lit(1)), F.when(side == 0, n).otherwise(n - half))
-    return F.transform(places, lambda i: F.struct(i.alias("place"), F.xxhash64(F.concat(F.substr(line, F.lit(1), i - 1), F.substr(line, i + 1))).alias("key")))
+    low, high = F.when(side == 0, half + 1).otherwise(F.lit(1)), F.when(side == 0, n).otherwise(n - half)
+
+    def of_line(v):
+        def of_block(block):
+            before, behind = _around(line, v.size, block, F.lit(0))
+            at = F.sequence(F.greatest(v.low - block * v.size, F.lit(1)), F.least(v.high - block * v.size, v.size))
+            variants = lambda x: F.transform(at, lambda i: F.struct((x.start + i).alias("place"), F.xxhash64(block, x.a, F.concat(F.substr(x.own, F.lit(1), i - 1), F.substr(x.own, i + 1)), x.b).alias("key")))
+            return _bound({"start": block * v.size, "a": before, "own": F.substr(line, block * v.size + 1, v.size), "b": behind}, variants)
+
+        return F.flatten(F.transform(F.sequence(((v.low - 1) / v.size).cast("int"), ((v.high - 1) / v.size).cast("int")), of_block))
+
+    return _bound({"size": _block(n), "low": low, "high": high}, of_line)
+
+
+def _wholes(line: Column) -> Column:
+    """The hashes that a line one character longer gives to the variants equal to this line, one for each block of a deletion."""
+    n = F.char_length(line)
+
+    def of_line(v):
+        def of_block(block):
+            before, behind = _around(line, v.size, block, F.lit(1))
+            return F.xxhash64(block, before, F.substr(line, block * v.size + 1, v.size - 1), behind)
+
+        return F.transform(F.sequence(F.lit(0), (v.n / v.size).cast("int")), of_block)
+
+    return _bound({"size": _block(n + 1), "n": n}, of_line)
+
+
+def _one_edit_at(a: Column, b: Column, place: Column) -> Column:
+    """Whether a changed, missing or added character at a place makes one line of the other, in linear time."""
+    without = lambda x: F.concat(F.substr(x, F.lit(1), place - 1), F.substr(x, place + 1))
+    more = F.char_length(a) - F.char_length(b)
+    return F.when(more == 0, without(a) == without(b)).when(more == 1, without(a) == b).when(more == -1, without(b) == a).otherwise(False)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -66,31 +114,32 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int =
     at = F.struct("doc_id", "line_no")
     hashed = long.select("doc_id", "line_no", *_hash2("h", F.col("line")), *([F.when(size >= min_chars, _half_keys(F.col("line"))).alias("keys")] if max_edits else []))
     hashed = stored(hashed)
-    first = hashed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no", *hashed.columns[4:])).alias("m")).select("h1", "h2", "m.*")
-    mine = F.struct(F.col("doc_id").alias("d"), F.col("line_no").alias("l"))
-    exact = hashed.select("doc_id", "line_no", "h1", "h2").join(first.select("h1", "h2", F.col("doc_id").alias("d"), F.col("line_no").alias("l")), ["h1", "h2"]).filter("doc_id <> d OR line_no <> l").select("doc_id", "line_no")
+    # stored, so that the join below reads two plain shuffles, of which AQE can split the hot lines
+    first = stored(hashed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("m"), F.count("*").alias("n")).select("h1", "h2", F.col("m.doc_id").alias("d"), F.col("m.line_no").alias("l"), "n"))
+    exact = hashed.select("doc_id", "line_no", "h1", "h2").join(first.filter("n > 1").drop("n"), ["h1", "h2"]).filter("doc_id <> d OR line_no <> l").select("doc_id", "line_no")
     if not max_edits:
         return exact.distinct()
-    keyed = first.select("doc_id", "line_no", F.explode("keys").alias("k")).select("doc_id", "line_no", "k.side", "k.key")
+    firsts = hashed.join(first.select("h1", "h2", F.col("d").alias("doc_id"), F.col("l").alias("line_no")), ["h1", "h2", "doc_id", "line_no"], "left_semi")
+    keyed = firsts.select("doc_id", "line_no", F.explode("keys").alias("k")).select("doc_id", "line_no", "k.side", "k.key")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     sides = keyed.join(shared, "key", "left_semi").groupBy("doc_id", "line_no").agg(F.sort_array(F.collect_set("side")).alias("sides"))
     near = stored(sides.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "sides"))).alias("near")))
-    few = near.count() <= BROADCAST_ROWS
+    held = near.agg(F.sum(64 * F.size("near") + 64)).first()[0] or 0
     # the texts of these lines; each split is an argument of a function, so that it is made once a document
     picked = F.zip_with(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line_no"), x.alias("line"))), _marks(F.col("near.line_no")), lambda s, m: F.when(m, s))
-    wanted = docs.join(F.broadcast(near) if few else near, "doc_id").select("doc_id", F.explode(F.zip_with(F.filter(picked, lambda s: s.isNotNull()), F.col("near.sides"), lambda s, k: F.struct(s.line_no.alias("line_no"), s.line.alias("line"), k.alias("sides")))).alias("x")).select("doc_id", "x.*")
+    wanted = docs.join(bounded_broadcast(near, held), "doc_id").select("doc_id", F.explode(F.zip_with(F.filter(picked, lambda s: s.isNotNull()), F.col("near.sides"), lambda s, k: F.struct(s.line_no.alias("line_no"), s.line.alias("line"), k.alias("sides")))).alias("x")).select("doc_id", "x.*")
     wanted = stored(wanted.filter("line IS NOT NULL").withColumn("line", F.btrim("line", F.lit(" \t\r"))).distinct())
     by_side = wanted.select(at.alias("at"), "line", F.explode("sides").alias("side"))
     variants = by_side.select("at", F.explode(_deletions(F.col("side"), F.col("line"))).alias("v")).select("at", "v.place", "v.key")
-    keys = variants.union(wanted.select(at.alias("at"), F.lit(0).alias("place"), F.xxhash64("line").alias("key")))
+    keys = variants.union(wanted.select(at.alias("at"), F.lit(0).alias("place"), F.explode(_wholes(F.col("line"))).alias("key")))
     # a key's lines are bounded by the characters that one place can hold, so windows serve; both need one shuffle
     alike = keys.withColumn("whole", F.min(F.when(F.col("place") == 0, F.col("at"))).over(Window.partitionBy("key"))).withColumn("first", F.min("at").over(Window.partitionBy("key", "place"))).filter("place > 0")
     # the earliest of those that delete the same place to the same variant; a line that is the variant itself
-    pairs = alike.select("at", F.explode(F.array("first", "whole")).alias("other")).filter("other IS NOT NULL AND other <> at")
-    found = pairs.select(F.greatest("at", "other").alias("at"), F.least("at", "other").alias("other_at")).distinct()
-    close = F.levenshtein(F.col("line"), F.col("other"), max_edits).between(0, max_edits)
+    pairs = alike.select("at", "place", F.explode(F.array("first", "whole")).alias("other")).filter("other IS NOT NULL AND other <> at")
+    found = pairs.groupBy(F.greatest("at", "other").alias("at"), F.least("at", "other").alias("other_at")).agg(F.min("place").alias("place"))
     texts = wanted.select(at.alias("at"), "line")
-    verified = found.join(texts, "at").join(texts.select(F.col("at").alias("other_at"), F.col("line").alias("other")), "other_at").filter(close)
+    both = found.join(texts, "at").join(texts.select(F.col("at").alias("other_at"), F.col("line").alias("other")), "other_at")
+    verified = both.filter(_one_edit_at(F.col("line"), F.col("other"), F.col("place")))
     return exact.union(verified.select("at.doc_id", "at.line_no")).distinct()
 
 
