@@ -1,9 +1,10 @@
 """Groups of documents whose sets of five-word shingles have a Jaccard similarity of at least 0.8, without a miss.
 
-A prefix filter finds the candidates: under any common order of the shingles, two sets that are alike enough share one of the
-first n - ceil(0.8 n) + 1 of theirs. The order is by hash, with very common shingles last, which only saves time. Candidates
-are first those of a shingle with a few of its sets and with the best linked one, then all that these links leave
-apart. Every link is checked on the whole sets.
+SimHash fingerprints of the sets are linked by the Gray-ordered index first, each link is checked on the whole sets. Sets as
+alike as that may still differ in a dozen of 64 bits, so a prefix filter finds what the fingerprints leave apart: under any
+common order of the shingles, two such sets share one of the first n - ceil(0.8 n) + 1 of theirs. The order is by hash, with
+very common shingles last, which only saves time. Candidates are first those of a shingle with a few of its sets and with the
+best linked one, then all that these links leave apart. Every link is checked on the whole sets.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scarpline.llm.common import checkpointed, rows_of, stored
+from scarpline.llm.common import checkpointed, discard, rows_of, stored
 from scarpline.llm.components import connected_components
+from scarpline.llm.hamming import MAX_BITS, hamming_links
 
 SEED, WIDTH, PIVOTS = 42, 5, 3
 #: Shingles that open more sets than this are ordered last, the most common ones up to a bounded list; any value gives the same groups.
@@ -46,19 +48,28 @@ def _prefix(found: np.ndarray, common: np.ndarray) -> np.ndarray:
     return found[: len(found) - -(-4 * len(found) // 5) + 1]
 
 
+def _fingerprint(found: np.ndarray) -> int:
+    """The SimHash of a set of shingles."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(found), CHUNK):
+        ones += np.unpackbits(found[at : at + CHUNK].view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(found)).view(np.int64)[0])
+
+
 def _sets(batches: Iterable[pa.RecordBatch], common, whole: bool) -> Iterator[pa.RecordBatch]:
     late = np.empty(0, np.int64) if common is None else common.value
     for rows in rows_of(batches):
         found = [shingles(t) for t in rows["text"]]
         nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in found], np.uint64).view(np.int64)
+        fps = [0 if whole else _fingerprint(x) for x in found]
         sent = found if whole else [_prefix(x, late) for x in found]
         grams = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sent)]), pa.int32()), pa.array(np.concatenate(sent)))
-        yield pa.RecordBatch.from_arrays([pa.array(rows["k"], pa.int64()), pa.array(nodes), pa.array([len(x) for x in found], pa.int64()), grams], ["k", "node", "n", "grams"])
+        yield pa.RecordBatch.from_arrays([pa.array(rows["k"], pa.int64()), pa.array(nodes), pa.array([len(x) for x in found], pa.int64()), pa.array(fps, pa.int64()), grams], ["k", "node", "n", "fp", "grams"])
 
 
 def sets(keyed: DataFrame, common=None, whole: bool = False) -> DataFrame:
-    """Rows (k, node, n, grams) of rows (k, text): node names the set, n is its size, grams its prefix or the whole set."""
-    return keyed.select("k", "text").mapInArrow(lambda it: _sets(it, common, whole), "k long, node long, n long, grams array<long>")
+    """Rows (k, node, n, fp, grams) of rows (k, text): node names the set, n is its size, fp its SimHash (0 with whole), grams its prefix or the whole set."""
+    return keyed.select("k", "text").mapInArrow(lambda it: _sets(it, common, whole), "k long, node long, n long, fp long, grams array<long>")
 
 
 def _near_size(n: str, m: str) -> Column:
@@ -77,42 +88,77 @@ def _pairs(found: DataFrame) -> DataFrame:
 
 
 def _rooted(places: DataFrame, links: DataFrame) -> DataFrame:
-    """Places with the root of their node, of the shingles that still meet different roots."""
+    """Places (gram, node, n) with the root of their node, of the shingles that still meet different roots."""
     named = places.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = named.groupBy("gram").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("gram")
     return stored(named.join(apart, "gram").select("gram", "node", "n", "root"))
 
 
+def _by_fingerprint(distinct: DataFrame) -> DataFrame:
+    """Pairs (u, v) of nodes that the Gray-ordered index links, each with the first one of its group, and of equal fingerprints."""
+    first = checkpointed(distinct.groupBy("fp").agg(F.min("node").alias("first")))
+    same = distinct.join(first, "fp").filter(F.col("node") != F.col("first")).select(F.col("node").alias("u"), F.col("first").alias("v"))
+    links = hamming_links(first, MAX_BITS).filter("u <> v").distinct()
+    named = links.join(first.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v")
+    return same.union(named.select("a", "b"))
+
+
 def similar(keyed: DataFrame, common: int = COMMON) -> tuple[DataFrame, DataFrame]:
     """(rows (k, node) of rows (k, text), rows (node, root) of the nodes with a link), by chains of pairs of similarity 4/5 or more.
 
     Null texts and texts without words have one node. k must be distinct for different texts.
     """
-    rows = stored(sets(keyed))
-    distinct = stored(rows.filter("n > 0").dropDuplicates(["node"]))
+    found = stored(sets(keyed))
+    distinct = stored(found.filter("n > 0").dropDuplicates(["node"]))
+    rows = stored(found.select("k", "node"))
+    discard(found)
     opened = distinct.select("k", F.explode("grams").alias("gram"))
-    often = opened.groupBy("gram").agg(F.count("*").alias("c")).filter(F.col("c") > common)
+    often = stored(opened.groupBy("gram").agg(F.count("*").alias("c")).filter(F.col("c") > common))
     late = np.sort(often.orderBy(F.desc("c"), "gram").limit(MAX_COMMON).select("gram").toArrow().column(0).to_numpy())
     if len(late):
         spark = keyed.sparkSession
         frame = spark.createDataFrame(pa.table({"gram": late}))
         again = checkpointed(opened.join(F.broadcast(frame), "gram", "left_semi").select("k").distinct())
         redone = sets(keyed.join(again, "k", "left_semi").dropDuplicates(["k"]), spark.sparkContext.broadcast(late))
-        distinct = stored(distinct.join(again, "k", "left_anti").unionByName(redone))
-    places = distinct.select("node", "n", F.explode("grams").alias("gram"))
-    pick = lambda seed: F.min(F.struct(F.xxhash64(F.lit(seed), "node").alias("h"), F.col("node").alias("other"), F.col("n").alias("m")))
-    met = places.groupBy("gram").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.array(*map(pick, range(PIVOTS))).alias("pivots")).filter("least < most")
-    met = stored(met.select("gram", "pivots"))
-    places = stored(places.join(met.select("gram"), "gram"))
-    wanted = distinct.select("k", "node").join(places.select("node").distinct(), "node").select("k")
-    full = stored(sets(keyed.join(wanted, "k", "left_semi").dropDuplicates(["k"]), whole=True).select("node", "grams"))
-    links = stored(_checked(_pairs(places.join(met, "gram").select("node", "n", F.explode("pivots").alias("p")).select("node", "n", "p.other", "p.m")), full))
-    # the best linked set of each shingle, which the copies of one text have in common
+        before, distinct = distinct, stored(distinct.join(again, "k", "left_anti").unionByName(redone))
+        discard(before)
+    discard(often)
+    opened = distinct.select("node", "n", F.explode("grams").alias("gram"))
+    # most shingles open one set only: they go before anything wider than a count is shuffled
+    met = stored(opened.groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1").select("gram"))
+    places = stored(opened.join(met, "gram", "left_semi"))
+    nodes = stored(distinct.join(places.select("node").distinct(), "node", "left_semi").select("k", "node", "fp"))
+    discard(distinct, met)
+    full = stored(sets(keyed.join(nodes.select("k"), "k", "left_semi").dropDuplicates(["k"]), whole=True).select("node", "grams"))
+    links = stored(_checked(_by_fingerprint(nodes).distinct(), full))
     left = _rooted(places, links)
+    discard(places, nodes)
+    # a few sets of each shingle
+    pick = lambda seed: F.min(F.struct(F.xxhash64(F.lit(seed), "node").alias("h"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("at")))
+    pivots = left.groupBy("gram").agg(F.array(*map(pick, range(PIVOTS))).alias("pivots"))
+    pairs = left.join(pivots, "gram").select("node", "n", "root", F.explode("pivots").alias("p")).filter("root <> p.at").select("node", "n", "p.other", "p.m")
+    links = _more(links, pairs, full)
+    # the best linked set of each shingle, which the copies of one text have in common
+    left = _again(left, links)
     degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
     best = left.join(degree, "node", "left").groupBy("gram").agg(F.max(F.struct(F.coalesce("d", F.lit(0)).alias("d"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("at"))).alias("p")).select("gram", "p.other", "p.m", "p.at")
-    links = stored(links.union(_checked(_pairs(left.join(best, "gram").filter("root <> at")), full)))
-    left = _rooted(left.drop("root"), links)
+    links = _more(links, left.join(best, "gram").filter("root <> at"), full)
+    left = _again(left, links)
     other = left.select("gram", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("at"))
-    links = links.union(_checked(_pairs(left.join(other, "gram").filter("node < other AND root <> at")), full))
-    return rows.select("k", "node"), connected_components(links)
+    links = _more(links, left.join(other, "gram").filter("node < other AND root <> at"), full)
+    out = connected_components(links)
+    discard(left, full, links)
+    return rows, out
+
+
+def _more(links: DataFrame, found: DataFrame, full: DataFrame) -> DataFrame:
+    """The links with those of the candidates (node, n, other, m) that hold."""
+    out = stored(links.union(_checked(_pairs(found), full)))
+    discard(links)
+    return out
+
+
+def _again(left: DataFrame, links: DataFrame) -> DataFrame:
+    out = _rooted(left.drop("root"), links)
+    discard(left)
+    return out
