@@ -1,10 +1,11 @@
-"""Groups of documents whose sets of five-word shingles have a Jaccard similarity of at least 0.8, without a miss.
+"""Groups of documents whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
 
 SimHash fingerprints of the sets are linked by the Gray-ordered index first, each link is checked on the whole sets. Sets as
 alike as that may still differ in a dozen of 64 bits, so a prefix filter finds what the fingerprints leave apart: under any
 common order of the shingles, two such sets share one of the first n - ceil(0.8 n) + 1 of theirs. The order is by hash, with
-very common shingles last, which only saves time. Candidates are first those of a shingle with a few of its sets and with the
-best linked one, then all that these links leave apart. Every link is checked on the whole sets.
+very common shingles last. Sets that share one of these with at most SMALL sets are all compared, which misses no link. In
+denser clouds, where all pairs would be the square of the cloud, each set meets a few sets of each shingle it is apart from
+and the best linked one, round by round. Every link is checked on the whole sets.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from scarpline.llm.common import checkpointed, discard, rows_of, stored
 from scarpline.llm.components import connected_components
 from scarpline.llm.hamming import MAX_BITS, hamming_links
 
-SEED, WIDTH, PIVOTS = 42, 5, 3
+SEED, WIDTH = 42, 5
+#: Sets of a shingle that are all compared; seeds of the sets that stand for a shingle of more, by round.
+SMALL, ROUNDS = 32, ((0, 1, 2), (3, 4, 5))
 #: Shingles that open more sets than this are ordered last, the most common ones up to a bounded list; any value gives the same groups.
 COMMON, MAX_COMMON = 32, 200_000
 CHUNK = 1 << 15
@@ -103,10 +106,11 @@ def _by_fingerprint(distinct: DataFrame) -> DataFrame:
     return same.union(named.select("a", "b"))
 
 
-def similar(keyed: DataFrame, common: int = COMMON) -> tuple[DataFrame, DataFrame]:
+def similar(keyed: DataFrame, common: int = COMMON, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
     """(rows (k, node) of rows (k, text), rows (node, root) of the nodes with a link), by chains of pairs of similarity 4/5 or more.
 
-    Null texts and texts without words have one node. k must be distinct for different texts.
+    Null texts and texts without words have one node. Links between sets that share a shingle of their prefix with at most
+    `small` sets are all found; of those in denser clouds a test measures a share of 0.9. k must be distinct for different texts.
     """
     found = stored(sets(keyed))
     distinct = stored(found.filter("n > 0").dropDuplicates(["node"]))
@@ -133,24 +137,37 @@ def similar(keyed: DataFrame, common: int = COMMON) -> tuple[DataFrame, DataFram
     links = stored(_checked(_by_fingerprint(nodes).distinct(), full))
     left = _rooted(places, links)
     discard(places, nodes)
-    # a few sets of each shingle
-    pick = lambda seed: F.min(F.struct(F.xxhash64(F.lit(seed), "node").alias("h"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("at")))
-    pivots = left.groupBy("gram").agg(F.array(*map(pick, range(PIVOTS))).alias("pivots"))
-    pairs = left.join(pivots, "gram").select("node", "n", "root", F.explode("pivots").alias("p")).filter("root <> p.at").select("node", "n", "p.other", "p.m")
-    links = _more(links, pairs, full)
-    # the best linked set of each shingle, which the copies of one text have in common
-    left = _again(left, links)
-    degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
-    best = left.join(degree, "node", "left").groupBy("gram").agg(F.max(F.struct(F.coalesce("d", F.lit(0)).alias("d"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("at"))).alias("p")).select("gram", "p.other", "p.m", "p.at")
-    links = _more(links, left.join(best, "gram").filter("root <> at"), full)
-    left = _again(left, links)
-    other = left.select("gram", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("at"))
-    links = _more(links, left.join(other, "gram").filter("node < other AND root <> at"), full)
+    for k, seeds in enumerate(ROUNDS):
+        links = _more(links, _by_pivots(left, seeds), full)
+        left = _again(left, links)
+        links = _more(links, _by_degree(left, links) if k else _by_degree(left, links).union(_small(left, small)), full)
+        left = _again(left, links)
     out = connected_components(links)
     discard(left, full, links)
     return rows, out
 
 
+def _by_pivots(left: DataFrame, seeds: tuple[int, ...]) -> DataFrame:
+    """Candidates (node, n, other, m): each set of a shingle with a few of its sets, by hash, that have another root."""
+    pick = lambda seed: F.min(F.struct(F.xxhash64(F.lit(seed), "node").alias("h"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("at")))
+    pivots = left.groupBy("gram").agg(F.array(*map(pick, seeds)).alias("pivots"))
+    return left.join(pivots, "gram").select("node", "n", "root", F.explode("pivots").alias("p")).filter("root <> p.at").select("node", "n", "p.other", "p.m")
+
+
+def _by_degree(left: DataFrame, links: DataFrame) -> DataFrame:
+    """Candidates: each set of a shingle with the best linked one, which the copies of one text have in common."""
+    degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
+    best = left.join(degree, "node", "left").groupBy("gram").agg(F.max(F.struct(F.coalesce("d", F.lit(0)).alias("d"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("at"))).alias("p")).select("gram", "p.other", "p.m", "p.at")
+    return left.join(best, "gram").filter("root <> at").select("node", "n", "other", "m")
+
+
+def _small(left: DataFrame, small: int) -> DataFrame:
+    """Candidates: all pairs of different roots of the shingles with at most `small` sets, so no more than that for a set and shingle."""
+    few = left.join(left.groupBy("gram").agg(F.count("*").alias("c")).filter(F.col("c") <= small).select("gram"), "gram")
+    other = few.select("gram", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("at"))
+    return few.join(other, "gram").filter("node < other AND root <> at").select("node", "n", "other", "m")
+
+
 def _more(links: DataFrame, found: DataFrame, full: DataFrame) -> DataFrame:
     """The links with those of the candidates (node, n, other, m) that hold."""
     out = stored(links.union(_checked(_pairs(found), full)))
