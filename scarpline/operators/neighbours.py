@@ -2,28 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from scarpline.operators.scratch import checkpointed
+
+
+def _squares(df: DataFrame, x: str, y: str, side: float, around: bool = False) -> DataFrame:
+    """Rows with the square (bx, by) that they lie in; around: once for it and each of the eight around."""
+    square = lambda v: F.floor(F.col(v) / side)
+    if not around:
+        return df.withColumns({"bx": square(x), "by": square(y)})
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    return df.withColumn("s", F.explode(steps)).withColumns({"bx": square(x) + F.col("s.i"), "by": square(y) + F.col("s.j")}).drop("s")
 
 
 def nearest(points: DataFrame, refs: DataFrame, cell: float) -> DataFrame:
     """JN-1: for each point (id, x, y) the nearest of refs (ref, rx, ry), of equals the least ref; (id, ref, distance).
 
     Both sides are put in squares of side `cell`; a point meets the refs of its square and the eight around, and that is
-    its nearest if it is nearer than `cell`. Only points without one that near are compared with all refs.
+    its nearest if it is nearer than `cell`. Points without one that near meet squares of twice the side, and so on, until
+    the squares span all refs and points. Without refs there are no rows.
     """
-    square = lambda v: F.floor(F.col(v) / cell)
+    bounds = lambda df, x, y: df.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
+    a, b = bounds(points, "x", "y"), bounds(refs, "rx", "ry")
     d = F.sqrt((F.col("x") - F.col("rx")) ** 2 + (F.col("y") - F.col("ry")) ** 2)
-    best = lambda df: df.withColumn("d", d).groupBy("id").agg(F.min(F.struct("d", "ref")).alias("m")).select("id", F.col("m.ref").alias("ref"), F.col("m.d").alias("distance"))
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    spread = refs.withColumn("s", F.explode(steps)).withColumns({"bx": square("rx") + F.col("s.i"), "by": square("ry") + F.col("s.j")}).drop("s")
-    near = best(points.withColumns({"bx": square("x"), "by": square("y")}).join(spread, ["bx", "by"])).filter(F.col("distance") < cell)
-    far = best(points.join(near, "id", "left_anti").join(refs))
-    return near.union(far)
+    rest, done = points.select("id", "x", "y"), points.sparkSession.createDataFrame([], StructType([points.schema["id"], refs.schema["ref"], StructField("distance", DoubleType())]))
+    if a[0] is None or b[0] is None:
+        return done
+    span = max(max(a[1], b[1]) - min(a[0], b[0]), max(a[3], b[3]) - min(a[2], b[2]))
+    while True:
+        met = _squares(rest, "x", "y", cell).join(_squares(refs, "rx", "ry", cell, around=True), ["bx", "by"])
+        best = met.groupBy("id").agg(F.min(F.struct(d.alias("d"), "ref")).alias("m")).select("id", F.col("m.ref").alias("ref"), F.col("m.d").alias("distance"))
+        found = best if cell > span else best.filter(F.col("distance") < cell)
+        found = checkpointed(found)
+        done = done.union(found)
+        if cell > span:
+            return done
+        rest = checkpointed(rest.join(found, "id", "left_anti"))
+        if rest.isEmpty():
+            return done
+        cell *= 2
+
+
+def distances_within(stations: DataFrame, radius: float) -> DataFrame:
+    """JN-5 for any number of stations (station, x, y): rows (a, b, distance) of all pairs nearer than radius, by squares of that side."""
+    a = _squares(stations.select(F.col("station").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay")), "ax", "ay", radius)
+    b = _squares(stations.select(F.col("station").alias("b"), F.col("x").alias("bx_"), F.col("y").alias("by_")), "bx_", "by_", radius, around=True)
+    d = F.sqrt((F.col("ax") - F.col("bx_")) ** 2 + (F.col("ay") - F.col("by_")) ** 2)
+    return a.join(b, ["bx", "by"]).select("a", "b", d.alias("distance")).filter(F.col("distance") < radius)
 
 
 def distance_matrix(stations: DataFrame) -> DataFrame:
-    """JN-5: distances between all pairs of the (few) stations."""
+    """JN-5: distances between all pairs of a network of few stations; see distances_within for others."""
     a = stations.select(F.col("station").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"))
     b = stations.select(F.col("station").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
     return a.join(b).select("a", "b", F.sqrt((F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2).alias("distance"))
@@ -37,7 +69,7 @@ def fill_from_stations(series: DataFrame, distances: DataFrame, radius: float, m
     donors = distances.filter((F.col("distance") < radius) & (F.col("a") != F.col("b")))
     gaps = series.filter("value IS NULL").select("station", "ts")
     own = series.filter("value IS NOT NULL").select(F.col("station").alias("b"), "ts", F.col("value").alias("v"))
-    met = gaps.join(F.broadcast(donors), gaps.station == donors.a).drop("a").join(own, ["b", "ts"])
+    met = gaps.join(donors, gaps.station == donors.a).drop("a").join(own, ["b", "ts"])
     w = F.when(F.col("distance") == 0, 1.0).otherwise(1 / F.pow("distance", F.lit(power)))
     if method == "nearest":
         got = met.groupBy("station", "ts").agg(F.min(F.struct("distance", "b", "v")).alias("m")).select("station", "ts", F.col("m.v").alias("filled"), F.concat(F.lit("nearest_["), F.col("m.b").cast("string"), F.lit("]")).alias("origin"))

@@ -39,7 +39,15 @@ def nearest_cell(points: DataFrame, tiles: DataFrame) -> DataFrame:
     kept = lambda v, n: F.least(F.greatest(v, F.lit(0)), F.col(n) - 1).cast("int")
     fx, fy = (F.col("x") - F.col("x0")) / F.col("dx"), (F.col("y") - F.col("y0")) / F.col("dy")
     inside = fx.between(-0.5, F.col("cols") - 0.5) & fy.between(-0.5, F.col("rows") - 0.5)
-    met = points.select("id", "x", "y").join(tiles, inside).withColumns({"row": kept(row, "rows"), "col": kept(col, "cols")})
+    # tiles and points meet by squares as large as the largest tile, of which a tile touches four at most
+    edge = lambda o, step, n: (F.col(o) - F.col(step) / 2, F.col(o) + (F.col(n) - 0.5) * F.col(step))
+    ends = {k: edge(*v) for k, v in {"bx": ("x0", "dx", "cols"), "by": ("y0", "dy", "rows")}.items()}
+    side = tiles.agg(*[F.max(F.abs(b - a)) for a, b in ends.values()]).first()
+    side = max(1e-12, side[0] or 0.0, side[1] or 0.0)
+    touched = lambda a, b: F.sequence(F.floor(F.least(a, b) / side - 1e-9), F.floor(F.greatest(a, b) / side + 1e-9))
+    spread = tiles.withColumn("bx", F.explode(touched(*ends["bx"]))).withColumn("by", F.explode(touched(*ends["by"])))
+    keyed = points.select("id", "x", "y", F.floor(F.col("x") / side).alias("bx"), F.floor(F.col("y") / side).alias("by"))
+    met = keyed.join(spread, ["bx", "by"]).filter(inside).withColumns({"row": kept(row, "rows"), "col": kept(col, "cols")})
     d = F.sqrt((F.col("x") - F.col("x0") - F.col("col") * F.col("dx")) ** 2 + (F.col("y") - F.col("y0") - F.col("row") * F.col("dy")) ** 2)
     best = met.groupBy("id").agg(F.min(F.struct(d.alias("distance"), "tile", "row", "col")).alias("m"))
     return points.join(best, "id", "left").select(*points.columns, "m.tile", "m.row", "m.col", "m.distance")
@@ -62,30 +70,63 @@ def _radial(x, y, v, tx, ty):
     return phi(tx, ty, x, y) @ weights
 
 
-def _linear(x, y, v, tx, ty):
-    """On the Delaunay triangle around each target, NaN outside of the hull: of all triangles around a target, it is the one whose corners' lifted plane lies lowest there."""
+def _hull(x, y):
+    """The corners of the convex hull of points, counter-clockwise."""
+    order = np.lexsort((y, x))
+    turn = lambda o, a, b: (x[a] - x[o]) * (y[b] - y[o]) - (y[a] - y[o]) * (x[b] - x[o])
+    halves = []
+    for run in (order, order[::-1]):
+        half: list[int] = []
+        for p in run:
+            while len(half) > 1 and turn(half[-2], half[-1], p) <= 0:
+                half.pop()
+            half.append(p)
+        halves += half[:-1]
+    return np.array(halves)
+
+
+def _linear(x, y, v, tx, ty, near: int = 12):
+    """On the Delaunay triangle around each target, NaN outside of the hull.
+
+    Of all triangles around a target, it is the one whose corners' lifted plane lies lowest there; no point lies under that
+    plane. Only the nearest points' triangles are tried, twice as many as long as a point lies under the best one's plane.
+    """
     out = np.full(len(tx), np.nan)
     if len(x) < 3:
         return out
-    i, j, k = np.array(list(combinations(range(len(x)), 3))).T
-    d = (x[j] - x[i]) * (y[k] - y[i]) - (x[k] - x[i]) * (y[j] - y[i])
-    i, j, k, d = (a[np.abs(d) > 1e-12] for a in (i, j, k, d))
+    hull = _hull(x, y)
+    hx, hy = x[hull], y[hull]
     lift = x * x + y * y
     for t, (px, py) in enumerate(zip(tx, ty)):
-        b = ((px - x[i]) * (y[k] - y[i]) - (x[k] - x[i]) * (py - y[i])) / d
-        c = ((x[j] - x[i]) * (py - y[i]) - (px - x[i]) * (y[j] - y[i])) / d
-        a = 1 - b - c
-        held = np.flatnonzero((a >= -1e-9) & (b >= -1e-9) & (c >= -1e-9))
-        if len(held):
-            at = held[np.argmin((a * lift[i] + b * lift[j] + c * lift[k])[held])]
-            out[t] = a[at] * v[i[at]] + b[at] * v[j[at]] + c[at] * v[k[at]]
+        if len(hull) < 3 or ((np.roll(hx, -1) - hx) * (py - hy) - (np.roll(hy, -1) - hy) * (px - hx) < -1e-9).any():
+            continue
+        order, n = np.argsort((x - px) ** 2 + (y - py) ** 2, kind="stable"), near
+        while True:
+            some = order[:n]
+            i, j, k = some[np.array(list(combinations(range(len(some)), 3))).T]
+            d = (x[j] - x[i]) * (y[k] - y[i]) - (x[k] - x[i]) * (y[j] - y[i])
+            i, j, k, d = (a[np.abs(d) > 1e-12] for a in (i, j, k, d))
+            b = ((px - x[i]) * (y[k] - y[i]) - (x[k] - x[i]) * (py - y[i])) / d
+            c = ((x[j] - x[i]) * (py - y[i]) - (px - x[i]) * (y[j] - y[i])) / d
+            a = 1 - b - c
+            held = np.flatnonzero((a >= -1e-9) & (b >= -1e-9) & (c >= -1e-9))
+            if len(held):
+                at = held[np.argmin((a * lift[i] + b * lift[j] + c * lift[k])[held])]
+                corners = np.array([i[at], j[at], k[at]])
+                plane = np.linalg.solve(np.c_[np.ones(3), x[corners], y[corners]], lift[corners])
+                if n >= len(x) or (lift - (plane[0] + plane[1] * x + plane[2] * y) >= -1e-9).all():
+                    out[t] = a[at] * v[i[at]] + b[at] * v[j[at]] + c[at] * v[k[at]]
+                    break
+            if n >= len(x):
+                break
+            n *= 2
     return out
 
 
 def interpolate(series: DataFrame, stations: DataFrame, method: str = "linear") -> DataFrame:
     """IN-2, IN-4: nulls of (station, ts, value) from the stations (station, x, y) with a value at that time; linear or rbf.
 
-    One task holds the stations of one time, of which a network has tens; times are spread over the cluster. A gap
+    One task holds the stations of one time; times are spread over the cluster. A gap
     outside of the hull of the stations stays null with linear, as does any gap of a time without values.
     """
     kernel = {"linear": _linear, "rbf": _radial}[method]

@@ -34,8 +34,8 @@ def _tiles(spark: SparkSession) -> DataFrame:
 
 
 def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every cell as a pixel of the area of its tile, with one of ten stations."""
-    return cells(spark, sf_dir).select(F.col("tile").alias("area"), "tile", "row", "col", F.pmod(F.col("col") + F.col("row") * 3, F.lit(10)).cast("long").alias("station"))
+    """Every cell as a pixel of the area of its tile, with one of fifty stations."""
+    return cells(spark, sf_dir).select(F.col("tile").alias("area"), "tile", "row", "col", F.pmod(F.col("col") + F.col("row") * 3, F.lit(50)).cast("long").alias("station"))
 
 
 def _area_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,8 +83,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ag6_metric_statistics": lambda s, d: rounded(alerts.metric_statistics(_area_rows(s, d)), "mean", "std", "max", "min"),
         "jn15_station_pixels": lambda s, d: alerts.station_pixels(_pixels(s, d)).select("station", F.size("pixels").alias("n"), F.array_join(F.transform("pixels", lambda p: F.concat_ws(":", p["tile"], p["row"], p["col"])), ",").alias("pixels")),
         "mo4_area_alerts": area_alerts,
-        "it2_gradient_paths": lambda s, d: _walk_rows(paths.gradient_paths(cells(s, d).withColumn("z", F.col("z") / 500), base._starts(s, d), max_steps=12)),
-        "it4_compatible_paths": lambda s, d: _walk_rows(paths.compatible_paths(cells(s, d), base._starts(s, d), max_steps=4)),
+        "it2_gradient_paths": lambda s, d: _walk_rows(paths.gradient_paths(cells(s, d).withColumn("z", F.col("z") / 500), base._starts(s, d))),
+        "it4_compatible_paths": lambda s, d: _walk_rows(paths.compatible_paths(cells(s, d), base._starts(s, d), maximum_paths=64)),
         "pf5_lookup": lambda s, d: tables.looked_up(read(s, d, "customer"), read(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "c_name"),
         "pf7_containment": lambda s, d: tables.column_containment(read(s, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("v")), read(s, d, "region").select(F.col("r_regionkey").alias("k"), F.col("r_regionkey").alias("v")), ["k", "v"]),
         "pf8_geographic": lambda s, d: read(s, d, "lineitem").groupBy("l_returnflag").agg(scalars.are_geographic(F.col("l_extendedprice") / 500, F.col("l_quantity")).alias("geographic")),
@@ -96,7 +96,7 @@ def oracle_sql() -> dict[str, str]:
     tiles = "tiles(tile, x0, y0, dx, dy, rows, cols) AS (VALUES " + ", ".join(f"({t}, CAST({x} AS DOUBLE), CAST({y} AS DOUBLE), CAST({a} AS DOUBLE), CAST({b} AS DOUBLE), {r}, {c})" for t, x, y, a, b, r, c in TILES) + ")"
     boxes = "b AS (SELECT s_suppkey AS k, s_suppkey % 40 AS x, s_suppkey // 40 AS y, s_suppkey % 7 + 2 AS w FROM supplier)"
     pts = "p AS (SELECT c_custkey AS id, (c_custkey % 37) * CAST(0.006 AS DOUBLE) AS x, (c_custkey % 29) * CAST(0.005 AS DOUBLE) AS y FROM customer)"
-    area = f"{OBS}, {CELLS}, px AS (SELECT tile AS area, (col + row * 3) % 10 AS station, count(*) AS pixels FROM cells GROUP BY ALL), rw AS (SELECT area, station, pixels, ts, value FROM obs JOIN px USING (station)), st AS (SELECT area, sum(pixels * value) / sum(pixels) AS mean, sum(pixels) AS n, max(value) AS hi, min(value) AS lo FROM rw GROUP BY area)"
+    area = f"{OBS}, {CELLS}, px AS (SELECT tile AS area, (col + row * 3) % 50 AS station, count(*) AS pixels FROM cells GROUP BY ALL), rw AS (SELECT area, station, pixels, ts, value FROM obs JOIN px USING (station)), st AS (SELECT area, sum(pixels * value) / sum(pixels) AS mean, sum(pixels) AS n, max(value) AS hi, min(value) AS lo FROM rw GROUP BY area)"
     near = lambda v: f"round_even({v} / 0.25, 0) * 0.25"
     return {
         "ve18_measures": f"WITH {boxes} SELECT k AS poly_id, round(CAST(w * 2 - CASE WHEN k % 3 = 0 THEN 0.25 ELSE 0 END AS DOUBLE), 6) AS area, round(CAST(2 * w + 4 + CASE WHEN k % 3 = 0 THEN 2 ELSE 0 END AS DOUBLE), 6) AS length, round(CAST(x AS DOUBLE), 6) AS x_min, round(CAST(x + w AS DOUBLE), 6) AS x_max, round(CAST(y AS DOUBLE), 6) AS y_min, round(CAST(y + 2 AS DOUBLE), 6) AS y_max FROM b",
@@ -112,7 +112,7 @@ def oracle_sql() -> dict[str, str]:
         "in1_nearest_by_steps": f"WITH {STATIONS}, {pts}, m AS (SELECT id, min((abs(p.x - s.x) + abs(p.y - s.y), station)) AS m FROM p CROSS JOIN stations s GROUP BY id) SELECT id, m[2] AS station, round(m[1], 6) AS distance FROM m",
         "wn12_path_lengths": "WITH p AS (SELECT l_orderkey AS path_id, l_linenumber AS seq, l_quantity AS x, l_tax * 100 AS y, l_discount * 100 AS z FROM lineitem), d AS (SELECT *, x - lag(x) OVER w AS a, y - lag(y) OVER w AS b, z - lag(z) OVER w AS c FROM p WINDOW w AS (PARTITION BY path_id ORDER BY seq, x, y, z)) SELECT path_id, seq, round(sum(coalesce(sqrt(a * a + b * b), 0)) OVER w, 6) AS length_2d, round(sum(coalesce(sqrt(a * a + b * b + c * c), 0)) OVER w, 6) AS length_3d FROM d WINDOW w AS (PARTITION BY path_id ORDER BY seq, x, y, z ROWS UNBOUNDED PRECEDING)",
         "ag6_metric_statistics": f"WITH {area} SELECT area, round(any_value(mean), 6) AS mean, round(sqrt(sum(pixels * (value - mean) ** 2) / any_value(n)), 6) AS std, round(any_value(hi), 6) AS max, round(any_value(lo), 6) AS min FROM rw JOIN st USING (area) GROUP BY area",
-        "jn15_station_pixels": f"WITH {CELLS}, s AS (SELECT (col + row * 3) % 10 AS station, tile, row, col FROM cells) SELECT CAST(station AS BIGINT) AS station, CAST(count(*) AS INT) AS n, string_agg(tile || ':' || row || ':' || col, ',' ORDER BY tile, row, col) AS pixels FROM s GROUP BY station",
+        "jn15_station_pixels": f"WITH {CELLS}, s AS (SELECT (col + row * 3) % 50 AS station, tile, row, col FROM cells) SELECT CAST(station AS BIGINT) AS station, CAST(count(*) AS INT) AS n, string_agg(tile || ':' || row || ':' || col, ',' ORDER BY tile, row, col) AS pixels FROM s GROUP BY station",
         "mo4_area_alerts": f"WITH {area}, h AS (SELECT area, ts, sum(pixels) AS pixels, string_agg(CAST(station AS VARCHAR), ',' ORDER BY station) AS stations FROM rw JOIN st USING (area) WHERE value >= round(0.75 * hi, 5) GROUP BY area, ts), w AS (SELECT *, CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY area ORDER BY ts)) > 172800 THEN 1 ELSE 0 END AS w FROM h) SELECT area, ts, 'rt' || CAST(1 + sum(w) OVER (PARTITION BY area ORDER BY ts ROWS UNBOUNDED PRECEDING) AS BIGINT) AS event, CAST(pixels AS BIGINT) AS pixels, stations FROM w",
         "pf5_lookup": "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)",
         "pf7_containment": "SELECT n_nationkey AS k, r_regionkey IS NOT NULL AS found, coalesce(r_regionkey = n_regionkey, false) AS same_v FROM nation LEFT JOIN region ON r_regionkey = n_nationkey",

@@ -82,7 +82,7 @@ def _centred(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    daily = read(spark, sf_dir, "events").groupBy(F.pmod("user_id", F.lit(3)).alias("station"), F.date_trunc("day", "ts").alias("start_ts")).agg((F.sum("value") / 1000).alias("rain"))
+    daily = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("station"), F.date_trunc("day", "ts").alias("start_ts")).agg((F.sum("value") / 1000).alias("rain"))
     return daily.withColumn("end_ts", F.col("start_ts") + F.expr("INTERVAL 1 DAY")).withColumn("kt", F.lit(0.01))
 
 
@@ -94,11 +94,11 @@ def slip_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _starts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cells(spark, sf_dir).filter("row % 5 = 2 AND col % 7 = 3").select((F.col("tile") * 100000 + F.col("row") * 1000 + F.col("col")).alias("path_id"), "tile", "row", "col")
+    return cells(spark, sf_dir).select((F.col("tile") * 100000 + F.col("row") * 1000 + F.col("col")).alias("path_id"), "tile", "row", "col")
 
 
 def flow_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = paths.d8_paths(cells(spark, sf_dir), _starts(spark, sf_dir), max_steps=12)
+    found = paths.d8_paths(cells(spark, sf_dir), _starts(spark, sf_dir))
     return found.select("path_id", "steps", "stop_reason", F.array_join(F.transform("cells", lambda c: F.concat_ws(":", c["row"], c["col"])), ",").alias("cells"))
 
 
@@ -150,9 +150,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "wn9_fill_nearest": _gap_fill("nearest"),
         "wn10_sessions": lambda s, d: timeseries.sessions(obs(s, d).filter("value > 250"), 6 * HOUR).select("station", "ts", "event"),
         "jn1_nearest_station": lambda s, d: rounded(neighbours.nearest(_points(s, d), stations(s, d).select(F.col("station").alias("ref"), F.col("x").alias("rx"), F.col("y").alias("ry")), 0.03), "distance"),
-        "jn5_distances": lambda s, d: rounded(neighbours.distance_matrix(stations(s, d)), "distance"),
-        "ts3_fill_nearest": lambda s, d: rounded(neighbours.fill_from_stations(series(s, d), neighbours.distance_matrix(stations(s, d)), 0.12), "value"),
-        "in5_fill_idw": lambda s, d: rounded(neighbours.fill_from_stations(series(s, d), neighbours.distance_matrix(stations(s, d)), 0.12, "idw").drop("source"), "value"),
+        "jn5_distances": lambda s, d: rounded(neighbours.distances_within(stations(s, d), 0.3), "distance"),
+        "ts3_fill_nearest": lambda s, d: rounded(neighbours.fill_from_stations(series(s, d), neighbours.distances_within(stations(s, d), 0.12), 0.12), "value"),
+        "in5_fill_idw": lambda s, d: rounded(neighbours.fill_from_stations(series(s, d), neighbours.distances_within(stations(s, d), 0.12), 0.12, "idw").drop("source"), "value"),
         "co4_cell_centres": lambda s, d: cells(s, d).select("tile", "row", "col", *[F.round(c, 6).alias(n) for c, n in zip(scalars.cell_centre(F.col("row"), F.col("col"), (0.5, 0, 10.0, 0, -0.5, 45.0)), "xy")], scalars.flat_index(F.col("row"), F.col("col"), 50).alias("idx_1d")),
         "co2_utm_codes": lambda s, d: _points(s, d).select("id", scalars.utm_epsg(F.col("x") * 800, F.col("y") * 300 - 20).alias("epsg")),
         "co9_mask": lambda s, d: rounded(grid.mask(cells(s, d), _burns(s, d)), "z"),
@@ -208,7 +208,7 @@ SELECT station, ts, round(avg(h) OVER ({FRAME} 2 PRECEDING AND CURRENT ROW), 6)
         "wn9_fill_nearest": _gap_sql("coalesce(value, CASE WHEN p IS NOT NULL AND nx IS NOT NULL THEN CASE WHEN i - pi <= ni - i THEN p ELSE nx END END)"),
         "wn10_sessions": f"WITH {OBS}, a AS (SELECT station, ts, CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY station ORDER BY ts)) > 21600 THEN 1 ELSE 0 END AS w FROM obs WHERE value > 250) SELECT station, ts, CAST(1 + sum(w) OVER ({FRAME} UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS event FROM a",
         "jn1_nearest_station": f"WITH {STATIONS}, p AS (SELECT c_custkey AS id, (c_custkey % 37) * 0.006 AS px, (c_custkey % 29) * 0.005 AS py FROM customer), m AS (SELECT id, min((sqrt((px - x) ** 2 + (py - y) ** 2), station)) AS m FROM p CROSS JOIN stations GROUP BY id) SELECT id, m[2] AS ref, round(m[1], 6) AS distance FROM m",
-        "jn5_distances": f"WITH {STATIONS} SELECT a.station AS a, b.station AS b, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) AS distance FROM stations a CROSS JOIN stations b",
+        "jn5_distances": f"WITH {STATIONS} SELECT a.station AS a, b.station AS b, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) AS distance FROM stations a CROSS JOIN stations b WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) < 0.3",
         "ts3_fill_nearest": nearest_fill("SELECT station, ts, m[3] AS filled, 'nearest_[' || CAST(m[2] AS BIGINT) || ']' AS origin FROM (SELECT station, ts, min((d, b, v)) AS m FROM met GROUP BY station, ts)", ", CASE WHEN value IS NOT NULL THEN 'current_station' ELSE coalesce(origin, 'no_data') END AS source"),
         "in5_fill_idw": nearest_fill("SELECT station, ts, sum(v / (d * d)) / sum(1 / (d * d)) AS filled FROM met GROUP BY station, ts", ""),
         "co4_cell_centres": f"WITH {CELLS} SELECT tile, row, col, round(10.0 + (col + 0.5) * 0.5, 6) AS x, round(45.0 - (row + 0.5) * 0.5, 6) AS y, CAST(row * 50 + col AS BIGINT) AS idx_1d FROM cells",
@@ -222,19 +222,19 @@ SELECT station, ts, round(avg(h) OVER ({FRAME} 2 PRECEDING AND CURRENT ROW), 6)
         "ra8_resample": f"WITH {CELLS} SELECT tile, CAST(row // 4 AS INT) AS row, CAST(col // 4 AS INT) AS col, round(avg(z), 6) AS z FROM cells GROUP BY tile, row // 4, col // 4",
         "ra10_paint": f"WITH {BURNS} SELECT c.tile, c.row, c.col, coalesce(min(k) * 1.5, -9.0)::DOUBLE AS value FROM cells c LEFT JOIN burns b ON b.tile = c.tile AND b.row = c.row AND b.col = c.col GROUP BY c.tile, c.row, c.col",
         "jn4_cells_in_polygons": f"WITH {CELLS}, {EDGES}, p AS (SELECT tile, row, col, col + 0.25 AS x, row + 0.25 AS y FROM cells) SELECT tile, row, col, CAST(poly_id AS INT) AS poly_id FROM p CROSS JOIN edges GROUP BY tile, row, col, x, y, poly_id HAVING count(*) FILTER (WHERE (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / nullif(y2 - y1, 0) + x1) % 2 = 1",
-        "mo1_slip_model": """WITH r AS (SELECT user_id % 3 AS station, date_trunc('day', ts) AS a, date_trunc('day', ts) + INTERVAL 1 DAY AS b, sum(value) / 1000 AS rain FROM events GROUP BY ALL),
+        "mo1_slip_model": """WITH r AS (SELECT user_id AS station, date_trunc('day', ts) AS a, date_trunc('day', ts) + INTERVAL 1 DAY AS b, sum(value) / 1000 AS rain FROM events GROUP BY ALL),
 w AS (SELECT x.station, x.b, CASE WHEN bool_or(abs(epoch(y.a) - (epoch(x.b) - 432000)) <= 1) THEN sum(y.rain / 1000 * exp(-0.01 * (epoch(x.b) - epoch(y.b)) / 3600)) END AS residual FROM r x JOIN r y ON y.station = x.station AND y.b <= x.b AND epoch(y.a) >= epoch(x.b) - 432000 - 1 GROUP BY x.station, x.b),
 m AS (SELECT *, CASE WHEN residual IS NOT NULL THEN least(residual / (0.3 * 1.2 * (1 - 0.8)), 1.0) END AS m, radians(30.0) AS be FROM w),
 f AS (SELECT *, 5.0 + 80.0 * 0.8 * (1 - 0.8) ** 0.4 * (1 - m) ** 3.4 AS c, cos(be) * 12 * (m * (0.3 - 1) + 2.7 * 0.7 + 0.8 * 0.3 * (1 - m)) AS wb, cos(be) * 12 * (m * 0.3 + 2.7 * 0.7 + 0.8 * 0.3 * (1 - m)) AS w FROM m)
 SELECT station, b AS end_ts, round(residual, 9) AS residual, round((wb * cos(be) * tan(radians(20.0)) + c) / (w * sin(be)), 9) AS fs FROM f""",
         "it1_flow_paths": f"""WITH RECURSIVE {NEIGHBOURS}, best AS (SELECT tile, row, col, min((slope, dir, n_row, n_col)) AS m FROM nb GROUP BY tile, row, col HAVING count(*) = 8),
 nx AS (SELECT tile, row, col, m[1] AS slope, m[3] AS nr, m[4] AS nc, degrees(atan(m[1])) AS deg FROM best),
-walk AS (SELECT tile * 100000 + row * 1000 + col AS path_id, tile, row, col, 0 AS steps, [row || ':' || col] AS path, 0 AS flat, CAST(NULL AS VARCHAR) AS stop FROM cells WHERE row % 5 = 2 AND col % 7 = 3
+walk AS (SELECT tile * 100000 + row * 1000 + col AS path_id, tile, row, col, 0 AS steps, [row || ':' || col] AS path, 0 AS flat, CAST(NULL AS VARCHAR) AS stop FROM cells
   UNION ALL
   SELECT path_id, tile, CASE WHEN st IS NULL THEN nr ELSE row END, CASE WHEN st IS NULL THEN nc ELSE col END, CASE WHEN st IS NULL THEN steps + 1 ELSE steps END, CASE WHEN st IS NULL THEN list_append(path, nr || ':' || nc) ELSE path END, fl, st
   FROM (SELECT *, CASE WHEN slope IS NULL THEN 'edge_reached' WHEN abs(deg) >= 7 AND deg > 0 THEN 'greater_than_tolerance_opposite_flow' WHEN list_contains(path, nr || ':' || nc) THEN 'loop_detected' WHEN fl > 1 THEN 'invalid_steps_tolerance_reached' WHEN false THEN '' END AS st
-    FROM (SELECT w.*, nr, nc, slope, deg, CASE WHEN abs(deg) < 7 THEN flat + 1 ELSE 0 END AS fl FROM walk w LEFT JOIN nx ON nx.tile = w.tile AND nx.row = w.row AND nx.col = w.col WHERE w.stop IS NULL AND w.steps < 12)))
-SELECT path_id, steps, coalesce(stop, 'max_runout') AS stop_reason, array_to_string(path, ',') AS cells FROM walk WHERE stop IS NOT NULL OR steps = 12""",
+    FROM (SELECT w.*, nr, nc, slope, deg, CASE WHEN abs(deg) < 7 THEN flat + 1 ELSE 0 END AS fl FROM walk w LEFT JOIN nx ON nx.tile = w.tile AND nx.row = w.row AND nx.col = w.col WHERE w.stop IS NULL AND w.steps < 50)))
+SELECT path_id, steps, coalesce(stop, 'max_runout') AS stop_reason, array_to_string(path, ',') AS cells FROM walk WHERE stop IS NOT NULL OR steps = 50""",
         "it5_top_paths": "SELECT start, path_id, score FROM (SELECT o_custkey AS start, o_orderkey AS path_id, o_totalprice AS score, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 3",
     }
     from scarpline.plans import areas
