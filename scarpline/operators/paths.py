@@ -2,21 +2,42 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scarpline.operators.grid import d8_neighbours
+from scarpline.operators.grid import D8, d8_neighbours
 
 
 def next_cells(cells: DataFrame, downstream: bool = True, step: int = 1) -> DataFrame:
-    """The steepest of eight neighbours of each cell that has all of them: (tile, row, col, n_row, n_col, slope, length)."""
-    slopes = d8_neighbours(cells, step)
-    steep = F.col("slope") if downstream else -F.col("slope")
-    best = slopes.withColumn("s", steep).groupBy("tile", "row", "col").agg(F.count("*").alias("n"), F.min(F.struct("s", "dir", "n_row", "n_col", "slope", "length")).alias("m"))
-    return best.filter("n = 8").select("tile", "row", "col", "m.n_row", "m.n_col", "m.slope", "m.length")
-
+    """The steepest of eight neighbours of each cell that has all of them: (tile, row, col, n_row, n_col, slope, length).
 
-def d8_paths(cells: DataFrame, starts: DataFrame, downstream: bool = True, max_steps: int = 50, min_slope_degrees: float = 7.0, tolerance: int = 1, cut_every: int = 20) -> DataFrame:
+    Direct neighbours come from two windows, over rows and over columns, so no cell is multiplied; farther ones by a join.
+    """
+    if step != 1:
+        slopes = d8_neighbours(cells, step)
+        steep = F.col("slope") if downstream else -F.col("slope")
+        best = slopes.withColumn("s", steep).groupBy("tile", "row", "col").agg(F.count("*").alias("n"), F.min(F.struct("s", "dir", "n_row", "n_col", "slope", "length")).alias("m")).filter("n = 8")
+    else:
+        across, down = Window.partitionBy("tile", "row").orderBy("col"), Window.partitionBy("tile", "col").orderBy("row")
+        beside = lambda k, c, of, w: F.when(F.lead(c, k).over(w) == F.col(c) + k, F.lead(of, k).over(w))
+        cell = F.struct(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "z")
+        wide = cells.select("tile", "row", "col", "z", cell.alias("own")).select("*", beside(-1, "col", "own", across).alias("w"), beside(1, "col", "own", across).alias("e"))
+        wide = wide.withColumn("three", F.struct("w", "own", "e"))
+        wide = wide.select("tile", "row", "col", "z", "w", "e", beside(-1, "row", "three", down).alias("n"), beside(1, "row", "three", down).alias("s"))
+        around = [F.col(c) for c in ("e", "s.e", "s.own", "s.w", "w", "n.w", "n.own", "n.e")]
+        lengths = [math.hypot(*d) for d in D8]
+        slope = lambda c, length: (c["z"] - F.col("z")) / length
+        ways = [F.struct((slope(c, x) if downstream else -slope(c, x)).alias("s"), F.lit(k).alias("dir"), c["row"].alias("n_row"), c["col"].alias("n_col"), slope(c, x).alias("slope"), F.lit(x).alias("length")) for k, (c, x) in enumerate(zip(around, lengths))]
+        all_there = F.lit(True)
+        for c in around:
+            all_there = all_there & c.isNotNull()
+        best = wide.filter(all_there).select("tile", "row", "col", F.array_min(F.array(*ways)).alias("m"))
+    return best.select("tile", "row", "col", "m.n_row", "m.n_col", "m.slope", "m.length")
+
+
+def d8_paths(cells: DataFrame, starts: DataFrame, downstream: bool = True, max_steps: int = 50, min_slope_degrees: float = 7.0, tolerance: int = 1, cut_every: int = 8) -> DataFrame:
     """IT-1: from each start (path_id, tile, row, col) the walk to the steepest neighbour: path_id, steps, stop_reason, cells.
 
     One join a step over all paths at once. It stops at an edge, on a slope of the wrong sign beyond the minimum, at a
@@ -113,7 +134,7 @@ def gradient_paths(cells: DataFrame, starts: DataFrame, downstream: bool = True,
     return found.select("path_id", (F.size("cells") - 1).alias("steps"), F.col("stop").alias("stop_reason"), "cells", F.col("valid").alias("validity"), "deviation")
 
 
-def compatible_paths(cells: DataFrame, starts: DataFrame, downstream: bool = True, max_steps: int = 6, min_slope_degrees: float = 7.0, tolerance: int = 1, opposite_low: bool = False, maximum_paths: int | None = None) -> DataFrame:
+def compatible_paths(cells: DataFrame, starts: DataFrame, downstream: bool = True, max_steps: int = 50, min_slope_degrees: float = 7.0, tolerance: int = 1, opposite_low: bool = False, maximum_paths: int | None = 50_000) -> DataFrame:
     """IT-4: all simple paths over neighbours whose slope is compatible with the flow: path_id, steps, stop_reason, cells, validity, deviation.
 
     A frontier of paths grows by one step a round, by one join; every path ends as max_runout, edge_reached,
