@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -47,22 +48,29 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextmanager
+def shuffles_released(spark: SparkSession):
+    """Queries run in here release their shuffle files when they end."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write a table that is read more than once to the shared folder and read it back.
 
-    Columnar files take a fraction of what a checkpoint of rows takes, and lost executors recompute nothing.
+    Columnar files take a fraction of what a checkpoint of rows takes, and lost executors recompute nothing. The files
+    hold all that the shuffles led to, so these are released.
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/scarpline-{uuid.uuid4().hex}"
-    conf = df.sparkSession.conf
-    before = conf.get(CLEANUP, None)
-    conf.set(CLEANUP, "true")  # the files hold all that the shuffles led to
-    try:
+    with shuffles_released(df.sparkSession):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        if before is None:
-            conf.unset(CLEANUP)
-        else:
-            conf.set(CLEANUP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out

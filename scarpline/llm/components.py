@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scarpline.llm.common import checkpointed
+from scarpline.llm.common import discard, shuffles_released, stored
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -29,13 +29,18 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     so a node with very many links meets no single task; the joins are ones that AQE splits.
     Nodes without links are not listed. An empty table gives an empty table.
     """
-    links = checkpointed(links.select(F.col("u").cast("long"), F.col("v").cast("long")).filter("u <> v").distinct())
-    mark = lambda df: df.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
+    links = stored(links.select(F.col("u").cast("long"), F.col("v").cast("long")).filter("u <> v").distinct())
+
+    def mark(df: DataFrame):
+        with shuffles_released(df.sparkSession):
+            return df.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
+
     before = mark(links)
     for _ in range(max_rounds):
         if not before[0]:
             break
-        links = checkpointed(_small_star(_large_star(links)))
+        old, links = links, stored(_small_star(_large_star(links)))
+        discard(old)
         now = mark(links)
         if now == before:
             break

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scarpline.llm.common import checkpointed
+from scarpline.llm.common import shuffles_released, stored
 
 MAX_BITS = 4
 LEAF, FAN = 16, 8
@@ -156,9 +156,10 @@ def hamming_links(fps: DataFrame, bound: int = MAX_BITS, group_rows: int = 2048,
     rows = _cut(fps.select("fp").distinct().withColumn("group", F.lit(0).cast("long")), (1 << 64) - 1, bound)
     done = []
     for left in range(cuts - 1, -1, -1):
-        rows = checkpointed(rows)
-        sizes = checkpointed(rows.groupBy("group").agg(F.count("*").alias("n"), F.min("free").alias("free")).filter(F.col("n") > group_rows))
-        kinds = [r[0] for r in sizes.select("free").distinct().collect()]  # one per way of cutting the 64 bits
+        rows = stored(rows)
+        sizes = stored(rows.groupBy("group").agg(F.count("*").alias("n"), F.min("free").alias("free")).filter(F.col("n") > group_rows))
+        with shuffles_released(sizes.sparkSession):
+            kinds = [r[0] for r in sizes.select("free").distinct().collect()]  # one per way of cutting the 64 bits
         done.append(rows.join(sizes.select("group"), "group", "left_anti").select("group", "fp"))
         large = rows.join(sizes.select("group", "n"), "group")
         if not kinds or not left:

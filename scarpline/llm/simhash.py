@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scarpline.llm.common import checkpointed, hex64, rows_of, stored
+from scarpline.llm.common import hex64, rows_of, stored
 from scarpline.llm.components import connected_components
 from scarpline.llm.hamming import MAX_BITS, hamming_links
 from scarpline.llm.similar import similar
@@ -55,11 +55,11 @@ def near_duplicates(docs: DataFrame, width: int = 4, bound: int = MAX_BITS) -> D
     gives an empty one. Documents of equal fingerprint meet only in pre-aggregated minima.
     """
     fps = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _fingerprints(it, width), "doc_id long, fp long"))
-    first = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    first = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = connected_components(hamming_links(first, bound))
     with_root = first.join(roots, first.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     # a table of its own, so that AQE can split the join at a component of very many fingerprints
-    least = checkpointed(with_root.groupBy("root").agg(F.min("first").alias("component_id")))
+    least = stored(with_root.groupBy("root").agg(F.min("first").alias("component_id")))
     names = with_root.join(least, "root").select("fp", "component_id")
     return fps.join(names, "fp").select("doc_id", "fp", "component_id")
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scarpline.llm.common import checkpointed, discard, rows_of, stored
+from scarpline.llm.common import discard, rows_of, shuffles_released, stored
 from scarpline.llm.components import connected_components
 from scarpline.llm.hamming import MAX_BITS, hamming_links
 
@@ -99,7 +99,7 @@ def _rooted(places: DataFrame, links: DataFrame) -> DataFrame:
 
 def _by_fingerprint(distinct: DataFrame) -> DataFrame:
     """Pairs (u, v) of nodes that the Gray-ordered index links, each with the first one of its group, and of equal fingerprints."""
-    first = checkpointed(distinct.groupBy("fp").agg(F.min("node").alias("first")))
+    first = stored(distinct.groupBy("fp").agg(F.min("node").alias("first")))
     same = distinct.join(first, "fp").filter(F.col("node") != F.col("first")).select(F.col("node").alias("u"), F.col("first").alias("v"))
     links = hamming_links(first, MAX_BITS).filter("u <> v").distinct()
     named = links.join(first.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v")
@@ -118,11 +118,12 @@ def similar(keyed: DataFrame, common: int = COMMON, small: int = SMALL) -> tuple
     discard(found)
     opened = distinct.select("k", F.explode("grams").alias("gram"))
     often = stored(opened.groupBy("gram").agg(F.count("*").alias("c")).filter(F.col("c") > common))
-    late = np.sort(often.orderBy(F.desc("c"), "gram").limit(MAX_COMMON).select("gram").toArrow().column(0).to_numpy())
+    with shuffles_released(keyed.sparkSession):
+        late = np.sort(often.orderBy(F.desc("c"), "gram").limit(MAX_COMMON).select("gram").toArrow().column(0).to_numpy())
     if len(late):
         spark = keyed.sparkSession
         frame = spark.createDataFrame(pa.table({"gram": late}))
-        again = checkpointed(opened.join(F.broadcast(frame), "gram", "left_semi").select("k").distinct())
+        again = stored(opened.join(F.broadcast(frame), "gram", "left_semi").select("k").distinct())
         redone = sets(keyed.join(again, "k", "left_semi").dropDuplicates(["k"]), spark.sparkContext.broadcast(late))
         before, distinct = distinct, stored(distinct.join(again, "k", "left_anti").unionByName(redone))
         discard(before)
