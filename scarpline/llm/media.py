@@ -123,4 +123,4 @@ def media_features(media: DataFrame) -> DataFrame:
 def op5_rows(docs: DataFrame) -> DataFrame:
     found = media_features(wav_column(docs))
     pairs = F.concat_ws(";", F.array_join(F.col("times").cast("array<string>"), ","), F.array_join(F.col("codes").cast("array<string>"), ","))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.concat(F.size("times").cast("string"), F.lit(":"), F.md5(pairs)).alias("feature"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.concat(F.size("times").cast("string"), F.lit(":"), F.md5(pairs)).alias("feature"), "times", "codes")
