@@ -3,10 +3,12 @@
 SimHash fingerprints of the sets are linked by the Gray-ordered index first, each link is checked on the whole sets. Sets as
 alike as that may still differ in a dozen of 64 bits, so a prefix filter finds what the fingerprints leave apart: under any
 common order of the shingles, two such sets share one of the first n - ceil(0.8 n) + 1 of theirs. The order is by hash, with
-very common shingles last. Sets that share one of these with at most SMALL sets are all compared, which misses no link. In
-denser clouds, where all pairs would be the square of the cloud, each set meets a few sets of each shingle it is apart from
-and the best linked one, round by round. Every link is checked on the whole sets; a bitmap of each set, with a bound that
-only drops pairs that can't be alike enough, spares most candidates the shuffle of their sets.
+very common shingles last. Sets that share one of these with at most SMALL sets are all compared. In denser clouds each set
+first meets a few sets of each shingle it is apart from and the best linked one, round by round, which joins most of a cloud.
+What then still shares a shingle with more than SMALL sets, but not their group, is dealt into tiles of a bounded number of
+shingles, and each tile of it meets the others, so no link between two groups is missed. Every link is checked on the whole
+sets; a bitmap of each set, with a bound that only drops pairs that can't be alike enough, spares most candidates the shuffle
+of their sets.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ SMALL, ROUNDS = 32, ((0, 1, 2), (3, 4, 5))
 #: Shingles that open more sets than this are ordered last, the most common ones up to a bounded list; any value gives the same groups.
 COMMON, MAX_COMMON = 32, 200_000
 CHUNK = 1 << 15
+#: Shingles of the sets of one tile; any number gives the same groups.
+TILE = 1 << 19
 #: Bits of the bitmap of a whole set; any power of two from 64 on gives the same groups.
 PARITY_BITS = 512
 
@@ -127,11 +131,11 @@ def _by_fingerprint(distinct: DataFrame) -> DataFrame:
     return same.union(named.select("a", "b"))
 
 
-def similar(keyed: DataFrame, common: int = COMMON, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+def similar(keyed: DataFrame, common: int = COMMON, small: int = SMALL, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
     """(rows (k, node) of rows (k, text), rows (node, root) of the nodes with a link), by chains of pairs of similarity 4/5 or more.
 
-    Null texts and texts without words have one node. Links between sets that share a shingle of their prefix with at most
-    `small` sets are all found; of those in denser clouds a test measures a share of 0.9. k must be distinct for different texts.
+    Null texts and texts without words have one node. The groups are those of all links, also in clouds that share a shingle of
+    their prefix with more than `small` sets. k must be distinct for different texts.
     """
     found = stored(sets(keyed))
     distinct = stored(found.filter("n > 0").dropDuplicates(["node"]))
@@ -164,8 +168,10 @@ def similar(keyed: DataFrame, common: int = COMMON, small: int = SMALL) -> tuple
         left = _again(left, links)
         links = _more(links, _by_degree(left, links) if k else _by_degree(left, links).union(_small(left, small)), full)
         left = _again(left, links)
+    rest = stored(_in_tiles(_rest(left, small, tile), full))
+    links = stored(links.union(rest))
     out = connected_components(links)
-    discard(left, full, links)
+    discard(left, full, links, rest)
     return rows, out
 
 
@@ -190,6 +196,58 @@ def _small(left: DataFrame, small: int) -> DataFrame:
     return few.join(other, "gram").filter("node < other AND root <> at").select("node", "n", "other", "m")
 
 
+def _rest(left: DataFrame, small: int, tile: int) -> DataFrame:
+    """Rows (key, node, root, asks) of the shingles with more than `small` sets: tiles of sets, of which those with asks meet the others of their key.
+
+    The sets of a shingle's largest root need not meet one another; all else meets them and itself, tile by tile.
+    """
+    roots = left.groupBy("gram", "root").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    stats = roots.groupBy("gram").agg(F.sum("c").alias("c"), F.sum("w").alias("w"), F.max(F.struct("w", "root")).alias("main")).filter(F.col("c") > small)
+    deal = lambda w: F.ceil(w / F.lit(tile)).cast("int")
+    stats = stats.select("gram", F.col("main.root").alias("main"), deal(F.col("main.w")).alias("mains"), deal(F.col("w") - F.col("main.w")).alias("others"))
+    dealt = left.join(stats, "gram").withColumn("asks", F.col("root") != F.col("main"))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("asks"), F.col("others")).otherwise(F.col("mains"))).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    pair = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
+    inner = F.transform(upto("others"), lambda i: pair(0, F.least(i, F.col("own")), F.greatest(i, F.col("own"))))
+    outer = F.transform(upto("mains"), lambda i: pair(1, F.col("own"), i))
+    met = F.when(F.col("asks"), F.concat(inner, outer)).otherwise(F.transform(upto("others"), lambda i: pair(1, i, F.col("own"))))
+    return dealt.withColumn("own", own).select("gram", "node", "root", "asks", F.explode(met).alias("at")).select(F.xxhash64("gram", "at").alias("key"), "node", "root", "asks")
+
+
+def _tile_links(table: pa.Table) -> pa.Table:
+    """Links between sets of different roots in one key: each that joins two roots not joined there yet."""
+    node, root, asks = (table.column(c).to_numpy() for c in ("node", "root", "asks"))
+    grams = table.column("grams").combine_chunks()
+    ends = np.concatenate([[0], np.cumsum(grams.value_lengths().to_numpy())])
+    values = grams.flatten().to_numpy()
+    size, (_, group) = np.diff(ends), np.unique(root, return_inverse=True)
+    open_ = np.flatnonzero(~asks if not asks.all() else asks)  # a tile of the largest root is asked by the others only
+    held = np.concatenate([values[ends[i] : ends[i + 1]] for i in open_])
+    owner = np.repeat(open_, size[open_])
+    order = np.argsort(held, kind="stable")
+    held, owner = held[order], owner[order]
+    u, v = [], []
+    for i in np.flatnonzero(asks):
+        mine = values[ends[i] : ends[i + 1]]
+        a, b = np.searchsorted(held, mine, "left"), np.searchsorted(held, mine, "right")
+        n = b - a
+        at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+        shared = np.bincount(owner[at], minlength=len(node))
+        alike = np.flatnonzero((9 * shared >= 4 * (size + size[i])) & (shared > 0) & (group != group[i]))
+        joined, first = np.unique(group[alike], return_index=True)
+        u += [node[i]] * len(first)
+        v += node[alike[first]].tolist()
+        if len(first):
+            group[np.isin(group, joined)] = group[i]
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+def _in_tiles(rest: DataFrame, full: DataFrame) -> DataFrame:
+    """The links (u, v) that hold between the sets of each key and different roots."""
+    return rest.join(full.select("node", "grams"), "node").groupBy("key").applyInArrow(_tile_links, "u long, v long")
+
+
 def _more(links: DataFrame, found: DataFrame, full: DataFrame) -> DataFrame:
     """The links with those of the candidates (node, n, other, m) that hold."""
     more = _checked(_pairs(found), full)
