@@ -6,7 +6,8 @@ common order of the shingles, two such sets share one of the first n - ceil(0.8
 very common shingles last. Sets that share one of these with at most SMALL sets are all compared. In denser clouds each set
 first meets a few sets of each shingle it is apart from and the best linked one, round by round, which joins most of a cloud.
 What then still shares a shingle with more than SMALL sets, but not their group, is dealt into tiles of a bounded number of
-shingles, and each tile of it meets the others, so no link between two groups is missed. Every link is checked on the whole
+shingles, and each tile of it meets the others, so no link between two groups is missed: first as wide bitmaps, then, where
+these leave a pair, as whole sets. Every link is checked on the whole
 sets; a bitmap of each set, with a bound that only drops pairs that can't be alike enough, spares most candidates the shuffle
 of their sets.
 """
@@ -168,10 +169,10 @@ def similar(keyed: DataFrame, common: int = COMMON, small: int = SMALL, tile: in
         left = _again(left, links)
         links = _more(links, _by_degree(left, links) if k else _by_degree(left, links).union(_small(left, small)), full)
         left = _again(left, links)
-    rest = stored(_in_tiles(_rest(left, small, tile), full))
-    links = stored(links.union(rest))
-    out = connected_components(links)
-    discard(left, full, links, rest)
+    rest = stored(_rest(left, small, tile))
+    more = _in_tiles(rest, full)
+    out = connected_components(links.union(more))
+    discard(left, full, links, rest, more)
     return rows, out
 
 
@@ -222,6 +223,8 @@ def _tile_links(table: pa.Table) -> pa.Table:
     ends = np.concatenate([[0], np.cumsum(grams.value_lengths().to_numpy())])
     values = grams.flatten().to_numpy()
     size, (_, group) = np.diff(ends), np.unique(root, return_inverse=True)
+    if not asks.any():
+        return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
     open_ = np.flatnonzero(~asks if not asks.all() else asks)  # a tile of the largest root is asked by the others only
     held = np.concatenate([values[ends[i] : ends[i + 1]] for i in open_])
     owner = np.repeat(open_, size[open_])
@@ -243,9 +246,46 @@ def _tile_links(table: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
+def _wide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, n, bits) with a bitmap of at least four bits a shingle, its width a power of two."""
+    for rows in rows_of(batches):
+        bits = []
+        for x in rows["grams"]:
+            x = np.array(x, np.int64)
+            width = max(64, 1 << int(4 * len(x) - 1).bit_length())
+            bits.append(np.packbits((np.bincount(x & (width - 1), minlength=width) & 1).astype(np.uint8), bitorder="little").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(rows["node"], pa.int64()), pa.array([len(x) for x in rows["grams"]], pa.int64()), pa.array(bits, pa.binary())], ["node", "n", "bits"])
+
+
+def _tile_left(table: pa.Table) -> pa.Table:
+    """The rows of one key that the bitmaps leave a pair of different roots."""
+    node, root, asks, n = (table.column(c).to_numpy() for c in ("node", "root", "asks", "n"))
+    bits = [np.frombuffer(x, np.uint64) for x in table.column("bits").to_pylist()]
+    width = np.array([len(x) for x in bits])
+    answers = ~asks if not asks.all() else asks
+    left = np.zeros(len(node), bool)
+    for w in np.unique(width[asks]):
+        # sets so alike differ by one step of width at most; the wider one is folded
+        near = [(v, np.flatnonzero(answers & (width == v))) for v in (w // 2, w, 2 * w)]
+        held = [(v, at, np.stack([bits[i] if v <= w else bits[i][:w] ^ bits[i][w:] for i in at])) for v, at in near if len(at)]
+        for i in np.flatnonzero(asks & (width == w)):
+            for v, at, others in held:
+                mine = bits[i] if v >= w else bits[i][:v] ^ bits[i][v:]
+                live = at[(9 * np.bitwise_count(others ^ mine).sum(1, dtype=np.int64) <= n[at] + n[i]) & (root[at] != root[i])]
+                left[live] = True
+                left[i] |= len(live) > 0
+    return table.select(["key", "node", "root", "asks"]).filter(pa.array(left))
+
+
 def _in_tiles(rest: DataFrame, full: DataFrame) -> DataFrame:
-    """The links (u, v) that hold between the sets of each key and different roots."""
-    return rest.join(full.select("node", "grams"), "node").groupBy("key").applyInArrow(_tile_links, "u long, v long")
+    """The links (u, v) that hold between the sets of each key and different roots, stored."""
+    nodes = stored(rest.select("node").distinct())
+    met = full.join(bounded_broadcast(nodes, 8 * nodes.count()), "node", "left_semi")
+    wide = stored(met.select("node", "grams").mapInArrow(_wide, "node long, n long, bits binary"))
+    left = stored(rest.join(wide, "node").groupBy("key").applyInArrow(_tile_left, "key long, node long, root long, asks boolean"))
+    out = stored(left.join(full.select("node", "grams"), "node").groupBy("key").applyInArrow(_tile_links, "u long, v long"))
+    discard(nodes, wide, left)
+    return out
 
 
 def _more(links: DataFrame, found: DataFrame, full: DataFrame) -> DataFrame:

@@ -1,8 +1,12 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from scarpline.llm import similar, simhash
+from scarpline.llm.hamming import _merge
 
 
 def shingled(text):
@@ -83,3 +87,31 @@ def test_dense_clouds_of_near_copies(spark, tile):
     root = {k: min(ks) for ks in found.values() for k in ks}
     assert [root[i] for i in range(len(rows))] == want
     assert len([i for i in range(len(rows)) if want[i] != i]) > 300
+
+
+@pytest.mark.parametrize("one_root", [True, False])
+def test_tiles_lose_no_link(one_root):
+    """One key of sets with 30 roots, of which the largest root only answers, or all ask: groups as from all pairs."""
+    rng, seen = np.random.default_rng(3), 0
+    groups = lambda links: _merge(np.arange(60), *np.array(links).T).tolist()
+    for _ in range(8):
+        sets, draw = [], lambda n: rng.integers(-(2**62), 2**62, int(n))
+        bases = [draw(rng.integers(1, 900)) for _ in range(3)]
+        for _ in range(60):
+            base, part = bases[rng.integers(3)], rng.random() * 0.17
+            sets.append(np.unique(np.r_[base[rng.random(len(base)) > part], draw(len(base) * part), base[:1]]))
+        root = np.where(rng.random(60) < 0.4, 0, rng.integers(1, 30, 60))
+        asks = root != 0 if one_root else np.ones(60, bool)
+        rows = pa.table({"key": [1] * 60, "node": range(60), "root": root, "asks": asks, "grams": pa.array([x.tolist() for x in sets], pa.list_(pa.int64()))})
+        wide = pa.Table.from_batches(list(similar._wide(rows.select(["node", "grams"]).to_batches())))
+        left = similar._tile_left(rows.drop(["grams"]).append_column("n", wide["n"]).append_column("bits", wide["bits"]))
+        found = similar._tile_links(rows.filter(pc.is_in(rows["node"], left["node"])))
+        pairs = [(i, j) for i in range(60) for j in range(i)]
+        alike = {(i, j) for i, j in pairs if root[i] != root[j] and 9 * len(np.intersect1d(sets[i], sets[j])) >= 4 * (len(sets[i]) + len(sets[j]))}
+        want = {(i, j) for i, j in alike if asks[i] != asks[j] or not one_root}
+        got = {(max(p), min(p)) for p in zip(found["u"].to_pylist(), found["v"].to_pylist())}
+        assert got <= alike
+        trees = lambda links: groups([(i, j) for i, j in pairs if root[i] == root[j]] + sorted(links))
+        assert trees(got) == trees(got | want)
+        seen += len(want)
+    assert seen > 100
