@@ -28,7 +28,7 @@ def regular_axis(obs: DataFrame, step_seconds: int = 3600, keys: Sequence[str] =
 
 def snap(obs: DataFrame, step_seconds: int, origin: str = "1970-01-01") -> DataFrame:
     """JN-6: times moved to the nearest slot if they lie within half a step, at one value a slot; others go."""
-    secs = F.unix_micros("ts") / 1e6 - F.unix_timestamp(F.lit(origin).cast("timestamp"))
+    secs = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - F.unix_timestamp(F.lit(origin).cast("timestamp"))
     slot = F.floor(secs / step_seconds + 0.5)
     near = F.abs(secs - slot * step_seconds) < step_seconds / 2
     slotted = obs.filter(near).withColumn("slot", slot)
