@@ -7,11 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scarpline.llm.common import checkpointed, stored
+from scarpline.llm.common import discard, shuffles_released, stored
 
 #: Fixed values: (host, path, verdict) of the rules in use.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-DAMPING, ROUNDS, SETTLED, THRESHOLD = 0.85, 20, 1e-4, 0.0
+#: SETTLED is a share of a host's own score, so hosts far from every seed count like others; ROUNDS only ends what does not settle.
+DAMPING, ROUNDS, SETTLED, THRESHOLD = 0.85, 200, 1e-3, 0.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 Rules = Sequence[tuple[str, str, str]]
 
@@ -41,24 +42,31 @@ def spread_trust(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, r
     """Rows (host, trust, distrust): personalised PageRank from seeds (host, good, bad: shares from 0 to 1).
 
     Trust follows links (src, dst, n) forwards, distrust backwards, each split by the number of links; a round is
-    two joins and a sum pre-aggregated by host. It ends after `rounds` or once no host moves by more than `settled`.
+    two joins and a sum pre-aggregated by host. It ends once no host's scores move by more than the share `settled` of
+    their sum, which a host reached for the first time always does; RuntimeError if that takes more than `rounds`.
     """
     out = links.groupBy("src").agg(F.sum("n").alias("out"))
     into = links.groupBy("dst").agg(F.sum("n").alias("in"))
-    edges = checkpointed(links.join(out, "src").join(into, "dst").select("src", "dst", (F.col("n") / F.col("out")).alias("forth"), (F.col("n") / F.col("in")).alias("back")))
-    seeds = checkpointed(seeds.groupBy("host").agg(F.max("good").alias("good"), F.max("bad").alias("bad")))
-    now = seeds.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
+    edges = stored(links.join(out, "src").join(into, "dst").select("src", "dst", (F.col("n") / F.col("out")).alias("forth"), (F.col("n") / F.col("in")).alias("back")))
+    seeds = stored(seeds.groupBy("host").agg(F.max("good").alias("good"), F.max("bad").alias("bad")))
+    now = stored(seeds.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust")))
     for _ in range(rounds):
         forth = edges.join(now, F.col("src") == F.col("host")).select(F.col("dst").alias("host"), (F.col("trust") * F.col("forth")).alias("trust"), F.lit(0.0).alias("distrust"))
         back = edges.join(now, F.col("dst") == F.col("host")).select(F.col("src").alias("host"), F.lit(0.0).alias("trust"), (F.col("distrust") * F.col("back")).alias("distrust"))
         own = seeds.select("host", (F.col("good") * ((1 - damping) / damping)).alias("trust"), (F.col("bad") * ((1 - damping) / damping)).alias("distrust"))
         new = forth.union(back).union(own).groupBy("host").agg((F.sum("trust") * damping).alias("trust"), (F.sum("distrust") * damping).alias("distrust"))
-        new = checkpointed(new)
-        moved = new.alias("a").join(now.alias("b"), "host", "full").agg(F.max(F.abs(F.coalesce("a.trust", F.lit(0.0)) - F.coalesce("b.trust", F.lit(0.0))) + F.abs(F.coalesce("a.distrust", F.lit(0.0)) - F.coalesce("b.distrust", F.lit(0.0))))).first()[0]
-        now = new
+        new = stored(new)
+        was = now.select("host", F.col("trust").alias("t"), F.col("distrust").alias("d"))
+        change = F.abs(F.col("trust") - F.coalesce("t", F.lit(0.0))) + F.abs(F.col("distrust") - F.coalesce("d", F.lit(0.0)))
+        # every host of a round is in the next: seeds stay, and so do those with a link
+        with shuffles_released(new.sparkSession):
+            moved = new.join(was, "host", "left").agg(F.max(change / F.nullif(F.col("trust") + F.col("distrust"), F.lit(0.0)))).first()[0]
+        old, now = now, new
+        discard(old)
         if (moved or 0.0) <= settled:
-            break
-    return now
+            discard(edges, seeds)
+            return now
+    raise RuntimeError(f"trust and distrust did not settle in {rounds} rounds")
 
 
 def judge_urls(pages: DataFrame, rules: Rules = RULES, threshold: float = THRESHOLD) -> DataFrame:
