@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scarpline.llm import decontam, html_extract, langid, line_dedup, media, packing, quality, simhash, substring, url_filter
+from scarpline.llm import conversations, decontam, html_extract, langid, line_dedup, media, packing, quality, simhash, substring, url_filter
 from scarpline.llm.common import table
 
 DOCS = ("doc_id", "text")
@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": lambda s, d: substring.op8_rows(docs(s, d)),
         "op9_language_id": lambda s, d: langid.op9_rows(docs(s, d, "lang")),
         "op10_decontamination": lambda s, d: decontam.op10_rows(docs(s, d), table(s, d, "benchmark", "item_id", "text")),
+        "op13_conversation_repair": lambda s, d: conversations.op13_rows(table(s, d, "conversations", "conv_id", "turn", "role", "text")),
     }
 
 
