@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scarpline.llm import collocations, conversations, decontam, html_extract, langid, line_dedup, media, packing, quality, simhash, substring, url_filter
+from scarpline.llm import collocations, conversations, decontam, html_extract, langid, line_dedup, media, ngram_join, packing, quality, simhash, substring, url_filter
 from scarpline.llm.common import table
 
 DOCS = ("doc_id", "text")
@@ -25,10 +25,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": lambda s, d: substring.op8_rows(docs(s, d)),
         "op9_language_id": lambda s, d: langid.op9_rows(docs(s, d, "lang")),
         "op10_decontamination": lambda s, d: decontam.op10_rows(docs(s, d), table(s, d, "benchmark", "item_id", "text")),
+        "op11_ngram_join": lambda s, d: ngram_join.op11_rows(docs(s, d)),
         "op12_phrase_collocations": lambda s, d: collocations.op12_rows(table(s, d, "documents", "text", "lang")),
         "op13_conversation_repair": lambda s, d: conversations.op13_rows(table(s, d, "conversations", "conv_id", "turn", "role", "text")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": line_dedup.OP4_SQL, "op8_substring_dedup": substring.OP8_SQL, "op10_decontamination": decontam.OP10_SQL, "op12_phrase_collocations": collocations.OP12_SQL}
+    return {"op4_line_dedup": line_dedup.OP4_SQL, "op8_substring_dedup": substring.OP8_SQL, "op10_decontamination": decontam.OP10_SQL, "op11_ngram_join": ngram_join.OP11_SQL, "op12_phrase_collocations": collocations.OP12_SQL}

@@ -70,12 +70,14 @@ def representatives(docs: DataFrame) -> DataFrame:
     It is that of the smallest doc_id, of equals that of the smallest hash of doc_id and text; a row without a doc_id stands
     for its group if no row has one. Of rows of equal doc_id and text one stays.
     """
-    key = F.xxhash64("doc_id", "text")
-    nodes, roots = similar(docs.select(key.alias("k"), "text"))
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k")).alias("m")
-    firsts = docs.select(key.alias("k"), "doc_id").distinct().join(nodes.distinct(), "k").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(first)
-    chosen = firsts.select(F.col("m.k").alias("_k"))
-    return docs.withColumn("_key", key).join(chosen, F.col("_key") == F.col("_k"), "left_semi").dropDuplicates(["_key"]).drop("_key")
+    keys = [F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(7), "doc_id", "text").alias("k2")]
+    nodes, roots = similar(docs.select(*keys, "text"), fingerprints=True)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("m")
+    ids = docs.select(*keys, "doc_id").distinct()
+    firsts = ids.join(nodes.select("k1", "k2", "node"), ["k1", "k2"]).join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(first)
+    chosen = firsts.select(F.col("m.k1").alias("_k1"), F.col("m.k2").alias("_k2"))
+    own = docs.withColumns({"_key1": keys[0], "_key2": keys[1]})
+    return own.join(chosen, (F.col("_key1") == F.col("_k1")) & (F.col("_key2") == F.col("_k2")), "left_semi").dropDuplicates(["_key1", "_key2"]).drop("_key1", "_key2")
 
 
 def op3_rows(docs: DataFrame) -> DataFrame:

@@ -1,19 +1,18 @@
 """Groups of documents whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
 
-SimHash fingerprints of the sets are linked by the Gray-ordered index first, each link is checked on the whole sets. Sets as
-alike as that may still differ in a dozen of 64 bits, so a prefix filter finds what the fingerprints leave apart: under any
-common order of the shingles, two such sets share one of the first n - ceil(0.8 n) + 1 of theirs. The order is by hash, with
-very common shingles last. Sets that share one of these with at most SMALL sets are all compared. In denser clouds each set
-first meets a few sets of each shingle it is apart from and the best linked one, round by round, which joins most of a cloud.
-What then still shares a shingle with more than SMALL sets, but not their group, is dealt into tiles of a bounded number of
-shingles, and each tile of it meets the others, so no link between two groups is missed: first as wide bitmaps, then, where
-these leave a pair, as whole sets. Every link is checked on the whole
-sets; a bitmap of each set, with a bound that only drops pairs that can't be alike enough, spares most candidates the shuffle
-of their sets.
+Candidates come from prefixes: under any common order of the shingles, with rare ones first, two such sets share one of the first
+n - ceil(0.8 n) + 1 of theirs. Rare shingles are indexed one by one. Common ones come last, in classes, and are indexed by
+combinations of two, very common ones of three, while the prefix is extended by what a combination can hide (see signature).
+Sets that share a key first meet one set of it. Then those still apart are all compared where a key has at most SMALL sets; in larger ones each
+meets a few sets more. What still shares a key with more than SMALL sets, but not their group, is dealt into tiles of a bounded
+number of shingles, and each tile of it meets the others, so no link between two groups is missed. Every candidate is compared by a
+bitmap first, with a bound that only drops pairs that can't be alike enough; what that leaves is compared by the texts' own shingles.
+Where fingerprints are asked for, SimHash fingerprints of the sets are linked by the Gray-ordered index before all else.
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,15 +26,38 @@ from scarpline.llm.components import connected_components
 from scarpline.llm.hamming import MAX_BITS, hamming_links
 
 SEED, WIDTH = 42, 5
-#: Sets of a shingle that are all compared; seeds of the sets that stand for a shingle of more, by round.
-SMALL, ROUNDS = 32, ((0, 1, 2), (3, 4, 5))
-#: Shingles that open more sets than this are ordered last, the most common ones up to a bounded list; any value gives the same groups.
-COMMON, MAX_COMMON = 32, 200_000
+#: Sets of a key that are all compared; seeds of the sets that stand for a key of more, by round.
+SMALL, ROUNDS = 32, ((1, 2), (3, 4, 5))
+#: Shingles that open more sets than COMMON are indexed by twos, those of more than VERY_COMMON by threes, the most common ones up to a bounded list; any value gives the same groups.
+COMMON, VERY_COMMON, MAX_COMMON = 32, 1024, 200_000
 CHUNK = 1 << 15
 #: Shingles of the sets of one tile; any number gives the same groups.
 TILE = 1 << 19
-#: Bits of the bitmap of a whole set; any power of two from 64 on gives the same groups.
-PARITY_BITS = 512
+#: Sets smaller than this are alike enough to equal ones only.
+LEAST = 4
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+class _Hashes(dict):
+    """64-bit hashes of words, kept while they fit."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word, SEED)
+        return value
+
+
+_WORDS = _Hashes()
+
+
+def _mixed(parts: Iterable[np.ndarray], start: np.ndarray) -> np.ndarray:
+    """One hash of several, in their order."""
+    h = start
+    for part in parts:
+        h = (h ^ part) * MIX
+        h ^= h >> np.uint64(29)
+    return h
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -43,20 +65,76 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.int64)
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths + 1) - 1
+    hashes = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
     width = min(width, len(words))
-    starts, ends = (ends - lengths).tolist(), ends[width - 1 :].tolist()
-    parts = [np.array([digest(joined[p:q], SEED) for p, q in zip(starts[at : at + CHUNK], ends[at : at + CHUNK])], np.uint64) for at in range(0, len(ends), CHUNK)]
-    return np.unique(np.concatenate(parts).view(np.int64))
+    n = len(words) - width + 1
+    return np.unique(_mixed((hashes[k : k + n] for k in range(width)), np.full(n, width, np.uint64)).view(np.int64))
+
+
+def _needed(n: int) -> int:
+    """How many shingles of a set of n are certain to hold one of any set alike enough."""
+    return n - -(-4 * n // 5) + 1
+
 
+def _subclasses(size_class: int) -> tuple[int, int, int]:
+    """Parts of the classes of shingles for sets of 2 ** size_class and more: combinations stay within a part, which keeps them few."""
+    n = 1 << size_class
+    return 1, max(1, n // 20), max(1, n // 10)
 
-def _prefix(found: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The shingles one of which every set alike enough has in its own prefix."""
-    if len(common):
-        found = found[np.argsort(np.isin(found, common, assume_unique=True), kind="stable")]
-    return found[: len(found) - -(-4 * len(found) // 5) + 1]
+
+def signature(found: np.ndarray, common: np.ndarray, very_common: np.ndarray) -> np.ndarray:
+    """Keys of a set of shingles; any two sets alike enough have one in common.
+
+    The order is: rare shingles, common ones, very common ones, each by hash. Keys are single shingles of the first class, twos of
+    a part of the second, threes of a part of the third. The prefix is extended until all but k - 1 shingles of each part with keys of k,
+    added up, are as many as are needed. Of two sets that share no key, the one whose prefix ends first shares at most k - 1 shingles of
+    each part with the other one, so that many of its shingles are missing there, and the two aren't alike enough. The parts are chosen by
+    the power of two in the smaller set's size, so a set has the keys of each power that a smaller set alike enough can have.
+    """
+    n = len(found)
+    if n < LEAST:
+        return np.empty(0, np.int64)
+    kind = np.zeros(n, np.int64)
+    for k, known in ((1, common), (2, very_common)):
+        if len(known):
+            at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+            kind[known[at] == found] = k
+    need = _needed(n)
+    if not kind[:need].any():
+        return found[:need]
+    order = np.argsort(kind, kind="stable")
+    found, kind = found[order], kind[order]
+    keys = []
+    for size_class in {n.bit_length() - 1, (-(-4 * n // 5)).bit_length() - 1}:
+        parts = np.array(_subclasses(size_class), np.uint64)
+        part = kind * (1 << 40) + (_mixed([found.view(np.uint64)], np.full(n, 5, np.uint64)) % parts[kind]).astype(np.int64)
+        by_part = np.argsort(part, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(part[by_part]) != 0])
+        seen = np.empty(n, np.int64)
+        seen[by_part] = np.arange(n) - np.repeat(starts, np.diff(np.r_[starts, n]))
+        end = int(np.searchsorted(np.cumsum((kind == 0) | (seen >= kind)), need)) + 1
+        keys.append(found[:end][kind[:end] == 0])
+        for k in (1, 2):
+            some = np.flatnonzero(kind[:end] == k)
+            some = some[np.argsort(part[some], kind="stable")]
+            for own in np.split(found[some], np.flatnonzero(np.diff(part[some])) + 1):
+                if len(own) > k:
+                    keys.append(_combined(own, k + 1))
+    return np.unique(np.concatenate(keys))
+
+
+def _combined(own: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all combinations of two or three values in their order."""
+    a, b = np.triu_indices(len(own), 1)
+    if size == 3:
+        n = len(own) - 1 - b
+        c = np.repeat(b + 1 - np.cumsum(n) + n, n) + np.arange(n.sum())
+        a, b = np.repeat(a, n), np.repeat(b, n)
+        picked = (a, b, c)
+    else:
+        picked = (a, b)
+    own = own.view(np.uint64)
+    return _mixed((own[x] for x in picked), np.full(len(a), 100 + size, np.uint64)).view(np.int64)
 
 
 def _fingerprint(found: np.ndarray) -> int:
@@ -67,47 +145,107 @@ def _fingerprint(found: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(found)).view(np.int64)[0])
 
 
-def _parities(found: np.ndarray) -> np.ndarray:
-    """A bitmap as longs: each bit is the parity of the number of shingles that fall on it."""
-    return np.packbits((np.bincount(found & (PARITY_BITS - 1), minlength=PARITY_BITS) & 1).astype(np.uint8)).view(np.int64)
+def _opening(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in rows_of(batches):
+        found = [x[: _needed(len(x))] for x in map(shingles, rows["text"]) if len(x) >= LEAST]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], ["gram"])
 
 
-def _sets(batches: Iterable[pa.RecordBatch], common, whole: bool) -> Iterator[pa.RecordBatch]:
-    late = np.empty(0, np.int64) if common is None else common.value
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts)))
+
+
+def _sets(batches: Iterable[pa.RecordBatch], names: list[str], frequent, fingerprints: bool) -> Iterator[pa.RecordBatch]:
     for rows in rows_of(batches):
         found = [shingles(t) for t in rows["text"]]
-        nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in found], np.uint64).view(np.int64)
-        fps = [0 if whole else _fingerprint(x) for x in found]
-        sent = found if whole else [_prefix(x, late) for x in found]
-        bits = [_parities(x) if whole else np.empty(0, np.int64) for x in found]
-        grams, bits = (pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x))) for x in (sent, bits))
-        yield pa.RecordBatch.from_arrays([pa.array(rows["k"], pa.int64()), pa.array(nodes), pa.array([len(x) for x in found], pa.int64()), pa.array(fps, pa.int64()), grams, bits], ["k", "node", "n", "fp", "grams", "bits"])
+        digest = lambda seed: pa.array(np.array([xxhash.xxh64_intdigest(x.tobytes(), seed) for x in found], np.uint64).view(np.int64))
+        fps = pa.array([_fingerprint(x) if fingerprints else 0 for x in found], pa.int64())
+        own = [pa.array(rows[c], pa.int64()) for c in names]
+        yield pa.RecordBatch.from_arrays([*own, digest(SEED), digest(7), pa.array([len(x) for x in found], pa.int64()), fps, _lists([signature(x, *frequent.value) for x in found])], [*names, "h1", "h2", "n", "fp", "keys"])
 
 
-def sets(keyed: DataFrame, common=None, whole: bool = False) -> DataFrame:
-    """Rows (k, node, n, fp, grams, bits) of rows (k, text): node names the set, n is its size, fp its SimHash (0 with whole), grams its
-    prefix or the whole set, bits the bitmap of a whole set (else empty)."""
-    return keyed.select("k", "text").mapInArrow(lambda it: _sets(it, common, whole), "k long, node long, n long, fp long, grams array<long>, bits array<long>")
+def _frequent(keyed: DataFrame, common: int, very_common: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted common and very common shingles among those that open a set in the order of their hashes, counted over all rows."""
+    opened = keyed.select("text").mapInArrow(_opening, "gram long").groupBy("gram").agg(F.count("*").alias("c")).filter(F.col("c") > common)
+    often = stored(opened)
+    with shuffles_released(keyed.sparkSession):
+        late = often.orderBy(F.desc("c"), "gram").limit(MAX_COMMON).toArrow()
+    discard(often)
+    gram, c = (late.column(x).to_numpy() for x in ("gram", "c"))
+    return np.sort(gram[c <= very_common]), np.sort(gram[c > very_common])
 
 
 def _near_size(n: str, m: str) -> Column:
     return (5 * F.col(n) >= 4 * F.col(m)) & (5 * F.col(m) >= 4 * F.col(n))
 
 
+def _bitmap(found: np.ndarray) -> bytes:
+    """A bitmap of at least four bits a shingle, its width a power of two; each bit is the parity of the shingles that fall on it."""
+    width = max(64, 1 << int(4 * len(found) - 1).bit_length())
+    return np.packbits((np.bincount(found & (width - 1), minlength=width) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, n, bits, text), of each node the first that a task meets."""
+    seen: set[int] = set()
+    for rows in rows_of(batches):
+        first = [i for i, node in enumerate(rows["node"]) if node not in seen and not seen.add(node)]
+        found = [shingles(rows["text"][i]) for i in first]
+        yield pa.RecordBatch.from_arrays([pa.array([rows["node"][i] for i in first], pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array([_bitmap(x) for x in found], pa.binary()), pa.array([rows["text"][i] for i in first], pa.string())], ["node", "n", "bits", "text"])
+
+
+def _folded(wide: np.ndarray, width: int) -> np.ndarray:
+    while len(wide) > width:
+        wide = wide[: len(wide) // 2] ^ wide[len(wide) // 2 :]
+    return wide
+
+
+def _maybe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (u, v) that their bitmaps leave."""
+    for batch in batches:
+        u, v, n, m = (batch.column(c).to_numpy() for c in ("u", "v", "n", "m"))
+        live = np.zeros(len(u), bool)
+        for i, (a, b) in enumerate(zip(batch.column("a"), batch.column("b"))):
+            x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+            width = min(len(x), len(y))
+            live[i] = 9 * int(np.bitwise_count(_folded(x, width) ^ _folded(y, width)).sum(dtype=np.int64)) <= n[i] + m[i]
+        yield pa.RecordBatch.from_arrays([pa.array(u[live]), pa.array(v[live])], ["u", "v"])
+
+
+def _alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (u, v) whose texts' sets are alike enough; the sets of the last few texts are kept."""
+    held: OrderedDict[int, np.ndarray] = OrderedDict()
+
+    def of(node: int, text) -> np.ndarray:
+        if node not in held:
+            held[node] = shingles(text.as_py())
+            while len(held) > 8:
+                held.popitem(last=False)
+        held.move_to_end(node)
+        return held[node]
+
+    for batch in batches:
+        u, v, a, b = (batch.column(c) for c in ("u", "v", "a", "b"))
+        live = []
+        for x, y, s, t in zip(u.to_pylist(), v.to_pylist(), a, b):
+            p, q = of(x, s), of(y, t)
+            live.append(9 * len(np.intersect1d(p, q, assume_unique=True)) >= 4 * (len(p) + len(q)))
+        yield pa.RecordBatch.from_arrays([u.filter(pa.array(live, pa.bool_())), v.filter(pa.array(live, pa.bool_()))], ["u", "v"])
+
+
 def _checked(pairs: DataFrame, full: DataFrame) -> DataFrame:
     """The pairs (u, v) of nodes whose sets have a Jaccard similarity of at least 4/5, stored.
 
     Every bit in which two bitmaps differ stands for a shingle that only one of the sets has, so the sets share no more than
-    (n + m - differing bits) / 2 shingles. Only the sets of pairs that this bound leaves are shuffled.
+    (n + m - differing bits) / 2 shingles. Only the texts of pairs that this bound leaves are shuffled.
     """
-    sketch = lambda node, n, bits: full.select(F.col("node").alias(node), F.col("n").alias(n), F.col("bits").alias(bits))
-    differ = sum((F.bit_count(F.col("a")[i].bitwiseXOR(F.col("b")[i])) for i in range(PARITY_BITS // 64)), F.lit(0))
-    left = stored(pairs.join(sketch("u", "n", "a"), "u").join(sketch("v", "m", "b"), "v").filter(F.col("n") + F.col("m") >= 9 * differ).select("u", "v"))
-    nodes = stored(left.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-    met = full.select("node", "grams").join(bounded_broadcast(nodes, 8 * nodes.count()), "node", "left_semi")
-    both = left.join(met.select(F.col("node").alias("u"), F.col("grams").alias("a")), "u").join(met.select(F.col("node").alias("v"), F.col("grams").alias("b")), "v")
-    out = stored(both.filter(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v"))
-    discard(left, nodes)
+    side = lambda node, *more: full.select(F.col("node").alias(node), *[F.col(c).alias(a) for c, a in more])
+    sketches = pairs.join(side("u", ("n", "n"), ("bits", "a")), "u").join(side("v", ("n", "m"), ("bits", "b")), "v").select("u", "v", "n", "m", "a", "b")
+    left = stored(sketches.mapInArrow(_maybe, "u long, v long"))
+    both = left.join(side("u", ("text", "a")), "u").join(side("v", ("text", "b")), "v").select("u", "v", "a", "b")
+    out = stored(both.mapInArrow(_alike, "u long, v long"))
+    discard(left)
     return out
 
 
@@ -117,61 +255,66 @@ def _pairs(found: DataFrame) -> DataFrame:
 
 
 def _rooted(places: DataFrame, links: DataFrame) -> DataFrame:
-    """Places (gram, node, n) with the root of their node, of the shingles that still meet different roots."""
+    """Places (gram, c, node, n) with the root of their node, of the keys that still meet different roots, stored."""
     named = places.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = named.groupBy("gram").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("gram")
-    return stored(named.join(apart, "gram").select("gram", "node", "n", "root"))
+    return stored(named.join(apart, "gram").select("gram", "c", "node", "n", "root"))
 
 
 def _by_fingerprint(distinct: DataFrame) -> DataFrame:
-    """Pairs (u, v) of nodes that the Gray-ordered index links, each with the first one of its group, and of equal fingerprints."""
-    first = stored(distinct.groupBy("fp").agg(F.min("node").alias("first")))
-    same = distinct.join(first, "fp").filter(F.col("node") != F.col("first")).select(F.col("node").alias("u"), F.col("first").alias("v"))
+    """Candidates (node, n, other, m) that the Gray-ordered index links, each with the first one of its fingerprint, and of equal fingerprints, stored."""
+    of = lambda x, p: F.struct(F.col("node").alias(x), F.col("n").alias(p))
+    first = stored(distinct.groupBy("fp").agg(F.min(of("other", "m")).alias("first")).select("fp", "first.other", "first.m"))
+    same = distinct.join(first, "fp").filter("node <> other").select("node", "n", "other", "m")
     links = hamming_links(first, MAX_BITS).filter("u <> v").distinct()
-    named = links.join(first.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v")
-    return same.union(named.select("a", "b"))
+    end = lambda fp, x, p: first.select(F.col("fp").alias(fp), F.col("other").alias(x), F.col("m").alias(p))
+    out = stored(same.union(links.join(end("u", "node", "n"), "u").join(end("v", "other", "m"), "v").select("node", "n", "other", "m")).distinct())
+    discard(first)
+    return out
 
 
-def similar(keyed: DataFrame, common: int = COMMON, small: int = SMALL, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
-    """(rows (k, node) of rows (k, text), rows (node, root) of the nodes with a link), by chains of pairs of similarity 4/5 or more.
+def similar(keyed: DataFrame, common: int = COMMON, small: int = SMALL, tile: int = TILE, fingerprints: bool = False, very_common: int = VERY_COMMON) -> tuple[DataFrame, DataFrame]:
+    """(rows (key columns, node, n), rows (node, root) of the nodes with a link) of rows (key columns, text), by chains of pairs of similarity 4/5 or more.
 
-    Null texts and texts without words have one node. The groups are those of all links, also in clouds that share a shingle of
-    their prefix with more than `small` sets. k must be distinct for different texts.
+    node stands for one set of shingles, n is its size. Null texts and texts without words have one node, n is 0 there. The groups are
+    those of all links, also in clouds that share a key with more than `small` sets. The key columns (long) must differ for different texts.
     """
-    found = stored(sets(keyed))
-    distinct = stored(found.filter("n > 0").dropDuplicates(["node"]))
-    rows = stored(found.select("k", "node"))
+    names = [c for c in keyed.columns if c != "text"]
+    spark = keyed.sparkSession
+    frequent = spark.sparkContext.broadcast(_frequent(keyed, common, very_common))
+    kinds = "".join(f"{c} long, " for c in names)
+    found = stored(keyed.select(*names, "text").mapInArrow(lambda it: _sets(it, names, frequent, fingerprints), kinds + "h1 long, h2 long, n long, fp long, keys array<long>"))
+    distinct = stored(found.dropDuplicates(["h1", "h2"]).withColumn("node", F.monotonically_increasing_id()))
+    rows = stored(found.select(*names, "h1", "h2").distinct().join(distinct.select("h1", "h2", "node", "n"), ["h1", "h2"]).select(*names, "node", "n"))
     discard(found)
-    opened = distinct.select("k", F.explode("grams").alias("gram"))
-    often = stored(opened.groupBy("gram").agg(F.count("*").alias("c")).filter(F.col("c") > common))
-    with shuffles_released(keyed.sparkSession):
-        late = np.sort(often.orderBy(F.desc("c"), "gram").limit(MAX_COMMON).select("gram").toArrow().column(0).to_numpy())
-    if len(late):
-        spark = keyed.sparkSession
-        frame = spark.createDataFrame(pa.table({"gram": late}))
-        again = stored(opened.join(F.broadcast(frame), "gram", "left_semi").select("k").distinct())
-        redone = sets(keyed.join(again, "k", "left_semi").dropDuplicates(["k"]), spark.sparkContext.broadcast(late))
-        before, distinct = distinct, stored(distinct.join(again, "k", "left_anti").unionByName(redone))
-        discard(before)
-    discard(often)
-    opened = distinct.select("node", "n", F.explode("grams").alias("gram"))
-    # most shingles open one set only: they go before anything wider than a count is shuffled
-    met = stored(opened.groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1").select("gram"))
-    places = stored(opened.join(met, "gram", "left_semi"))
-    nodes = stored(distinct.join(places.select("node").distinct(), "node", "left_semi").select("k", "node", "fp"))
-    discard(distinct, met)
-    full = stored(sets(keyed.join(nodes.select("k"), "k", "left_semi").dropDuplicates(["k"]), whole=True).select("node", "n", "bits", "grams"))
-    links = _checked(_by_fingerprint(nodes).distinct(), full)
-    left = _rooted(places, links)
-    discard(places, nodes)
+    opened = distinct.select("node", F.col("n").cast("int").alias("n"), F.explode("keys").alias("gram"))
+    # most keys have one set only: they go before anything is joined
+    pivot = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("other"), F.col("n").alias("m")))
+    met = stored(opened.groupBy("gram").agg(F.count("*").alias("c"), pivot.alias("p")).filter("c > 1").select("gram", "c", "p.other", "p.m"))
+    places = stored(opened.join(met, "gram"))
+    first = places.select("node", "n", "other", "m")
+    if fingerprints:
+        linked = _by_fingerprint(distinct.filter(F.col("n") >= LEAST))
+        first = first.union(linked)
+    pairs = stored(_pairs(first))
+    nodes = stored(places.select("node").union(pairs.select("u")).union(pairs.select("v")).distinct())
+    wanted = stored(distinct.select("node", *names).join(nodes, "node"))
+    discard(distinct, met, *([linked] if fingerprints else []))
+    size = 8 * (len(names) + 1) * wanted.count()
+    held = keyed.select(*names, "text").join(bounded_broadcast(wanted, size), names).select("node", "text")
+    full = stored(held.mapInArrow(_whole, "node long, n long, bits binary, text string").dropDuplicates(["node"]))
+    links = _checked(pairs, full)
+    left = _rooted(places.select("gram", "c", "node", "n"), links)
+    discard(places, pairs, nodes, wanted)
     for k, seeds in enumerate(ROUNDS):
-        links = _more(links, _by_pivots(left, seeds), full)
-        left = _again(left, links)
-        links = _more(links, _by_degree(left, links) if k else _by_degree(left, links).union(_small(left, small)), full)
-        left = _again(left, links)
+        many = left.filter(F.col("c") > small)
+        more = _by_pivots(many, seeds).union(_by_degree(many, links))
+        links = _more(links, more if k else more.union(_small(left, small)), full)
+        before, left = left, _rooted(many.drop("root"), links)
+        discard(before)
     rest = stored(_rest(left, small, tile))
     more = _in_tiles(rest, full)
-    out = connected_components(links.union(more))
+    out = stored(connected_components(links.union(more)))
     discard(left, full, links, rest, more)
     return rows, out
 
@@ -192,7 +335,7 @@ def _by_degree(left: DataFrame, links: DataFrame) -> DataFrame:
 
 def _small(left: DataFrame, small: int) -> DataFrame:
     """Candidates: all pairs of different roots of the shingles with at most `small` sets, so no more than that for a set and shingle."""
-    few = left.join(left.groupBy("gram").agg(F.count("*").alias("c")).filter(F.col("c") <= small).select("gram"), "gram")
+    few = left.filter(F.col("c") <= small)
     other = few.select("gram", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("at"))
     return few.join(other, "gram").filter("node < other AND root <> at").select("node", "n", "other", "m")
 
@@ -247,14 +390,9 @@ def _tile_links(table: pa.Table) -> pa.Table:
 
 
 def _wide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (node, n, bits) with a bitmap of at least four bits a shingle, its width a power of two."""
+    """Rows (node, n, bits) of rows (node, grams)."""
     for rows in rows_of(batches):
-        bits = []
-        for x in rows["grams"]:
-            x = np.array(x, np.int64)
-            width = max(64, 1 << int(4 * len(x) - 1).bit_length())
-            bits.append(np.packbits((np.bincount(x & (width - 1), minlength=width) & 1).astype(np.uint8), bitorder="little").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(rows["node"], pa.int64()), pa.array([len(x) for x in rows["grams"]], pa.int64()), pa.array(bits, pa.binary())], ["node", "n", "bits"])
+        yield pa.RecordBatch.from_arrays([pa.array(rows["node"], pa.int64()), pa.array([len(x) for x in rows["grams"]], pa.int64()), pa.array([_bitmap(np.array(x, np.int64)) for x in rows["grams"]], pa.binary())], ["node", "n", "bits"])
 
 
 def _tile_left(table: pa.Table) -> pa.Table:
@@ -277,14 +415,17 @@ def _tile_left(table: pa.Table) -> pa.Table:
     return table.select(["key", "node", "root", "asks"]).filter(pa.array(left))
 
 
+def _text_links(table: pa.Table) -> pa.Table:
+    """The links of one key's tile, from texts."""
+    grams = _lists([shingles(t.as_py()) for t in table.column("text")])
+    return _tile_links(table.drop(["text"]).append_column("grams", pa.chunked_array([grams])))
+
+
 def _in_tiles(rest: DataFrame, full: DataFrame) -> DataFrame:
     """The links (u, v) that hold between the sets of each key and different roots, stored."""
-    nodes = stored(rest.select("node").distinct())
-    met = full.join(bounded_broadcast(nodes, 8 * nodes.count()), "node", "left_semi")
-    wide = stored(met.select("node", "grams").mapInArrow(_wide, "node long, n long, bits binary"))
-    left = stored(rest.join(wide, "node").groupBy("key").applyInArrow(_tile_left, "key long, node long, root long, asks boolean"))
-    out = stored(left.join(full.select("node", "grams"), "node").groupBy("key").applyInArrow(_tile_links, "u long, v long"))
-    discard(nodes, wide, left)
+    left = stored(rest.join(full.select("node", "n", "bits"), "node").select("key", "node", "root", "asks", "n", "bits").groupBy("key").applyInArrow(_tile_left, "key long, node long, root long, asks boolean"))
+    out = stored(left.join(full.select("node", "text"), "node").select("key", "node", "root", "asks", "text").groupBy("key").applyInArrow(_text_links, "u long, v long"))
+    discard(left)
     return out
 
 
@@ -294,9 +435,3 @@ def _more(links: DataFrame, found: DataFrame, full: DataFrame) -> DataFrame:
     out = stored(links.union(more))
     discard(links, more)
     return out
-
-
-def _again(left: DataFrame, links: DataFrame) -> DataFrame:
-    out = _rooted(left.drop("root"), links)
-    discard(left)
-    return out
