@@ -31,8 +31,10 @@ HIDDEN = frozenset("head script style textarea title noscript iframe template se
 #: An opening tag of the key ends an open element of the values, up to the nearest element that holds them.
 ENDS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = {"li": {"ul", "ol"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
-NAME, IN_TAG = re.compile(r"[a-zA-Z][^\s/>]*"), re.compile(r"[\"'>]")
-NAMED = re.compile(r"(?:^|\s)(class|id|role|data-main)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: The end of a tag, or an attribute: a quote opens a value only right behind `=`, a value without quotes runs to white space or `>`.
+ATTRIBUTE = re.compile(r"[\s/]*(?:(?P<end>>)|(?P<name>[^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?)")
+NAMED = frozenset(("class", "id", "role", "data-main"))
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -72,41 +74,44 @@ class Page:
         if not named:
             self._text("<")
             return start + 1
-        end = self._tag_end(source, named.end())
+        end, attributes, empty = self._attributes(source, named.end())
         if end < 0:  # a tag that never ends
             return size
-        tag, rest = named[0].lower(), source[named.end() : end - 1]
+        tag = named[0].lower()
         if closing:
             self._close(tag)
             return end
         self._imply(tag)
-        self._open(tag, rest)
+        self._open(tag, attributes)
         if tag == "br":
             self._text(" ")
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, end)
             return ends(">", close.end()) if close else size
-        if tag not in VOID and not rest.endswith("/"):
+        if tag not in VOID and not empty:
             self._push(tag)
         return end
 
     @staticmethod
-    def _tag_end(source: str, at: int) -> int:
-        """The place behind the > that ends a tag, outside of quotes; a quote that never closes is none. -1: no end."""
-        while m := IN_TAG.search(source, at):
+    def _attributes(source: str, at: int) -> tuple[int, dict[str, str], bool]:
+        """(the place behind the > that ends a tag, the named attributes, the first of equal names, whether `/` stands before the end); -1: no end.
+
+        A quote that never closes is part of a value without quotes, so the rest of the page is searched for it once.
+        """
+        found: dict[str, str] = {}
+        while m := ATTRIBUTE.match(source, at):
             at = m.end()
-            if m[0] == ">":
-                return at
-            if (close := source.find(m[0], at)) >= 0:
-                at = close + 1
-        return -1
+            if m["end"]:
+                return at, found, m[0].endswith("/>")
+            if (name := m["name"].lower()) in NAMED:
+                found.setdefault(name, m[3] or m[4] or m[5] or "")
+        return -1, found, False
 
     def _text(self, text: str) -> None:
         self.texts.append((self._open_nodes[-1], text))
 
-    def _open(self, tag: str, attributes: str) -> None:
+    def _open(self, tag: str, named: dict[str, str]) -> None:
         parent = self._open_nodes[-1]
-        named = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in NAMED.finditer(attributes)} if attributes else {}
         self.parent.append(parent)
         self.tag.append(tag)
         self.words.append(tuple(w.lower() for k in ("class", "id", "role") if k in named for w in PART.findall(named[k])))
@@ -135,7 +140,7 @@ class Page:
         if depth := self._depth((tag,)):
             self._cut(depth)
         elif tag in ("p", "br"):  # as browsers do: an end tag alone is an empty element
-            self._open(tag, "")
+            self._open(tag, {})
 
     def _imply(self, tag: str) -> None:
         if tag in BLOCK and self._blocks and self.tag[self._open_nodes[self._blocks[-1]]] == "p":
