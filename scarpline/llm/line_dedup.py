@@ -19,6 +19,7 @@ from scarpline.llm.common import bounded_broadcast, stored
 
 MIN_CHARS = 16
 MIN_BLOCK = 128
+LAST = (1 << 63) - 1
 
 
 def _hash2(prefix: str, text: Column) -> list[Column]:
@@ -95,39 +96,47 @@ def _one_edit_at(a: Column, b: Column, place: Column) -> Column:
     return F.when(more == 0, without(a) == without(b)).when(more == 1, without(a) == b).when(more == -1, without(b) == a).otherwise(False)
 
 
+def _rows(docs: DataFrame) -> list[Column]:
+    """The document number and the hash of the text that tell a row: a null doc_id comes behind all others."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), F.xxhash64("text")]
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line", F.btrim("line", F.lit(" \t\r")))
+    return docs.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line", F.btrim("line", F.lit(" \t\r")))
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = 1, exact_chars: int | None = None) -> DataFrame:
-    """Places (doc_id, line_no) of the lines that an equal or nearly equal line precedes.
+    """Places (doc_id, row, line_no) of the lines that an equal or nearly equal line precedes.
 
     A line is its text between newlines, trimmed of spaces, tabs and carriage returns; lines of fewer than min_chars
     characters are left alone, but for equal ones of at least exact_chars (default min_chars). A line is repeated if a line at most max_edits (0 or 1) character edits away comes
-    earlier, by doc_id and then line number. That is judged on the input, whatever is removed.
+    earlier, by doc_id and then line number. That is judged on the input, whatever is removed. Rows of one doc_id with different texts are
+    documents of their own, told apart and ordered by a hash of the text (row); a null doc_id is given as the largest long.
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits must be 0 or 1")
-    docs = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    number, row = _rows(docs)
+    docs = docs.filter("text IS NOT NULL").select(number.alias("doc_id"), row.alias("row"), "text")
+    place = ["doc_id", "row", "line_no"]
     size = F.char_length("line")
     long = _lines(docs).filter(size >= (min_chars if exact_chars is None else min(exact_chars, min_chars)))
-    at = F.struct("doc_id", "line_no")
-    hashed = long.select("doc_id", "line_no", *_hash2("h", F.col("line")), *([F.when(size >= min_chars, _half_keys(F.col("line"))).alias("keys")] if max_edits else []))
+    at = F.struct(*place)
+    hashed = long.select(*place, *_hash2("h", F.col("line")), *([F.when(size >= min_chars, _half_keys(F.col("line"))).alias("keys")] if max_edits else []))
     hashed = stored(hashed)
     # stored, so that the join below reads two plain shuffles, of which AQE can split the hot lines
-    first = stored(hashed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("m"), F.count("*").alias("n")).select("h1", "h2", F.col("m.doc_id").alias("d"), F.col("m.line_no").alias("l"), "n"))
-    exact = hashed.select("doc_id", "line_no", "h1", "h2").join(first.filter("n > 1").drop("n"), ["h1", "h2"]).filter("doc_id <> d OR line_no <> l").select("doc_id", "line_no")
+    first = stored(hashed.groupBy("h1", "h2").agg(F.min(at).alias("m"), F.count("*").alias("n")).select("h1", "h2", F.col("m.doc_id").alias("d"), F.col("m.row").alias("r"), F.col("m.line_no").alias("l"), "n"))
+    exact = hashed.select(*place, "h1", "h2").join(first.filter("n > 1").drop("n"), ["h1", "h2"]).filter("doc_id <> d OR row <> r OR line_no <> l").select(*place)
     if not max_edits:
         return exact.distinct()
-    firsts = hashed.join(first.select("h1", "h2", F.col("d").alias("doc_id"), F.col("l").alias("line_no")), ["h1", "h2", "doc_id", "line_no"], "left_semi")
-    keyed = firsts.select("doc_id", "line_no", F.explode("keys").alias("k")).select("doc_id", "line_no", "k.side", "k.key")
+    firsts = hashed.join(first.select("h1", "h2", F.col("d").alias("doc_id"), F.col("r").alias("row"), F.col("l").alias("line_no")), ["h1", "h2", *place], "left_semi")
+    keyed = firsts.select(*place, F.explode("keys").alias("k")).select(*place, "k.side", "k.key")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    sides = keyed.join(shared, "key", "left_semi").groupBy("doc_id", "line_no").agg(F.sort_array(F.collect_set("side")).alias("sides"))
-    near = stored(sides.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "sides"))).alias("near")))
+    sides = keyed.join(shared, "key", "left_semi").groupBy(*place).agg(F.sort_array(F.collect_set("side")).alias("sides"))
+    near = stored(sides.groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(F.struct("line_no", "sides"))).alias("near")))
     held = near.agg(F.sum(64 * F.size("near") + 64)).first()[0] or 0
     # the texts of these lines; each split is an argument of a function, so that it is made once a document
     picked = F.zip_with(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line_no"), x.alias("line"))), _marks(F.col("near.line_no")), lambda s, m: F.when(m, s))
-    wanted = docs.join(bounded_broadcast(near, held), "doc_id").select("doc_id", F.explode(F.zip_with(F.filter(picked, lambda s: s.isNotNull()), F.col("near.sides"), lambda s, k: F.struct(s.line_no.alias("line_no"), s.line.alias("line"), k.alias("sides")))).alias("x")).select("doc_id", "x.*")
+    wanted = docs.join(bounded_broadcast(near, held), ["doc_id", "row"]).select("doc_id", "row", F.explode(F.zip_with(F.filter(picked, lambda s: s.isNotNull()), F.col("near.sides"), lambda s, k: F.struct(s.line_no.alias("line_no"), s.line.alias("line"), k.alias("sides")))).alias("x")).select("doc_id", "row", "x.*")
     wanted = stored(wanted.filter("line IS NOT NULL").withColumn("line", F.btrim("line", F.lit(" \t\r"))).distinct())
     by_side = wanted.select(at.alias("at"), "line", F.explode("sides").alias("side"))
     variants = by_side.select("at", F.explode(_deletions(F.col("side"), F.col("line"))).alias("v")).select("at", "v.place", "v.key")
@@ -140,18 +149,19 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int =
     texts = wanted.select(at.alias("at"), "line")
     both = found.join(texts, "at").join(texts.select(F.col("at").alias("other_at"), F.col("line").alias("other")), "other_at")
     verified = both.filter(_one_edit_at(F.col("line"), F.col("other"), F.col("place")))
-    return exact.union(verified.select("at.doc_id", "at.line_no")).distinct()
+    return exact.union(verified.select("at.doc_id", "at.row", "at.line_no")).distinct()
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = 1, exact_chars: int | None = None) -> DataFrame:
     """The documents without their repeated lines (see repeated_lines), with n_lines and n_removed.
 
-    All columns are kept and text is replaced. A null text has no lines and stays null, as does any text of a null
-    doc_id; an empty text is one empty line, which stays. Repeated rows of a doc_id count as one document. An empty
-    table gives an empty one.
+    All columns are kept and text is replaced. A null text has no lines and stays null; an empty text is one empty line, which stays.
+    Rows without a doc_id come behind all others. Rows of equal doc_id and text count as one document, those of one doc_id with
+    different texts as documents that a hash of the text puts in order. An empty table gives an empty one.
     """
-    gone = repeated_lines(docs, min_chars, max_edits, exact_chars).groupBy(F.col("doc_id").alias("_gone_id")).agg(F.sort_array(F.collect_set("line_no")).alias("_gone"))
-    joined = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone_id"), "left").withColumn("_n", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))))
+    gone = repeated_lines(docs, min_chars, max_edits, exact_chars).groupBy(F.col("doc_id").alias("_gone_id"), F.col("row").alias("_gone_row")).agg(F.sort_array(F.collect_set("line_no")).alias("_gone"))
+    number, row = _rows(docs)
+    joined = docs.withColumns({"_number": number, "_row": row}).join(gone, (F.col("_number") == F.col("_gone_id")) & (F.col("_row") == F.col("_gone_row")), "left").withColumn("_n", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))))
     left = F.zip_with(F.split("text", "\n"), _marks(F.col("_gone")), lambda x, m: F.when(F.coalesce(m, F.lit(False)), None).otherwise(x))
     kept = F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     n_removed = F.when(F.col("_gone").isNull() | F.col("text").isNull(), 0).otherwise(F.size(F.filter("_gone", lambda i: i < F.col("_n")))).cast("long")
