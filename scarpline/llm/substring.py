@@ -25,7 +25,8 @@ WINDOW, GRAM = 20, 6
 SHARD_PLACES = 4096
 RUN_BITS = 12  #: a run of windows is one number: the first one's place, then in so many bits how many they are
 BATCH_WORDS = 1 << 19
-OUT = "doc_id long, start int, n int, words binary"
+OUT = "doc_id long, row long, start int, n int, words binary"
+LAST = (1 << 63) - 1
 
 
 class _Hashes(dict):
@@ -57,7 +58,7 @@ def _minimizers(hashes: np.ndarray, starts: np.ndarray, window: int, gram: int)
 def _places(batches: Iterable[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
     known = _Hashes()
 
-    def sent(ids, words):
+    def sent(ids, hashed, words):
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(sizes)
         hashes = np.fromiter((known[w] for own in words for w in own), np.uint64, int(ends[-1]))
@@ -67,37 +68,37 @@ def _places(batches: Iterable[pa.RecordBatch], window: int, gram: int) -> Iterat
         least, value = _minimizers(hashes, (ends - sizes)[owner] + within, window, gram)
         first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
         n = np.diff(np.r_[first, len(least)])
-        return pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[owner[first]]), pa.array(within[first] << RUN_BITS | n), pa.array(value[first].view(np.int64))], ["doc_id", "run", "minimizer"])
+        return pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[owner[first]]), pa.array(np.array(hashed, np.int64)[owner[first]]), pa.array(within[first] << RUN_BITS | n), pa.array(value[first].view(np.int64))], ["doc_id", "row", "run", "minimizer"])
 
     for rows in rows_of(batches):
-        ids, words, held = [], [], 0
-        for doc_id, text in zip(rows["doc_id"], rows["text"]):
+        ids, hashed, words, held = [], [], [], 0
+        for doc_id, row, text in zip(rows["doc_id"], rows["row"], rows["text"]):
             own = split_words(text)
             if len(own) >= window:
                 ids.append(doc_id)
+                hashed.append(row)
                 words.append(own)
                 held += len(own)
             if held >= BATCH_WORDS:
-                yield sent(ids, words)
-                ids, words, held = [], [], 0
+                yield sent(ids, hashed, words)
+                ids, hashed, words, held = [], [], [], 0
         if ids:
-            yield sent(ids, words)
+            yield sent(ids, hashed, words)
 
 
 def _segments(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = [[], [], [], [], []]
-        for doc_id, text, places in zip(*(batch.column(i) for i in range(3))):
-            words, doc_id = split_words(text.as_py()), doc_id.as_py()
+        out = [[], [], [], [], [], []]
+        for doc_id, row, text, places in zip(*(batch.column(i) for i in range(4))):
+            words, doc_id, row = split_words(text.as_py()), doc_id.as_py(), row.as_py()
             salt = xxhash.xxh64_intdigest(str(doc_id), 11)
             for run, minimizer, parts in zip(*(places.values.field(k).to_pylist() for k in range(3))):
                 start, n = run >> RUN_BITS, run & ((1 << RUN_BITS) - 1)
-                if start + n + window - 1 <= len(words):  # else another row of the same doc_id has other text
-                    part = 1 + salt % parts if parts > 1 else 0
-                    for column, value in zip(out, (minimizer, part, doc_id, run, b" ".join(words[start : start + n + window - 1]))):
-                        column.append(value)
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["shard", "part", "doc_id", "run", "words"])
+                part = 1 + salt % parts if parts > 1 else 0
+                for column, value in zip(out, (minimizer, part, doc_id, row, run, b" ".join(words[start : start + n + window - 1]))):
+                    column.append(value)
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["shard", "part", "doc_id", "row", "run", "words"])
 
 
 class SuffixAutomaton:
@@ -179,51 +180,63 @@ class _Shard:
 
 
 def _judge(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Repeated windows as (doc_id, first word, words covered), and from shards that are cut (part over 0) the others with their words."""
-    key, shard = None, None
+    """Repeated windows as (doc_id, row, first word, words covered), and from shards that are cut (part over 0) the others with their words."""
+    key, shard, last = None, None, None
     for batch in batches:
-        out = [[], [], [], []]
+        out = [[], [], [], [], []]
         columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-        for own_shard, part, doc_id, run, words in zip(*columns):
+        for own_shard, part, doc_id, row, run, words in zip(*columns):
             start, n = run >> RUN_BITS, run & ((1 << RUN_BITS) - 1)
             if (own_shard, part) != key:
-                key, shard = (own_shard, part), _Shard(window)
+                key, shard, last = (own_shard, part), _Shard(window), None
+            if (doc_id, row, run) == last:  # of a repeated row
+                continue
+            last = doc_id, row, run
             flags, at = shard.repeated(words, n), 0
             while at < n:
                 to = at
                 while to < n and flags[to] == flags[at]:
                     to += 1
                 if flags[at]:
-                    for column, value in zip(out, (doc_id, start + at, to - at + window - 1, None)):
+                    for column, value in zip(out, (doc_id, row, start + at, to - at + window - 1, None)):
                         column.append(value)
                 elif part:
                     own = words.split(b" ")
                     for k in range(at, to):
-                        for column, value in zip(out, (doc_id, start + k, 1, b" ".join(own[k : k + window]))):
+                        for column, value in zip(out, (doc_id, row, start + k, 1, b" ".join(own[k : k + window]))):
                             column.append(value)
                 at = to
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["doc_id", "start", "n", "words"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["doc_id", "row", "start", "n", "words"])
 
 
 def _judged(segments: DataFrame, window: int) -> DataFrame:
-    ordered = segments.select("shard", "part", "doc_id", "run", "words").repartition("shard", "part").sortWithinPartitions("shard", "part", "doc_id", "run")
+    ordered = segments.select("shard", "part", "doc_id", "row", "run", "words").repartition("shard", "part").sortWithinPartitions("shard", "part", "doc_id", "row", "run")
     return ordered.mapInArrow(lambda it: _judge(it, window), OUT)
 
 
+def _told() -> list:
+    """The number and the hash of the text that tell a row."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("row")]
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_places: int = SHARD_PLACES) -> DataFrame:
-    """Spans (doc_id, start, n) of words in windows whose words also start earlier: in a smaller doc_id, or in the same one before."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    """Spans (doc_id, row, start, n) of words in windows whose words also start earlier: in a smaller doc_id, or in the same document before.
+
+    A document is a row: those of one doc_id with different texts are told apart and ordered by a hash of the text (row). A null doc_id
+    is given as the largest long and comes behind all others.
+    """
+    docs = docs.filter("text IS NOT NULL").select(*_told(), "text")
     if not gram <= window < 1 << RUN_BITS:
         raise ValueError(f"gram must not exceed window, and window must be under {1 << RUN_BITS}")
-    places = stored(docs.mapInArrow(lambda it: _places(it, window, gram), "doc_id long, run long, minimizer long"))
+    places = stored(docs.mapInArrow(lambda it: _places(it, window, gram), "doc_id long, row long, run long, minimizer long"))
     # stored, so that the join reads two plain shuffles, of which AQE can split the hot parts
     shards = stored(places.groupBy("minimizer").agg(F.count("*").alias("places")).filter("places > 1").select("minimizer", F.ceil(F.col("places") / shard_places).cast("int").alias("parts")))
     # stored as well: its shuffles are gone before those of the texts begin
-    by_doc = stored(places.join(shards, "minimizer").groupBy("doc_id").agg(F.collect_set(F.struct("run", "minimizer", "parts")).alias("places")))
-    segments = docs.join(by_doc, "doc_id").mapInArrow(lambda it: _segments(it, window), "shard long, part int, doc_id long, run long, words binary")
+    by_doc = stored(places.join(shards, "minimizer").groupBy("doc_id", "row").agg(F.collect_set(F.struct("run", "minimizer", "parts")).alias("places")))
+    segments = docs.join(by_doc, ["doc_id", "row"]).mapInArrow(lambda it: _segments(it, window), "shard long, part int, doc_id long, row long, run long, words binary")
     found = stored(_judged(segments, window))
-    new = found.filter("words IS NOT NULL").select(F.xxhash64("words").alias("shard"), F.lit(0).alias("part"), "doc_id", (F.shiftleft(F.col("start").cast("long"), RUN_BITS) + F.col("n")).alias("run"), "words")
-    return found.filter("words IS NULL").union(_judged(new, window)).select("doc_id", "start", "n")
+    new = found.filter("words IS NOT NULL").select(F.xxhash64("words").alias("shard"), F.lit(0).alias("part"), "doc_id", "row", (F.shiftleft(F.col("start").cast("long"), RUN_BITS) + F.col("n")).alias("run"), "words")
+    return found.filter("words IS NULL").union(_judged(new, window)).select("doc_id", "row", "start", "n")
 
 
 def _cleaned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,12 +260,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
     """One row per document row: doc_id, text (the words that stay, in single spaces), n_words, n_removed.
 
     A word is removed if a window of that many words covers it whose words also start earlier; windows are judged on
-    the input. Null texts have no words; a null doc_id is judged against nothing and loses nothing; repeated rows of
-    a doc_id are one document. Other columns are ignored and an empty table gives an empty one.
+    the input. Null texts have no words; rows without a doc_id come behind all others; rows of equal doc_id and text are one document,
+    those of one doc_id with different texts documents of their own (see repeated_spans). Other columns are ignored and an empty table
+    gives an empty one.
     """
-    spans = repeated_spans(docs, window, gram, shard_places).groupBy(F.col("doc_id").alias("span_id")).agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    own = docs.select(F.col("doc_id").cast("long"), "text")
-    joined = own.join(spans, F.col("doc_id") == F.col("span_id"), "left").select("doc_id", "text", "spans")
+    spans = repeated_spans(docs, window, gram, shard_places).groupBy(F.col("doc_id").alias("span_id"), F.col("row").alias("span_row")).agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    number, row = _told()
+    own = docs.select(F.col("doc_id").cast("long"), number.alias("own_id"), row.alias("own_row"), "text")
+    joined = own.join(spans, (F.col("own_id") == F.col("span_id")) & (F.col("own_row") == F.col("span_row")), "left").select("doc_id", "text", "spans")
     out = joined.mapInArrow(_cleaned, "doc_id long, kept binary, n_words long, n_removed long")
     return out.select("doc_id", F.decode("kept", "UTF-8").alias("text"), "n_words", "n_removed")
 
