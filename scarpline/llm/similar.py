@@ -12,7 +12,6 @@ Where fingerprints are asked for, SimHash fingerprints of the sets are linked by
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -38,17 +37,17 @@ LEAST = 4
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Hashes(dict):
-    """64-bit hashes of words, kept while they fit."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word, SEED)
-        return value
-
-
-_WORDS = _Hashes()
+#: Bytes of a word that are hashed in arrays; longer words are hashed one by one.
+LONG_WORD = 64
+#: Bytes that are hashed at a time.
+SLICE_BYTES = 1 << 16
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_RANDOM = np.random.default_rng(SEED)
+#: A random number for every byte, the same for A-Z as for a-z and zero for white space, and one for each place in a word.
+_OF_BYTE = _RANDOM.integers(0, 1 << 64, 256, np.uint64, endpoint=False)
+_OF_BYTE[65:91] = _OF_BYTE[97:123]
+_OF_BYTE[_SPACE] = 0
+_OF_PLACE = _RANDOM.integers(0, 1 << 64, LONG_WORD, np.uint64, endpoint=False) | np.uint64(1)
 
 
 def _mixed(parts: Iterable[np.ndarray], start: np.ndarray) -> np.ndarray:
@@ -60,15 +59,95 @@ def _mixed(parts: Iterable[np.ndarray], start: np.ndarray) -> np.ndarray:
     return h
 
 
+def _word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts that lie one after the other in data, and where each text's words end; ends: where the texts end."""
+    space = _SPACE[data]
+    before = np.empty(len(data), bool)
+    before[:1], before[1:] = True, space[:-1]
+    before[ends[ends < len(data)]] = True
+    starts = np.flatnonzero(before & ~space)
+    if not len(starts):
+        return np.empty(0, np.uint64), np.zeros(len(ends), np.int64)
+    out, sizes = np.empty(len(starts), np.uint64), np.empty(len(starts), np.int64)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + SLICE_BYTES)))
+        low, high = starts[at], starts[to] if to < len(starts) else len(data)
+        own = starts[at:to] - low
+        place = np.arange(high - low, dtype=np.int32)
+        place -= np.repeat(own.astype(np.int32), np.diff(own, append=high - low))
+        np.minimum(place, LONG_WORD - 1, out=place)
+        value = _OF_BYTE.take(data[low:high])
+        value *= _OF_PLACE.take(place)
+        out[at:to] = np.add.reduceat(value, own)
+        sizes[at:to] = np.add.reduceat(~space[low:high], own, dtype=np.int64)
+        at = to
+    for i in np.flatnonzero(sizes > LONG_WORD):
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : starts[i] + sizes[i]].tobytes().lower(), SEED)
+    return out, np.searchsorted(starts, ends)
+
+
+def shingle_sets(texts: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
+    """Of each text the sorted distinct hashes of its lower-cased (A-Z) word shingles; a shorter text is one shingle, one without words or a null has none."""
+    texts = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    held = texts.buffers()[2]
+    data = np.frombuffer(held, np.uint8)[offsets[0] : offsets[-1]] if held is not None and offsets[-1] > offsets[0] else np.empty(0, np.uint8)
+    hashes, ends = _word_hashes(data, offsets[1:] - offsets[0])
+    rows = len(hashes) - width + 1
+    whole = _mixed((hashes[k : k + rows] for k in range(width)), np.full(rows, width, np.uint64)).view(np.int64) if rows > 0 else np.empty(0, np.int64)
+    out, start = [], 0
+    for end in ends.tolist():
+        n = end - start
+        if n >= width:
+            own = np.sort(whole[start : end - width + 1])
+            new = np.empty(len(own), bool)
+            new[0] = True
+            np.not_equal(own[1:], own[:-1], out=new[1:])
+            own = own[new]
+        elif n:
+            own = _mixed((hashes[k : k + 1] for k in range(start, end)), np.full(1, n, np.uint64)).view(np.int64)
+        else:
+            own = np.empty(0, np.int64)
+        out.append(own)
+        start = end
+    return out
+
+
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct hashes of the lower-cased (A-Z) word shingles of a text; a shorter text is one shingle, one without words has none."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.int64)
-    hashes = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    width = min(width, len(words))
-    n = len(words) - width + 1
-    return np.unique(_mixed((hashes[k : k + n] for k in range(width)), np.full(n, width, np.uint64)).view(np.int64))
+    """The set of one text, see shingle_sets."""
+    return shingle_sets(pa.array([(text or "").encode("utf-8", "surrogatepass")], pa.large_binary()), width)[0]
+
+
+def _slices(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+class Frequent:
+    """The common and the very common shingles; a table of their first bits spares most others the search."""
+
+    BITS = 22
+
+    def __init__(self, common: np.ndarray, very_common: np.ndarray):
+        self.known = np.concatenate([common, very_common])
+        order = np.argsort(self.known)
+        self.known, self.kinds = self.known[order], np.repeat([1, 2], [len(common), len(very_common)])[order]
+        self.first = np.zeros(1 << self.BITS, bool)
+        self.first[self._bits(self.known)] = True
+
+    def _bits(self, found: np.ndarray) -> np.ndarray:
+        return found.view(np.uint64) >> np.uint64(64 - self.BITS)
+
+    def kinds_of(self, found: np.ndarray) -> np.ndarray:
+        """0 for a rare shingle, 1 for a common one, 2 for a very common one."""
+        out = np.zeros(len(found), np.int64)
+        maybe = np.flatnonzero(self.first[self._bits(found)])
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.known, found[maybe]), len(self.known) - 1)
+            out[maybe] = np.where(self.known[at] == found[maybe], self.kinds[at], 0)
+        return out
 
 
 def _needed(n: int) -> int:
@@ -82,7 +161,7 @@ def _subclasses(size_class: int) -> tuple[int, int, int]:
     return 1, max(1, n // 20), max(1, n // 10)
 
 
-def signature(found: np.ndarray, common: np.ndarray, very_common: np.ndarray) -> np.ndarray:
+def signature(found: np.ndarray, frequent: Frequent) -> np.ndarray:
     """Keys of a set of shingles; any two sets alike enough have one in common.
 
     The order is: rare shingles, common ones, very common ones, each by hash. Keys are single shingles of the first class, twos of
@@ -94,14 +173,10 @@ def signature(found: np.ndarray, common: np.ndarray, very_common: np.ndarray) ->
     n = len(found)
     if n < LEAST:
         return np.empty(0, np.int64)
-    kind = np.zeros(n, np.int64)
-    for k, known in ((1, common), (2, very_common)):
-        if len(known):
-            at = np.minimum(np.searchsorted(known, found), len(known) - 1)
-            kind[known[at] == found] = k
     need = _needed(n)
-    if not kind[:need].any():
+    if not frequent.kinds_of(found[:need]).any():
         return found[:need]
+    kind = frequent.kinds_of(found)
     order = np.argsort(kind, kind="stable")
     found, kind = found[order], kind[order]
     keys = []
@@ -146,8 +221,8 @@ def _fingerprint(found: np.ndarray) -> int:
 
 
 def _opening(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in rows_of(batches):
-        found = [x[: _needed(len(x))] for x in map(shingles, rows["text"]) if len(x) >= LEAST]
+    for rows in _slices(batches):
+        found = [x[: _needed(len(x))] for x in shingle_sets(rows.column("text")) if len(x) >= LEAST]
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], ["gram"])
 
@@ -157,12 +232,13 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def _sets(batches: Iterable[pa.RecordBatch], names: list[str], frequent, fingerprints: bool) -> Iterator[pa.RecordBatch]:
-    for rows in rows_of(batches):
-        found = [shingles(t) for t in rows["text"]]
+    known = Frequent(*frequent.value)
+    for rows in _slices(batches):
+        found = shingle_sets(rows.column("text"))
         digest = lambda seed: pa.array(np.array([xxhash.xxh64_intdigest(x.tobytes(), seed) for x in found], np.uint64).view(np.int64))
         fps = pa.array([_fingerprint(x) if fingerprints else 0 for x in found], pa.int64())
-        own = [pa.array(rows[c], pa.int64()) for c in names]
-        yield pa.RecordBatch.from_arrays([*own, digest(SEED), digest(7), pa.array([len(x) for x in found], pa.int64()), fps, _lists([signature(x, *frequent.value) for x in found])], [*names, "h1", "h2", "n", "fp", "keys"])
+        own = [rows.column(c) for c in names]
+        yield pa.RecordBatch.from_arrays([*own, digest(SEED), digest(7), pa.array([len(x) for x in found], pa.int64()), fps, _lists([signature(x, known) for x in found])], [*names, "h1", "h2", "n", "fp", "keys"])
 
 
 def _frequent(keyed: DataFrame, common: int, very_common: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,10 +265,10 @@ def _bitmap(found: np.ndarray) -> bytes:
 def _whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (node, n, bits, text), of each node the first that a task meets."""
     seen: set[int] = set()
-    for rows in rows_of(batches):
-        first = [i for i, node in enumerate(rows["node"]) if node not in seen and not seen.add(node)]
-        found = [shingles(rows["text"][i]) for i in first]
-        yield pa.RecordBatch.from_arrays([pa.array([rows["node"][i] for i in first], pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array([_bitmap(x) for x in found], pa.binary()), pa.array([rows["text"][i] for i in first], pa.string())], ["node", "n", "bits", "text"])
+    for rows in _slices(batches):
+        rows = rows.take(pa.array([i for i, node in enumerate(rows.column("node").to_pylist()) if node not in seen and not seen.add(node)], pa.int64()))
+        found = shingle_sets(rows.column("text"))
+        yield pa.RecordBatch.from_arrays([rows.column("node"), pa.array([len(x) for x in found], pa.int64()), pa.array([_bitmap(x) for x in found], pa.binary()), rows.column("text")], ["node", "n", "bits", "text"])
 
 
 def _folded(wide: np.ndarray, width: int) -> np.ndarray:
@@ -214,24 +290,15 @@ def _maybe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs (u, v) whose texts' sets are alike enough; the sets of the last few texts are kept."""
-    held: OrderedDict[int, np.ndarray] = OrderedDict()
-
-    def of(node: int, text) -> np.ndarray:
-        if node not in held:
-            held[node] = shingles(text.as_py())
-            while len(held) > 8:
-                held.popitem(last=False)
-        held.move_to_end(node)
-        return held[node]
-
-    for batch in batches:
-        u, v, a, b = (batch.column(c) for c in ("u", "v", "a", "b"))
-        live = []
-        for x, y, s, t in zip(u.to_pylist(), v.to_pylist(), a, b):
-            p, q = of(x, s), of(y, t)
-            live.append(9 * len(np.intersect1d(p, q, assume_unique=True)) >= 4 * (len(p) + len(q)))
-        yield pa.RecordBatch.from_arrays([u.filter(pa.array(live, pa.bool_())), v.filter(pa.array(live, pa.bool_()))], ["u", "v"])
+    """The pairs (u, v) whose texts' sets are alike enough; a set is made once for a few hundred pairs."""
+    for rows in _slices(batches, 256):
+        nodes = np.concatenate([rows.column(c).to_numpy() for c in ("u", "v")])
+        own, first, index = np.unique(nodes, return_index=True, return_inverse=True)
+        texts = pa.concat_arrays([rows.column("a"), rows.column("b")]).take(pa.array(first))
+        found = shingle_sets(texts)
+        live = [9 * len(np.intersect1d(p, q, assume_unique=True)) >= 4 * (len(p) + len(q)) for p, q in ((found[x], found[y]) for x, y in zip(index[: rows.num_rows], index[rows.num_rows :]))]
+        keep = pa.array(live, pa.bool_())
+        yield pa.RecordBatch.from_arrays([rows.column("u").filter(keep), rows.column("v").filter(keep)], ["u", "v"])
 
 
 def _checked(pairs: DataFrame, full: DataFrame) -> DataFrame:
@@ -417,7 +484,7 @@ def _tile_left(table: pa.Table) -> pa.Table:
 
 def _text_links(table: pa.Table) -> pa.Table:
     """The links of one key's tile, from texts."""
-    grams = _lists([shingles(t.as_py()) for t in table.column("text")])
+    grams = _lists(shingle_sets(table.column("text").combine_chunks()))
     return _tile_links(table.drop(["text"]).append_column("grams", pa.chunked_array([grams])))
 
 
