@@ -7,12 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scarpline.functions.scalars import in_range
+from scarpline.operators.recurrences import adaptive, exponential, spline_fill
 
 KEYS = ("station",)
 
@@ -37,18 +36,22 @@ def snap(obs: DataFrame, step_seconds: int, origin: str = "1970-01-01") -> DataF
 
 
 def fill_gaps(series: DataFrame, method: str, keys: Sequence[str] = KEYS) -> DataFrame:
-    """WN-9: nulls of value by zero, previous, next, mean (of the neighbours), linear or nearest.
+    """WN-9: nulls of value by zero, previous, next, mean (of the neighbours), linear, nearest, quadratic or cubic.
 
     mean takes the next value in a leading gap and leaves a trailing one; linear carries the last value on and leaves a
-    leading gap; nearest leaves both ends and prefers the earlier of two as near.
+    leading gap; nearest leaves both ends and prefers the earlier of two as near; for the last two see spline_fill.
+    What comes next is looked up backwards in the opposite order, so the work grows with the rows of a series alone.
     """
     if method == "zero":
         return series.withColumn("value", F.coalesce("value", F.lit(0.0)))
+    if method in ("quadratic", "cubic"):
+        return spline_fill(series, method, keys)
     order = Window.partitionBy(*keys).orderBy("ts")
-    back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys).orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0)
     i = F.when(F.col("value").isNotNull(), F.col("_i"))
     out = series.withColumn("_i", F.row_number().over(order))
-    out = out.withColumns({"_p": F.last("value", True).over(back), "_n": F.first("value", True).over(ahead), "_pi": F.last(i, True).over(back), "_ni": F.first(i, True).over(ahead)})
+    out = out.withColumns({"_p": F.last("value", True).over(back), "_pi": F.last(i, True).over(back)})
+    out = out.withColumns({"_n": F.last("value", True).over(ahead), "_ni": F.last(i, True).over(ahead)})
     p, n = F.col("_p"), F.col("_n")
     linear = F.when(F.col("_ni") > F.col("_pi"), p + (n - p) * (F.col("_i") - F.col("_pi")) / F.nullif(F.col("_ni") - F.col("_pi"), F.lit(0)))
     nearest = F.when(p.isNotNull() & n.isNotNull(), F.when(F.col("_i") - F.col("_pi") <= F.col("_ni") - F.col("_i"), p).otherwise(n))
@@ -100,36 +103,9 @@ def moving_averages(series: DataFrame, n: int, low=None, high=None, weights: Col
 
 
 def exponential_and_adaptive(series: DataFrame, n: int, keys: Sequence[str] = KEYS) -> DataFrame:
-    """WN-3, WN-7: exponential (span n, gaps age the weight) and adaptive averages; one task holds one station's series."""
-    alpha = 2 / (n + 1)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts", ignore_index=True)
-        x = pdf["value"].to_numpy(float)
-        out, last, weight = np.full(len(x), np.nan), np.nan, 1.0
-        for i, v in enumerate(x):
-            if np.isnan(last):
-                last = v
-            else:
-                weight *= 1 - alpha
-                if not np.isnan(v):
-                    last, weight = (weight * last + alpha * v) / (weight + alpha), 1.0
-            out[i] = last
-        pdf["exponential"] = out
-        simple = pdf["value"].rolling(n, min_periods=1).mean().to_numpy()
-        moved = np.abs(np.subtract(x[n:], x[:-n])) if len(x) > n else np.empty(0)
-        steps = pd.Series(np.abs(np.diff(x, prepend=np.nan))).rolling(n, min_periods=n).sum().to_numpy()[n:]
-        adaptive = simple.copy()
-        for t, (m, s) in enumerate(zip(moved, steps), n):
-            ratio = m / s if s and not np.isnan(s) else 0.0
-            term = adaptive[t - 1] + (ratio * (2 / 3 - 2 / 31) + 2 / 31) ** 2 * (x[t] - adaptive[t - 1])
-            adaptive[t] = simple[t] if np.isnan(term) else term
-        pdf["adaptive"] = adaptive
-        return pdf
-
+    """WN-3, WN-7: exponential (span n, gaps age the weight) and adaptive averages, as scans in blocks of rows."""
     own = series.select(*keys, "ts", F.col("value").cast("double").alias("value"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
-    return own.groupBy(*keys).applyInPandas(run, f"{fields}, exponential double, adaptive double")
+    return adaptive(exponential(own, n, keys), n, keys)
 
 
 def default_threshold(series: DataFrame, quantile: float = 0.98, keys: Sequence[str] = KEYS) -> DataFrame:

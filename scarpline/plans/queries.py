@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scarpline.functions import scalars
-from scarpline.operators import grid, model, neighbours, paths, timeseries
+from scarpline.operators import grid, model, neighbours, paths, recurrences, timeseries
 from scarpline.plans.fixtures import CELLS, FULL, OBS, STATIONS, cells, observations, read, stations
 
 HOUR = 3600
@@ -46,6 +46,37 @@ def _gap_fill(method: str):
     return lambda s, d: rounded(timeseries.fill_gaps(series(s, d), method).select("station", "ts", "value"), "value")
 
 
+def _times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of which every fourth has lost its time, in the order of their numbers."""
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("station"), "event_id", F.when(F.pmod("event_id", F.lit(4)) != 1, F.col("ts")).alias("ts"))
+    return recurrences.fill_times(e, "event_id").select("station", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long").alias("millis"))
+
+
+def _spline_sql(method: str) -> str:
+    """The tridiagonal system of a spline, eliminated row by row and solved backwards."""
+    if method == "cubic":
+        system = """SELECT station, k, 1 AS lo, n - 2 AS hi, CASE WHEN k = 1 THEN 0 WHEN k = n - 2 THEN g - h * h / g ELSE g END AS a, 2 * (g + h) + CASE WHEN k = 1 THEN g * (g + h) / h ELSE 0 END + CASE WHEN k = n - 2 THEN h * (g + h) / g ELSE 0 END AS b,
+  CASE WHEN k = n - 2 THEN 0 WHEN k = 1 THEN h - g * g / h ELSE h END AS c, 6 * (dy - ey) AS d FROM k1 WHERE n >= 4 AND k BETWEEN 1 AND n - 2"""
+        curve = """e0 AS (SELECT k1.*, m, lead(m) OVER w AS m1, lead(m, 2) OVER w AS m2, lag(m) OVER w AS b1, lag(m, 2) OVER w AS b2, lead(h) OVER w AS hh, lag(g) OVER w AS gg FROM k1 LEFT JOIN bw USING (station, k) WHERE n >= 4 WINDOW w AS (PARTITION BY station ORDER BY k)),
+e1 AS (SELECT *, CASE WHEN k = 0 THEN ((h + hh) * m1 - h * m2) / hh WHEN k = n - 1 THEN ((g + gg) * b1 - g * b2) / gg ELSE m END AS mm FROM e0),
+e2 AS (SELECT *, lead(mm) OVER (PARTITION BY station ORDER BY k) AS nx FROM e1),
+v AS (SELECT s.station, s.i, y + (s.i - x) * (dy - h * (2 * mm + nx) / 6) + (s.i - x) ** 2 * mm / 2 + (s.i - x) ** 3 * (nx - mm) / (6 * h) AS v FROM s JOIN e2 ON e2.station = s.station AND s.value IS NULL AND s.i > x AND s.i < x + h)"""
+    else:
+        system = """SELECT station, k, 0 AS lo, n - 2 AS hi, CASE WHEN k IN (0, n - 2) THEN 0 ELSE h / (g + h) END AS a, CASE WHEN k IN (0, n - 2) THEN 1 ELSE g / (g + h) + 2 + nh / (h + nh) END AS b, CASE WHEN k IN (0, n - 2) THEN 0 ELSE h / (h + nh) END AS c, CASE WHEN k IN (0, n - 2) THEN dy ELSE 4 * dy END AS d FROM k1 WHERE n >= 3 AND k <= n - 2"""
+        curve = """e0 AS (SELECT k1.*, m, lag(m) OVER (PARTITION BY station ORDER BY k) AS b1 FROM k1 LEFT JOIN bw USING (station, k) WHERE n >= 3),
+e1 AS (SELECT station, k, x AS o, y AS c0, (b1 * h + m * g) / (g + h) AS c1, (m - b1) / (g + h) AS c2 FROM e0 WHERE k BETWEEN 1 AND n - 2),
+gap AS (SELECT s.station, s.i, least(greatest(CASE WHEN s.i <= x + h / 2.0 THEN k ELSE k + 1 END, 1), n - 2) AS k FROM s JOIN k1 ON k1.station = s.station AND s.value IS NULL AND s.i > x AND s.i < x + h WHERE n >= 3),
+v AS (SELECT station, i, c0 + (i - o) * c1 + (i - o) ** 2 * c2 AS v FROM gap JOIN e1 USING (station, k))"""
+    return f"""WITH RECURSIVE {FULL}, s AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY station ORDER BY ts) AS i FROM series),
+k0 AS (SELECT station, CAST(i AS DOUBLE) AS x, value AS y, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY station) AS n, CAST(lead(i) OVER w - i AS DOUBLE) AS h, (lead(value) OVER w - value) / (lead(i) OVER w - i) AS dy FROM s WHERE value IS NOT NULL WINDOW w AS (PARTITION BY station ORDER BY i)),
+k1 AS MATERIALIZED (SELECT *, lag(h) OVER w AS g, lead(h) OVER w AS nh, lag(dy) OVER w AS ey FROM k0 WINDOW w AS (PARTITION BY station ORDER BY k)),
+sys AS MATERIALIZED ({system}),
+fw AS (SELECT station, k, hi, c / b AS cp, d / b AS dp FROM sys WHERE k = lo UNION ALL SELECT q.station, q.k, q.hi, q.c / (q.b - q.a * f.cp), (q.d - q.a * f.dp) / (q.b - q.a * f.cp) FROM fw f JOIN sys q ON q.station = f.station AND q.k = f.k + 1),
+bw AS (SELECT station, k, dp AS m FROM fw WHERE k = hi UNION ALL SELECT f.station, f.k, f.dp - f.cp * b.m FROM bw b JOIN fw f ON f.station = b.station AND f.k = b.k - 1),
+{curve}
+SELECT station, ts, round(coalesce(value, v), 6) + 0.0 AS value FROM s LEFT JOIN v USING (station, i)"""
+
+
 def _gap_sql(expression: str) -> str:
     return f"""WITH {FULL}, n AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY ts) AS i FROM series),
 f AS (SELECT *, last_value(value IGNORE NULLS) OVER b AS p, first_value(value IGNORE NULLS) OVER a AS nx,
@@ -148,6 +179,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "wn9_fill_mean": _gap_fill("mean"),
         "wn9_fill_linear": _gap_fill("linear"),
         "wn9_fill_nearest": _gap_fill("nearest"),
+        "wn9_fill_quadratic": _gap_fill("quadratic"),
+        "wn9_fill_cubic": _gap_fill("cubic"),
+        "wn14_fill_times": _times,
         "wn10_sessions": lambda s, d: timeseries.sessions(obs(s, d).filter("value > 250"), 6 * HOUR).select("station", "ts", "event"),
         "jn1_nearest_station": lambda s, d: rounded(neighbours.nearest(_points(s, d), stations(s, d).select(F.col("station").alias("ref"), F.col("x").alias("rx"), F.col("y").alias("ry")), 0.03), "distance"),
         "jn5_distances": lambda s, d: rounded(neighbours.distances_within(stations(s, d), 0.3), "distance"),
@@ -206,6 +240,17 @@ SELECT station, ts, round(avg(h) OVER ({FRAME} 2 PRECEDING AND CURRENT ROW), 6)
         "wn9_fill_mean": _gap_sql("coalesce(value, CASE WHEN p IS NULL THEN nx ELSE (p + nx) / 2 END)"),
         "wn9_fill_linear": _gap_sql("coalesce(value, CASE WHEN ni > pi THEN p + (nx - p) * (i - pi) / (ni - pi) END, p)"),
         "wn9_fill_nearest": _gap_sql("coalesce(value, CASE WHEN p IS NOT NULL AND nx IS NOT NULL THEN CASE WHEN i - pi <= ni - i THEN p ELSE nx END END)"),
+        "wn9_fill_quadratic": _spline_sql("quadratic"),
+        "wn9_fill_cubic": _spline_sql("cubic"),
+        "wn14_fill_times": "WITH e AS (SELECT user_id AS station, event_id, CASE WHEN event_id % 4 <> 1 THEN epoch_us(ts) END AS m, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events), f AS (SELECT *, last_value(m IGNORE NULLS) OVER b AS pm, last_value(CASE WHEN m IS NOT NULL THEN i END IGNORE NULLS) OVER b AS pi, first_value(m IGNORE NULLS) OVER a AS nm, first_value(CASE WHEN m IS NOT NULL THEN i END IGNORE NULLS) OVER a AS ni FROM e WINDOW b AS (PARTITION BY station ORDER BY event_id ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY station ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT station, event_id, CAST(floor(coalesce(m, CASE WHEN nm IS NULL THEN pm WHEN pm IS NOT NULL THEN pm + floor((nm - pm) * ((i - pi) / (ni - pi)) + 0.5) END) / 1000) AS BIGINT) AS millis FROM f",
+        "wn3_wn7_recurrences": f"""WITH RECURSIVE {FULL}, r0 AS (SELECT *, row_number() OVER w - 1 AS t, avg(value) OVER f AS simple, abs(value - lag(value) OVER w) AS step, abs(value - lag(value, 24) OVER w) AS moved FROM series WINDOW w AS (PARTITION BY station ORDER BY ts), f AS ({FRAME} 23 PRECEDING AND CURRENT ROW)),
+r1 AS (SELECT *, CASE WHEN count(step) OVER f = 24 THEN sum(step) OVER f END AS steps FROM r0 WINDOW f AS ({FRAME} 23 PRECEDING AND CURRENT ROW)),
+r AS MATERIALIZED (SELECT *, (CASE WHEN steps <> 0 THEN moved / steps ELSE 0 END * (2.0 / 3 - 2.0 / 31) + 2.0 / 31) ** 2 AS s FROM r1),
+w AS (SELECT station, ts, t, value AS ema, CAST(1 AS DOUBLE) AS weight, simple AS ada FROM r WHERE t = 0
+  UNION ALL SELECT r.station, r.ts, r.t, CASE WHEN w.ema IS NULL THEN r.value WHEN r.value IS NULL THEN w.ema ELSE (w.weight * 0.92 * w.ema + 0.08 * r.value) / (w.weight * 0.92 + 0.08) END,
+  CASE WHEN w.ema IS NULL OR r.value IS NOT NULL THEN 1 ELSE w.weight * 0.92 END, CASE WHEN r.t >= 24 THEN coalesce(w.ada + r.s * (r.value - w.ada), r.simple) ELSE r.simple END
+  FROM w JOIN r ON r.station = w.station AND r.t = w.t + 1)
+SELECT station, ts, round(ema, 6) + 0.0 AS exponential, round(ada, 6) + 0.0 AS adaptive FROM w""",
         "wn10_sessions": f"WITH {OBS}, a AS (SELECT station, ts, CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY station ORDER BY ts)) > 21600 THEN 1 ELSE 0 END AS w FROM obs WHERE value > 250) SELECT station, ts, CAST(1 + sum(w) OVER ({FRAME} UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS event FROM a",
         "jn1_nearest_station": f"WITH {STATIONS}, p AS (SELECT c_custkey AS id, (c_custkey % 37) * 0.006 AS px, (c_custkey % 29) * 0.005 AS py FROM customer), m AS (SELECT id, min((sqrt((px - x) ** 2 + (py - y) ** 2), station)) AS m FROM p CROSS JOIN stations GROUP BY id) SELECT id, m[2] AS ref, round(m[1], 6) AS distance FROM m",
         "jn5_distances": f"WITH {STATIONS} SELECT a.station AS a, b.station AS b, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) AS distance FROM stations a CROSS JOIN stations b WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) < 0.3",
