@@ -38,11 +38,13 @@ def pixel_series(pixels: DataFrame, series: DataFrame) -> DataFrame:
 def metric_statistics(rows: DataFrame) -> DataFrame:
     """AG-6: over all pixels and times of an area mean, deviation (divided by n), maximum and minimum, nulls left out.
 
-    rows: area, pixels, value; each value counts once for every pixel that shares it.
+    rows: area, pixels, value; each value counts once for every pixel that shares it. The deviation is taken from the mean itself, in a
+    second pass, so that it is right for large values that differ little.
     """
     own = rows.filter("value IS NOT NULL")
-    n, s, q = F.sum("pixels"), F.sum(F.col("pixels") * F.col("value")), F.sum(F.col("pixels") * F.col("value") ** 2)
-    return own.groupBy("area").agg((s / n).alias("mean"), F.sqrt(F.greatest(q / n - (s / n) ** 2, F.lit(0.0))).alias("std"), F.max("value").alias("max"), F.min("value").alias("min"))
+    first = own.groupBy("area").agg((F.sum(F.col("pixels") * F.col("value")) / F.sum("pixels")).alias("mean"), F.max("value").alias("max"), F.min("value").alias("min"))
+    apart = own.join(first.select("area", "mean"), "area").groupBy("area").agg(F.sqrt(F.sum(F.col("pixels") * (F.col("value") - F.col("mean")) ** 2) / F.sum("pixels")).alias("std"))
+    return first.join(apart, "area").select("area", "mean", "std", "max", "min")
 
 
 def thresholds(statistics: DataFrame, quantiles: DataFrame | None = None, mode: str = "quantile", value: float | None = None) -> DataFrame:

@@ -18,16 +18,19 @@ def _squares(df: DataFrame, x: str, y: str, side: float, around: bool = False) -
     return df.withColumn("s", F.explode(steps)).withColumns({"bx": square(x) + F.col("s.i"), "by": square(y) + F.col("s.j")}).drop("s")
 
 
-def nearest(points: DataFrame, refs: DataFrame, cell: float) -> DataFrame:
+def nearest(points: DataFrame, refs: DataFrame, cell: float, by_steps: bool = False) -> DataFrame:
     """JN-1: for each point (id, x, y) the nearest of refs (ref, rx, ry), of equals the least ref; (id, ref, distance).
 
+    The distance is straight, or with by_steps |dx| + |dy|.
+
     Both sides are put in squares of side `cell`; a point meets the refs of its square and the eight around, and that is
     its nearest if it is nearer than `cell`. Points without one that near meet squares of twice the side, and so on, until
     the squares span all refs and points. Without refs there are no rows.
     """
     bounds = lambda df, x, y: df.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
     a, b = bounds(points, "x", "y"), bounds(refs, "rx", "ry")
-    d = F.sqrt((F.col("x") - F.col("rx")) ** 2 + (F.col("y") - F.col("ry")) ** 2)
+    dx, dy = F.col("x") - F.col("rx"), F.col("y") - F.col("ry")
+    d = F.abs(dx) + F.abs(dy) if by_steps else F.sqrt(dx**2 + dy**2)
     rest, done = points.select("id", "x", "y"), points.sparkSession.createDataFrame([], StructType([points.schema["id"], refs.schema["ref"], StructField("distance", DoubleType())]))
     if a[0] is None or b[0] is None:
         return done

@@ -53,11 +53,12 @@ def nearest_cell(points: DataFrame, tiles: DataFrame) -> DataFrame:
     return points.join(best, "id", "left").select(*points.columns, "m.tile", "m.row", "m.col", "m.distance")
 
 
-def nearest_by_steps(targets: DataFrame, stations: DataFrame) -> DataFrame:
-    """IN-1: for each target (id, x, y) the station of least |dx| + |dy|, of equals the least; stations are few."""
-    met = targets.join(small(stations.select("station", F.col("x").alias("sx"), F.col("y").alias("sy"))))
-    d = F.abs(F.col("x") - F.col("sx")) + F.abs(F.col("y") - F.col("sy"))
-    return met.groupBy("id").agg(F.min(F.struct(d.alias("distance"), "station")).alias("m")).select("id", "m.station", "m.distance")
+def nearest_by_steps(targets: DataFrame, stations: DataFrame, cell: float = 0.1) -> DataFrame:
+    """IN-1: for each target (id, x, y) the station of least |dx| + |dy|, of equals the least; by squares of side cell, see nearest."""
+    from scarpline.operators.neighbours import nearest
+
+    refs = stations.select(F.col("station").alias("ref"), F.col("x").alias("rx"), F.col("y").alias("ry"))
+    return nearest(targets, refs, cell, by_steps=True).select("id", F.col("ref").alias("station"), "distance")
 
 
 def _radial(x, y, v, tx, ty):
@@ -127,18 +128,21 @@ def interpolate(series: DataFrame, stations: DataFrame, method: str = "linear")
     """IN-2, IN-4: nulls of (station, ts, value) from the stations (station, x, y) with a value at that time; linear or rbf.
 
     One task holds the stations of one time; times are spread over the cluster. A gap
-    outside of the hull of the stations stays null with linear, as does any gap of a time without values.
+    outside of the hull of the stations stays null with linear, as does any gap of a time without values. A series whose station has no
+    place stays as it is, and fills no other.
     """
     kernel = {"linear": _linear, "rbf": _radial}[method]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        has = pdf["value"].notna().to_numpy()
-        if has.any() and not has.all():
-            own, gap = pdf[has], pdf[~has]
-            pdf.loc[~has, "value"] = kernel(*(own[c].to_numpy(float) for c in ("x", "y", "value")), *(gap[c].to_numpy(float) for c in "xy"))
+        placed = (pdf["x"].notna() & pdf["y"].notna()).to_numpy()
+        has = pdf["value"].notna().to_numpy() & placed
+        none = pdf["value"].isna().to_numpy() & placed
+        if has.any() and none.any():
+            own, gap = pdf[has], pdf[none]
+            pdf.loc[none, "value"] = kernel(*(own[c].to_numpy(float) for c in ("x", "y", "value")), *(gap[c].to_numpy(float) for c in "xy"))
         return pdf[["station", "ts", "value"]]
 
-    met = series.select("station", "ts", F.col("value").cast("double").alias("value")).join(small(stations.select("station", "x", "y")), "station")
+    met = series.select("station", "ts", F.col("value").cast("double").alias("value")).join(small(stations.select("station", "x", "y")), "station", "left")
     fields = ", ".join(f"`{n}` {t}" for n, t in met.select("station", "ts", "value").dtypes)
     found = met.groupBy("ts").applyInPandas(run, fields)
     return found.withColumn("value", F.nanvl("value", F.lit(None).cast("double")))

@@ -206,10 +206,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     def nearest_fill(pick: str, extra: str) -> str:
-        return f"""WITH {FULL}, {STATIONS}, dist AS (SELECT a.station AS a, b.station AS b, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM stations a CROSS JOIN stations b WHERE a.station <> b.station),
-met AS (SELECT g.station, g.ts, b, d, o.value AS v FROM series g JOIN dist ON g.station = a AND d < 0.12 JOIN series o ON o.station = b AND o.ts = g.ts WHERE g.value IS NULL AND o.value IS NOT NULL),
+        return f"""WITH {FULL}, {STATIONS}, sq AS (SELECT *, CAST(floor(x / 0.12) AS INT) AS bx, CAST(floor(y / 0.12) AS INT) AS by_ FROM stations), near_sq AS (SELECT station, x, y, bx + i AS bx, by_ + j AS by_ FROM sq, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j)),
+dist AS MATERIALIZED (SELECT a.station AS a, b.station AS b, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM sq a JOIN near_sq b USING (bx, by_) WHERE a.station <> b.station AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) < 0.12),
+met AS (SELECT dist.a AS station, o.ts, b, d, o.value AS v FROM obs o JOIN dist ON o.station = b),
 got AS ({pick})
-SELECT station, ts, round(coalesce(value, filled), 6) + 0.0 AS value{extra} FROM series LEFT JOIN got USING (station, ts)"""
+SELECT series.station, series.ts, round(coalesce(value, filled), 6) + 0.0 AS value{extra} FROM series LEFT JOIN got ON got.station = series.station AND got.ts = series.ts"""
 
     out = {
         "mo4_threshold_events": f"""WITH {FULLZ}, sm AS (SELECT station, ts, round(avg(value) OVER ({FRAME} 5 PRECEDING AND CURRENT ROW), 6) AS value FROM zs),
