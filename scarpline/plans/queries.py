@@ -154,10 +154,10 @@ FRAME = "PARTITION BY station ORDER BY ts ROWS BETWEEN"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from scarpline.plans import areas, rasters, records, shapes
+    from scarpline.plans import areas, merges, rasters, records, shapes
 
     obs = observations
-    return areas.queries() | records.queries() | shapes.queries() | rasters.queries() | {
+    return areas.queries() | records.queries() | shapes.queries() | rasters.queries() | merges.queries() | {
         "mo4_threshold_events": threshold_events,
         "pf1_range_mask": lambda s, d: read(s, d, "orders").select("o_orderkey", scalars.in_range(F.col("o_totalprice"), 1000, 200000).alias("inside"), F.round(scalars.filter_numeric(F.col("o_totalprice"), 50000, None, False, -1.0), 4).alias("kept")),
         "pf3_no_data": lambda s, d: read(s, d, "lineitem").select("l_orderkey", "l_linenumber", scalars.drop_no_data(F.col("l_quantity"), [1.0, 50.0]).alias("quantity")),
@@ -283,6 +283,6 @@ walk AS (SELECT tile * 100000 + row * 1000 + col AS path_id, tile, row, col, 0 A
 SELECT path_id, steps, coalesce(stop, 'max_runout') AS stop_reason, array_to_string(path, ',') AS cells FROM walk WHERE stop IS NOT NULL OR steps = 50""",
         "it5_top_paths": "SELECT start, path_id, score FROM (SELECT o_custkey AS start, o_orderkey AS path_id, o_totalprice AS score, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 3",
     }
-    from scarpline.plans import areas, rasters, records, shapes
+    from scarpline.plans import areas, merges, rasters, records, shapes
 
-    return {name: sql.replace("round(", f"round({NUDGE} + ") for name, sql in (out | areas.oracle_sql() | records.oracle_sql() | shapes.oracle_sql() | rasters.oracle_sql()).items()}
+    return {name: sql.replace("round(", f"round({NUDGE} + ") for name, sql in (out | areas.oracle_sql() | records.oracle_sql() | shapes.oracle_sql() | rasters.oracle_sql() | merges.oracle_sql()).items()}
