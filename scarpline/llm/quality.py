@@ -1,7 +1,7 @@
 """Document quality and toxicity by co-training two views.
 
-The text view sees hashed words and word shapes, the page view only the row's metadata and layout (source, lang, sizes,
-shares of character kinds). Both are naive Bayes models over hashed features, so fitting is a sum of counts that Spark
+The text view sees the text alone: hashed words, shares of marks, and how it is laid out. The page view sees the row's other columns
+alone: source, lang and stated size, and pairs of these. Both are naive Bayes models over hashed features, so fitting is a sum of counts that Spark
 pre-aggregates over all documents. In each round a view labels the documents without labels that it is sure of, and
 the other learns from them. Scores are calibrated on labelled documents held out from fitting, then added as log odds.
 """
@@ -49,14 +49,16 @@ def text_features(text: str, slots: _Slots) -> list[int]:
     words = WORD.findall(text.lower())
     own = {slots[w] for w in words}
     own.update(slots[f"shape {s} {_share(n, len(words))}"] for s in "%#*$&|.,;:" if (n := text.count(s)))
+    tokens, lines = text.split(), text.split("\n")
+    n, marks = len(text), len(SHAPE.findall(text))
+    laid = [f"lines {int(math.log2(len(lines)))}", f"marks {_share(marks, n)}", f"distinct {_share(len(set(tokens)), len(tokens))}", f"line {int(math.log2(n / len(lines) + 1))}", f"word {int(2 * n / (len(tokens) + 1))}", f"same lines {_share(len(lines) - len(set(lines)), len(lines))}", f"repeats {_share(sum(a == b for a, b in zip(tokens, tokens[1:])), len(tokens))}"]
+    own.update(slots[f"layout {k}"] for k in laid)
     return sorted(own)
 
 
-def page_features(text: str, lang: str | None, source: str | None, slots: _Slots) -> list[int]:
-    tokens, lines = text.split(), text.split("\n")
-    n = len(text)
-    marks = len(SHAPE.findall(text))
-    kept = [f"source {source}", f"lang {lang}", f"size {int(math.log2(n + 1))}", f"lines {int(math.log2(len(lines)))}", f"marks {_share(marks, n)}", f"distinct {_share(len(set(tokens)), len(tokens))}", f"line {int(math.log2(n / len(lines) + 1))}", f"word {int(2 * n / (len(tokens) + 1))}", f"same lines {_share(len(lines) - len(set(lines)), len(lines))}", f"repeats {_share(sum(a == b for a, b in zip(tokens, tokens[1:])), len(tokens))}"]
+def page_features(n_chars: int | None, lang: str | None, source: str | None, slots: _Slots) -> list[int]:
+    size = None if n_chars is None else int(2 * math.log2(max(0, n_chars) + 1))
+    kept = [f"source {source}", f"lang {lang}", f"size {size}", f"source {source} lang {lang}", f"source {source} size {size}"]
     return sorted({slots[f"page {k}"] for k in kept})
 
 
@@ -65,12 +67,13 @@ def _featured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in rows_of(batches):
         texts = [t or "" for t in rows["text"]]
         words = [text_features(t, slots) for t in texts]
-        page = [page_features(t, a, s, slots) for t, a, s in zip(texts, rows["lang"], rows["source"])]
+        page = [page_features(n, a, s, slots) for n, a, s in zip(rows["n_chars"], rows["lang"], rows["source"])]
         yield pa.RecordBatch.from_arrays([pa.array(rows["doc_id"], pa.int64()), pa.array(words, pa.list_(pa.int32())), pa.array(page, pa.list_(pa.int32()))], ["doc_id", "text_view", "page_view"])
 
 
 def featured(docs: DataFrame) -> DataFrame:
-    own = docs.select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string"), F.col("source").cast("string"))
+    size = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long").alias("n_chars")
+    own = docs.select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string"), F.col("source").cast("string"), size)
     return own.mapInArrow(_featured, "doc_id long, text_view array<int>, page_view array<int>")
 
 
@@ -159,7 +162,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, su
 
     labels: doc_id, quality, toxic (0, 1 or null; of repeated rows the largest counts). A fifth of the labelled
     documents, by a hash of doc_id, is used to calibrate only. Null texts are empty, null metadata are values of their
-    own, other columns are ignored; an empty table gives an empty one. Without labels every probability is 0.5 or the
+    own (n_chars may be left out), other columns are ignored; an empty table gives an empty one. Without labels every probability is 0.5 or the
     prior's. All documents are scored and may give pseudo-labels.
     """
     label = lambda c: F.when(F.col(c).isin(0, 1), F.col(c).cast("int"))

@@ -21,7 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_line_dedup": lambda s, d: line_dedup.op4_rows(docs(s, d)),
         "op5_media_columns": lambda s, d: media.op5_rows(docs(s, d)),
         "op6_url_filter": lambda s, d: url_filter.op6_rows(table(s, d, "pages", "page_id", "url", "html")),
-        "op7_quality_classifier": lambda s, d: quality.score_documents(docs(s, d, "lang", "source"), table(s, d, "labels", "doc_id", "quality", "toxic")),
+        "op7_quality_classifier": lambda s, d: quality.score_documents(docs(s, d, "lang", "source", "n_chars"), table(s, d, "labels", "doc_id", "quality", "toxic")),
         "op8_substring_dedup": lambda s, d: substring.op8_rows(docs(s, d)),
         "op9_language_id": lambda s, d: langid.op9_rows(docs(s, d, "lang")),
         "op10_decontamination": lambda s, d: decontam.op10_rows(docs(s, d), table(s, d, "benchmark", "item_id", "text")),
