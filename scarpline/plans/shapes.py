@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scarpline.functions import projections, scalars
-from scarpline.operators import overlay, polygons
+from scarpline.operators import overlay, polygons, shapes
 from scarpline.plans.fixtures import CELLS, cells, read
 
 SQUARE = 4.0
@@ -50,6 +50,16 @@ def _centres(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells(spark, sf_dir).select("tile", "row", "col", (10 + F.col("col") * 0.01).alias("x"), (45 - F.col("row") * 0.01).alias("y"))
 
 
+def _slides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers as points, every fifth without a source, and suppliers' boxes (every fourth a line, every thirteenth there twice) as a source."""
+    k = F.col("c_custkey")
+    points = read(spark, sf_dir, "customer").select(k.cast("long").alias("id"), F.when(k % 5 != 0, "boxes").alias("src"), (F.pmod(k, F.lit(100)) * 3.0).alias("x"), (F.floor(k / 100) * 3.0).alias("y"))
+    b = _boxes(spark, sf_dir).withColumn("kind", F.when(F.col("poly_id") % 4 == 0, "line").otherwise("polygon")).filter("kind = 'polygon' OR NOT hole")
+    line = F.when(F.col("kind") == "line", F.slice("ring", 1, 2)).otherwise(F.col("ring"))
+    twice = F.explode(F.when(F.col("poly_id") % 13 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("feature")
+    return points, b.select(F.lit("boxes").alias("src"), F.col("poly_id").cast("long").alias("id"), twice, "kind", "part", "hole", line.alias("ring"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from scarpline.plans import queries as base
 
@@ -86,6 +96,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         own = found.groupBy("space").agg(F.sum(polygons.ring_area(F.col("ring"))).alias("area"), F.sum(polygons.ring_length(F.col("ring"))).alias("length"))
         return rounded(own, "area", "length")
 
+    def slides(s, d):
+        found = shapes.landslide_polygons(*_slides(s, d), radius=1.0, square=SQUARE)
+        return rounded(polygons.measures(found).join(found.select("poly_id", "fake").distinct(), "poly_id").select("poly_id", "fake", "area"), "area")
+
+    def area(s, d):
+        k = F.col("s_suppkey")
+        points = read(s, d, "supplier").select(k.alias("poly_id"), F.pmod(k, F.lit(40)).cast("double").alias("x"), F.floor(k / 40).cast("double").alias("y"))
+        found = shapes.study_area(shapes.around_points(points, 0.75, "square"), SQUARE)
+        total = polygons.measures(found).select("area")
+        return rounded(shapes.extremes(found).join(total), "area", "x_min", "x_max", "y_min", "y_max")  # one row each
+
     def union(s, d):
         found = overlay.areas(overlay.union(_boxes(s, d), SQUARE, F.pmod("poly_id", F.lit(4))))
         return rounded(found.select("space", "area"), "area")
@@ -100,6 +121,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ve11_overlaps_rings": lambda s, d: rounded(overlay.overlaps(_boxes(s, d), SQUARE), "shared"),
         "ve6_repair_rings": repaired,
         "ve9_buffer_rings": buffers,
+        "ve17_landslides": slides,
+        "ve17_problems": lambda s, d: shapes.landslide_problems(*_slides(s, d)),
+        "ve15_study_area": area,
+        "ve13_shrunk": lambda s, d: rounded(polygons.measures(shapes.align(_boxes(s, d).filter("NOT hole"), "buffer", 0.125, SQUARE)).select("poly_id", "area"), "area"),
         "co1_to_utm": lambda s, d: rounded(utm(s, d).select("id", "epsg", "east", "north"), "east", "north", digits=3),
         "co1_round_trip": back,
         "co13_projected": lambda s, d: rounded(projections.with_projected(_places(s, d).withColumns({"lon": 12 + F.col("lon") / 100, "lat": 45 + F.col("lat") / 100})).select("id", "prj_epsg", "prj_x", "prj_y"), "prj_x", "prj_y", digits=3),
@@ -150,6 +175,10 @@ SELECT CAST(u.s AS BIGINT) AS space, round(CAST(count(*) / 16.0 AS DOUBLE), 6) A
         "ve11_overlaps_rings": f"WITH {q}, n AS (SELECT k, count(*) AS n FROM q GROUP BY k), s AS (SELECT x.k AS a, z.k AS b, count(*) AS c FROM q x JOIN q z ON x.i = z.i AND x.j = z.j AND x.k < z.k GROUP BY ALL) SELECT a, b, round(CAST(c / 16.0 AS DOUBLE), 6) AS shared, CASE WHEN c = na.n THEN 'within' WHEN c = nb.n THEN 'contains' ELSE 'overlaps' END AS kind FROM s JOIN n na ON na.k = a JOIN n nb ON nb.k = b",
         "ve6_repair_rings": f"WITH {boxes} SELECT k AS poly_id, CAST(2 AS BIGINT) AS rings, round(CAST(w AS DOUBLE), 6) AS area FROM b",
         "ve9_buffer_rings": f"WITH {boxes} SELECT k AS poly_id, round(CAST(CASE k % 3 WHEN 0 THEN (w - 0.5) * 1.5 WHEN 1 THEN w * 2 ELSE w * 2 + (2 * w + 4) * 0.25 + {disc!r} * 0.0625 END AS DOUBLE), 6) AS area FROM b",
+        "ve17_landslides": f"WITH {boxes}, c AS (SELECT c_custkey AS id, c_custkey % 5 <> 0 AS named FROM customer) SELECT c.id AS poly_id, (NOT named OR b.k IS NULL OR k % 4 = 0) AS fake, round(CAST(CASE WHEN NOT named OR b.k IS NULL THEN {disc!r} WHEN k % 4 = 0 THEN {disc!r} + 2 * w ELSE 2 * w - CASE WHEN k % 3 = 0 THEN 0.25 ELSE 0 END END AS DOUBLE), 6) AS area FROM c LEFT JOIN b ON b.k = c.id WHERE NOT named OR b.k IS NULL OR k % 13 <> 0",
+        "ve17_problems": "SELECT c_custkey AS id, CASE WHEN s_suppkey IS NULL THEN 'missing' ELSE 'several' END AS problem FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey WHERE c_custkey % 5 <> 0 AND (s_suppkey IS NULL OR s_suppkey % 13 = 0)",
+        "ve15_study_area": "WITH p AS (SELECT s_suppkey % 40 AS x, s_suppkey // 40 AS y FROM supplier), q AS (SELECT DISTINCT i, j FROM (SELECT *, unnest(range(4 * y - 3, 4 * y + 3)) AS j FROM (SELECT *, unnest(range(4 * x - 3, 4 * x + 3)) AS i FROM p))) SELECT round(CAST(count(*) / 16.0 AS DOUBLE), 6) AS area, round(CAST(min(i) / 4.0 AS DOUBLE), 6) AS x_min, round(CAST((max(i) + 1) / 4.0 AS DOUBLE), 6) AS x_max, round(CAST(min(j) / 4.0 AS DOUBLE), 6) AS y_min, round(CAST((max(j) + 1) / 4.0 AS DOUBLE), 6) AS y_max FROM q",
+        "ve13_shrunk": f"WITH {boxes} SELECT k AS poly_id, round(CAST((w - 0.25) * 1.75 AS DOUBLE), 6) AS area FROM b",
         "co1_to_utm": f"WITH {places}, {_utm_sql('p', epsg, 'lon', 'lat', ('east', 'north'))} SELECT id, code AS epsg, round(east, 3) AS east, round(north, 3) + 0.0 AS north FROM u4",
         "co1_round_trip": f"WITH {places} SELECT id, round(lon, 8) + 0.0 AS lon, round(lat, 8) + 0.0 AS lat FROM p",
         "co13_projected": f"WITH {places}, s AS (SELECT id, 12 + lon / 100 AS lon, 45 + lat / 100 AS lat FROM p), z AS (SELECT CAST(32600 + floor((min(lon) + 180) / 6) + 1 AS INT) AS z FROM s), w AS (SELECT s.*, z FROM s CROSS JOIN z), {_utm_sql('w', 'z', 'lon', 'lat', ('east', 'north'))} SELECT id, code AS prj_epsg, round(east, 3) AS prj_x, round(north, 3) AS prj_y FROM u4",
