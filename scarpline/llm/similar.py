@@ -390,7 +390,8 @@ def _by_pivots(left: DataFrame, seeds: tuple[int, ...]) -> DataFrame:
     """Candidates (node, n, other, m): each set of a shingle with a few of its sets, by hash, that have another root."""
     pick = lambda seed: F.min(F.struct(F.xxhash64(F.lit(seed), "node").alias("h"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("at")))
     pivots = left.groupBy("gram").agg(F.array(*map(pick, seeds)).alias("pivots"))
-    return left.join(pivots, "gram").select("node", "n", "root", F.explode("pivots").alias("p")).filter("root <> p.at").select("node", "n", "p.other", "p.m")
+    apart = F.filter("pivots", lambda p: p["at"] != F.col("root"))  # before they are rows: most of a cloud has one root
+    return left.join(pivots, "gram").select("node", "n", F.explode(apart).alias("p")).select("node", "n", "p.other", "p.m")
 
 
 def _by_degree(left: DataFrame, links: DataFrame) -> DataFrame:
