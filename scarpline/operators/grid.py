@@ -109,3 +109,42 @@ def class_parameters(cells: DataFrame, covered: DataFrame, classes: DataFrame, p
     first = covered.groupBy("tile", "row", "col").agg(F.min_by("class_id", "priority").alias("class_id"))
     met = cells.join(first, ["tile", "row", "col"], "left").join(classes.select("class_id", *parameters), "class_id", "left")
     return met.withColumns({p: F.coalesce(p, F.lit(no_data)) for p in parameters}) if no_data is not None else met
+
+
+def infer_no_data(cells: DataFrame, stated: float | None = None) -> DataFrame:
+    """AG-9: per tile (tile, no_data): the stated value, or else the smallest z if that is negative, or else null."""
+    least = F.min("z")
+    return cells.groupBy("tile").agg((F.lit(float(stated)) if stated is not None else F.when(least < 0, least)).cast("double").alias("no_data"))
+
+
+def pick_cells(cells: DataFrame, picks: DataFrame, width: int) -> DataFrame:
+    """CO-10: for each pick (id, tile, idx_1d) the cell of that row-major index: id, tile, row, col, z; null where there is none."""
+    from scarpline.functions.scalars import row_col
+
+    row, col = row_col(F.col("idx_1d"), width)
+    return picks.withColumns({"row": row, "col": col}).join(cells.select("tile", "row", "col", "z"), ["tile", "row", "col"], "left").select("id", "tile", "row", "col", "z")
+
+
+def fake_coordinates(cells: DataFrame) -> DataFrame:
+    """CO-11: adds x and y for tiles without any: x the column, y the row counted upwards from the last one."""
+    last = cells.groupBy("tile").agg(F.max("row").alias("_last"))
+    return cells.join(last, "tile").withColumns({"x": F.col("col").cast("double"), "y": (F.col("_last") - F.col("row")).cast("double")}).drop("_last")
+
+
+def grids_ordered(cells: DataFrame) -> DataFrame:
+    """PF-9: per tile (tile, ordered): whether x goes one way along all its rows, and y one way along all its columns."""
+    along, down = Window.partitionBy("tile", "row").orderBy("col"), Window.partitionBy("tile", "col").orderBy("row")
+    steps = cells.select("tile", (F.col("x") - F.lag("x").over(along)).alias("dx"), (F.col("y") - F.lag("y").over(down)).alias("dy"))
+    one_way = lambda c: F.coalesce(F.every(F.coalesce(F.col(c) >= 0, F.lit(True))), F.lit(True)) | F.coalesce(F.every(F.coalesce(F.col(c) <= 0, F.lit(True))), F.lit(True))
+    return steps.groupBy("tile").agg((one_way("dx") & one_way("dy")).alias("ordered"))
+
+
+def d8_spatial(neighbours: DataFrame) -> DataFrame:
+    """RA-6: adds length_3d, the length along the slope, to d8_neighbours()."""
+    return neighbours.withColumn("length_3d", F.hypot("length", "dz"))
+
+
+def pixel_info(pixels: DataFrame, cells: DataFrame, stations: DataFrame, dx: float = 1.0, dy: float = 1.0) -> DataFrame:
+    """MO-8: pixels (area, tile, row, col, station) with x, y and z, slopes gx and gy, and the name of their station (station, name)."""
+    own = gradients(cells.select("tile", "row", "col", "x", "y", "z"), dx, dy)
+    return pixels.join(own, ["tile", "row", "col"], "left").join(stations.select("station", "name"), "station", "left").select("area", "tile", "row", "col", "x", "y", "z", "gx", "gy", "station", "name")
