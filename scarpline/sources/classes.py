@@ -23,8 +23,13 @@ SOIL = (
     (2.65, 25.0, 3e4, 0, 35, 1e-3, 1, 40, 0.25, 1e4, 0.20),
     (2.60, 18.0, 0, 0, 40, 2e-2, 1, 40, 0.3, 120, 0.27),
 )
-#: Cohesion by roots and the factor beta of the vegetation classes; their other parameters are 0.
-VEGETATION = ((2, 0.5), (5, 0.6), (10, 0.6), (15, 0.6), (20, 0.6))
+VEGETATION = (
+    (0, 0, 0, 2, 0, 0, 0.5, 0, 0, 0, 0),
+    (0, 0, 0, 5, 0, 0, 0.6, 0, 0, 0, 0),
+    (0, 0, 0, 10, 0, 0, 0.6, 0, 0, 0, 0),
+    (0, 0, 0, 15, 0, 0, 0.6, 0, 0, 0, 0),
+    (0, 0, 0, 20, 0, 0, 0.6, 0, 0, 0, 0),
+)
 #: Valid ranges, filling and aggregation of the kinds of series.
 SERIES_KINDS = {"rain": (0.0, None, "zero", "sum"), "temperature": (-50.0, 50.0, "linear", "mean")}
 
@@ -37,6 +42,5 @@ def standard_classes(spark: SparkSession) -> DataFrame:
 
 def parameter_classes(spark: SparkSession) -> DataFrame:
     """SK-7: (type, class_id, class_num) and a double for each parameter; units are in UNITS, not a row among the numbers."""
-    plants = [tuple({"cr": cr, "beta": beta}.get(k, 0) for k in UNITS) for cr, beta in VEGETATION]
-    rows = [(kind, f"{prefix}{i:02d}", i, *map(float, values)) for kind, prefix, table in (("soil", "slp", SOIL), ("vegetation", "vgp", plants)) for i, values in enumerate(table, 1)]
+    rows = [(kind, f"{prefix}{i:02d}", i, *map(float, values)) for kind, prefix, table in (("soil", "slp", SOIL), ("vegetation", "vgp", VEGETATION)) for i, values in enumerate(table, 1)]
     return spark.createDataFrame(rows, "type string, class_id string, class_num int, " + ", ".join(f"`{k}` double" for k in UNITS))

@@ -12,7 +12,6 @@ from scarpline.operators import timeseries
 from scarpline.sources.tables import DATE, sniff_delimiter
 
 #: Per kind of column the marks in its name, its type and its range.
-RAIN, HIGHEST = ("rain", "pioggia", "regen", "lluvia"), ("max", "mas", "máx", "höchst")
 KINDS = {
     "station": (("stat", "staz", "gauge", "id", "poste"), "string", None),
     "numeric_station_id": (("stat", "staz", "gauge", "id", "poste"), "numeric", None),
@@ -21,12 +20,12 @@ KINDS = {
     "altitude": (("alt", "elev", "height", "quota", "höhe"), "numeric", (0, 3000)),
     "start_date": (("start", "inizio", "begin", "debut", "anfang", "inicio", "from", "dat"), "datetime", None),
     "end_date": (("end", "fin", "to", "dat"), "datetime", None),
-    "cumulative_rain": (("cum", "cumul", "tot", "somma", "sum", *RAIN, "valor", "valeur", "precipitaz"), "numeric", (0, 1000)),
-    "min_cumulative_rain": (("min", "mín", "niedrigst", "cum", "cumul", "somma", "sum", *RAIN), "numeric", (0, 1000)),
-    "max_cumulative_rain": (("max", "mín", "niedrigst", "mas", "máx", "höchst", "cum", "cumul", "somma", "sum", *RAIN), "numeric", (0, 1000)),
-    "peak_rain": (("pk", "peak", *HIGHEST, "picco", *RAIN), "numeric", (0, 1000)),
+    "cumulative_rain": (("cum", "cumul", "tot", "somma", "sum", "rain", "pioggia", "regen", "lluvia", "valor", "valeur", "precipitaz"), "numeric", (0, 1000)),
+    "min_cumulative_rain": (("min", "mín", "niedrigst", "cum", "cumul", "somma", "sum", "rain", "pioggia", "regen", "lluvia"), "numeric", (0, 1000)),
+    "max_cumulative_rain": (("max", "mín", "niedrigst", "mas", "máx", "höchst", "cum", "cumul", "somma", "sum", "rain", "pioggia", "regen", "lluvia"), "numeric", (0, 1000)),
+    "peak_rain": (("pk", "peak", "max", "mas", "máx", "höchst", "picco", "rain", "pioggia", "regen", "lluvia"), "numeric", (0, 1000)),
     "average_temperature": (("avg", "aver", "med", "durchschnitt", "promedio", "temp"), "numeric", (-50, 50)),
-    "maximum_temperature": ((*HIGHEST, "temp"), "numeric", (-50, 50)),
+    "maximum_temperature": (("max", "mas", "máx", "höchst", "temp"), "numeric", (-50, 50)),
     "minimum_temperature": (("min", "mín", "niedrigst", "temp"), "numeric", (-50, 50)),
 }
 #: Forms of dates that are tried in this order; those of days first come before those of months first.
