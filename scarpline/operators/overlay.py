@@ -13,15 +13,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scarpline.operators.batches import by_groups
 from scarpline.operators.polygons import POINTS, _sides, clean_ring, ring_area
 from scarpline.operators.scratch import checkpointed
 
-#: Where the lines between squares lie, in squares.
-SHIFT = 0.3819660112501051
+#: Where the lines between squares lie, in squares: no combination of both numbers by fractions is a fraction, so no side between round places meets a corner.
+SHIFT, SHIFT_Y = 0.3819660112501051, 0.7320508075688772
 TOLERANCE = 1e-9
 PIECE = "space long, out long, other long, x1 double, y1 double, x2 double, y2 double"
 
@@ -41,20 +41,20 @@ def sides(rings: DataFrame, space: Column, kind: int = 0, rank: Column | None =
 
 def _squared(own: DataFrame, square: float) -> DataFrame:
     """Each side in every square (row, col) that it passes."""
-    at = lambda v: F.floor(v / square - SHIFT)
-    line = lambda k: (k + SHIFT) * square
-    rows = own.withColumn("row", F.explode(F.sequence(at(F.least("y1", "y2")), at(F.greatest("y1", "y2")))))
+    at = lambda v, shift: F.floor(v / square - shift)
+    line = lambda k: (k + SHIFT_Y) * square
+    rows = own.withColumn("row", F.explode(F.sequence(at(F.least("y1", "y2"), SHIFT_Y), at(F.greatest("y1", "y2"), SHIFT_Y))))
     x_at = lambda y: F.col("x1") + (F.col("x2") - F.col("x1")) * ((y - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)))
     low, high = F.greatest(F.least("y1", "y2"), line(F.col("row"))), F.least(F.greatest("y1", "y2"), line(F.col("row") + 1))
     a, b = F.coalesce(x_at(low), F.least("x1", "x2")), F.coalesce(x_at(high), F.greatest("x1", "x2"))
     slack = square * 1e-9  # a border crossed within rounding is crossed for both of its squares
-    return rows.withColumn("col", F.explode(F.sequence(at(F.least(a, b) - slack), at(F.greatest(a, b) + slack))))
+    return rows.withColumn("col", F.explode(F.sequence(at(F.least(a, b) - slack, SHIFT), at(F.greatest(a, b) + slack, SHIFT))))
 
 
 def _corners(own: DataFrame, square: float) -> DataFrame:
     """The winding number (space, row, col, poly, kind, rank, w) of each polygon around the lower left corner of each square, where it is not 0."""
-    line = lambda k: (k + SHIFT) * square
-    first, last = F.ceil(F.least("y1", "y2") / square - SHIFT), F.ceil(F.greatest("y1", "y2") / square - SHIFT) - 1
+    line = lambda k: (k + SHIFT_Y) * square
+    first, last = F.ceil(F.least("y1", "y2") / square - SHIFT_Y), F.ceil(F.greatest("y1", "y2") / square - SHIFT_Y) - 1
     rows = own.filter(first <= last).withColumn("row", F.explode(F.sequence(first, last)))
     x = F.col("x1") + (F.col("x2") - F.col("x1")) * ((line(F.col("row")) - F.col("y1")) / (F.col("y2") - F.col("y1")))
     # to the right of a side that goes up there is one turn less
@@ -78,6 +78,11 @@ def _cuts(x1, y1, x2, y2, box, tolerance) -> tuple[np.ndarray, np.ndarray, np.nd
         px.append(x)
         py.append(y)
 
+    def on(x, y, k):
+        off = np.abs((x - x1[k]) * dy[k] - (y - y1[k]) * dx[k]) / length[k]
+        along = ((x - x1[k]) * dx[k] + (y - y1[k]) * dy[k]) / length[k]
+        return (off <= tolerance) & (along >= -tolerance) & (along <= length[k] + tolerance)
+
     every = np.arange(n)
     put(every, np.zeros(n), x1, y1)
     put(every, np.ones(n), x2, y2)
@@ -94,6 +99,10 @@ def _cuts(x1, y1, x2, y2, box, tolerance) -> tuple[np.ndarray, np.ndarray, np.nd
             ox, oy = x1 - x1[i, None], y1 - y1[i, None]
             at, to = (ox * dy - oy * dx) / cross, (ox * dy[i, None] - oy * dx[i, None]) / cross
             a, b = np.nonzero((at > 0) & (at < 1) & (to > 0) & (to < 1))
+            # sides meet once: where an end lies on the other side, no second place some roundings away may cut them
+            k = a + lo
+            apart = ~(on(x1[b], y1[b], k) | on(x2[b], y2[b], k) | on(x1[k], y1[k], b) | on(x2[k], y2[k], b))
+            a, b = a[apart], b[apart]
             # both sides of a crossing have the point of the one that comes first, so the points are the same
             one, two = np.minimum(a + lo, b), np.maximum(a + lo, b)
             first = a + lo < b
@@ -188,30 +197,29 @@ RULES: dict[str, Callable] = {"union": _union, "each": _each, "intersect": _inte
 def _square_pieces(rule: str, square: float, tolerance: float):
     inside = RULES[rule]
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        space, row, col = key
-        sides_here, corners = rows[rows["w"].isna()], rows[rows["w"].notna()]
-        none = pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("space", "int64"), ("out", "int64"), ("other", "int64"), ("x1", float), ("y1", float), ("x2", float), ("y2", float))})
-        if sides_here.empty:
-            return none
-        box = tuple((k + SHIFT) * square for k in (col, col + 1, row, row + 1))
-        whose = rows[["poly", "kind", "rank"]].drop_duplicates(["poly", "kind"])
-        index = {k: i for i, k in enumerate(zip(whose["poly"], whose["kind"]))}
-        corner = np.zeros(len(index))
-        for p, k, w in zip(corners["poly"], corners["kind"], corners["w"]):
-            corner[index[p, k]] = w
-        side, px, py = _cuts(*(sides_here[c].to_numpy(float) for c in ("x1", "y1", "x2", "y2")), box, tolerance)
+    def run(columns, first, last):
+        rows = {c: v[first:last] for c, v in columns.items()}
+        space, row, col = (rows[c][0] for c in ("space", "row", "col"))
+        is_side = np.isnan(rows["w"])
+        if not is_side.any():
+            return None
+        box = tuple((k + shift) * square for k, shift in ((col, SHIFT), (col + 1, SHIFT), (row, SHIFT_Y), (row + 1, SHIFT_Y)))
+        _, whose, index = np.unique(rows["poly"] * 2 + rows["kind"], return_index=True, return_inverse=True)
+        corner = np.zeros(len(whose))
+        corner[index[~is_side]] = rows["w"][~is_side]
+        sides_here = {c: rows[c][is_side] for c in ("x1", "y1", "x2", "y2")}
+        side, px, py = _cuts(*sides_here.values(), box, tolerance)
         here = np.flatnonzero((side[1:] == side[:-1]) & ((px[1:] != px[:-1]) | (py[1:] != py[:-1])))
         ends = np.stack([px[here], py[here], px[here + 1], py[here + 1]], 1)
         # every piece once, upwards or to the right, with how often each polygon has it that way less the other way
         back = (ends[:, 1] > ends[:, 3]) | ((ends[:, 1] == ends[:, 3]) & (ends[:, 0] > ends[:, 2]))
         ends[back] = ends[back][:, [2, 3, 0, 1]]
         ends, which = np.unique(ends, axis=0, return_inverse=True)
-        net = np.zeros((len(ends), len(index)))
-        owner = np.array([index[k] for k in zip(sides_here["poly"], sides_here["kind"])])[side[here]]
+        net = np.zeros((len(ends), len(whose)))
+        owner = index[is_side][side[here]]
         np.add.at(net, (which.ravel(), owner), np.where(back, -1, 1))
         ax, ay, bx, by = ends.T
-        kind, rank, poly = (whose[c].to_numpy() for c in ("kind", "rank", "poly"))
+        kind, rank, poly = (rows[c][whose] for c in ("kind", "rank", "poly"))
         left, right = _windings(ax, ay, bx, by, net, corner, box)
         mx, my = (ax + bx) / 2, (ay + by) / 2
         own = (mx >= box[0]) & (mx < box[1]) & (my >= box[2]) & (my < box[3])
@@ -222,8 +230,11 @@ def _square_pieces(rule: str, square: float, tolerance: float):
             for at, flip in ((np.flatnonzero(own & l & ~r), False), (np.flatnonzero(own & r & ~l), True)):
                 if len(at):
                     e = ends[at][:, [2, 3, 0, 1]] if flip else ends[at]
-                    out.append(pd.DataFrame({"space": space, "out": name, "other": other, "x1": e[:, 0], "y1": e[:, 1], "x2": e[:, 2], "y2": e[:, 3]}))
-        return pd.concat(out, ignore_index=True) if out else none
+                    out.append((np.full(len(at), name, "int64"), np.full(len(at), other, "int64"), e))
+        if not out:
+            return None
+        names, others, e = (np.concatenate(v) for v in zip(*out))
+        return {"space": np.full(len(e), space, "int64"), "out": names, "other": others, "x1": e[:, 0], "y1": e[:, 1], "x2": e[:, 2], "y2": e[:, 3]}
 
     return run
 
@@ -238,8 +249,8 @@ def pieces(own: DataFrame, rule: str, square: float, tolerance: float = TOLERANC
     dealt = _squared(own, square)
     active = dealt.select("space", "row", "col").distinct()
     corners = _corners(own, square).join(active, ["space", "row", "col"], "left_semi")
-    both = dealt.withColumn("w", F.lit(None).cast("long")).unionByName(corners, allowMissingColumns=True)
-    return both.groupBy("space", "row", "col").applyInPandas(_square_pieces(rule, square, tolerance), PIECE)
+    both = dealt.withColumn("w", F.lit(None).cast("double")).unionByName(corners.withColumn("w", F.col("w").cast("double")), allowMissingColumns=True)
+    return by_groups(both, ["space", "row", "col"], ["poly", "x1", "y1", "x2", "y2"], _square_pieces(rule, square, tolerance), PIECE)
 
 
 def areas(found: DataFrame) -> DataFrame:
@@ -250,14 +261,14 @@ def areas(found: DataFrame) -> DataFrame:
     return found.join(at, ["space", "out", "other"]).groupBy("space", "out", "other").agg((F.sum(x("x1") * y("y2") - x("x2") * y("y1")) / 2).alias("area"))
 
 
-def _ring(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _ring(columns, first, last):
     """One loop's vertices in order, without those on a straight line, from its least one."""
-    after = dict(zip(rows["id"], rows["next"]))
-    place = {i: (x, y) for i, x, y in zip(rows["id"], rows["x1"], rows["y1"])}
-    at, walk = rows["id"].iloc[0], []
-    for _ in range(len(after)):
-        walk.append(place[at])
-        at = after[at]
+    ids, following, x, y = (columns[c][first:last].tolist() for c in ("id", "next", "x1", "y1"))
+    place = dict(zip(ids, zip(following, x, y)))
+    at, walk = ids[0], []
+    for _ in range(len(place)):
+        at, *p = place[at]
+        walk.append(p)
     p = np.array(walk)
     before, behind = np.roll(p, 1, 0), np.roll(p, -1, 0)
     a, b = p - before, behind - p
@@ -266,7 +277,9 @@ def _ring(key, rows: pd.DataFrame) -> pd.DataFrame:
     p = np.roll(p, -np.lexsort((p[:, 1], p[:, 0]))[0], 0)
     turned = np.roll(p, -1, 0)
     area = float(((p[:, 0] - p[0, 0]) * (turned[:, 1] - p[0, 1]) - (turned[:, 0] - p[0, 0]) * (p[:, 1] - p[0, 1])).sum() / 2)
-    return pd.DataFrame({"space": [key[0]], "poly_id": [key[1]], "other": [key[2]], "part": [key[3]], "hole": [area < 0], "ring": [[{"x": x, "y": y} for x, y in p.tolist()]]})
+    ring = np.empty(1, object)
+    ring[0] = [{"x": x, "y": y} for x, y in p.tolist()]
+    return {"space": columns["space"][first : first + 1], "poly_id": columns["out"][first : first + 1], "other": columns["other"][first : first + 1], "part": columns["loop"][first : first + 1], "hole": np.array([area < 0]), "ring": ring}
 
 
 def rings_of(found: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -292,7 +305,7 @@ def rings_of(found: DataFrame, max_rounds: int = 40) -> DataFrame:
         if not moved:
             break
     full = named.join(links, "id").join(state.select("id", "loop"), "id").select(*key, "id", "next", "loop", "x1", "y1")
-    return full.groupBy(*key, "loop").applyInPandas(_ring, f"space long, poly_id long, other long, part long, hole boolean, ring {POINTS}")
+    return by_groups(full, [*key, "loop"], ["id"], _ring, f"space long, poly_id long, other long, part long, hole boolean, ring {POINTS}")
 
 
 def union(rings: DataFrame, square: float, space: Column | None = None) -> DataFrame:

@@ -120,6 +120,14 @@ def test_crossing_rings_are_repaired(spark):
     assert again == pytest.approx(got, abs=1e-6)
 
 
+def test_sides_through_corners_of_squares(spark):
+    # with the same shift in x and y, these diagonals met corners of squares and some lost pieces
+    at = [(k, 4.0 * (k % 10), 4.0 * (k // 10)) for k in range(400)]
+    rows = [(k, 0, False, [(x, y), (x + 2, y + 2), (x + 2, y), (x, y + 2)]) for k, x, y in at]
+    got = overlay.repair(frame(spark, rows), 4.0).groupBy("poly_id").count().collect()
+    assert {r["poly_id"]: r["count"] for r in got} == {k: 2 for k, _, _ in at}
+
+
 def test_buffers_have_their_closed_areas(spark):
     box = [(0, 0), (10, 0), (10, 4), (0, 4)]
     corner = [(0, 0), (10, 0), (10, 2), (2, 2), (2, 8), (0, 8)]
