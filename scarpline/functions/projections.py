@@ -48,7 +48,9 @@ def convert(x: Column, y: Column, source: Column, target: Column) -> tuple[Colum
     web = F.degrees(x / AXIS), F.degrees(2 * F.atan(F.exp(y / AXIS))) - 90
     lon, lat = (F.when(source.isin(*GEOGRAPHIC), a).when(source == WEB_MERCATOR, b).otherwise(c) for a, b, c in zip((x, y), web, of_utm))
     to = to_utm(lon, lat, _utm_code(target))
-    mercator = F.radians(lon) * AXIS, F.log(F.tan(F.radians(lat) / 2 + F.lit(0.7853981633974483))) * AXIS
+    # beyond a pole there is no place on the plane: not a number, as of any other logarithm of a negative number, and not null, which sums would pass over
+    rise = F.tan(F.radians(lat) / 2 + F.lit(0.7853981633974483))
+    mercator = F.radians(lon) * AXIS, F.when(rise < 0, F.lit(float("nan"))).otherwise(F.log(rise)) * AXIS
     same = known(source) & known(target)
     return tuple(F.when(same, F.when(source == target, own).when(target.isin(*GEOGRAPHIC), a).when(target == WEB_MERCATOR, b).otherwise(c)) for own, a, b, c in zip((x, y), (lon, lat), mercator, to))
 
