@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,6 +9,11 @@ from pyspark.sql import functions as F
 
 from scarpline.operators.scratch import small
 
+#: Distances held at a time where many targets meet many points.
+PART = 2_000_000
+#: How many squares around a target's own are searched for its triangle, then all.
+REACHES = (1, 3, 12, None)
+
 
 def bounding_box(cells: DataFrame) -> DataFrame:
     """CO-5: per tile the outer bounds of its cell centres (x, y): half a mean cell beyond them."""
@@ -62,13 +65,32 @@ def nearest_by_steps(targets: DataFrame, stations: DataFrame, cell: float = 0.1)
 
 
 def _radial(x, y, v, tx, ty):
-    """Multiquadric interpolation; its scale is the mean spacing of the points in their box."""
+    """Multiquadric interpolation; its scale is the mean spacing of the points in their box. The targets are looked up in parts, so only the points' own matrix is held."""
     sides = np.array([np.ptp(x), np.ptp(y)])
     sides = sides[sides > 0]
     scale = (np.prod(sides) / len(x)) ** (1 / len(sides)) if len(sides) else 1.0
-    phi = lambda ax, ay, bx, by: np.sqrt(((ax[:, None] - bx) ** 2 + (ay[:, None] - by) ** 2) / scale**2 + 1)
-    weights = np.linalg.lstsq(phi(x, y, x, y), v, rcond=None)[0]
-    return phi(tx, ty, x, y) @ weights
+    step = max(1, PART // len(x))
+
+    def phi(ax, ay):
+        out, dy = ax[:, None] - x, ay[:, None] - y
+        out *= out
+        dy *= dy
+        out += dy
+        out /= scale**2
+        out += 1
+        return np.sqrt(out, out=out)
+
+    own = np.empty((len(x), len(x)))
+    for lo in range(0, len(x), step):
+        own[lo : lo + step] = phi(x[lo : lo + step], y[lo : lo + step])
+    try:
+        weights = np.linalg.solve(own, v)
+        good = np.abs(own @ weights - v).max() <= 1e-9 * max(1.0, np.abs(v).max())
+    except np.linalg.LinAlgError:
+        good = False
+    if not good:  # places that several points share
+        weights = np.linalg.lstsq(own, v, rcond=None)[0]
+    return np.concatenate([phi(tx[lo : lo + step], ty[lo : lo + step]) @ weights for lo in range(0, len(tx), step)] or [np.empty(0)])
 
 
 def _hull(x, y):
@@ -86,41 +108,109 @@ def _hull(x, y):
     return np.array(halves)
 
 
-def _linear(x, y, v, tx, ty, near: int = 12):
+def _settle(corner, weight, px, py, x, y):
+    """Turns triangles (corner, numbers of points) around places, whose barycentric weights are given, until no point lies under their lifted planes.
+
+    The place stays inside: of the triangle and the point that lies lowest under its plane, the corner goes whose loss keeps all weights positive.
+    """
+    lift = x * x + y * y
+    least = -1e-11 * max(lift.max(), 1e-300)
+    busy = np.arange(len(px))
+    for _ in range(10 * len(x) + 100):
+        i, j, k = corner[busy].T
+        ax, ay, bx, by = x[j] - x[i], y[j] - y[i], x[k] - x[i], y[k] - y[i]
+        d = ax * by - ay * bx
+        la, lb = lift[j] - lift[i], lift[k] - lift[i]
+        gx, gy = (la * by - lb * ay) / d, (lb * ax - la * bx) / d
+        under = lift - gx[:, None] * x - gy[:, None] * y - (lift[i] - gx * x[i] - gy * y[i])[:, None]
+        np.put_along_axis(under, corner[busy], 0.0, 1)
+        low = under.argmin(1)
+        more = under[np.arange(len(busy)), low] < least
+        if not more.any():
+            return
+        busy, low = busy[more], low[more]
+        i, d, ax, ay, bx, by = (c[more] for c in (i, d, ax, ay, bx, by))
+        ox, oy = x[low] - x[i], y[low] - y[i]
+        share = np.stack([np.zeros(len(busy)), (ox * by - oy * bx) / d, (ax * oy - ay * ox) / d], 1)
+        share[:, 0] = 1 - share[:, 1] - share[:, 2]
+        own = weight[busy]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = np.where(share > 1e-12, np.maximum(own, 0.0) / share, np.inf)
+        least_ratio = ratio.min(1)
+        goes = np.where(ratio <= least_ratio[:, None] + 1e-12, share, -np.inf).argmax(1)
+        at = np.arange(len(busy))
+        part = ratio[at, goes]
+        own = own - part[:, None] * share
+        own[at, goes] = part
+        weight[busy], corner[busy, goes] = own, low
+
+
+def _linear(x, y, v, tx, ty, near: int = 4):
     """On the Delaunay triangle around each target, NaN outside of the hull.
 
-    Of all triangles around a target, it is the one whose corners' lifted plane lies lowest there; no point lies under that
-    plane. Only the nearest points' triangles are tried, twice as many as long as a point lies under the best one's plane.
+    Each target begins in a triangle of the hull's corners and turns it until no point lies under its lifted plane, first among the points of the squares
+    around its own, of about `near` points each, then, unless the circle through the corners lies in these squares, among all points.
     """
     out = np.full(len(tx), np.nan)
-    if len(x) < 3:
+    hull = _hull(x, y) if len(x) > 2 else ()
+    if len(hull) < 3:
         return out
-    hull = _hull(x, y)
-    hx, hy = x[hull], y[hull]
-    lift = x * x + y * y
-    for t, (px, py) in enumerate(zip(tx, ty)):
-        if len(hull) < 3 or ((np.roll(hx, -1) - hx) * (py - hy) - (np.roll(hy, -1) - hy) * (px - hx) < -1e-9).any():
-            continue
-        order, n = np.argsort((x - px) ** 2 + (y - py) ** 2, kind="stable"), near
-        while True:
-            some = order[:n]
-            i, j, k = some[np.array(list(combinations(range(len(some)), 3))).T]
-            d = (x[j] - x[i]) * (y[k] - y[i]) - (x[k] - x[i]) * (y[j] - y[i])
-            i, j, k, d = (a[np.abs(d) > 1e-12] for a in (i, j, k, d))
-            b = ((px - x[i]) * (y[k] - y[i]) - (x[k] - x[i]) * (py - y[i])) / d
-            c = ((x[j] - x[i]) * (py - y[i]) - (px - x[i]) * (y[j] - y[i])) / d
-            a = 1 - b - c
-            held = np.flatnonzero((a >= -1e-9) & (b >= -1e-9) & (c >= -1e-9))
-            if len(held):
-                at = held[np.argmin((a * lift[i] + b * lift[j] + c * lift[k])[held])]
-                corners = np.array([i[at], j[at], k[at]])
-                plane = np.linalg.solve(np.c_[np.ones(3), x[corners], y[corners]], lift[corners])
-                if n >= len(x) or (lift - (plane[0] + plane[1] * x + plane[2] * y) >= -1e-9).all():
-                    out[t] = a[at] * v[i[at]] + b[at] * v[j[at]] + c[at] * v[k[at]]
-                    break
-            if n >= len(x):
+    inside = np.ones(len(tx), bool)
+    for p, q in zip(hull, np.roll(hull, -1)):
+        inside &= (x[q] - x[p]) * (ty - y[p]) - (y[q] - y[p]) * (tx - x[p]) >= -1e-9
+    todo = np.flatnonzero(inside)
+    if not len(todo):
+        return out
+    # the triangle of the first corner and two neighbouring ones whose weights are least negative
+    best, corner, weight = np.full(len(todo), -np.inf), np.zeros((len(todo), 3), int), np.zeros((len(todo), 3))
+    o = hull[0]
+    for p, q in zip(hull[1:], hull[2:]):
+        d = (x[p] - x[o]) * (y[q] - y[o]) - (x[q] - x[o]) * (y[p] - y[o])
+        b = ((tx[todo] - x[o]) * (y[q] - y[o]) - (x[q] - x[o]) * (ty[todo] - y[o])) / d
+        c = ((x[p] - x[o]) * (ty[todo] - y[o]) - (tx[todo] - x[o]) * (y[p] - y[o])) / d
+        w = np.stack([1 - b - c, b, c], 1)
+        m = w.min(1)
+        new = m > best
+        best[new], corner[new], weight[new] = m[new], (o, p, q), w[new]
+    side = max((np.ptp(x) * np.ptp(y) * near / len(x)) ** 0.5, 1e-12)
+    x0, y0 = x.min(), y.min()
+    rows = int(np.ptp(y) // side) + 4
+    column, row = (lambda c: ((c - x0) // side).astype(int) + 1), (lambda c: ((c - y0) // side).astype(int) + 1)
+    order = np.argsort(column(x) * rows + row(y), kind="stable")
+    codes = (column(x) * rows + row(y))[order]
+    squares = column(tx[todo]) * rows + row(ty[todo])
+    by_square = np.argsort(squares, kind="stable")
+    starts = np.r_[np.flatnonzero(np.diff(squares[by_square], prepend=squares.min() - 1)), len(by_square)]
+    for a, b in zip(starts, starts[1:]):
+        mine = by_square[a:b]
+        code = squares[mine[0]]
+        cx, cy = x0 + (code // rows - 0.5) * side, y0 + (code % rows - 0.5) * side
+        part = mine
+        for reach in REACHES:
+            if reach is None:
+                of = np.arange(len(x))
+            else:
+                below, above = max(0, code % rows - reach), min(rows - 1, code % rows + reach)
+                strips = (code // rows + np.arange(-reach, reach + 1)) * rows
+                ranges = zip(np.searchsorted(codes, strips + below).tolist(), np.searchsorted(codes, strips + above, "right").tolist())
+                of = np.unique(np.concatenate([order[lo:hi] for lo, hi in ranges] + [corner[part].ravel()]))
+            step = max(1, PART // len(of))
+            for lo in range(0, len(part), step):
+                p = part[lo : lo + step]
+                local, w = np.searchsorted(of, corner[p]), weight[p]
+                _settle(local, w, tx[todo[p]] - cx, ty[todo[p]] - cy, x[of] - cx, y[of] - cy)
+                corner[p], weight[p] = of[local], w
+            # the circles of those that may reach beyond the squares
+            i, j, k = corner[part].T
+            ax, ay, bx, by = x[j] - x[i], y[j] - y[i], x[k] - x[i], y[k] - y[i]
+            d = 2 * (ax * by - ay * bx)
+            la, lb = ax * ax + ay * ay, bx * bx + by * by
+            ux, uy = (by * la - ay * lb) / d, (ax * lb - bx * la) / d
+            beyond = np.maximum(np.abs(x[i] + ux - cx), np.abs(y[i] + uy - cy)) + np.hypot(ux, uy)
+            part = part[beyond > ((reach or 0) + 0.5) * side]
+            if not len(part):
                 break
-            n *= 2
+    out[todo] = (weight * v[corner]).sum(1)
     return out
 
 
