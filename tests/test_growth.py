@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from scarpline.functions import projections
-from scarpline.operators import neighbours, timeseries
+from scarpline.operators import neighbours, points, timeseries
 
 
 def test_noise_reads_its_series_once(spark):
@@ -25,3 +26,26 @@ def test_mercator_beyond_the_poles_is_not_a_number(spark):
     north = projections.convert(F.lit(10.0), F.col("lat"), F.lit(4326), F.lit(3857))[1]
     a, b, c = (r["n"] for r in df.select(north.alias("n")).collect())
     assert a > 3e7 and math.isnan(b) and c is None
+
+
+def peak_mb(run):
+    tracemalloc.start()
+    out = run()
+    peak = tracemalloc.get_traced_memory()[1] / 2**20
+    tracemalloc.stop()
+    return out, peak
+
+
+def test_a_triangle_with_a_far_corner_takes_little_memory():
+    # all triples of the nearest points were formed, twice as many points a round
+    rng = np.random.default_rng(3)
+    x, y = np.r_[rng.random(150) * 0.01, 10.0], np.r_[rng.random(150), 0.5]
+    got, peak = peak_mb(lambda: points._linear(x, y, 2 * x - y, np.array([5.0, 12.0]), np.array([0.5, 0.5])))
+    assert got[0] == pytest.approx(9.5) and np.isnan(got[1]) and peak < 20
+
+
+def test_radial_targets_are_looked_up_in_parts():
+    rng = np.random.default_rng(3)
+    x, y, tx, ty = rng.random(300), rng.random(300), rng.random(60_000), rng.random(60_000)
+    got, peak = peak_mb(lambda: points._radial(x, y, x + y, tx, ty))
+    assert np.abs(got - tx - ty).max() < 0.2 and peak < 80
