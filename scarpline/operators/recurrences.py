@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scarpline.operators.batches import by_groups
+
 KEYS = ("station",)
 BLOCK = 4096
 
@@ -30,23 +32,26 @@ def affine_scan(rows: DataFrame, keys: Sequence[str] = KEYS, block: int = BLOCK)
     """
     own = rows.select(*keys, "t", F.when(F.col("t") == 0, 0.0).otherwise(F.col("a").cast("double")).alias("a"), F.col("b").cast("double").alias("b")).withColumn("_k", F.floor(F.col("t") / block))
 
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t", ignore_index=True)
-        a, b = pdf["a"].to_numpy(float), pdf["b"].to_numpy(float)
-        A, B = np.empty(len(a)), np.empty(len(a))
+    def compose(columns, first, last):
+        out = {c: v[first:last] for c, v in columns.items()}
+        A, B = np.empty(last - first), np.empty(last - first)
         p, q = 1.0, 0.0
-        for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        for i, (x, y) in enumerate(zip(out["a"].tolist(), out["b"].tolist())):
             p, q = (0.0, y) if x == 0 else (x * p, x * q + y)
             A[i], B[i] = p, q
-        pdf["a"], pdf["b"] = A, B
-        return pdf
+        return out | {"a": A, "b": B}
 
-    found = own.groupBy(*keys, "_k").applyInPandas(compose, _fields(own, own.columns))
+    found = by_groups(own, [*keys, "_k"], ["t"], compose, _fields(own, own.columns))
     ends = found.groupBy(*keys, "_k").agg(F.max_by(F.struct("a", "b"), "t").alias("m"))
-    # one row a block
-    starts = _block_starts(ends, keys)
+    # one row a block, of series of several
+    starts = _block_starts(_several(ends, keys), keys)
     x = F.when(F.col("a") == 0, F.col("b")).otherwise(F.col("a") * F.col("_x") + F.col("b"))
-    return found.join(starts, [*keys, "_k"]).select(*keys, "t", F.nanvl(x, F.lit(None).cast("double")).alias("x"))
+    return found.join(starts, [*keys, "_k"], "left").select(*keys, "t", F.nanvl(x, F.lit(None).cast("double")).alias("x"))
+
+
+def _several(ends: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of blocks of those series that have more than one: only these take anything from others."""
+    return ends.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).filter("_n > 1").drop("_n")
 
 
 def _block_starts(ends: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -86,21 +91,20 @@ def solve_tridiagonal(rows: DataFrame, keys: Sequence[str] = KEYS, block: int =
     order = Window.partitionBy(*keys)
     own = rows.select(*keys, F.col("k").cast("long").alias("k"), *[F.col(c).cast("double").alias(c) for c in "abcd"]).withColumn("_last", F.max("k").over(order) == F.col("k")).withColumn("_b", F.floor(F.col("k") / block))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k", ignore_index=True)
-        a, b, c, d = (pdf[n].to_numpy(float).copy() for n in "abcd")
-        a[0] = 0.0 if pdf["k"].iloc[0] == 0 else a[0]
-        c[-1] = 0.0 if pdf["_last"].iloc[-1] else c[-1]
+    def run(columns, first, last):
+        out = {n: columns[n][first:last] for n in (*keys, "_b", "k")}
+        a, b, c, d = (columns[n][first:last].astype(float) for n in "abcd")
+        a[0] = 0.0 if out["k"][0] == 0 else a[0]
+        c[-1] = 0.0 if columns["_last"][last - 1] else c[-1]
         right = np.zeros((len(b), 3))
         right[:, 0], right[0, 1], right[-1, 2] = d, -a[0], -c[-1]
         p = _thomas(np.r_[0.0, a[1:]], b, np.r_[c[:-1], 0.0], right)
-        pdf["p"], pdf["q"], pdf["r"] = p.T
-        return pdf[[*keys, "_b", "k", "p", "q", "r"]]
+        return out | dict(zip("pqr", p.T))
 
-    found = own.groupBy(*keys, "_b").applyInPandas(run, _fields(own, [*keys, "_b", "k"]) + ", p double, q double, r double")
+    found = by_groups(own, [*keys, "_b"], ["k"], run, _fields(own, [*keys, "_b", "k"]) + ", p double, q double, r double")
     row = F.struct("p", "q", "r")
     ends = found.groupBy(*keys, "_b").agg(F.min_by(row, "k").alias("f"), F.max_by(row, "k").alias("l"))
-    flat = ends.select(*keys, "_b", *[F.col(f"{e}.{c}").alias(f"{e}{c}") for e in "fl" for c in "pqr"])
+    flat = _several(ends, keys).select(*keys, "_b", *[F.col(f"{e}.{c}").alias(f"{e}{c}") for e in "fl" for c in "pqr"])
 
     def reduced(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_b", ignore_index=True)
@@ -125,7 +129,8 @@ def solve_tridiagonal(rows: DataFrame, keys: Sequence[str] = KEYS, block: int =
         return pd.DataFrame({**{k: pdf[k] for k in keys}, "_b": pdf["_b"], "_l": left, "_r": right})
 
     outer = flat.groupBy(*keys).applyInPandas(reduced, _fields(flat, [*keys, "_b"]) + ", _l double, _r double")
-    return found.join(outer, [*keys, "_b"]).select(*keys, "k", (F.col("p") + F.col("q") * F.col("_l") + F.col("r") * F.col("_r")).alias("m"))
+    beside = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    return found.join(outer, [*keys, "_b"], "left").select(*keys, "k", (F.col("p") + F.col("q") * beside("_l") + F.col("r") * beside("_r")).alias("m"))
 
 
 def _known(series: DataFrame, keys: Sequence[str]) -> DataFrame:
