@@ -37,6 +37,12 @@ def next_cells(cells: DataFrame, downstream: bool = True, step: int = 1) -> Data
     return best.select("tile", "row", "col", "m.n_row", "m.n_col", "m.slope", "m.length")
 
 
+def _union(first: DataFrame, *more: DataFrame | None) -> DataFrame:
+    for part in more:
+        first = first if part is None else first.union(part)
+    return first
+
+
 def d8_paths(cells: DataFrame, starts: DataFrame, downstream: bool = True, max_steps: int = 50, min_slope_degrees: float = 7.0, tolerance: int = 1, cut_every: int = 8) -> DataFrame:
     """IT-1: from each start (path_id, tile, row, col) the walk to the steepest neighbour: path_id, steps, stop_reason, cells.
 
@@ -48,7 +54,7 @@ def d8_paths(cells: DataFrame, starts: DataFrame, downstream: bool = True, max_s
     follow = checkpointed(next_cells(cells, downstream))
     here = lambda r, c: F.struct(F.col(r).cast("int").alias("row"), F.col(c).cast("int").alias("col"))
     walk = starts.select("path_id", "tile", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).withColumns({"cells": F.array(here("row", "col")), "flat": F.lit(0), "stop": F.lit(None).cast("string")})
-    done = None
+    done, parts = None, []
     degrees = F.degrees(F.atan(F.col("slope")))
     sign = -1 if downstream else 1
     for step in range(1, max_steps + 1):
@@ -62,11 +68,12 @@ def d8_paths(cells: DataFrame, starts: DataFrame, downstream: bool = True, max_s
         done = ended if done is None else done.union(ended)
         walk = moved.filter("stop IS NULL").select("path_id", "tile", F.col("n_row").alias("row"), F.col("n_col").alias("col"), F.concat("cells", F.array(to)).alias("cells"), "flat", "stop")
         if step % cut_every == 0:
-            done, walk = checkpointed(done), checkpointed(walk)
+            # what has ended is stored once, not again at each cut
+            parts, done, walk = [*parts, checkpointed(done)], None, checkpointed(walk)
             if walk.isEmpty():
                 break
     rest = walk.select("path_id", "cells", F.lit("max_runout").alias("stop"))
-    return done.union(rest).select("path_id", (F.size("cells") - 1).alias("steps"), F.col("stop").alias("stop_reason"), "cells")
+    return _union(rest, *parts, done).select("path_id", (F.size("cells") - 1).alias("steps"), F.col("stop").alias("stop_reason"), "cells")
 
 
 def top_paths(paths: DataFrame, n: int, by: str = "start") -> DataFrame:
@@ -110,7 +117,7 @@ def gradient_paths(cells: DataFrame, starts: DataFrame, downstream: bool = True,
     none = F.array().cast
     walk = starts.select("path_id", "tile", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"))
     walk = walk.withColumns({"px": F.col("col").cast("double"), "py": F.col("row").cast("double"), "cells": F.array(cell(F.col("row"), F.col("col"))), "flat": F.lit(0), "valid": none("array<boolean>"), "deviation": none("array<double>")})
-    keys, done = ["path_id", "cells", "valid", "deviation"], None
+    keys, done, parts = ["path_id", "cells", "valid", "deviation"], None, []
     sign, least = (-1 if downstream else 1), F.tan(F.radians(F.lit(min_slope_degrees)))
     for step in range(1, max_steps + 1):
         moved = walk.join(follow, ["tile", "row", "col"], "left")
@@ -127,10 +134,11 @@ def gradient_paths(cells: DataFrame, starts: DataFrame, downstream: bool = True,
         done = ended if done is None else done.union(ended)
         walk = moved.filter("stop IS NULL").select("path_id", "tile", F.col("n_row").alias("row"), F.col("n_col").alias("col"), "px", "py", F.concat("cells", F.array(to)).alias("cells"), F.col("now_flat").alias("flat"), "valid", "deviation")
         if step % cut_every == 0:
-            done, walk = checkpointed(done), checkpointed(walk)
+            # what has ended is stored once, not again at each cut
+            parts, done, walk = [*parts, checkpointed(done)], None, checkpointed(walk)
             if walk.isEmpty():
                 break
-    found = done.union(walk.select(*keys, F.lit("max_runout").alias("stop")))
+    found = _union(walk.select(*keys, F.lit("max_runout").alias("stop")), *parts, done)
     return found.select("path_id", (F.size("cells") - 1).alias("steps"), F.col("stop").alias("stop_reason"), "cells", F.col("valid").alias("validity"), "deviation")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from scarpline.functions import projections
-from scarpline.operators import neighbours, points, timeseries
+from scarpline.operators import neighbours, paths, points, scratch, timeseries
 
 
 def test_noise_reads_its_series_once(spark):
@@ -49,3 +49,28 @@ def test_radial_targets_are_looked_up_in_parts():
     x, y, tx, ty = rng.random(300), rng.random(300), rng.random(60_000), rng.random(60_000)
     got, peak = peak_mb(lambda: points._radial(x, y, x + y, tx, ty))
     assert np.abs(got - tx - ty).max() < 0.2 and peak < 80
+
+
+def test_gaps_do_not_meet_all_stations_around(spark):
+    rows = [(s, t, None if (s + t) % 2 else float(s)) for s in range(4) for t in range(3)]
+    places = spark.createDataFrame([(s, s * 0.1, 0.0) for s in range(4)], "station int, x double, y double")
+    got = neighbours.fill_from_stations(spark.createDataFrame(rows, "station int, ts int, value double"), neighbours.distances_within(places, 0.15), 0.15)
+    assert "isnull(value" not in got._jdf.queryExecution().optimizedPlan().toString()
+    found = {(r["station"], r["ts"]): (r["value"], r["source"]) for r in got.collect()}
+    assert len(found) == 12 and found[1, 0] == (0.0, "nearest_[0]") and found[0, 1] == (1.0, "nearest_[1]") and found[2, 0] == (2.0, "current_station")
+
+
+def test_ended_walks_are_stored_once(spark, monkeypatch):
+    real, stored = scratch.checkpointed, []
+
+    def counted(df):
+        out = real(df)
+        if "stop" in out.columns and "tile" not in out.columns:
+            stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(scratch, "checkpointed", counted)
+    cells = spark.createDataFrame([(0, r, c, -10.0 * c) for r in range(3) for c in range(12)], "tile int, row int, col int, z double")
+    starts = cells.select((F.col("row") * 100 + F.col("col")).alias("path_id"), "tile", "row", "col")
+    assert paths.d8_paths(cells, starts, cut_every=2).count() == 36
+    assert len(stored) > 3 and sum(stored) == 36
