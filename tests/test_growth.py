@@ -74,3 +74,18 @@ def test_ended_walks_are_stored_once(spark, monkeypatch):
     starts = cells.select((F.col("row") * 100 + F.col("col")).alias("path_id"), "tile", "row", "col")
     assert paths.d8_paths(cells, starts, cut_every=2).count() == 36
     assert len(stored) > 3 and sum(stored) == 36
+
+
+def test_points_of_one_place_are_looked_up_once(spark, monkeypatch):
+    real, stored = neighbours.checkpointed, []
+
+    def counted(df):
+        out = real(df)
+        stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(neighbours, "checkpointed", counted)
+    pts = spark.createDataFrame([(i, 0.1 * (i % 2), 0.0) for i in range(200)] + [(900, None, 0.0)], "id int, x double, y double")
+    refs = spark.createDataFrame([(7, 0.0, 0.0), (8, 0.11, 0.0)], "ref int, rx double, ry double")
+    got = {r["id"]: r["ref"] for r in neighbours.nearest(pts, refs, 0.2).collect()}
+    assert got == {i: 7 + i % 2 for i in range(200)} and max(stored) == 2
