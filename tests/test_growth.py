@@ -89,3 +89,19 @@ def test_points_of_one_place_are_looked_up_once(spark, monkeypatch):
     refs = spark.createDataFrame([(7, 0.0, 0.0), (8, 0.11, 0.0)], "ref int, rx double, ry double")
     got = {r["id"]: r["ref"] for r in neighbours.nearest(pts, refs, 0.2).collect()}
     assert got == {i: 7 + i % 2 for i in range(200)} and max(stored) == 2
+
+
+def test_pairs_of_points_and_refs_are_not_sorted(spark, monkeypatch):
+    real, plans = neighbours.checkpointed, []
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(neighbours, "checkpointed", kept)
+    pts = spark.createDataFrame([(i, 0.01 * i, 0.0) for i in range(50)] + [(99, 7.0, 0.0)], "id int, x double, y double")
+    refs = spark.createDataFrame([(i, 0.02 * i, 0.0) for i in range(9, -1, -1)] + [(20, 0.02, 0.0)], "ref int, rx double, ry double")
+    got = {r["id"]: (r["ref"], round(r["distance"], 9)) for r in neighbours.nearest(pts, refs.select(F.struct("ref").alias("ref"), "rx", "ry"), 0.1).collect()}
+    assert len(got) == 51 and got[2][0]["ref"] == 1 and got[49] == ((9,), 0.31) and got[99] == ((9,), 6.82)
+    # what is aggregated over all pairs is a number; a struct would be sorted
+    assert plans and not any("min(struct(" in p for p in plans) and any("least" in p for p in plans)
