@@ -23,6 +23,8 @@ from scarpline.operators.scratch import checkpointed
 #: Where the lines between squares lie, in squares: no combination of both numbers by fractions is a fraction, so no side between round places meets a corner.
 SHIFT, SHIFT_Y = 0.3819660112501051, 0.7320508075688772
 TOLERANCE = 1e-9
+#: Results of at most so many pieces are closed in one task, larger ones by joins.
+PIECES = 20_000
 PIECE = "space long, out long, other long, x1 double, y1 double, x2 double, y2 double"
 
 
@@ -282,14 +284,56 @@ def _ring(columns, first, last):
     return {"space": columns["space"][first : first + 1], "poly_id": columns["out"][first : first + 1], "other": columns["other"][first : first + 1], "part": columns["loop"][first : first + 1], "hole": np.array([area < 0]), "ring": ring}
 
 
+def _loops(columns, first, last):
+    """The rings of one result: each piece with the next one, and the loops that they make."""
+    own = {c: v[first:last] for c, v in columns.items()}
+    x1, y1, x2, y2 = (own[c] for c in ("x1", "y1", "x2", "y2"))
+    while True:
+        n = len(x1)
+        _, at = np.unique(np.concatenate([x1 + 1j * y1, x2 + 1j * y2]), return_inverse=True)
+        start, end = at.ravel()[:n], at.ravel()[n:]
+        order = np.argsort(start, kind="stable")
+        low, high = np.searchsorted(start[order], end), np.searchsorted(start[order], end, "right")
+        met = high > low
+        if met.all():
+            break
+        own = {c: v[met] for c, v in own.items()}
+        x1, y1, x2, y2 = (own[c] for c in ("x1", "y1", "x2", "y2"))
+    if not n:
+        return None
+    following = order[low]
+    for i in np.flatnonzero(high - low > 1):
+        some = order[low[i] : high[i]]
+        ax, ay, bx, by = x2[i] - x1[i], y2[i] - y1[i], x2[some] - x1[some], y2[some] - y1[some]
+        back = (x2[some] == x1[i]) & (y2[some] == y1[i])
+        following[i] = some[np.argmax(np.where(back, -4.0, np.arctan2(ax * by - ay * bx, ax * bx + ay * by)))]
+    loop, far = own["id"], following
+    for _ in range(n.bit_length()):
+        loop, far = np.minimum(loop, loop[far]), far[far]
+    order = np.lexsort((own["id"], loop))
+    sorted_ = {c: v[order] for c, v in (own | {"next": own["id"][following], "loop": loop}).items()}
+    bounds = np.flatnonzero(np.r_[True, sorted_["loop"][1:] != sorted_["loop"][:-1], True]).tolist()
+    rings = [_ring(sorted_, a, b) for a, b in zip(bounds, bounds[1:])]
+    return {c: np.concatenate([r[c] for r in rings]) for c in rings[0]}
+
+
 def rings_of(found: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Rings (space, poly_id, other, part, hole, ring) of pieces(): each loop is one, outer ones counter-clockwise; part names the loop.
 
     Where several pieces leave a point, a loop takes the sharpest turn to the left, so areas that touch in a point are rings of their own.
-    Loops are told by doubling links, so a loop of n pieces takes log2 n rounds and only a loop's own vertices meet in a task.
+    A result of at most PIECES pieces is closed in one task. The loops of larger ones are told by doubling links, so a loop of n pieces takes
+    log2 n rounds and only a loop's own vertices meet in a task.
     """
-    key = ["space", "out", "other"]
+    key, kinds = ["space", "out", "other"], f"space long, poly_id long, other long, part long, hole boolean, ring {POINTS}"
     named = checkpointed(found.withColumn("id", F.xxhash64(*key, "x1", "y1", "x2", "y2")))
+    many = checkpointed(named.groupBy(*key).count().filter(F.col("count") > PIECES).select(*key))
+    if many.isEmpty():
+        return by_groups(named, key, ["id"], _loops, kinds)
+    few = by_groups(named.join(many, key, "left_anti"), key, ["id"], _loops, kinds)
+    return few.unionByName(_rings_by_links(checkpointed(named.join(many, key, "left_semi")), key, kinds, max_rounds))
+
+
+def _rings_by_links(named: DataFrame, key: list[str], kinds: str, max_rounds: int) -> DataFrame:
     there = named.select(*key, F.col("x1").alias("x2"), F.col("y1").alias("y2"), F.col("x2").alias("x3"), F.col("y2").alias("y3"), F.col("id").alias("next"))
     ax, ay, bx, by = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.col("x3") - F.col("x2"), F.col("y3") - F.col("y2")
     turn = F.atan2(ax * by - ay * bx, ax * bx + ay * by)
@@ -305,7 +349,7 @@ def rings_of(found: DataFrame, max_rounds: int = 40) -> DataFrame:
         if not moved:
             break
     full = named.join(links, "id").join(state.select("id", "loop"), "id").select(*key, "id", "next", "loop", "x1", "y1")
-    return by_groups(full, [*key, "loop"], ["id"], _ring, f"space long, poly_id long, other long, part long, hole boolean, ring {POINTS}")
+    return by_groups(full, [*key, "loop"], ["id"], _ring, kinds)
 
 
 def union(rings: DataFrame, square: float, space: Column | None = None) -> DataFrame:
@@ -351,15 +395,33 @@ def alignment(rings: DataFrame, square: float, tolerance: float = 1e-7) -> DataF
     return total("each", "sum_area").join(total("union", "union_area")).withColumn("aligned", F.abs(F.col("sum_area") - F.col("union_area")) <= tolerance)
 
 
+def disc_part(at: Column, d: Column, start: Column, span: Column, corners: int) -> Column:
+    """A ring of the part of the circle around a place, of the given number of corners, between two directions, and of some more to both sides and behind.
+
+    It reaches beyond both directions by a corner or two, and half the distance to the other side of the place, so no crack is left to what lies there.
+    """
+    turn = 2 * np.pi / corners
+    first, last = F.floor(start / turn) - 1, F.ceil((start + span) / turn) + 1
+    out = lambda r, angle: F.struct((at["x"] + r * F.cos(angle)).alias("x"), (at["y"] + r * F.sin(angle)).alias("y"))
+    return F.concat(F.array(out(-d / 2, start + span / 2)), F.transform(F.sequence(first, last), lambda k: out(d, F.pmod(k, F.lit(corners)) * turn)))
+
+
 def _around(rings: DataFrame, distance: Column, corners: int) -> DataFrame:
-    """Rings of what lies within a distance of each polygon's sides: a strip along each side, a circle around each vertex."""
-    each = rings.select("poly_id", F.abs(distance).alias("d"), F.posexplode(_sides(F.col("ring"))).alias("seq", "s"))
+    """Rings of what lies within a distance of each polygon's sides: a strip along each side, and of the circle around each vertex what the strips leave out."""
+    each = rings.select("poly_id", F.abs(distance).alias("d"), _sides(F.col("ring")).alias("all")).select("poly_id", "d", "all", F.posexplode("all").alias("seq", "s"))
     a, b = F.col("s.a"), F.col("s.b")
     length = F.hypot(b["x"] - a["x"], b["y"] - a["y"])
     nx, ny = -(b["y"] - a["y"]) / length * F.col("d"), (b["x"] - a["x"]) / length * F.col("d")
     at = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     strip = F.array(at(a["x"] - nx, a["y"] - ny), at(b["x"] - nx, b["y"] - ny), at(b["x"] + nx, b["y"] + ny), at(a["x"] + nx, a["y"] + ny))
+    before = F.get("all", F.pmod(F.col("seq") - 1, F.size("all")))["a"]
+    ux, uy, vx, vy = a["x"] - before["x"], a["y"] - before["y"], b["x"] - a["x"], b["y"] - a["y"]
+    bend = F.atan2(ux * vy - uy * vx, ux * vx + uy * vy)
+    start = F.atan2(uy, ux) + F.when(bend > 0, -np.pi / 2).otherwise(bend + np.pi / 2)
     disc = F.transform(F.sequence(F.lit(0), F.lit(corners - 1)), lambda k: at(a["x"] + F.col("d") * F.cos(k * (2 * np.pi / corners)), a["y"] + F.col("d") * F.sin(k * (2 * np.pi / corners))))
+    # strips shorter than the distance do not cover the rest of the circle, nor do those that go straight on without a crack
+    part = (length >= F.col("d")) & (F.hypot(ux, uy) >= F.col("d")) & (F.abs(bend) > 1e-3) & F.lit(corners >= 16)
+    disc = F.when(part, disc_part(a, F.col("d"), start, F.abs(bend), corners)).otherwise(disc)
     shapes = each.filter(length > 0).select("poly_id", F.explode(F.array(strip, disc)).alias("ring"))
     return shapes.select("poly_id", F.lit(0).alias("part"), F.lit(False).alias("hole"), "ring")
 
@@ -369,10 +431,8 @@ def buffer(rings: DataFrame, distance: Column, square: float, corners: int = 64)
 
     A polygon grows by the strips and circles around its sides, and shrinks by them; circles have the given number of corners.
     """
-    split = lambda sign: rings.filter(distance * sign > 0)
-    near = lambda sign: _around(split(sign), distance, corners)
-    id_ = F.col("poly_id")
-    grown = pieces(sides(split(1), id_).unionByName(sides(near(1), id_)), "union", square).withColumn("out", F.col("space"))
-    shrunk = pieces(sides(split(-1), id_).unionByName(sides(near(-1), id_, 1)), "subtract", square)
-    same = pieces(sides(rings.filter(distance == 0), id_), "each", square)
-    return rings_of(grown.unionByName(shrunk).unionByName(same)).select("poly_id", "part", "hole", "ring")
+    near = lambda sign, kind: sides(_around(rings.filter(distance * sign > 0), distance, corners), F.col("poly_id"), kind)
+    own = sides(rings.filter(distance.isNotNull()), F.col("poly_id"))
+    # all sides that belong to a polygon count as its own, so it grows by those of kind 0 and is cut by those of kind 1
+    found = pieces(own.unionByName(near(1, 0)).unionByName(near(-1, 1)), "subtract", square)
+    return rings_of(found).select("poly_id", "part", "hole", "ring")

@@ -143,3 +143,27 @@ def test_empty_tables(spark):
     none = frame(spark, [])
     assert overlay.union(none, 1.0).count() == 0 and overlay.rings_of(overlay.union(none, 1.0)).count() == 0
     assert overlay.alignment(none, 1.0).first().aligned and np.isclose(overlay.alignment(none, 1.0).first().sum_area, 0)
+
+
+def test_buffers_take_of_a_circle_what_the_strips_leave(spark):
+    ring = [(0, 0), (9, 1), (10, 6), (5, 3.5), (4.9, 3.4), (1, 7)]  # sharp, blunt and inward corners and a short side
+    rows = frame(spark, [(1, 0, False, ring)])
+    got = overlay._around(rows, F.lit(0.5), 64)
+    # two corners of a right angle or less take about a quarter of the circle's 64 sides
+    sizes = [len(r.ring) for r in got.collect()]
+    assert sum(sizes) < 6 * 4 + 2 * 64 + 4 * 45
+    whole = polygons.circle(F.col("x"), F.col("y"), F.lit(0.5), 64)
+    discs = spark.createDataFrame([(1, float(x), float(y)) for x, y in ring], "poly_id int, x double, y double").select("poly_id", F.lit(0).alias("part"), F.lit(False).alias("hole"), whole.alias("ring"))
+    area = lambda df: overlay.areas(overlay.union(df, 2.3)).first()["area"]
+    assert area(got) == pytest.approx(area(got.unionByName(discs)), abs=1e-7)
+
+
+def test_rings_of_small_results_need_no_links(spark, monkeypatch):
+    rows = [(k, 0, False, [(3 * k, 0), (3 * k + 2, 0), (3 * k + 2, 2), (3 * k, 2)]) for k in range(20)] + [(30, 0, False, [(0, 5), (2, 5), (1, 6)]), (31, 0, False, [(1, 6), (2, 7), (0, 7)])]
+    found = overlay.pieces(overlay.sides(frame(spark, rows), F.least(F.col("poly_id"), F.lit(30))), "union", 1.7)
+    read = lambda df: sorted((r.space, r.part, r.hole, [tuple(p) for p in r.ring]) for r in df.collect())
+    monkeypatch.setattr(overlay, "PIECES", 0)
+    linked = read(overlay.rings_of(found))
+    monkeypatch.undo()
+    monkeypatch.setattr(overlay, "_rings_by_links", None)
+    assert read(overlay.rings_of(found)) == linked and len(linked) == 22
