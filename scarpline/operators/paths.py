@@ -49,9 +49,9 @@ def d8_paths(cells: DataFrame, starts: DataFrame, downstream: bool = True, max_s
     One join a step over all paths at once. It stops at an edge, on a slope of the wrong sign beyond the minimum, at a
     visited cell, after more flat steps in a row than tolerated, or after max_steps. A long walk's lineage is cut.
     """
-    from scarpline.operators.scratch import checkpointed
+    from scarpline.operators.scratch import by_size, checkpointed
 
-    follow = checkpointed(next_cells(cells, downstream))
+    follow = by_size(checkpointed(next_cells(cells, downstream)))
     here = lambda r, c: F.struct(F.col(r).cast("int").alias("row"), F.col(c).cast("int").alias("col"))
     walk = starts.select("path_id", "tile", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).withColumns({"cells": F.array(here("row", "col")), "flat": F.lit(0), "stop": F.lit(None).cast("string")})
     done, parts = None, []
@@ -109,10 +109,10 @@ def gradient_paths(cells: DataFrame, starts: DataFrame, downstream: bool = True,
     tolerated. deviation is the angle, in units of 45 degrees, between the gradient and the way from the last cell.
     """
     from scarpline.operators.grid import point_gradients
-    from scarpline.operators.scratch import checkpointed
+    from scarpline.operators.scratch import by_size, checkpointed
 
     size = cells.groupBy("tile").agg(F.max("row").alias("last_row"), F.max("col").alias("last_col"))
-    follow = checkpointed(point_gradients(cells, reach, spacing, spacing).select("tile", "row", "col", "gx", "gy").join(size, "tile"))
+    follow = by_size(checkpointed(point_gradients(cells, reach, spacing, spacing).select("tile", "row", "col", "gx", "gy").join(size, "tile")))
     cell = lambda r, c: F.struct(r.cast("int").alias("row"), c.cast("int").alias("col"))
     none = F.array().cast
     walk = starts.select("path_id", "tile", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"))

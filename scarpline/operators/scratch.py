@@ -25,3 +25,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A table to be broadcast in a join if a count shows that it is small."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def by_size(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A table to be joined many times: broadcast if a count shows that it is small, else merged, as Spark takes a stored table for smaller than it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")

@@ -105,3 +105,20 @@ def test_pairs_of_points_and_refs_are_not_sorted(spark, monkeypatch):
     assert len(got) == 51 and got[2][0]["ref"] == 1 and got[49] == ((9,), 0.31) and got[99] == ((9,), 6.82)
     # what is aggregated over all pairs is a number; a struct would be sorted
     assert plans and not any("min(struct(" in p for p in plans) and any("least" in p for p in plans)
+
+
+def test_cells_of_many_walks_are_not_broadcast(spark, monkeypatch):
+    real, plans = scratch.checkpointed, []
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(scratch, "checkpointed", kept)
+    monkeypatch.setattr(scratch.by_size, "__defaults__", (9,))
+    cells = spark.createDataFrame([(0, r, c, -10.0 * c) for r in range(3) for c in range(12)], "tile int, row int, col int, z double")
+    starts = cells.select((F.col("row") * 100 + F.col("col")).alias("path_id"), "tile", "row", "col")
+    got = {r["path_id"]: (r["steps"], r["stop_reason"]) for r in paths.d8_paths(cells, starts, cut_every=2).collect()}
+    assert len(got) == 36 and got[103] == (8, "edge_reached") and got[5] == (0, "edge_reached")
+    joins = " ".join(plans)
+    assert "SortMergeJoin" in joins and "BroadcastHashJoin" not in joins
