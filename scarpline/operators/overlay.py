@@ -25,6 +25,8 @@ SHIFT, SHIFT_Y = 0.3819660112501051, 0.7320508075688772
 TOLERANCE = 1e-9
 #: Results of at most so many pieces are closed in one task, larger ones by joins.
 PIECES = 20_000
+#: Spaces of at most so many sides are taken whole, others by squares.
+WHOLE = 1_000
 PIECE = "space long, out long, other long, x1 double, y1 double, x2 double, y2 double"
 
 
@@ -196,19 +198,30 @@ def _pairs(w, kind, rank, poly):
 RULES: dict[str, Callable] = {"union": _union, "each": _each, "intersect": _intersect, "subtract": _subtract, "first": _first, "pairs": _pairs}
 
 
-def _square_pieces(rule: str, square: float, tolerance: float):
+def _box(rows, square: float | None):
+    """The borders (left, right, low, high) of a group's square, or of one around all its sides."""
+    if square is None:
+        xs, ys = np.concatenate([rows["x1"], rows["x2"]]), np.concatenate([rows["y1"], rows["y2"]])
+        return xs.min() - 1, xs.max() + 1, ys.min() - 1, ys.max() + 1
+    row, col = rows["row"][0], rows["col"][0]
+    return tuple((k + shift) * square for k, shift in ((col, SHIFT), (col + 1, SHIFT), (row, SHIFT_Y), (row + 1, SHIFT_Y)))
+
+
+def _square_pieces(rule: str, square: float | None, tolerance: float):
+    """The pieces of a square, or of a whole space where there is none."""
     inside = RULES[rule]
 
     def run(columns, first, last):
         rows = {c: v[first:last] for c, v in columns.items()}
-        space, row, col = (rows[c][0] for c in ("space", "row", "col"))
-        is_side = np.isnan(rows["w"])
+        space = rows["space"][0]
+        is_side = np.ones(last - first, bool) if square is None else np.isnan(rows["w"])
         if not is_side.any():
             return None
-        box = tuple((k + shift) * square for k, shift in ((col, SHIFT), (col + 1, SHIFT), (row, SHIFT_Y), (row + 1, SHIFT_Y)))
+        box = _box(rows, square)
         _, whose, index = np.unique(rows["poly"] * 2 + rows["kind"], return_index=True, return_inverse=True)
         corner = np.zeros(len(whose))
-        corner[index[~is_side]] = rows["w"][~is_side]
+        if not is_side.all():
+            corner[index[~is_side]] = rows["w"][~is_side]
         sides_here = {c: rows[c][is_side] for c in ("x1", "y1", "x2", "y2")}
         side, px, py = _cuts(*sides_here.values(), box, tolerance)
         here = np.flatnonzero((side[1:] == side[:-1]) & ((px[1:] != px[:-1]) | (py[1:] != py[:-1])))
@@ -317,6 +330,38 @@ def _loops(columns, first, last):
     return {c: np.concatenate([r[c] for r in rings]) for c in rings[0]}
 
 
+def _whole_rings(rule: str, tolerance: float):
+    cut = _square_pieces(rule, None, tolerance)
+
+    def run(columns, first, last):
+        found = cut(columns, first, last)
+        if found is None:
+            return None
+        order = np.lexsort((found["other"], found["out"]))
+        found = {c: v[order] for c, v in found.items()} | {"id": np.arange(len(order))}
+        new = (np.diff(found["out"]) != 0) | (np.diff(found["other"]) != 0)
+        bounds = np.flatnonzero(np.r_[True, new, True]).tolist()
+        rings = [r for r in (_loops(found, a, b) for a, b in zip(bounds, bounds[1:])) if r is not None]
+        return {c: np.concatenate([r[c] for r in rings]) for c in rings[0]} if rings else None
+
+    return run
+
+
+def closed(rings: DataFrame, dealt: Callable[[DataFrame], DataFrame], rule: str, square: float, most: int = 1) -> DataFrame:
+    """rings_of() the pieces() of dealt(rings), a function to sides() of which each polygon is a space.
+
+    A corner of a ring becomes at most so many sides. Polygons of at most WHOLE sides are cut and closed in one task, many to a task, so neither
+    squares nor corners nor pieces of them are stored; others are dealt to squares. Rings are few bytes but much work, so they are spread first.
+    """
+    n = int(rings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    corners = F.sum(F.size("ring")).over(Window.partitionBy("poly_id"))
+    spread = checkpointed(rings.repartition(n, "poly_id").withColumn("_many", corners * most > WHOLE))
+    kinds = f"space long, poly_id long, other long, part long, hole boolean, ring {POINTS}"
+    found = by_groups(dealt(spread.filter("NOT _many")), ["space"], ["poly", "kind", "x1", "y1", "x2", "y2"], _whole_rings(rule, TOLERANCE), kinds)
+    many = spread.filter("_many")
+    return found if many.isEmpty() else found.unionByName(rings_of(pieces(dealt(many), rule, square)))
+
+
 def rings_of(found: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Rings (space, poly_id, other, part, hole, ring) of pieces(): each loop is one, outer ones counter-clockwise; part names the loop.
 
@@ -374,8 +419,7 @@ def resolve(rings: DataFrame, rank: Column, square: float) -> DataFrame:
 
 def repair(rings: DataFrame, square: float) -> DataFrame:
     """VE-6: rings (poly_id, part, hole, ring) that don't cross themselves or one another, around all that a polygon's rings wind around."""
-    fixed = pieces(sides(rings, F.col("poly_id")), "each", square)
-    return rings_of(fixed).select("poly_id", "part", "hole", "ring")
+    return closed(rings, lambda some: sides(some, F.col("poly_id")), "each", square).select("poly_id", "part", "hole", "ring")
 
 
 def overlaps(rings: DataFrame, square: float, tolerance: float = 1e-7) -> DataFrame:
@@ -431,8 +475,12 @@ def buffer(rings: DataFrame, distance: Column, square: float, corners: int = 64)
 
     A polygon grows by the strips and circles around its sides, and shrinks by them; circles have the given number of corners.
     """
-    near = lambda sign, kind: sides(_around(rings.filter(distance * sign > 0), distance, corners), F.col("poly_id"), kind)
-    own = sides(rings.filter(distance.isNotNull()), F.col("poly_id"))
-    # all sides that belong to a polygon count as its own, so it grows by those of kind 0 and is cut by those of kind 1
-    found = pieces(own.unionByName(near(1, 0)).unionByName(near(-1, 1)), "subtract", square)
-    return rings_of(found).select("poly_id", "part", "hole", "ring")
+
+    def dealt(some):
+        near = lambda sign, kind: sides(_around(some.filter(distance * sign > 0), distance, corners), F.col("poly_id"), kind)
+        own = sides(some.filter(distance.isNotNull()), F.col("poly_id"))
+        # all sides that belong to a polygon count as its own, so it grows by those of kind 0 and is cut by those of kind 1
+        return own.unionByName(near(1, 0)).unionByName(near(-1, 1))
+
+    # a corner has its side, the strip's four and those of its circle
+    return closed(rings, dealt, "subtract", square, corners + 8).select("poly_id", "part", "hole", "ring")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from scarpline.functions import projections
-from scarpline.operators import neighbours, paths, points, scratch, timeseries
+from scarpline.operators import neighbours, overlay, paths, points, polygons, scratch, timeseries
 
 
 def test_noise_reads_its_series_once(spark):
@@ -122,3 +122,19 @@ def test_cells_of_many_walks_are_not_broadcast(spark, monkeypatch):
     assert len(got) == 36 and got[103] == (8, "edge_reached") and got[5] == (0, "edge_reached")
     joins = " ".join(plans)
     assert "SortMergeJoin" in joins and "BroadcastHashJoin" not in joins
+
+
+@pytest.mark.parametrize("most", [0, overlay.WHOLE])
+def test_small_polygons_are_cut_and_closed_in_one_task(spark, monkeypatch, most):
+    monkeypatch.setattr(overlay, "WHOLE", most)
+    real, squared = overlay._squared, []
+    monkeypatch.setattr(overlay, "_squared", lambda own, square: squared.append(own) or real(own, square))
+    ring = lambda x, y, w, h: [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+    kinds = "poly_id long, part int, hole boolean, ring array<struct<x:double,y:double>>"
+    rings = spark.createDataFrame([(1, 0, False, ring(0.0, 0.0, 9.0, 4.0)), (1, 0, True, ring(2.0, 1.0, 1.0, 2.0)), (2, 0, False, ring(3.0, 0.0, 0.2, 5.0)), (3, 0, False, [(0.0, 0.0), (2.0, 2.0), (2.0, 0.0), (0.0, 2.0)])], kinds).coalesce(1)
+    got = {r["poly_id"]: r["area"] for r in polygons.measures(overlay.buffer(rings, F.lit(-0.25), 4.0)).collect()}
+    assert got.keys() == {1, 3} and got[1] == pytest.approx(8.5 * 3.5 - 1.5 * 2.5 + 0.25 - 8 * np.sin(2 * np.pi / 64) / 4, abs=1e-6)
+    fixed = overlay.repair(rings, 4.0)
+    assert {r["poly_id"]: (r["count"], r["area"]) for r in fixed.groupBy("poly_id").agg(F.count("*").alias("count"), F.round(F.sum(polygons.ring_area(F.col("ring"))), 9).alias("area")).collect()} == {1: (2, 34.0), 2: (1, 1.0), 3: (2, 2.0)}
+    # no squares where all polygons are small, and more tasks than the one that read them
+    assert bool(squared) == (most == 0) and fixed.rdd.getNumPartitions() >= 4
