@@ -84,9 +84,10 @@ def landslide_polygons(points: DataFrame, sources: DataFrame, radius: float, squ
     # null sources meet nothing and stay, as do ids that a source lacks
     met = points.join(counted, ["src", "id"], "left")
     alone = met.filter("n IS NULL").select(F.col("id").alias("poly_id"), "x", "y")
-    fakes = around_points(alone, radius, shape)
+    # points are few bytes but their circles are much work, so they are spread first
+    fakes = around_points(alone.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "poly_id"), radius, shape)
     own = met.filter("n = 1").select("src", "id").distinct().join(sources, ["src", "id"]).select(F.col("id").alias("poly_id"), "kind", "part", "hole", "ring")
-    grown = overlay.union(_around_paths(own.filter("kind <> 'polygon'"), radius, corners), square, F.col("poly_id"))
-    grown = overlay.rings_of(grown.withColumn("out", F.col("space"))).select(*RING)
+    around = _around_paths(own.filter("kind <> 'polygon'"), radius, corners)
+    grown = overlay.closed(around, lambda some: overlay.sides(some, F.col("poly_id")), "union", square).withColumn("poly_id", F.col("space")).select(*RING)
     flagged = lambda df, fake: df.select(F.col("poly_id").cast("long").alias("poly_id"), F.col("part").cast("long").alias("part"), "hole", "ring", F.lit(fake).alias("fake"))
     return flagged(own.filter("kind = 'polygon'"), False).union(flagged(grown, True)).union(flagged(fakes, True))

@@ -49,3 +49,10 @@ def test_landslides(spark):
     assert areas(found) == pytest.approx({1: 15.0, 2: 4.0, 3: 4.0, 4: 14 + disc * 5 / 4 - 1, 6: 4.0})
     assert {r.poly_id: r.fake for r in found.collect()} == {1: False, 2: True, 3: True, 4: True, 6: True}
     assert {tuple(r) for r in shapes.landslide_problems(points, sources).collect()} == {(3, "missing"), (5, "several")}
+
+
+def test_circles_of_points_are_spread_over_tasks(spark):
+    points = spark.range(200).selectExpr("id", "CAST(NULL AS STRING) AS src", "id * 3.0D AS x", "0.0D AS y").coalesce(1)
+    sources = spark.createDataFrame([], "src string, id long, feature int, kind string, part int, hole boolean, ring array<struct<x:double,y:double>>")
+    found = shapes.landslide_polygons(points, sources, 1.0, 4.0).withColumn("task", F.spark_partition_id())
+    assert found.count() == 200 and found.select("task").distinct().count() >= 4
