@@ -207,9 +207,8 @@ def _box(rows, square: float | None):
     return tuple((k + shift) * square for k, shift in ((col, SHIFT), (col + 1, SHIFT), (row, SHIFT_Y), (row + 1, SHIFT_Y)))
 
 
-def _square_pieces(rule: str, square: float | None, tolerance: float):
-    """The pieces of a square, or of a whole space where there is none."""
-    inside = RULES[rule]
+def _cut_square(square: float | None, tolerance: float):
+    """The pieces (ends, windings left and right, whether they lie in it) of a square, or of a whole space where there is none, with its polygons."""
 
     def run(columns, first, last):
         rows = {c: v[first:last] for c, v in columns.items()}
@@ -238,9 +237,22 @@ def _square_pieces(rule: str, square: float | None, tolerance: float):
         left, right = _windings(ax, ay, bx, by, net, corner, box)
         mx, my = (ax + bx) / 2, (ay + by) / 2
         own = (mx >= box[0]) & (mx < box[1]) & (my >= box[2]) & (my < box[3])
+        return space, ends, left, right, own, box, (kind, rank, poly)
+
+    return run
+
+
+def _square_pieces(rule: str, square: float | None, tolerance: float):
+    inside, cut = RULES[rule], _cut_square(square, tolerance)
+
+    def run(columns, first, last):
+        found = cut(columns, first, last)
+        if found is None:
+            return None
+        space, ends, left, right, own, _, polygons = found
         out = []
         n = len(ends)
-        for name, other, held in inside(np.concatenate([left, right]), kind, rank, poly):
+        for name, other, held in inside(np.concatenate([left, right]), *polygons):
             l, r = held[:n], held[n:]  # noqa: E741
             for at, flip in ((np.flatnonzero(own & l & ~r), False), (np.flatnonzero(own & r & ~l), True)):
                 if len(at):
@@ -254,6 +266,46 @@ def _square_pieces(rule: str, square: float | None, tolerance: float):
     return run
 
 
+def _square_shares(square: float, tolerance: float):
+    """What a square's pieces add to the area that each two polygons share, around the square's corner, and to the way around it; a polygon with itself is one pair."""
+    cut = _cut_square(square, tolerance)
+
+    def run(columns, first, last):
+        found = cut(columns, first, last)
+        if found is None:
+            return None
+        space, ends, left, right, own, box, (_, _, poly) = found
+        x, y = box[0], box[2]
+        ax, ay, bx, by = (ends[own] - np.array([x, y, x, y])).T
+        l, r = (left[own] != 0).astype(float), (right[own] != 0).astype(float)  # noqa: E741
+        added = [l.T @ (v[:, None] * l) - r.T @ (v[:, None] * r) for v in (ax * by - bx * ay, bx - ax, by - ay)]
+        p, q = np.nonzero(np.triu((added[0] != 0) | (added[1] != 0) | (added[2] != 0)))
+        full = lambda v, kind: np.full(len(p), v, kind)
+        return {"space": full(space, "int64"), "out": poly[p], "other": poly[q], "x": full(x, float), "y": full(y, float)} | {c: v[p, q] for c, v in zip(("turn", "dx", "dy"), added)}
+
+    return run
+
+
+def shares(own: DataFrame, square: float, tolerance: float = TOLERANCE) -> DataFrame:
+    """The area (space, out, other, area) of the overlap of each two polygons of sides(), out < other, and of each polygon (out = other).
+
+    A square adds up its pieces for all its pairs at once, so no pair's boundary is stored; rows are few for a pair.
+    """
+    key = ["space", "out", "other"]
+    parts = by_groups(_dealt(own, square), ["space", "row", "col"], ["poly", "x1", "y1", "x2", "y2"], _square_shares(square, tolerance), "space long, out long, other long, x double, y double, turn double, dx double, dy double")
+    # around a corner of each result, so that large coordinates cancel first
+    at = lambda c: F.col(c) - F.min(c).over(Window.partitionBy(*key))
+    return parts.withColumn("part", F.col("turn") + at("x") * F.col("dy") - at("y") * F.col("dx")).groupBy(*key).agg((F.sum("part") / 2).alias("area"))
+
+
+def _dealt(own: DataFrame, square: float) -> DataFrame:
+    """The sides of each square (row, col), and the winding numbers w around its corner."""
+    dealt = _squared(own, square)
+    active = dealt.select("space", "row", "col").distinct()
+    corners = _corners(own, square).join(active, ["space", "row", "col"], "left_semi")
+    return dealt.withColumn("w", F.lit(None).cast("double")).unionByName(corners.withColumn("w", F.col("w").cast("double")), allowMissingColumns=True)
+
+
 def pieces(own: DataFrame, rule: str, square: float, tolerance: float = TOLERANCE) -> DataFrame:
     """The boundary (space, out, other, x1, y1, x2, y2) of the results of a rule over sides(), with the inside to the left of each piece.
 
@@ -261,11 +313,7 @@ def pieces(own: DataFrame, rule: str, square: float, tolerance: float = TOLERANC
     without those of a lower rank, of equal ones a lower poly_id), pairs (the overlap of out and other, out < other). A task holds the sides
     of one square, so the square should be chosen to have some dozens of them.
     """
-    dealt = _squared(own, square)
-    active = dealt.select("space", "row", "col").distinct()
-    corners = _corners(own, square).join(active, ["space", "row", "col"], "left_semi")
-    both = dealt.withColumn("w", F.lit(None).cast("double")).unionByName(corners.withColumn("w", F.col("w").cast("double")), allowMissingColumns=True)
-    return by_groups(both, ["space", "row", "col"], ["poly", "x1", "y1", "x2", "y2"], _square_pieces(rule, square, tolerance), PIECE)
+    return by_groups(_dealt(own, square), ["space", "row", "col"], ["poly", "x1", "y1", "x2", "y2"], _square_pieces(rule, square, tolerance), PIECE)
 
 
 def areas(found: DataFrame) -> DataFrame:
@@ -424,9 +472,11 @@ def repair(rings: DataFrame, square: float) -> DataFrame:
 
 def overlaps(rings: DataFrame, square: float, tolerance: float = 1e-7) -> DataFrame:
     """VE-11: pairs (a, b, shared, kind) of polygons that share some area, a < b; kind is overlaps, within or contains."""
-    own = sides(rings, F.lit(0))
-    sizes = areas(pieces(own, "each", square)).select("out", "area")
-    shared = areas(pieces(own, "pairs", square)).select(F.col("out").alias("a"), F.col("other").alias("b"), F.col("area").alias("shared")).filter(F.col("shared") > tolerance)
+    # rings are few bytes but much work, so they are spread first
+    spread = rings.repartition(int(rings.sparkSession.conf.get("spark.sql.shuffle.partitions")), "poly_id")
+    found = checkpointed(shares(sides(spread, F.lit(0)), square))
+    sizes = found.filter("out = other").select("out", "area")
+    shared = found.filter("out < other").select(F.col("out").alias("a"), F.col("other").alias("b"), F.col("area").alias("shared")).filter(F.col("shared") > tolerance)
     met = shared.join(sizes.select(F.col("out").alias("a"), F.col("area").alias("sa")), "a").join(sizes.select(F.col("out").alias("b"), F.col("area").alias("sb")), "b")
     kind = F.when(F.col("shared") >= F.col("sa") - tolerance, "within").when(F.col("shared") >= F.col("sb") - tolerance, "contains").otherwise("overlaps")
     return met.select("a", "b", "shared", kind.alias("kind"))

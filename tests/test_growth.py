@@ -138,3 +138,12 @@ def test_small_polygons_are_cut_and_closed_in_one_task(spark, monkeypatch, most)
     assert {r["poly_id"]: (r["count"], r["area"]) for r in fixed.groupBy("poly_id").agg(F.count("*").alias("count"), F.round(F.sum(polygons.ring_area(F.col("ring"))), 9).alias("area")).collect()} == {1: (2, 34.0), 2: (1, 1.0), 3: (2, 2.0)}
     # no squares where all polygons are small, and more tasks than the one that read them
     assert bool(squared) == (most == 0) and fixed.rdd.getNumPartitions() >= 4
+
+
+def test_no_pair_of_polygons_has_its_boundary_stored(spark, monkeypatch):
+    monkeypatch.setattr(overlay, "pieces", None)
+    ring = lambda x, y, w, h: [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+    far = 5e6  # many squares, and large coordinates
+    rows = [(1, 0, False, ring(far, far, 30.0, 2.0)), (1, 0, True, ring(far + 4, far + 0.5, 1.0, 1.0)), (2, 0, False, ring(far + 3, far - 1, 4.0, 8.0)), (3, 0, False, ring(far + 20, far + 0.5, 1.0, 1.0)), (4, 0, False, ring(far + 30, far, 1.0, 1.0))]
+    got = overlay.overlaps(spark.createDataFrame(rows, "poly_id long, part int, hole boolean, ring array<struct<x:double,y:double>>"), 3.0).collect()
+    assert {(r["a"], r["b"]): (round(r["shared"], 6), r["kind"]) for r in got} == {(1, 2): (7.0, "overlaps"), (1, 3): (1.0, "contains")}
