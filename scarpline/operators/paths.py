@@ -142,29 +142,27 @@ def gradient_paths(cells: DataFrame, starts: DataFrame, downstream: bool = True,
     return found.select("path_id", (F.size("cells") - 1).alias("steps"), F.col("stop").alias("stop_reason"), "cells", F.col("valid").alias("validity"), "deviation")
 
 
-def partial_score(validity, deviation, slopes, min_degrees: float = 7.0):
-    """IT-4: the score of a path on its way, of its arrays of validity, deviation and slope (degrees) by step: 70 at best."""
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda t, v: t + v) / F.size(a)
-    valid = F.transform(validity, lambda v: v.cast("double"))
-    return F.greatest(F.lit(0.0), 70 * mean(valid) - 5 * mean(deviation) - F.least(F.lit(60.0), F.greatest(F.lit(0.0), 5 * (min_degrees - F.abs(mean(slopes))))))
+def partial_score(valid, deviation, mean_slope, min_degrees: float = 7.0):
+    """IT-4: the score of a path on its way, of the means of validity, deviation and slope (degrees) by step: 70 at best."""
+    return F.greatest(F.lit(0.0), 70 * valid - 5 * deviation - F.least(F.lit(60.0), F.greatest(F.lit(0.0), 5 * (min_degrees - F.abs(mean_slope)))))
 
 
 def scored_paths(found: DataFrame, min_degrees: float = 7.0) -> DataFrame:
     """IT-3, AG-10: adds mean_validity, mean_deviation, mean_slope, length and score to compatible_paths(); a path without a step has means of 0."""
-    mean = lambda a: F.when(F.size(a) > 0, F.aggregate(a, F.lit(0.0), lambda t, v: t + v) / F.size(a)).otherwise(0.0)
-    length = F.aggregate("lengths", F.lit(0.0), lambda t, v: t + v)
-    out = found.withColumns({"mean_validity": mean(F.transform("validity", lambda v: v.cast("double"))), "mean_deviation": mean(F.col("deviation")), "mean_slope": mean(F.col("slopes")), "length": length})
+    mean = lambda c: F.coalesce(F.col(f"sums.{c}") / F.nullif("steps", F.lit(0)), F.lit(0.0))
+    out = found.withColumns({"mean_validity": mean("validity"), "mean_deviation": mean("deviation"), "mean_slope": mean("slope"), "length": F.col("sums.length")}).drop("sums")
     return out.withColumn("score", realism_score(F.col("mean_validity"), F.col("mean_deviation"), F.col("mean_slope"), F.col("length"), F.col("stop_reason"), min_degrees))
 
 
 def compatible_paths(cells: DataFrame, starts: DataFrame, downstream: bool = True, max_steps: int = 50, min_slope_degrees: float = 7.0, tolerance: int = 1, opposite_low: bool = False, maximum_paths: int | None = 50_000, min_partial_score: float | None = None) -> DataFrame:
-    """IT-4: all simple paths over neighbours whose slope is compatible with the flow: path_id, steps, stop_reason, cells, validity, deviation, slopes, lengths.
+    """IT-4: all simple paths over neighbours whose slope is compatible with the flow: path_id, steps, stop_reason, cells, validity, deviation, slopes, lengths, and the sums of these.
 
     A frontier of paths grows by one step a round, by one join; every path ends as max_runout, edge_reached,
     greater_than_tolerance_opposite_flow (no compatible neighbour), invalid_steps_tolerance_reached, or, from four steps (or the tolerance) on,
     low_realism where its partial score is below min_partial_score. Where all ways on are visited or beyond the tolerance of flat steps,
     nothing is returned. The number of paths grows by up to eight a step: a partial score keeps those of a start few, and once a start has
-    maximum_paths, ended ones and those of the frontier, its frontier ends as max_paths. Each round stores what ends in it once.
+    maximum_paths, ended ones and those of the frontier, its frontier ends as max_paths. Each round makes and stores what ends in it and what goes
+    on at once, and sums run along, so no array is summed again.
     """
     from scarpline.operators.scratch import checkpointed
 
@@ -173,27 +171,36 @@ def compatible_paths(cells: DataFrame, starts: DataFrame, downstream: bool = Tru
     slopes = d8_neighbours(cells).withColumn("s", F.col("slope") * sign)
     low = F.abs("s") < least if opposite_low else (F.col("s") < least) & (F.col("s") >= 0)
     ways = slopes.withColumns({"good": F.col("s") >= least, "low": low, "degrees": F.degrees(F.atan("slope"))})
-    way = F.struct("dir", "n_row", "n_col", "good", "low", "degrees", "length")
+    # paths are stored once a round, so a step is a number for its cell, one for its way, and its slope
+    packed = lambda row, col: F.shiftleft(F.col(row).cast("long"), 32).bitwiseOR(F.col(col).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    way = F.struct(F.col("dir").cast("int").alias("dir"), "good", "low", "degrees", "length", packed("n_row", "n_col").alias("to"))
     follow = ways.groupBy("tile", "row", "col").agg(F.count("*").alias("n"), F.max_by("dir", F.struct("s", -F.col("dir"))).alias("steepest"), F.bool_or("good").alias("any_good"), F.bool_or("low").alias("any_low"), F.collect_list(F.when(F.col("good") | F.col("low"), way)).alias("ways"))
     follow = checkpointed(follow)
-    cell = lambda r, c: F.struct(F.col(r).cast("int").alias("row"), F.col(c).cast("int").alias("col"))
-    none = lambda kind: F.array().cast(f"array<{kind}>")
-    walk = starts.select("path_id", "tile", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).withColumns({"cells": F.array(cell("row", "col")), "flat": F.lit(0), "validity": none("boolean"), "deviation": none("double"), "slopes": none("double"), "lengths": none("double")})
-    keys, parts, ended_counts = ["path_id", "cells", "validity", "deviation", "slopes", "lengths"], [], None
+    row_of, col_of = (lambda c: F.shiftright(c, 32).cast("int")), (lambda c: F.shiftright(F.shiftleft(c, 32), 32).cast("int"))
+    aside = lambda turn: F.least(turn, 8 - turn).cast("double")
+    kinds = ["validity", "deviation", "slope", "length"]
+    sums = F.struct(*[F.lit(0.0).alias(k) for k in kinds])
+    walk = starts.select("path_id", "tile", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).withColumns({"path": F.array(packed("row", "col")), "flat": F.lit(0), "ways_taken": F.array().cast("array<tinyint>"), "slopes": F.array().cast("array<double>"), "sums": sums})
+    keys, parts, ended_counts = ["path_id", "path", "ways_taken", "slopes", "sums"], [], None
     low_score = F.lit(False)
     if min_partial_score is not None:
-        low_score = (F.size("validity") >= max(4, tolerance)) & (partial_score(F.col("validity"), F.col("deviation"), F.col("slopes"), min_slope_degrees) < min_partial_score - 1e-9)
+        means = [F.col(f"sums.{k}") / F.nullif(F.size("slopes"), F.lit(0)) for k in kinds[:3]]
+        low_score = (F.size("slopes") >= max(4, tolerance)) & (partial_score(*means, min_slope_degrees) < min_partial_score - 1e-9)
     for _ in range(max_steps):
         met = walk.join(follow, ["tile", "row", "col"], "left")
         stop = F.when(F.col("n").isNull() | (F.col("n") < 8), "edge_reached").when(~F.col("any_good") & ~F.col("any_low"), "greater_than_tolerance_opposite_flow").when(~F.col("any_good") & (F.col("flat") == tolerance), "invalid_steps_tolerance_reached").when(low_score, "low_realism")
-        met = met.withColumn("stop", stop)
-        ended = checkpointed(met.filter("stop IS NOT NULL").select(*keys, "stop"))
+        # what ends stays one row beside the ways on of the others
+        goes = F.col("stop").isNull()
+        on = met.withColumn("stop", stop).withColumn("w", F.explode(F.when(goes, F.col("ways")).otherwise(F.array(F.lit(None)))))
+        on = on.withColumns({"to": F.col("w.to"), "now_flat": F.when(F.col("w.low"), F.col("flat") + 1).otherwise(0), "turn": F.abs(F.col("w.dir") - F.col("steepest")).cast("int")})
+        on = on.filter(~goes | (~F.array_contains("path", F.col("to")) & (F.col("now_flat") <= tolerance)))
+        more = lambda name, value: F.when(goes, F.concat(name, F.array(value))).otherwise(F.col(name)).alias(name)
+        code = (F.col("w.dir") * 16 + F.col("turn") * 2 + F.col("w.good").cast("int")).cast("tinyint")
+        added = zip(kinds, (F.col("w.good").cast("double"), aside(F.col("turn")), F.col("w.degrees"), F.col("w.length")))
+        sums = F.when(goes, F.struct(*[(F.col(f"sums.{k}") + v).alias(k) for k, v in added])).otherwise(F.col("sums")).alias("sums")
+        both = checkpointed(on.select("path_id", "tile", row_of(F.col("to")).alias("row"), col_of(F.col("to")).alias("col"), more("path", F.col("to")), F.col("now_flat").alias("flat"), more("ways_taken", code), more("slopes", F.col("w.degrees")), sums, "stop"))
+        ended, walk = both.filter("stop IS NOT NULL").select(*keys, "stop"), both.filter("stop IS NULL").drop("stop")
         parts.append(ended)
-        on = met.filter("stop IS NULL").withColumn("w", F.explode("ways")).withColumn("to", F.struct(F.col("w.n_row").alias("row"), F.col("w.n_col").alias("col"))).withColumn("now_flat", F.when(F.col("w.low"), F.col("flat") + 1).otherwise(0))
-        turn = F.abs(F.col("w.dir") - F.col("steepest"))
-        on = on.filter(~F.array_contains("cells", F.col("to")) & (F.col("now_flat") <= tolerance))
-        more = lambda name, value: F.concat(name, F.array(value)).alias(name)
-        walk = checkpointed(on.select("path_id", "tile", F.col("to.row").alias("row"), F.col("to.col").alias("col"), more("cells", F.col("to")), F.col("now_flat").alias("flat"), more("validity", F.col("w.good")), more("deviation", F.least(turn, 8 - turn).cast("double")), more("slopes", F.col("w.degrees")), more("lengths", F.col("w.length"))))
         if maximum_paths is not None:
             own = ended.groupBy("path_id").agg(F.count("*").alias("n"))
             ended_counts = checkpointed((own if ended_counts is None else ended_counts.union(own)).groupBy("path_id").agg(F.sum("n").alias("n")))
@@ -206,7 +213,11 @@ def compatible_paths(cells: DataFrame, starts: DataFrame, downstream: bool = Tru
     found = walk.select(*keys, F.lit("max_runout").alias("stop"))
     for part in parts:
         found = found.union(part)
-    return found.select("path_id", (F.size("cells") - 1).alias("steps"), F.col("stop").alias("stop_reason"), "cells", "validity", "deviation", "slopes", "lengths")
+    cells_of = F.transform("path", lambda c: F.struct(row_of(c).alias("row"), col_of(c).alias("col")))
+    each = lambda of, name: F.transform("ways_taken", lambda c: of(c.cast("int"))).alias(name)
+    long_way = F.array(*[F.lit(math.hypot(*d)) for d in D8])
+    ways_taken = each(lambda c: c % 2 == 1, "validity"), each(lambda c: aside(F.shiftright(c, 1) % 8), "deviation"), F.col("slopes"), each(lambda c: F.get(long_way, F.shiftright(c, 4)), "lengths")
+    return found.select("path_id", (F.size("path") - 1).alias("steps"), F.col("stop").alias("stop_reason"), cells_of.alias("cells"), *ways_taken, "sums")
 
 
 def append_paths(stored: DataFrame, new: DataFrame) -> DataFrame:

@@ -140,6 +140,25 @@ def test_small_polygons_are_cut_and_closed_in_one_task(spark, monkeypatch, most)
     assert bool(squared) == (most == 0) and fixed.rdd.getNumPartitions() >= 4
 
 
+def test_each_round_of_paths_is_stored_once(spark, monkeypatch):
+    real, stored = scratch.checkpointed, []
+
+    def counted(df):
+        stored.append(df.dtypes)
+        return real(df)
+
+    monkeypatch.setattr(scratch, "checkpointed", counted)
+    cells = spark.createDataFrame([(0, r, c, -10.0 * c) for r in range(7) for c in range(7)], "tile int, row int, col int, z double")
+    starts = spark.createDataFrame([(1, 0, 3, 1)], "path_id long, tile int, row int, col int")
+    found = paths.scored_paths(paths.compatible_paths(cells, starts, max_steps=3, maximum_paths=None)).collect()
+    # the neighbours, and one table a round, in which a path's cells are numbers
+    assert len(stored) == 4 and not any("array<struct" in t for kinds in stored[1:] for _, t in kinds)
+    for r in found:
+        means = [sum(float(v) for v in r[c]) / r["steps"] for c in ("validity", "deviation", "slopes")]
+        assert means == pytest.approx([r["mean_validity"], r["mean_deviation"], r["mean_slope"]]) and r["length"] == pytest.approx(sum(r["lengths"]))
+        assert [np.hypot(b["row"] - a["row"], b["col"] - a["col"]) for a, b in zip(r["cells"], r["cells"][1:])] == r["lengths"]
+
+
 def test_no_pair_of_polygons_has_its_boundary_stored(spark, monkeypatch):
     monkeypatch.setattr(overlay, "pieces", None)
     ring = lambda x, y, w, h: [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
