@@ -72,8 +72,20 @@ def activated_pixels(alerts: DataFrame, pixels: DataFrame) -> DataFrame:
 
 def critical_paths(activated: DataFrame, paths: DataFrame, n: int = 5) -> DataFrame:
     """JN-10, JN-13: per area and event the n paths of best score that share a cell with its activated pixels."""
-    cells = paths.select("path_id", "score", F.col("start").alias("area"), "tile", F.explode("cells").alias("c")).select("path_id", "score", "area", "tile", "c.row", "c.col").distinct()
-    met = activated.select("area", "event", *CELL).distinct().join(cells, ["area", *CELL]).groupBy("area", "event", "path_id").agg(F.max("score").alias("score"), F.count("*").alias("shared"))
+    cells = paths.select("path_id", "score", F.col("start").alias("area"), "tile", F.explode("cells").alias("c")).select("path_id", "score", "area", "tile", "c.row", "c.col")
+    return critical_cells(activated, cells, n)
+
+
+def critical_cells(activated: DataFrame, cells: DataFrame, n: int = 5) -> DataFrame:
+    """JN-10: critical_paths() of paths given as rows (path_id, score, area, tile, row, col), a cell as often as one likes.
+
+    Both sides are dealt by area and cell once, over spark.sql.shuffle.partitions tasks, made distinct there and joined as they lie, so few large tasks
+    are not made of them.
+    """
+    key = ["area", *CELL]
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda df, *more: df.select(*key, *more).repartition(tasks, *key).distinct()
+    met = dealt(activated, "event").join(dealt(cells, "path_id", "score"), key).groupBy("area", "event", "path_id").agg(F.max("score").alias("score"), F.count("*").alias("shared"))
     rank = F.row_number().over(Window.partitionBy("area", "event").orderBy(F.desc("score"), "path_id"))
     return met.withColumn("rank", rank).filter(F.col("rank") <= n)
 

@@ -93,9 +93,10 @@ def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def critical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths through cells that their customers have returned, events being the states of the lines."""
     k = F.col("l_partkey")
-    back = read(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    activated = back.select(F.col("o_custkey").alias("area"), F.col("l_linestatus").alias("event"), F.lit(0).alias("tile"), F.floor(k / 50).cast("int").alias("row"), F.pmod(k, F.lit(50)).cast("int").alias("col"))
-    return alerts.critical_paths(activated, _paths(spark, sf_dir), 3)
+    lines = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    at = [F.col("o_custkey").alias("area"), F.lit(0).alias("tile"), F.floor(k / 50).cast("int").alias("row"), F.pmod(k, F.lit(50)).cast("int").alias("col")]
+    activated = lines.filter("l_returnflag = 'R'").select(F.col("l_linestatus").alias("event"), *at)
+    return alerts.critical_cells(activated, lines.select(F.col("o_orderkey").alias("path_id"), F.col("o_totalprice").alias("score"), *at), 3)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from scarpline.functions import projections
-from scarpline.operators import neighbours, overlay, paths, points, polygons, scratch, timeseries
+from scarpline.operators import alerts, neighbours, overlay, paths, points, polygons, scratch, timeseries
 
 
 def test_noise_reads_its_series_once(spark):
@@ -166,3 +166,15 @@ def test_no_pair_of_polygons_has_its_boundary_stored(spark, monkeypatch):
     rows = [(1, 0, False, ring(far, far, 30.0, 2.0)), (1, 0, True, ring(far + 4, far + 0.5, 1.0, 1.0)), (2, 0, False, ring(far + 3, far - 1, 4.0, 8.0)), (3, 0, False, ring(far + 20, far + 0.5, 1.0, 1.0)), (4, 0, False, ring(far + 30, far, 1.0, 1.0))]
     got = overlay.overlaps(spark.createDataFrame(rows, "poly_id long, part int, hole boolean, ring array<struct<x:double,y:double>>"), 3.0).collect()
     assert {(r["a"], r["b"]): (round(r["shared"], 6), r["kind"]) for r in got} == {(1, 2): (7.0, "overlaps"), (1, 3): (1.0, "contains")}
+
+
+def test_cells_of_critical_paths_are_dealt_once(spark):
+    cell = lambda c: (0, c)
+    kinds = "path_id int, score double, start int, tile int, cells array<struct<row:int,col:int>>"
+    found = spark.createDataFrame([(1, 5.0, 7, 0, [cell(1), cell(2), cell(1)]), (1, 5.0, 7, 0, [cell(2), cell(3)]), (2, 6.0, 7, 0, [cell(9)]), (3, 5.0, 7, 0, [cell(3)])], kinds)
+    activated = spark.createDataFrame([(7, "a", 0, 0, c) for c in (1, 2, 3, 3)] + [(8, "a", 0, 0, 9)], "area int, event string, tile int, row int, col int")
+    got = alerts.critical_paths(activated, found, 2)
+    assert sorted(tuple(r) for r in got.select("area", "event", "path_id", "score", "shared", "rank").collect()) == [(7, "a", 1, 5.0, 3, 1), (7, "a", 3, 5.0, 1, 2)]
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    dealt = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and dealt.count("REPARTITION_BY_NUM") >= 2 and "hashpartitioning(path_id" not in dealt
