@@ -4,6 +4,7 @@ import math
 import random
 import tracemalloc
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -178,3 +179,19 @@ def test_cells_of_critical_paths_are_dealt_once(spark):
     plan = got._jdf.queryExecution().sparkPlan().toString()
     dealt = got._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and dealt.count("REPARTITION_BY_NUM") >= 2 and "hashpartitioning(path_id" not in dealt
+
+
+def test_noise_limit_between_neighbouring_doubles_is_that_of_sql(spark):
+    # sums such as 81.03999999999999 beside 81.04: which of them lie below the limit hangs on how it is rounded
+    pick = random.Random(4)
+    rows = []
+    for s in range(120):
+        n, low = pick.randint(20, 90), round(pick.expovariate(1 / 50) + 1, 2)
+        k, above = (n - 1) * 4 // 5, math.nextafter(low, math.inf)
+        rows += [(s, v) for v in [0.5] * k + [low, pick.choice([low, above, math.nextafter(above, math.inf)])] + [1e6] * (n - k - 2)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE zs (station INT, value DOUBLE)")
+    con.executemany("INSERT INTO zs VALUES (?, ?)", rows)
+    want = con.execute("WITH q AS (SELECT station, quantile_cont(value, 0.8) AS q FROM zs GROUP BY station) SELECT station, count(*), max(value) FROM zs JOIN q USING (station) WHERE value < q GROUP BY station").fetchall()
+    got = timeseries.noise(spark.createDataFrame(rows, "station int, value double"), 0.8).collect()
+    assert sorted((r["station"], r["n"], r["max"]) for r in got) == sorted(want) and len(want) == 120
