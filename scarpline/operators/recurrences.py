@@ -1,19 +1,21 @@
-"""Recurrences and splines over long series, in blocks: no task holds a whole series.
+"""Recurrences and splines over long series: no task holds a whole series.
 
-A recurrence x[t] = a[t] x[t-1] + b[t] is a composition of affine maps. Each block composes its own, the blocks' maps are composed in
-order, one row a block, and then every row applies its map to what its block begins with. A tridiagonal system is solved in blocks the same
-way: in each, every unknown is p + q L + r R of the unknowns before and behind the block, those at the blocks' ends are solved from a
-system of two rows a block, and put in.
+A recurrence x[t] = a[t] x[t-1] + b[t] runs along the sorted rows of its task, which pass it as a stream, and hands its last x from one block
+of rows to the next. A tridiagonal system is solved in blocks that are dealt to tasks: in each, every unknown is p + q L + r R of the unknowns
+before and behind the block, those at the blocks' ends are solved from a system of two rows a block, and put in.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from scarpline.operators.batches import by_groups
 
@@ -25,28 +27,42 @@ def _fields(df: DataFrame, names: Sequence[str]) -> str:
     return ", ".join(f"`{n}` {dict(df.dtypes)[n]}" for n in names)
 
 
-def affine_scan(rows: DataFrame, keys: Sequence[str] = KEYS, block: int = BLOCK) -> DataFrame:
-    """Rows (keys, t, a, b), t from 0 without gaps, with x: x[t] = a[t] x[t-1] + b[t].
+def affine_scan(rows: DataFrame, names: Sequence[str], keys: Sequence[str] = KEYS, block: int = BLOCK, made: dict[str, Callable] | None = None) -> DataFrame:
+    """Rows (keys, ts, t, others), t from 0 without gaps in the order of ts, with each name x instead of a_x and b_x: x[t] = a[t] x[t-1] + b[t].
 
     A row with a = 0 takes nothing from the rows before, also if these are null; the first row's a counts as 0. A null b makes x null.
+    made makes a and b of a name in the task instead: it gives a function of t, value and whether there is one, which takes the rows in order.
+    The rows should come from windows by keys in the order of ts: they stay where these have put them. block is how many a task takes up at a time.
     """
-    own = rows.select(*keys, "t", F.when(F.col("t") == 0, 0.0).otherwise(F.col("a").cast("double")).alias("a"), F.col("b").cast("double").alias("b")).withColumn("_k", F.floor(F.col("t") / block))
-
-    def compose(columns, first, last):
-        out = {c: v[first:last] for c, v in columns.items()}
-        A, B = np.empty(last - first), np.empty(last - first)
-        p, q = 1.0, 0.0
-        for i, (x, y) in enumerate(zip(out["a"].tolist(), out["b"].tolist())):
-            p, q = (0.0, y) if x == 0 else (x * p, x * q + y)
-            A[i], B[i] = p, q
-        return out | {"a": A, "b": B}
-
-    found = by_groups(own, [*keys, "_k"], ["t"], compose, _fields(own, own.columns))
-    ends = found.groupBy(*keys, "_k").agg(F.max_by(F.struct("a", "b"), "t").alias("m"))
-    # one row a block, of series of several
-    starts = _block_starts(_several(ends, keys), keys)
-    x = F.when(F.col("a") == 0, F.col("b")).otherwise(F.col("a") * F.col("_x") + F.col("b"))
-    return found.join(starts, [*keys, "_k"], "left").select(*keys, "t", F.nanvl(x, F.lit(None).cast("double")).alias("x"))
+    made = made or {}
+    given = [f"{m}_{n}" for n in names if n not in made for m in "ab"]
+    kept = [c for c in rows.columns if c not in given]
+    kinds = StructType([rows.schema[c] for c in kept] + [StructField(n, DoubleType()) for n in names])
+    own = rows.withColumns({c: F.col(c).cast("double") for c in given})
+
+    def run(batches):
+        last, x = -1, dict.fromkeys(names, np.nan)
+        maps = {n: make() for n, make in made.items()}
+        for batch in batches:
+            for lo in range(0, batch.num_rows, block):
+                part = batch.slice(lo, block)
+                column = lambda c: part.column(c).to_numpy(zero_copy_only=False)  # noqa: B023,E731
+                t = column("t")
+                if ((t != 0) & (t != np.r_[last, t[:-1]] + 1)).any():
+                    raise ValueError("the rows of a series are not in order")
+                last, found = t[-1], []
+                value = part.column("value").cast(pa.float64()) if maps else None
+                for n in names:
+                    a, b = maps[n](t, value.to_numpy(zero_copy_only=False), value.is_valid().to_numpy(zero_copy_only=False)) if n in maps else (column(f"a_{n}"), column(f"b_{n}"))
+                    now, out = x[n], []
+                    for p, q in zip(np.where(t == 0, 0.0, a).tolist(), b.tolist()):
+                        now = q if p == 0 else p * now + q
+                        out.append(now)
+                    x[n] = now
+                    found.append(pa.array(np.array(out), pa.float64(), from_pandas=True))
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + found, [*kept, *names])
+
+    return own.sortWithinPartitions(*keys, "ts").mapInArrow(run, kinds)
 
 
 def _several(ends: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -54,22 +70,6 @@ def _several(ends: DataFrame, keys: Sequence[str]) -> DataFrame:
     return ends.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).filter("_n > 1").drop("_n")
 
 
-def _block_starts(ends: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The value that each block begins with, from the maps (m) of all blocks, one row each."""
-    own = ends.select(*keys, "_k", F.col("m.a").alias("a"), F.col("m.b").alias("b"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_k", ignore_index=True)
-        x, out = np.nan, []
-        for a, b in zip(pdf["a"].tolist(), pdf["b"].astype(float).tolist()):
-            out.append(x)
-            x = b if a == 0 else a * x + b
-        pdf["_x"] = out
-        return pdf[[*keys, "_k", "_x"]]
-
-    return own.groupBy(*keys).applyInPandas(run, _fields(own, [*keys, "_k"]) + ", _x double")
-
-
 def _thomas(a, b, c, d) -> np.ndarray:
     """Solves a tridiagonal system for several right sides (columns of d)."""
     n, cp, dp = len(b), np.empty(len(b)), np.empty_like(d)
@@ -216,31 +216,60 @@ def fill_times(series: DataFrame, order_by: str, keys: Sequence[str] = KEYS) ->
     return at.withColumn("ts", F.coalesce("ts", F.timestamp_micros(micros).cast(kind))).select(*series.columns)
 
 
-def exponential(series: DataFrame, n: int, keys: Sequence[str] = KEYS, block: int = BLOCK) -> DataFrame:
-    """WN-3: adds exponential, the average of span n; gaps age the weight of what came before."""
+def _exponential(at: DataFrame, n: int, order) -> DataFrame:
     alpha = 2 / (n + 1)
+    last = F.last(F.when(F.col("value").isNotNull(), F.col("t")), True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    weight = F.pow(F.lit(1 - alpha), (F.col("t") - F.col("_last")).cast("double"))
+    gap, new = F.col("value").isNull(), F.col("_last").isNull()
+    a = F.when(new, 0.0).when(gap, 1.0).otherwise(weight / (weight + alpha))
+    b = F.when(new, F.col("value")).when(gap, 0.0).otherwise(alpha * F.col("value") / (weight + alpha))
+    return at.withColumn("_last", last).withColumns({"a_exponential": a, "b_exponential": b}).drop("_last")
+
+
+def _adaptive_maps(n: int):
+    """The recurrence of WN-7 for rows that come in order; the n rows before are remembered."""
+    past, known = np.zeros(n), np.zeros(n, bool)
+
+    def maps(t, value, has):
+        nonlocal past, known
+        m = len(t)
+        v, h = np.r_[past, np.where(has, value, 0.0)], np.r_[known, has]
+        total, count, steps, whole, before = np.zeros(m), np.zeros(m), np.zeros(m), t >= n, h[:m] & (t >= n)
+        for j in range(n - 1, -1, -1):  # the oldest first
+            at, ahead = slice(n - j, n - j + m), slice(n - j - 1, n - j - 1 + m)
+            own = h[at] & (t >= j)
+            total += np.where(own, v[at], 0.0)
+            count += own
+            steps += np.abs(v[at] - v[ahead])
+            whole &= h[at] & h[ahead]
+            if j:
+                before |= own
+        with np.errstate(divide="ignore", invalid="ignore"):
+            simple = total / count
+            ratio = np.where(whole & (steps != 0), np.abs(v[n:] - v[:m]) / steps, 0.0)
+        s = (ratio * (2 / 3 - 2 / 31) + 2 / 31) ** 2
+        goes = (t >= n) & has & before
+        past, known = v[m:], h[m:]
+        return np.where(goes, 1 - s, 0.0), np.where(goes, s * value, simple)
+
+    return maps
+
+
+def averages(series: DataFrame, n: int, keys: Sequence[str] = KEYS, names: Sequence[str] = ("exponential", "adaptive"), block: int = BLOCK) -> DataFrame:
+    """WN-3, WN-7: adds the named averages. The rows of a series are sorted once, and no table is joined to itself."""
     order = Window.partitionBy(*keys).orderBy("ts")
     at = series.withColumn("t", F.row_number().over(order) - 1)
-    last = F.last(F.when(F.col("value").isNotNull(), F.col("t")), True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    weight = F.pow(F.lit(1 - alpha), (F.col("t") - last).cast("double"))
-    a = F.when(F.col("value").isNull(), 1.0).when(last.isNull(), 0.0).otherwise(weight / (weight + alpha))
-    b = F.when(F.col("value").isNull(), F.when(last.isNotNull(), 0.0)).when(last.isNull(), F.col("value")).otherwise(alpha * F.col("value") / (weight + alpha))
-    found = affine_scan(at.select(*keys, "t", F.when((F.col("value").isNull()) & last.isNull(), 0.0).otherwise(a).alias("a"), b.alias("b")), keys, block)
-    return at.join(found.withColumnRenamed("x", "exponential"), [*keys, "t"]).drop("t")
+    if "exponential" in names:
+        at = _exponential(at, n, order)
+    made = {"adaptive": partial(_adaptive_maps, n)} if "adaptive" in names else {}
+    return affine_scan(at, names, keys, block, made).drop("t")
+
+
+def exponential(series: DataFrame, n: int, keys: Sequence[str] = KEYS, block: int = BLOCK) -> DataFrame:
+    """WN-3: adds exponential, the average of span n; gaps age the weight of what came before."""
+    return averages(series, n, keys, ("exponential",), block)
 
 
 def adaptive(series: DataFrame, n: int, keys: Sequence[str] = KEYS, block: int = BLOCK) -> DataFrame:
     """WN-7: adds adaptive: the simple average of n rows, corrected by how straight the last n steps went."""
-    order = Window.partitionBy(*keys).orderBy("ts")
-    at = series.withColumns({"t": F.row_number().over(order) - 1, "_simple": F.avg("value").over(order.rowsBetween(1 - n, 0)), "_step": F.abs(F.col("value") - F.lag("value").over(order)), "_moved": F.abs(F.col("value") - F.lag("value", n).over(order))})
-    frame = order.rowsBetween(1 - n, 0)
-    steps = F.when(F.count("_step").over(frame) == n, F.sum("_step").over(frame))
-    ratio = F.when((steps != 0) & steps.isNotNull(), F.col("_moved") / steps).otherwise(0.0)
-    at = at.withColumn("_s", (ratio * (2 / 3 - 2 / 31) + 2 / 31) ** 2)
-    term = (F.col("t") >= n) & F.col("value").isNotNull() & F.col("_s").isNotNull()
-    at = at.withColumn("_term", term)
-    before = F.coalesce(F.lag("_term").over(order) | F.lag("_simple").over(order).isNotNull(), F.lit(False))
-    goes = F.col("_term") & before
-    maps = at.select(*keys, "t", F.when(goes, 1 - F.col("_s")).otherwise(0.0).alias("a"), F.when(goes, F.col("_s") * F.col("value")).otherwise(F.col("_simple")).alias("b"))
-    found = affine_scan(maps, keys, block).withColumnRenamed("x", "adaptive")
-    return at.join(found, [*keys, "t"]).select(*series.columns, "adaptive")
+    return averages(series, n, keys, ("adaptive",), block)

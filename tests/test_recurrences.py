@@ -128,3 +128,33 @@ def test_times_are_filled_between_known_ones(spark):
     rows = [("a", i, at(m)) for i, m in enumerate([None, 0, None, None, 30, None])]
     got = rc.fill_times(spark.createDataFrame(rows, "station string, i int, ts timestamp"), "i").orderBy("i").collect()
     assert [r.ts for r in got] == [at(m) for m in [None, 0, 10, 20, 30, 30]]
+
+
+def test_averages_are_taken_where_the_axis_was_made(spark, monkeypatch):
+    # tables of all rows of the axis were shuffled some twenty times
+    monkeypatch.setattr(timeseries, "SPAN", 7, raising=False)
+    pick = random.Random(8)
+    rows = [(s, T0 + dt.timedelta(hours=i), round(pick.uniform(-5, 5), 3)) for s in ("a", "b", "c") for i in range(40) if pick.random() < (0.4 if s == "a" else 0.97)]
+    got = timeseries.exponential_and_adaptive(timeseries.regular_axis(spark.createDataFrame(rows, "station string, ts timestamp, value double")), 5)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "MapInArrow" in plan and "Exchange" not in plan[: plan.index("Generate explode")]
+    known = {(s, ts): v for s, ts, v in rows}
+    first, last = min(r[1] for r in rows), max(r[1] for r in rows)
+    axis = [first + dt.timedelta(hours=i) for i in range(int((last - first).total_seconds()) // 3600 + 1)]
+    ema, ada = by_station(got, "exponential"), by_station(got, "adaptive")
+    for s in ("a", "b", "c"):
+        want = loops([known.get((s, ts)) for ts in axis], 5)
+        near = lambda own: [v if v is None else pytest.approx(v, abs=1e-9) for v in own]
+        assert ema[s] == near(want[0]) and ada[s] == near(want[1])
+
+
+@pytest.mark.parametrize("span", [2, 4096])
+def test_axis_keeps_repeats_and_drops_what_is_between_its_steps(spark, monkeypatch, span):
+    monkeypatch.setattr(timeseries, "SPAN", span, raising=False)
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    rows = [("a", at(0), 1.0, "p"), ("a", at(120), 2.0, "q"), ("a", at(120), 3.0, "r"), ("a", at(90), 4.0, "s"), ("b", at(240), None, "t"), (None, at(60), 5.0, "u"), ("a", None, 6.0, "v")]
+    got = timeseries.regular_axis(spark.createDataFrame(rows, "station string, ts timestamp, value double, note string"))
+    assert got.columns == ["station", "ts", "value", "note"]
+    want = [(s, at(60 * h), None, None) for s in ("a", "b", None) for h in range(5)]
+    want = [r for r in want if r[:2] not in {("a", at(0)), ("a", at(120)), ("b", at(240))}] + [rows[0], rows[1], rows[2], rows[4]]
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
