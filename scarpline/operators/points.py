@@ -11,6 +11,8 @@ from scarpline.operators.scratch import small
 
 #: Distances held at a time where many targets meet many points.
 PART = 2_000_000
+#: Distances that stay in a core's cache.
+CACHED = 32_768
 #: How many squares around a target's own are searched for its triangle, then all.
 REACHES = (1, 3, 12, None)
 
@@ -64,33 +66,97 @@ def nearest_by_steps(targets: DataFrame, stations: DataFrame, cell: float = 0.1)
     return nearest(targets, refs, cell, by_steps=True).select("id", F.col("ref").alias("station"), "distance")
 
 
+def _cholesky(columns, n: int, block: int = 256) -> list[np.ndarray]:
+    """The lower factor of a positive definite matrix, in panels: the k-th has the columns from k * block on, and of these the rows from there on.
+
+    columns(lo, hi) makes the rows from lo on of the columns lo to hi, so the matrix itself is not held.
+    """
+    panels: list[np.ndarray] = []
+    for lo in range(0, n, block):
+        own = columns(lo, min(n, lo + block))
+        wide = own.shape[1]
+        for k, panel in enumerate(panels):
+            rows = panel[lo - k * block :]
+            own -= rows @ rows[:wide].T
+        own[:wide] = np.linalg.cholesky(own[:wide])
+        own[wide:] = own[wide:] @ np.linalg.inv(own[:wide]).T
+        panels.append(own)
+    return panels
+
+
+def _substituted(panels: list[np.ndarray], right) -> np.ndarray:
+    """Solves for the columns of right with the factor that the panels are."""
+    x, at = right.copy(), np.cumsum([0] + [p.shape[1] for p in panels])
+    for p, lo, hi in zip(panels, at, at[1:]):
+        x[lo:hi] = np.linalg.solve(p[: hi - lo], x[lo:hi])
+        x[hi:] -= p[hi - lo :] @ x[lo:hi]
+    for p, lo, hi in reversed(list(zip(panels, at, at[1:]))):
+        x[lo:hi] = np.linalg.solve(p[: hi - lo].T, x[lo:hi] - p[hi - lo :].T @ x[hi:])
+    return x
+
+
 def _radial(x, y, v, tx, ty):
-    """Multiquadric interpolation; its scale is the mean spacing of the points in their box. The targets are looked up in parts, so only the points' own matrix is held."""
+    """Multiquadric interpolation; its scale is the mean spacing of the points in their box. Points of one place count as one with their mean.
+
+    Between differences of weights the negative matrix is positive definite, so half of one factor is all that is held; the targets are looked up in parts.
+    """
     sides = np.array([np.ptp(x), np.ptp(y)])
     sides = sides[sides > 0]
     scale = (np.prod(sides) / len(x)) ** (1 / len(sides)) if len(sides) else 1.0
-    step = max(1, PART // len(x))
+    places, of = np.unique(np.stack([x, y]), axis=1, return_inverse=True)
+    if places.shape[1] < len(x):  # which is what least squares make of them
+        x, y, v = *places, np.bincount(of.ravel(), v) / np.bincount(of.ravel())
+    first = np.argmin((x - x.mean()) ** 2 + (y - y.mean()) ** 2)
+    order = np.r_[first, np.delete(np.arange(len(x)), first)]
+    tx, ty = (tx - x[first]) / scale, (ty - y[first]) / scale
+    x, y, v = (x[order] - x[first]) / scale, (y[order] - y[first]) / scale, v[order]
+    n = len(x)
 
-    def phi(ax, ay):
+    def phi(ax, ay, x=x, y=y):
         out, dy = ax[:, None] - x, ay[:, None] - y
         out *= out
         dy *= dy
         out += dy
-        out /= scale**2
         out += 1
         return np.sqrt(out, out=out)
 
-    own = np.empty((len(x), len(x)))
-    for lo in range(0, len(x), step):
-        own[lo : lo + step] = phi(x[lo : lo + step], y[lo : lo + step])
+    def summed(ax, ay, weights):
+        step = max(1, CACHED // n)
+        return np.concatenate([phi(ax[lo : lo + step], ay[lo : lo + step]) @ weights for lo in range(0, len(ax), step)] or [np.empty(0)])
+
+    far = phi(x[:1], y[:1])[0]
+    g = far[1:] - 1
+
+    def columns(lo, hi):
+        of = slice(lo + 1, hi + 1)
+        out = phi(x[lo + 1 :], y[lo + 1 :], x[of], y[of])
+        np.subtract(far[of] - 1, out, out=out)
+        out += far[lo + 1 :, None]
+        return out
+
+    def solved(right):
+        """Weights w: w[0] is what the others, which are found first, leave of their sum."""
+        q = _substituted(panels, right[1:] - right[0])
+        total = (right[0] + g @ q) / (1 + g @ p)
+        w = total * p - q
+        return np.r_[total - w.sum(), w]
+
     try:
-        weights = np.linalg.solve(own, v)
-        good = np.abs(own @ weights - v).max() <= 1e-9 * max(1.0, np.abs(v).max())
+        panels = _cholesky(columns, n - 1)
+        p = _substituted(panels, g)
+        weights, left = np.zeros(n), v
+        for _ in range(4):
+            more = weights + solved(left)
+            rest = v - summed(x, y, more)
+            if not np.abs(rest).max() < np.abs(left).max():
+                break
+            weights, left = more, rest
+        good = np.abs(left).max() <= 1e-8 * max(1.0, np.abs(v).max())
     except np.linalg.LinAlgError:
         good = False
-    if not good:  # places that several points share
-        weights = np.linalg.lstsq(own, v, rcond=None)[0]
-    return np.concatenate([phi(tx[lo : lo + step], ty[lo : lo + step]) @ weights for lo in range(0, len(tx), step)] or [np.empty(0)])
+    if not good:  # places that lie too close for their numbers
+        weights = np.linalg.lstsq(phi(x, y), v, rcond=None)[0]
+    return summed(tx, ty, weights)
 
 
 def _hull(x, y):
@@ -234,5 +300,7 @@ def interpolate(series: DataFrame, stations: DataFrame, method: str = "linear")
 
     met = series.select("station", "ts", F.col("value").cast("double").alias("value")).join(small(stations.select("station", "x", "y")), "station", "left")
     fields = ", ".join(f"`{n}` {t}" for n, t in met.select("station", "ts", "value").dtypes)
-    found = met.groupBy("ts").applyInPandas(run, fields)
+    # a time is few bytes, but much work: tasks are not merged by their bytes
+    tasks = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = met.repartition(tasks, "ts").groupBy("ts").applyInPandas(run, fields)
     return found.withColumn("value", F.nanvl("value", F.lit(None).cast("double")))

@@ -52,6 +52,27 @@ def test_radial_targets_are_looked_up_in_parts():
     assert np.abs(got - tx - ty).max() < 0.2 and peak < 80
 
 
+def test_radial_holds_half_of_one_matrix_and_needs_no_least_squares(monkeypatch):
+    # points close beside their mean spacing left more than 1e-9, and so did places that points share: both went to a far dearer decomposition
+    monkeypatch.setattr(np.linalg, "lstsq", None)
+    rng = np.random.default_rng(3)
+    k = np.flatnonzero(rng.random(30_000) < 0.085)
+    k = np.r_[k, k[:5]]
+    x, y, v = k % 40 * 0.05, k // 40 * 0.05, rng.exponential(50.0, len(k))
+    got, peak = peak_mb(lambda: points._radial(x, y, v, x, y))
+    want = np.r_[(v[:5] + v[-5:]) / 2, v[5:-5], (v[:5] + v[-5:]) / 2]
+    assert np.abs(got - want).max() < 2e-6 and peak < 8 * len(k) ** 2 / 2**20
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 40, 300])
+def test_radial_equals_the_whole_system(n):
+    rng = np.random.default_rng(n)
+    x, y, v, tx, ty = rng.random(n), 3 * rng.random(n), rng.random(n), rng.random(50), rng.random(50)
+    s = (np.ptp(x) * np.ptp(y) / n) ** 0.5 if n > 1 else 1.0
+    phi = lambda ax, ay: np.sqrt(((ax[:, None] - x) ** 2 + (ay[:, None] - y) ** 2) / s**2 + 1)
+    assert points._radial(x, y, v, tx, ty) == pytest.approx(phi(tx, ty) @ np.linalg.solve(phi(x, y), v), abs=1e-7)
+
+
 def test_gaps_do_not_meet_all_stations_around(spark):
     rows = [(s, t, None if (s + t) % 2 else float(s)) for s in range(4) for t in range(3)]
     places = spark.createDataFrame([(s, s * 0.1, 0.0) for s in range(4)], "station int, x double, y double")
